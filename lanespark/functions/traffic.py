@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .numeric import rnd
+
 # ---- fixed values that must equal the reference's ---------------------------
 # Weather mapping (provider category, lower-cased -> daily category).
 WEATHER_RAIN = ["rain", "drizzle", "thunderstorm"]
@@ -92,13 +94,13 @@ def jam_factor(speed, free_flow) -> Column:
     """(1 - min(v/vf, 1)) * 10 rounded to 2; NULL if a speed is missing or vf <= 0."""
     v, vf = _c(speed), _c(free_flow)
     ok = v.isNotNull() & vf.isNotNull() & (vf > 0)
-    return F.when(ok, F.round((F.lit(1.0) - F.least(v / vf, F.lit(1.0))) * F.lit(10.0), 2))
+    return F.when(ok, rnd((F.lit(1.0) - F.least(v / vf, F.lit(1.0))) * F.lit(10.0), 2))
 
 
 def congestion_pct(speed, free_flow) -> Column:
     v, vf = _c(speed), _c(free_flow)
     ok = v.isNotNull() & vf.isNotNull() & (vf > 0)
-    return F.when(ok, F.round((F.lit(1.0) - F.least(v / vf, F.lit(1.0))) * F.lit(100.0), 1))
+    return F.when(ok, rnd((F.lit(1.0) - F.least(v / vf, F.lit(1.0))) * F.lit(100.0), 1))
 
 
 def band(x, bounds, labels, null_label=None) -> Column:
