@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import traffic as T
+from ..functions.numeric import rnd, sql_rnd
 from ..operators import daily as D
 from ..sources import bindings as B
+from ..sources import payloads as P
 from .registry import register
 
 # --- shared oracle fragments --------------------------------------------------
@@ -26,10 +28,10 @@ a AS (SELECT reading_date AS traffic_date, road_name, arg_min(area_name, reading
              avg(wind_speed_ms) AS wind, avg(rain_1h_mm) AS rain, avg(visibility_m) AS vis,
              avg(confidence) AS conf, bool_or(coalesce(has_construction, false)) AS work
       FROM raw_readings WHERE road_name IS NOT NULL AND reading_date IS NOT NULL GROUP BY 1, 2),
-b AS (SELECT a.*, wm.wmode, coalesce(d.max_capacity_vph, 4000) AS cap,
+b AS (SELECT x.*, wm.wmode, coalesce(d.max_capacity_vph, 4000) AS cap,
              CASE WHEN n_v > 0 THEN s_v / n_v END AS v, CASE WHEN n_ff > 0 THEN s_ff / n_ff END AS vf
-      FROM a LEFT JOIN wm ON wm.reading_date = a.traffic_date AND wm.road_name = a.road_name
-             LEFT JOIN road_dim d ON d.road_name = a.road_name),
+      FROM a AS x LEFT JOIN wm ON wm.reading_date = x.traffic_date AND wm.road_name = x.road_name
+             LEFT JOIN road_dim d ON d.road_name = x.road_name),
 c AS (SELECT *, coalesce(v <> 0 AND vf <> 0 AND vf > 0, false) AS sok,
              greatest(0.0e0, least(100.0e0,
                CASE WHEN jam IS NOT NULL THEN (jam / 10.0e0) * 100.0e0
@@ -98,3 +100,222 @@ def q_daily_banded(spark, sf_dir):
     d = realtime_daily(spark, sf_dir)
     return d.withColumn("congestion_band", T.congestion_band("congestion")) \
         .withColumn("congestion_color", T.congestion_color("congestion"))
+
+
+# ---- sub-outputs of the roll-up (Catalyst prunes the aggregates each one does not need) ----
+_SUB = {
+    "daily_speed": ["avg_speed", "free_flow_speed"],        # AG-01a
+    "daily_tti": ["tti"],                                   # AG-01b
+    "daily_congestion": ["congestion"],                     # AG-01c
+    "daily_capacity": ["capacity_util"],                    # AG-01d
+    "daily_volume": ["volume"],                             # AG-01e
+    "daily_incidents": ["incidents"],                       # AG-01f
+    "daily_weather_means": ["temperature", "humidity", "wind_speed", "rain", "visibility"],  # AG-01g
+    "daily_weather_mode": ["weather"],                      # AG-01h
+    "daily_roadwork": ["roadwork"],                         # AG-01i
+    "daily_sensor": ["free_flow_speed", "jam_factor", "confidence"],  # AG-01j
+    "daily_area": ["area_name"],                            # AG-01k
+}
+
+
+def _sub_query(cols):
+    def fn(spark, sf_dir):
+        return realtime_daily(spark, sf_dir).select("traffic_date", "road_name", *cols)
+    return fn
+
+
+for _k, _cols in _SUB.items():
+    register(_k, daily_rollup_oracle(f"SELECT traffic_date, road_name, {', '.join(_cols)} FROM daily"))(_sub_query(_cols))
+
+
+@register("estimate_volume", daily_rollup_oracle("""
+SELECT traffic_date, road_name,
+       CASE WHEN flow IS NULL THEN NULL ELSE greatest(0, CAST(trunc(cap * flow * 24.0e0) AS INT)) END AS estimated_volume
+FROM c"""))
+def q_estimate_volume(spark, sf_dir):
+    """PRJ-20 on the daily sufficient statistics (NULL when neither speeds nor jam exist)."""
+    agg = D.daily_aggregates(B.raw_readings(spark, sf_dir))
+    dim = B.road_dim(spark, sf_dir).select("road_name", "max_capacity_vph")
+    j = agg.join(dim, "road_name", "left")
+    v = F.when(F.col("_n_v") > 0, F.col("_s_v") / F.col("_n_v"))
+    vf = F.when(F.col("_n_ff") > 0, F.col("_s_ff") / F.col("_n_ff"))
+    cap = F.coalesce("max_capacity_vph", F.lit(T.DEFAULT_CAPACITY_VPH))
+    return j.select("traffic_date", "road_name", T.estimate_volume(v, vf, "_jam", cap).alias("estimated_volume"))
+
+
+_DAILY_STATS_COLS = ["volume", "avg_speed", "tti", "congestion", "capacity_util", "incidents", "temperature",
+                     "humidity", "wind_speed", "rain", "visibility", "free_flow_speed", "jam_factor", "confidence"]
+
+
+@register("daily_column_stats", daily_rollup_oracle("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, {sql_rnd(f'min({c})', 4)} AS min, {sql_rnd(f'avg({c})', 4)} AS mean, "
+    f"{sql_rnd(f'max({c})', 4)} AS max FROM daily" for c in _DAILY_STATS_COLS)))
+def q_daily_column_stats(spark, sf_dir):
+    """AG-35: min/mean/max of 14 daily columns, one aggregation, unpivoted after."""
+    d = realtime_daily(spark, sf_dir)
+    one = d.agg(*[e for c in _DAILY_STATS_COLS for e in (
+        F.min(F.col(c).cast("double")).alias(f"{c}__min"), F.avg(c).alias(f"{c}__mean"),
+        F.max(F.col(c).cast("double")).alias(f"{c}__max"))])
+    return one.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), rnd(f"{c}__min", 4).alias("min"), rnd(f"{c}__mean", 4).alias("mean"),
+        rnd(f"{c}__max", 4).alias("max")) for c in _DAILY_STATS_COLS])).alias("_s")).select("_s.*")
+
+
+@register("filter_date", daily_rollup_oracle("SELECT * FROM daily WHERE traffic_date = DATE '2024-01-15'"))
+def q_filter_date(spark, sf_dir):
+    """FLT-01: one date; the predicate is pushed below the aggregation to the readings."""
+    return realtime_daily(spark, sf_dir).where(F.col("traffic_date") == F.lit("2024-01-15").cast("date"))
+
+
+# ---- idempotent date-replacing upsert (SNK-02 / JN-04 / SO-01 / SO-04) ----------
+# existing table = roll-up of the morning readings (hour < 12) of every day;
+# new batch      = full roll-up of the last seven days present in the readings.
+
+def _prefixed_rollup(src: str, prefix: str) -> str:
+    body = DAILY_ROLLUP_SQL_BODY.strip()
+    for name in ("wc", "wm", "a", "b", "c", "daily"):
+        body = body.replace(f"\n{name} AS (", f"\n{prefix}{name} AS (")
+        body = body.replace(f"FROM {name} ", f"FROM {prefix}{name} ").replace(f"FROM {name})", f"FROM {prefix}{name})")
+        body = body.replace(f"FROM {name}\n", f"FROM {prefix}{name}\n")
+    body = body.replace("wc AS (SELECT", f"{prefix}wc AS (SELECT", 1) if body.startswith("wc AS") else body
+    body = body.replace("LEFT JOIN wm ON wm.", f"LEFT JOIN {prefix}wm ON {prefix}wm.") \
+        .replace("wm.wmode", f"{prefix}wm.wmode").replace("wm.road_name", f"{prefix}wm.road_name") \
+        .replace(f"{prefix}{prefix}", prefix)
+    return body.replace("FROM raw_readings", f"FROM {src}")
+
+
+_UPSERT_CTES = [
+    "morning AS (SELECT * FROM raw_readings WHERE reading_hour < 12)",
+    "recent AS (SELECT * FROM raw_readings WHERE reading_date > "
+    "(SELECT max(reading_date) FROM raw_readings) - 7)",
+    _prefixed_rollup("morning", "e_"),
+    _prefixed_rollup("recent", "n_"),
+]
+
+
+def _upsert_inputs(spark, sf_dir):
+    r = B.raw_readings(spark, sf_dir)
+    dim = B.road_dim(spark, sf_dir)
+    existing = D.daily_rollup(r.where(F.col("reading_hour") < 12), dim)
+    last = r.agg(F.max("reading_date").alias("_last"))  # one row
+    recent = r.crossJoin(F.broadcast(last)).where(F.col("reading_date") > F.date_sub("_last", 7)).drop("_last")
+    batch = D.daily_rollup(recent, dim)
+    return existing, batch
+
+
+@register("replace_dates", daily_rollup_oracle("""
+SELECT * FROM e_daily WHERE traffic_date NOT IN (SELECT traffic_date FROM n_daily)
+UNION ALL SELECT * FROM n_daily""", *_UPSERT_CTES))
+def q_replace_dates(spark, sf_dir):
+    """SNK-02 (query form): drop existing rows of the batch's dates, then union."""
+    existing, batch = _upsert_inputs(spark, sf_dir)
+    return D.replace_dates(existing, batch)
+
+
+@register("anti_replaced_dates", daily_rollup_oracle("""
+SELECT * FROM e_daily e WHERE NOT EXISTS (SELECT 1 FROM n_daily n WHERE n.traffic_date = e.traffic_date)""",
+                                                     *_UPSERT_CTES))
+def q_anti_replaced_dates(spark, sf_dir):
+    """JN-04: left anti join on date."""
+    existing, batch = _upsert_inputs(spark, sf_dir)
+    return existing.join(batch.select("traffic_date").distinct(), "traffic_date", "left_anti")
+
+
+@register("union_daily", daily_rollup_oracle("SELECT * FROM e_daily UNION ALL SELECT * FROM n_daily", *_UPSERT_CTES))
+def q_union_daily(spark, sf_dir):
+    """SO-01."""
+    existing, batch = _upsert_inputs(spark, sf_dir)
+    return existing.unionByName(batch, allowMissingColumns=True)
+
+
+@register("except_dates", daily_rollup_oracle("""
+SELECT DISTINCT traffic_date FROM e_daily WHERE traffic_date NOT IN (SELECT traffic_date FROM n_daily)""",
+                                              *_UPSERT_CTES))
+def q_except_dates(spark, sf_dir):
+    """SO-04: dates of the existing table that the batch does not touch."""
+    existing, batch = _upsert_inputs(spark, sf_dir)
+    return existing.select("traffic_date").distinct().join(batch.select("traffic_date"), "traffic_date", "left_anti")
+
+
+# ---- payload parsing (SRC-05..09) ---------------------------------------------
+
+def _payloads(spark, sf_dir):
+    return P.landed_payloads(B.raw_readings(spark, sf_dir))
+
+
+@register("parse_flow", B.with_bindings("""
+SELECT event_id,
+       CASE WHEN a_speed IS NOT NULL THEN a_speed END AS current_speed,
+       CASE WHEN a_speed IS NOT NULL THEN a_free_flow END AS free_flow_speed,
+       CASE WHEN a_speed IS NOT NULL THEN a_travel_time END AS current_travel_time,
+       CASE WHEN a_speed IS NOT NULL THEN a_free_flow_time END AS free_flow_travel_time,
+       CASE WHEN a_speed IS NOT NULL THEN confidence END AS confidence_score,
+       CASE WHEN a_speed IS NOT NULL THEN coalesce(road_closure, false) END AS road_closed,
+       CASE WHEN a_speed IS NOT NULL THEN 'ok' ELSE 'http_503' END AS flow_status
+FROM raw_readings""", "raw_readings"))
+def q_parse_flow(spark, sf_dir):
+    """SRC-05."""
+    p = P.parse_flow(_payloads(spark, sf_dir), http_status="http_status")
+    return p.select("event_id", "current_speed", "free_flow_speed", "current_travel_time", "free_flow_travel_time",
+                    "confidence_score", "road_closed", "flow_status")
+
+
+@register("parse_jam", B.with_bindings(f"""
+SELECT event_id,
+       CASE WHEN b_speed IS NOT NULL THEN {sql_rnd('(b_speed / 3.6e0) * 3.6e0', 2)} END AS jam_speed_kmh,
+       CASE WHEN b_speed IS NOT NULL THEN {sql_rnd('(b_free_flow / 3.6e0) * 3.6e0', 2)} END AS jam_free_flow_kmh,
+       CASE WHEN b_speed IS NOT NULL THEN jam_factor END AS jam_factor_value,
+       CASE WHEN b_speed IS NOT NULL THEN (CASE WHEN road_closure THEN 'closed' ELSE 'open' END) END AS traversability,
+       CASE WHEN b_speed IS NOT NULL THEN 'ok' ELSE 'no_data' END AS jam_status
+FROM raw_readings""", "raw_readings"))
+def q_parse_jam(spark, sf_dir):
+    """SRC-06."""
+    p = P.parse_jam(_payloads(spark, sf_dir))
+    return p.select("event_id", "jam_speed_kmh", "jam_free_flow_kmh", "jam_factor_value", "traversability", "jam_status")
+
+
+@register("parse_weather", B.with_bindings("""
+SELECT event_id, coalesce(weather_main, 'Unknown') AS weather_main_parsed,
+       coalesce(lower(weather_main), '') AS weather_description,
+       temperature_c AS temp_c, humidity_pct AS humidity, wind_speed_ms AS wind_ms, visibility_m AS visibility,
+       CASE WHEN rain_1h_mm > 0 THEN rain_1h_mm ELSE 0.0e0 END AS rain_mm
+FROM raw_readings""", "raw_readings"))
+def q_parse_weather(spark, sf_dir):
+    """SRC-07."""
+    p = P.parse_weather(_payloads(spark, sf_dir))
+    return p.select("event_id", "weather_main_parsed", "weather_description", "temp_c", "humidity", "wind_ms",
+                    "visibility", "rain_mm")
+
+
+@register("parse_incidents", B.with_bindings("""
+SELECT event_id,
+       CAST(coalesce(incident_count, 0) + CASE WHEN has_construction THEN 1 ELSE 0 END
+            + CASE WHEN road_closure THEN 1 ELSE 0 END AS INT) AS n_incidents,
+       coalesce(has_construction OR road_closure, false) AS construction,
+       coalesce(has_construction, false) AS construction_by_type
+FROM raw_readings""", "raw_readings"))
+def q_parse_incidents(spark, sf_dir):
+    """SRC-08 (type rule and icon-category rule; dashboard variant = type only)."""
+    p = P.parse_incidents(_payloads(spark, sf_dir))
+    return p.select("event_id", "n_incidents", "construction", "construction_by_type")
+
+
+@register("incident_bbox", B.with_bindings(f"""
+SELECT road_name,
+       printf('%.6f', {sql_rnd("lat - 500.0e0 / 111000.0e0", 6)}) || ',' || printf('%.6f', {sql_rnd("lon - 500.0e0 / 111000.0e0", 6)})
+       || ',' || printf('%.6f', {sql_rnd("lat + 500.0e0 / 111000.0e0", 6)}) || ',' || printf('%.6f', {sql_rnd("lon + 500.0e0 / 111000.0e0", 6)}) AS bbox
+FROM (SELECT DISTINCT road_name, 12.9e0 + CAST(substr(road_name, 6) AS INT) * 0.001e0 AS lat,
+             77.5e0 + CAST(substr(road_name, 6) AS INT) * 0.0005e0 AS lon FROM raw_readings)""", "raw_readings"))
+def q_incident_bbox(spark, sf_dir):
+    """SRC-09: bounding box per road (road coordinates derived from the road number)."""
+    roads = B.raw_readings(spark, sf_dir).select("road_name").distinct()
+    n = F.substring("road_name", 6, 100).cast("int")
+    roads = roads.select("road_name", (F.lit(12.9) + n * F.lit(0.001)).alias("lat"),
+                         (F.lit(77.5) + n * F.lit(0.0005)).alias("lon"))
+    return roads.select("road_name", P.incident_bbox("lat", "lon", 500.0).alias("bbox"))
+
+
+@register("road_dim", B.with_bindings("SELECT * FROM road_dim", "road_dim"))
+def q_road_dim(spark, sf_dir):
+    """SRC-10: the road dimension."""
+    return B.road_dim(spark, sf_dir)
