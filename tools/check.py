@@ -104,7 +104,9 @@ def main():
             ts_, lst = _rows_hash(srows, sidx, True)
             td_, ldt = _rows_hash(drows, didx, True)
             if ts_ == td_:
-                problems.append("float-noise only (equal at 9 significant digits)")
+                ds = sorted(set(ls) - set(ld))[: a.show]
+                dd = sorted(set(ld) - set(ls))[: a.show]
+                problems.append(f"float-noise only (equal at 9 significant digits) spark-only={ds} duck-only={dd}")
             else:
                 diff_s = sorted(set(lst) - set(ldt))[: a.show]
                 diff_d = sorted(set(ldt) - set(lst))[: a.show]
