@@ -33,4 +33,4 @@ def register(key: str, oracle: str | None = None, headline: bool = False):
 
 def load_all() -> None:
     """Import every plan module so their queries register."""
-    from . import (ingest, analytics, monitor, features, modeling, streams)  # noqa: F401
+    from . import (ingest, analytics, monitor, features, modeling, learning, streams)  # noqa: F401
