@@ -1,5 +1,79 @@
-"""streams queries."""
+"""Streaming queries: each lands Spark-derived input files, runs the stream to completion
+(availableNow) and returns what the sink holds; batch twins are the oracles."""
 
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions.numeric import rnd, sql_rnd as R
+from ..sources import bindings as B
+from ..sources import payloads as P
+from ..streaming import jobs as J
+from .ingest import daily_rollup_oracle
+from .registry import register
+
+
+def _landed_readings(spark, sf, name="readings"):
+    r = B.raw_readings(spark, sf)
+    path = J.scratch(spark, name)
+    J.land(r, path, partition="reading_date")
+    return path, spark.read.parquet(path).schema
+
+
+_CYCLE_START = "to_timestamp(floor(epoch(reading_ts) / 900) * 900)"
+
+
+@register("stream_cycle_15m", B.with_bindings(f"""
+SELECT strftime(CAST({_CYCLE_START} AS TIMESTAMP), '%Y-%m-%d %H:%M') AS cycle, road_name, count(*) AS readings,
+       {R('avg(a_speed)', 4)} AS avg_speed, max(jam_factor) AS max_jam
+FROM raw_readings
+WHERE {_CYCLE_START} + INTERVAL 15 MINUTE <= (SELECT max(CAST(reading_ts AS TIMESTAMPTZ)) FROM raw_readings) - INTERVAL 30 MINUTE
+GROUP BY 1, 2""", "raw_readings"))
+def q_stream_cycle_15m(spark, sf):
+    """ST-02: 15-minute tumbling windows per road, watermark 30 min, append mode."""
+    path, schema = _landed_readings(spark, sf)
+    out = J.stream_cycle_15m(spark, path, J.scratch(spark, "cycle15"), schema)
+    return out.select("cycle", "road_name", "readings", rnd("avg_speed", 4).alias("avg_speed"), "max_jam")
+
+
+@register("stream_dedup", B.with_bindings("""
+SELECT event_id, road_name, strftime(reading_ts, '%Y-%m-%d %H:%M:%S') AS reading_time FROM raw_readings""",
+                                          "raw_readings"))
+def q_stream_dedup(spark, sf):
+    """ST-04: the readings landed twice (two writers) -> one row per (timestamp, road)."""
+    path, schema = _landed_readings(spark, sf, "readings-a")
+    path2, _ = _landed_readings(spark, sf, "readings-b")
+    out = J.stream_dedup(spark, [path, path2], J.scratch(spark, "dedup"), schema)
+    return out.select("event_id", "road_name", F.date_format("reading_ts", "yyyy-MM-dd HH:mm:ss").alias("reading_time"))
+
+
+@register("stream_latest", B.with_bindings("""
+SELECT road_name, strftime(reading_ts, '%Y-%m-%d %H:%M:%S') AS reading_time, a_speed, collection_status,
+       CASE WHEN pct IS NULL THEN 'Unknown' WHEN pct < 20 THEN 'Free Flow' WHEN pct < 40 THEN 'Light'
+            WHEN pct < 60 THEN 'Moderate' WHEN pct < 80 THEN 'Heavy' ELSE 'Severe' END AS band
+FROM (SELECT *, CASE WHEN a_speed IS NOT NULL AND a_free_flow IS NOT NULL AND a_free_flow > 0
+                     THEN """ + R("(1.0e0 - least(a_speed / a_free_flow, 1.0e0)) * 100.0e0", 1) + """ END AS pct,
+             row_number() OVER (PARTITION BY road_name ORDER BY reading_ts DESC, event_id DESC) AS rn
+      FROM raw_readings WHERE road_name IS NOT NULL) WHERE rn = 1""", "raw_readings"))
+def q_stream_latest(spark, sf):
+    """ST-06: latest reading and congestion band per road (complete mode, state = one row per road)."""
+    path, schema = _landed_readings(spark, sf)
+    return J.stream_latest(spark, path, J.scratch(spark, "latest"), schema)
+
+
+@register("stream_daily", daily_rollup_oracle("SELECT * FROM daily"))
+def q_stream_daily(spark, sf):
+    """ST-03: replay-safe daily roll-up maintained by recomputing touched dates per micro-batch."""
+    path, schema = _landed_readings(spark, sf)
+    out = J.stream_daily(spark, path, J.scratch(spark, "daily"), schema, B.road_dim(spark, sf))
+    from ..operators.daily import DAILY_COLUMNS
+    return out.select(*DAILY_COLUMNS)
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf):
+    """ST-01: landed JSON payload documents -> typed rows (equals the batch parse; see tests)."""
+    docs = P.landed_payloads(B.raw_readings(spark, sf))
+    landed = J.scratch(spark, "landed")
+    J.land(docs, landed, fmt="json")
+    return J.stream_ingest(spark, landed, J.scratch(spark, "ingest"), docs.schema)
