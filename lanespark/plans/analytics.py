@@ -470,3 +470,21 @@ def q_clean_numeric(spark, sf):
     """PRJ-01 report: rows removed per column (sequential attribution)."""
     d = dt(spark, sf).select(*[F.col(c).cast("string").alias(c) for c in NUMERIC])
     return P.clean_numeric(d, NUMERIC)[1]
+
+
+@register("findings_table")
+def q_findings_table(spark, sf):
+    """SNK-07: the temporal findings as text rows (changes > 8 % with reasons, weekday gap, weather means)."""
+    d = dt(spark, sf)
+    ch = T.fluctuation_reasons(d).select(
+        F.lit("monthly").alias("section"),
+        F.format_string("%s: %s %.1f%% - %s", F.date_format("year_month", "MMMM yyyy"), F.col("direction"),
+                        F.abs("pct_change"), F.col("reasons")).alias("line"))
+    gap = T.weekday_weekend_gap(d).select(
+        F.lit("weekday").alias("section"),
+        F.format_string("Weekday avg: %.0f, Weekend avg: %.0f -> Weekday is %+.1f%% %s", F.col("weekday_avg"),
+                        F.col("weekend_avg"), F.col("diff_pct"),
+                        F.when(F.col("diff_pct") > 0, "higher").otherwise("lower")).alias("line"))
+    w = T.group_stats(d, "weather").select(
+        F.lit("weather").alias("section"), F.format_string("%-12s: avg volume = %.0f", "weather", "mean").alias("line"))
+    return ch.unionByName(gap).unionByName(w)

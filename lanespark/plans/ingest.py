@@ -319,3 +319,71 @@ def q_incident_bbox(spark, sf_dir):
 def q_road_dim(spark, sf_dir):
     """SRC-10: the road dimension."""
     return B.road_dim(spark, sf_dir)
+
+
+# ---- sinks: write, read back (rows-only checks; round-trip tests in tests/) -----------
+@register("append_raw")
+def q_append_raw(spark, sf_dir):
+    """SNK-01: two appends of readings (partitioned by date) read back with partition pruning."""
+    from ..sources import sinks as K
+    from ..streaming.jobs import scratch
+    r = B.raw_readings(spark, sf_dir)
+    path = scratch(spark, "raw-store")
+    K.append_raw(r.where(F.col("reading_hour") < 12), path)
+    K.append_raw(r.where(F.col("reading_hour") >= 12), path)
+    return spark.read.parquet(path).groupBy("reading_date").agg(F.count(F.lit(1)).alias("records"))
+
+
+@register("write_processed")
+def q_write_processed(spark, sf_dir):
+    """SNK-03 + SRC-04: the daily table with its split written once, read back as train/test."""
+    from ..operators import split as SP
+    from ..sources import sinks as K
+    from ..streaming.jobs import scratch
+    d = B.daily_traffic(spark, sf_dir)
+    key = F.unix_date("traffic_date").cast("long") * 100 + F.substring("road_name", 6, 100).cast("int")
+    s = SP.train_test_split(d.withColumn("_h", SP.arith_hash(key, 42)), ["_h", "traffic_date", "road_name"])
+    path = scratch(spark, "processed")
+    K.write_processed(s.drop("_h"), path)
+    train, test = K.scan_split(spark, path)
+    return train.select(F.lit("train").alias("split"), "row_id").unionByName(
+        test.select(F.lit("test").alias("split"), "row_id")).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("export_filtered")
+def q_export_filtered(spark, sf_dir):
+    """SNK-06: display-named, filtered readings exported as CSV and read back."""
+    from ..operators import monitor as M
+    from ..sources import sinks as K
+    from ..streaming.jobs import scratch
+    r = M.facet_filter(B.raw_readings(spark, sf_dir), area="Area 3")
+    r = r.select("event_id", "road_name", "area_name", "a_speed", "collection_status")
+    path = scratch(spark, "export")
+    K.export_filtered(M.rename_display(r), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@register("write_metadata")
+def q_write_metadata(spark, sf_dir):
+    """SNK-04: one-row metadata JSON (features, sizes, date range, encoder maps) read back."""
+    from ..sources import sinks as K
+    from ..streaming.jobs import scratch
+    d = B.daily_traffic(spark, sf_dir)
+    areas = sorted(r[0] for r in d.select("area_name").distinct().collect())  # category metadata
+    meta = K.metadata_frame(spark, d, ["avg_speed", "tti", "congestion", "capacity_util", "incidents"], "volume",
+                            {"area_name": {a: i for i, a in enumerate(areas)}})
+    path = scratch(spark, "metadata")
+    K.write_metadata(meta, path)
+    return spark.read.json(path)
+
+
+from .registry import ORACLES as _ORACLES  # noqa: E402
+
+_ORACLES["append_raw"] = B.with_bindings(
+    "SELECT reading_date, count(*) AS records FROM raw_readings GROUP BY 1", "raw_readings")
+_ORACLES["write_processed"] = B.with_bindings("""
+SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS split, count(*) AS rows FROM (
+  SELECT row_number() OVER (ORDER BY h, traffic_date, road_name) <= ceil(count(*) OVER () * 0.3e0) AS is_test
+  FROM (SELECT *, (((((traffic_date - DATE '1970-01-01') * 100 + CAST(substr(road_name, 6) AS INT)) * 7919 + 42 * 31)
+                   % 1000003) * 48271) % 2147483647 AS h FROM daily_traffic))
+GROUP BY 1""", "daily_traffic")
