@@ -21,9 +21,12 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,22 +57,38 @@ def split_key_daily() -> F.Column:
 
 def prepare_features(daily: DataFrame, leakage: str = "parity", test_fraction: float = 0.3,
                      categories: list[str] | None = None, checkpoint: bool = True) -> Prepared:
-    """FP-06: features -> drop incomplete -> hash split -> assemble -> train-fitted scaler."""
+    """FP-06: features -> drop incomplete -> hash split -> assemble -> train-fitted scaler.
+
+    The cleaned feature table is materialised once in the shared checkpoint
+    folder; the split numbering, scaler statistics and assembled vectors are
+    all derived from it (the assembled frame is persisted for the iterative
+    learners and recomputed from the checkpoint if an executor is lost).
+    """
     ft = FE.feature_table(daily, categories=categories, leakage=leakage)
     feats = FE.feature_columns(ft)
     clean = FE.drop_incomplete(ft, feats + [TARGET])
     clean = clean.select("traffic_date", "road_name", *[F.col(c).cast("double") for c in feats],
                          F.col(TARGET).cast("double").alias("label")).withColumn("_h", split_key_daily())
+    if checkpoint:
+        clean = cut_lineage(clean)
     sp = SP.train_test_split(clean, ["_h", "traffic_date", "road_name"], test_fraction)
-    stats = SP.fit_scaler(sp.where(~F.col("is_test")), feats)
-    scaled = SP.apply_scaler(sp.select("row_id", "is_test", "traffic_date", "road_name", "label",
-                                       *[F.col(c).alias(f"raw__{c}") for c in feats], *feats), stats, feats)
-    va_raw = VectorAssembler(inputCols=[f"raw__{c}" for c in feats], outputCol="features")
-    va_s = VectorAssembler(inputCols=feats, outputCol="features_scaled")
-    assembled = va_s.transform(va_raw.transform(scaled)).select(
-        "row_id", "is_test", "traffic_date", "road_name", "label", "features", "features_scaled")
+    raw = VectorAssembler(inputCols=feats, outputCol="features").transform(sp) \
+        .select("row_id", "is_test", "traffic_date", "road_name", "label", "features")
+    # scaler statistics: ONE vector aggregate over the training rows (p means and
+    # variances reach the driver: metadata), population std, zero std -> 1
+    summ = raw.where(~F.col("is_test")).select(
+        Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s")).first()["s"]
+    n = float(summ["count"])
+    mu = summ["mean"].toArray()
+    sd = np.sqrt(summ["variance"].toArray() * ((n - 1) / n if n > 1 else 0.0))
+    sd[sd == 0] = 1.0
+    mu_arr = F.array(*[F.lit(float(v)) for v in mu])
+    sd_arr = F.array(*[F.lit(float(v)) for v in sd])
+    scaled = F.transform(vector_to_array("features"),
+                         lambda x, i: (x - F.element_at(mu_arr, i + 1)) / F.element_at(sd_arr, i + 1))
+    assembled = raw.withColumn("features_scaled", array_to_vector(scaled))
     if checkpoint:
-        assembled = cut_lineage(assembled)
+        assembled = assembled.persist(StorageLevel.MEMORY_AND_DISK)
     train = assembled.where(~F.col("is_test")).drop("is_test")
     test = assembled.where(F.col("is_test")).drop("is_test")
     return Prepared(train, test, feats)
