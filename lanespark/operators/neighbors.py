@@ -41,7 +41,8 @@ def knn_predict(neigh: DataFrame, labels: DataFrame, id_b: str, label: str, weig
     zero = F.col("distance") == 0
     g = j.groupBy("query_id").agg(
         F.count_if(zero).alias("_nz"), F.avg(F.when(zero, F.col("_y"))).alias("_zmean"),
-        F.sum(F.col("_y") / F.col("distance")).alias("_num"), F.sum(F.lit(1.0) / F.col("distance")).alias("_den"),
+        F.sum(F.try_divide(F.col("_y"), F.col("distance"))).alias("_num"),
+        F.sum(F.try_divide(F.lit(1.0), F.col("distance"))).alias("_den"),
         F.count(F.lit(1)).alias("n_neighbors"))
     return g.select("query_id", F.when(F.col("_nz") > 0, F.col("_zmean"))
                     .otherwise(F.col("_num") / F.col("_den")).alias("prediction"), "n_neighbors")
