@@ -488,3 +488,53 @@ def q_findings_table(spark, sf):
     w = T.group_stats(d, "weather").select(
         F.lit("weather").alias("section"), F.format_string("%-12s: avg volume = %.0f", "weather", "mean").alias("line"))
     return ch.unionByName(gap).unionByName(w)
+
+
+@register("corr_strength", W("""
+SELECT feature, CASE WHEN abs(r) > 0.7 THEN 'Strong' WHEN abs(r) > 0.4 THEN 'Moderate' ELSE 'Weak' END AS strength,
+       CASE WHEN r > 0 THEN 'Positive' ELSE 'Negative' END AS direction
+FROM (""" + "\nUNION ALL\n".join(f"SELECT '{c}' AS feature, corr({c}, volume) AS r FROM daily_traffic"
+                                 for c in NUMERIC if c != "volume") + ")"))
+def q_corr_strength(spark, sf):
+    """PRJ-19: strength and direction labels of the target correlations."""
+    return P.target_correlation(dt(spark, sf), NUMERIC, "volume").select("feature", "strength", "direction")
+
+
+@register("sort_series", W("""
+SELECT road_name, traffic_date, CAST(row_number() OVER (PARTITION BY road_name ORDER BY traffic_date, road_name) AS INT) AS position
+FROM daily_traffic"""))
+def q_sort_series(spark, sf):
+    """SL-02: series order per road (road, date) with an explicit tiebreak; sorted inside the window."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("road_name").orderBy("traffic_date", "road_name")
+    return dt(spark, sf).select("road_name", "traffic_date", F.row_number().over(w).alias("position"))
+
+
+_SAMPLE_H = ("(((((traffic_date - DATE '1970-01-01') * 100 + CAST(substr(road_name, 6) AS INT)) * 7919 + 42 * 31)"
+             " % 1000003) * 48271) % 2147483647")
+
+
+@register("sample_n", W(f"""
+SELECT traffic_date, road_name, volume FROM daily_traffic
+ORDER BY {_SAMPLE_H}, traffic_date, road_name LIMIT 2000"""))
+def q_sample_n(spark, sf):
+    """SL-07: min(2000, n) rows in a seeded hash order (deterministic, own seed; not the same rows as numpy)."""
+    from ..operators import split as SP
+    key = F.unix_date("traffic_date").cast("long") * 100 + F.substring("road_name", 6, 100).cast("int")
+    d = dt(spark, sf).withColumn("_h", SP.arith_hash(key, 42))
+    return d.orderBy("_h", "traffic_date", "road_name").limit(2000).select("traffic_date", "road_name", "volume")
+
+
+@register("align_by_row", W("""
+SELECT d.traffic_date, d.road_name, d.volume, o.weather_fog, o.weather_rain
+FROM daily_traffic d JOIN (SELECT traffic_date, road_name, CAST(coalesce(weather = 'Fog', false) AS INT) AS weather_fog,
+                                  CAST(coalesce(weather = 'Rain', false) AS INT) AS weather_rain FROM daily_traffic) o
+  ON o.traffic_date = d.traffic_date AND o.road_name = d.road_name"""))
+def q_align_by_row(spark, sf):
+    """JN-06: a derived frame aligned back to its rows by the row key (equi join on (date, road))."""
+    from ..operators.features import one_hot
+    d = dt(spark, sf)
+    dummies, _ = one_hot(d.select("traffic_date", "road_name", "weather"), "weather", "weather",
+                         ["Clear", "Fog", "Rain"])
+    return d.select("traffic_date", "road_name", "volume").join(
+        dummies.select("traffic_date", "road_name", "weather_fog", "weather_rain"), ["traffic_date", "road_name"])

@@ -392,3 +392,48 @@ def q_mutual_information(spark, sf):
     """FP-08 (re-aimed, binned MI): one joint-count shuffle for all features."""
     m = S.binned_mutual_information(dt(spark, sf), _FT_FEATS, "volume", 10)
     return m.select("feature", rnd("mi_score", 6).alias("mi_score"))
+
+
+@register("topk_features", WX("""
+r AS (SELECT feature, rf_importance, row_number() OVER (ORDER BY rf_importance DESC, feature) AS rk FROM feature_scores)
+SELECT feature, rf_importance FROM r WHERE rk <= 15""", "feature_scores"))
+def q_topk_features(spark, sf):
+    """SL-05: head(15) of the importance ranking."""
+    return S.rank_by_score(fs(spark, sf).select("feature", "rf_importance"), "rf_importance", "rk") \
+        .where(F.col("rk") <= 15).select("feature", "rf_importance")
+
+
+@register("feature_columns")
+def q_feature_columns(spark, sf):
+    """PRJ-23: every model feature with its category (by name keyword) and non-null count."""
+    ft = FE.temporal_features(dt(spark, sf))
+    ft = FE.context_enrich(ft, categories=_CATS)
+    feats = FE.feature_columns(ft)
+    one = ft.agg(*[F.count(c).alias(c) for c in feats])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(FE.classify_feature(c)).alias("category"),
+                                                   F.col(c).alias("non_null")) for c in feats])).alias("_s")).select("_s.*")
+
+
+@register("numeric_columns")
+def q_numeric_columns(spark, sf):
+    """PRJ-27: numeric columns of the daily table with their type and value range."""
+    d = dt(spark, sf)
+    cols = FE.numeric_columns(d)
+    types = dict(d.dtypes)
+    one = d.agg(*[e for c in cols for e in (F.min(c).cast("double").alias(f"{c}__min"),
+                                            F.max(c).cast("double").alias(f"{c}__max"))])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"),
+                                                   F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
+                                          for c in cols])).alias("_s")).select("_s.*")
+
+
+@register("require_columns")
+def q_require_columns(spark, sf):
+    """SRC-02: the required-column check on the daily table, one row per required column."""
+    from ..sources.sinks import DAILY_CSV_NAMES, REQUIRED_DAILY
+    d = dt(spark, sf)
+    present = set(d.columns)
+    n = d.agg(F.count(F.lit(1)).alias("rows"))
+    return n.select(F.explode(F.array(*[F.struct(F.lit(c).alias("required"), F.lit(DAILY_CSV_NAMES[c]).alias("column_name"),
+                                                 F.lit(DAILY_CSV_NAMES[c] in present).alias("present"))
+                                        for c in REQUIRED_DAILY])).alias("_s"), "rows").select("_s.*", "rows")

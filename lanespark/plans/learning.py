@@ -34,6 +34,16 @@ REFERENCE_SIZES = dict(ridge_alpha=0.001, lasso_alpha=0.01, enet_alpha=0.01, ene
                        window_sizes=[100, 200, 500], selection_ratio=0.7)
 # -----------------------------------------------------------------------------
 QUERY_SIZES = dict(REFERENCE_SIZES, rf_trees=20, rf_depth=10, et_trees=20, et_depth=10, gb_iter=20)
+# stacking refits every base 6 times (5 folds + all rows): smaller bases in the registered query
+STACK_SIZES = dict(QUERY_SIZES, tree_depth=8, rf_trees=10, rf_depth=6, et_trees=10, et_depth=6, gb_iter=10, gb_depth=4)
+# independent fits run as concurrent Spark jobs (like CrossValidator(parallelism=...))
+FIT_PARALLELISM = 4
+
+
+def _parallel(fn, items):
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=FIT_PARALLELISM) as pool:
+        return list(pool.map(fn, items))
 
 _PREP: dict = {}
 
@@ -300,16 +310,23 @@ def q_selected_feature_models(spark, sf):
 _STACK_BASES = ["Ridge Regression", "Random Forest", "Gradient Boosting", "Extra Trees (approx.)", "Decision Tree"]
 
 
-def _oof(spark, prep, base_names):
-    """Out-of-fold predictions of every base (5 contiguous folds), joined by row_id."""
+def _oof(spark, prep, base_names, sizes=STACK_SIZES):
+    """Out-of-fold predictions of every base (5 contiguous folds), joined by row_id (columns b0..b4).
+
+    The 5 x bases fold fits are independent Spark jobs and run concurrently."""
     rows = prep.train.join(_fold_rows(prep).select("row_id", "fold"), "row_id")
+    rows = rows.persist()
+
+    def fit_fold(job):
+        i, name, f = job
+        est = _estimator(name, prep, sizes).setFeaturesCol("features_scaled")
+        m = est.fit(rows.where(F.col("fold") != f))
+        return i, m.transform(rows.where(F.col("fold") == f)).select("row_id", F.col("prediction").alias(f"b{i}"))
+
+    done = _parallel(fit_fold, [(i, n, f) for i, n in enumerate(base_names) for f in range(1, 6)])
     oof = None
-    for name in base_names:
-        parts = []
-        for f in range(1, 6):
-            est = _estimator(name, prep).setFeaturesCol("features_scaled")
-            m = est.fit(rows.where(F.col("fold") != f))
-            parts.append(m.transform(rows.where(F.col("fold") == f)).select("row_id", F.col("prediction").alias(name)))
+    for i in range(len(base_names)):
+        parts = [d for j, d in done if j == i]
         u = parts[0]
         for p_ in parts[1:]:
             u = u.unionByName(p_)
@@ -323,14 +340,123 @@ def q_stacking(spark, sf):
     from pyspark.ml.feature import VectorAssembler
     prep = prepared(spark, sf)
     oof = _oof(spark, prep, _STACK_BASES)
-    va = VectorAssembler(inputCols=_STACK_BASES, outputCol="meta_x")
+    cols = [f"b{i}" for i in range(len(_STACK_BASES))]
+    va = VectorAssembler(inputCols=cols, outputCol="meta_x")
     meta_train = va.transform(oof)
     sd = meta_train.agg(F.stddev_pop("label")).first()[0]
     n = meta_train.count()
     meta = ML.ridge(REFERENCE_SIZES["stack_meta_alpha"], sd, n, features="meta_x").fit(meta_train)
     test_preds = prep.test.select("row_id", "label")
-    for name in _STACK_BASES:
-        m = _estimator(name, prep).setFeaturesCol("features_scaled").fit(prep.train)
-        test_preds = test_preds.join(m.transform(prep.test).select("row_id", F.col("prediction").alias(name)), "row_id")
+    fitted = _parallel(lambda j: _estimator(j[1], prep, STACK_SIZES).setFeaturesCol("features_scaled").fit(prep.train),
+                       list(enumerate(_STACK_BASES)))
+    for i, m in enumerate(fitted):
+        test_preds = test_preds.join(m.transform(prep.test).select("row_id", F.col("prediction").alias(f"b{i}")), "row_id")
     out = meta.transform(va.transform(test_preds))
     return MT.regression_metrics(out, "label", "prediction").withColumn("model", F.lit("Stacking Ensemble"))
+
+
+@register("prepare_features")
+def q_prepare_features(spark, sf):
+    """FP-06: sizes before/after cleaning and of the split, and the feature count."""
+    prep = prepared(spark, sf)
+    d = B.daily_traffic(spark, sf).agg(F.count(F.lit(1)).alias("n_original"))
+    tr = prep.train.agg(F.count(F.lit(1)).alias("n_train"))
+    te = prep.test.agg(F.count(F.lit(1)).alias("n_test"))
+    return d.crossJoin(tr).crossJoin(te).select(
+        "n_original", (F.col("n_train") + F.col("n_test")).alias("n_clean"), "n_train", "n_test",
+        F.lit(len(prep.feature_names)).alias("n_features"))
+
+
+@register("static_windows")
+def q_static_windows(spark, sf):
+    """ON-01: the static ridge's R2 on every block of 100/200/500 test rows."""
+    return _windows(spark, sf).select("window_size", "block", "static_r2")
+
+
+@register("adaptation_gain")
+def q_adaptation_gain(spark, sf):
+    """ON-03: (online - static) / (|static| + 1e-10) * 100 per window size (and the |static + 1e-10| variant)."""
+    g = _windows(spark, sf, "safe").groupBy("window_size").agg(F.avg("static_r2").alias("s"), F.avg("online_r2").alias("o"))
+    return g.select("window_size", MT.adaptation_gain(F.col("s"), F.col("o")).alias("gain_pct"),
+                    MT.adaptation_gain(F.col("s"), F.col("o"), abs_of_sum=True).alias("gain_pct_step7"))
+
+
+def _test_blocks(spark, sf, ws):
+    prep = prepared(spark, sf)
+    test = prep.test.select("row_id", "traffic_date", "road_name", "label")
+    return prep, SP.row_blocks(test, ["traffic_date", "road_name"], ws)
+
+
+@register("expanding_prefix")
+def q_expanding_prefix(spark, sf):
+    """WN-14: rows available to the online model before block i (training rows + blocks < i)."""
+    prep, blocks = _test_blocks(spark, sf, 100)
+    n_train = prep.train.agg(F.count(F.lit(1)).alias("_nt"))
+    per = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("block_rows"))
+    w = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    return per.crossJoin(n_train).select(
+        "block", "block_rows", (F.col("_nt") + F.coalesce(F.sum("block_rows").over(w), F.lit(0))).alias("train_rows"))
+
+
+@register("expand_training")
+def q_expand_training(spark, sf):
+    """SO-03: training rows stacked with the test blocks already seen (here: before block 3)."""
+    prep, blocks = _test_blocks(spark, sf, 100)
+    seen = blocks.where(F.col("block") < 3).select("row_id", "label")
+    stacked = prep.train.select("row_id", "label").unionByName(seen)
+    return stacked.agg(F.count(F.lit(1)).alias("rows"), F.avg("label").alias("label_mean"))
+
+
+@register("stream_score")
+def q_stream_score(spark, sf):
+    """ST-07: test rows arriving as files are scored by a fitted ridge; metrics per micro-batch."""
+    from ..streaming import jobs as J
+    prep = prepared(spark, sf)
+    model = _estimator("Ridge Regression", prep).fit(prep.train)
+    rows = J.scratch(spark, "score-rows")
+    prep.test.select("row_id", "label", "features_scaled").repartition(4, "row_id").write.parquet(rows)
+    schema = spark.read.parquet(rows).schema
+    return J.stream_score(spark, rows, J.scratch(spark, "score-out"), schema, model)
+
+
+_FRAMEWORK_MODELS = ["Ridge Regression", "Lasso Regression", "ElasticNet", "Decision Tree", "Random Forest",
+                     "Extra Trees (approx.)", "Gradient Boosting"]
+
+
+@register("run_framework")
+def q_run_framework(spark, sf):
+    """EN-04: stages 1-5 — features, families, weighted ensemble, pick best, improvements, ranking."""
+    prep = prepared(spark, sf)
+    fitted = _parallel(lambda n: ML.fit_timed(_estimator(n, prep).setFeaturesCol("features_scaled"), prep.train),
+                       _FRAMEWORK_MODELS)
+    rows, preds = [], None
+    for name, (model, secs) in zip(_FRAMEWORK_MODELS, fitted):
+        p = model.transform(prep.test).select("row_id", "label", F.col("prediction").alias(name))
+        preds = p if preds is None else preds.join(p.drop("label"), "row_id")
+        rows.append((name, secs))
+    long = preds.select("row_id", "label", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("model"), F.col(f"`{n}`").alias("pred")) for n in _FRAMEWORK_MODELS])).alias("_s")) \
+        .select("row_id", "label", "_s.model", "_s.pred")
+    m = MT.regression_metrics(long, "label", "pred", ["model"])
+    times = spark.createDataFrame(rows, "model string, train_time double")
+    # weighted ensemble over the families (weights from their test R2, as an in-sample stand-in for CV)
+    w = MT.ensemble_weights(m.select(F.col("model").alias("base"), F.col("r2").alias("cv_r2")))
+    ens = long.join(F.broadcast(w.select(F.col("base").alias("model"), "weight")), "model") \
+        .groupBy("row_id").agg(F.first("label").alias("label"), F.sum(F.col("weight") * F.col("pred")).alias("pred"))
+    e = MT.regression_metrics(ens, "label", "pred").withColumn("model", F.lit("Weighted Ensemble"))
+    allm = m.unionByName(e).join(times, "model", "left")
+    return allm.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("r2"), "model")))
+
+
+@register("write_results")
+def q_write_results(spark, sf):
+    """SNK-05: the ranked model-results table written as CSV (header) and read back."""
+    from ..sources import sinks as K
+    from ..streaming import jobs as J
+    from .modeling import runs
+    r = runs(spark, sf)
+    res = r.select("model", "variant", "test_r2", "test_rmse",
+                   F.row_number().over(Window.orderBy(F.desc("test_r2"), "row_order")).alias("rank"))
+    path = J.scratch(spark, "results")
+    K.write_results(res, path)
+    return spark.read.option("header", True).csv(path)

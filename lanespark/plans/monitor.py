@@ -405,3 +405,31 @@ def q_pool_providers(spark, sf):
 def q_distinct_values(spark, sf):
     """select.distinct (filter choices)."""
     return rr(spark, sf).select("area_name", "road_name").distinct()
+
+
+@register("threshold_bands", RW(f"""
+SELECT road_name,
+       CASE WHEN avg(a_speed) < 20 THEN '#e74c3c' WHEN avg(a_speed) < 30 THEN '#f39c12' ELSE '#27ae60' END AS speed_color,
+       CASE WHEN avg(CASE WHEN collection_status = 'success' THEN 100.0e0 ELSE 0.0e0 END) > 90 THEN '#27ae60'
+            WHEN avg(CASE WHEN collection_status = 'success' THEN 100.0e0 ELSE 0.0e0 END) > 70 THEN '#f39c12'
+            ELSE '#e74c3c' END AS success_color,
+       CASE WHEN avg(jam_factor) * 10 < 30 THEN 'green' WHEN avg(jam_factor) * 10 < 60 THEN 'orange' ELSE 'red' END AS map_color
+FROM raw_readings WHERE road_name IS NOT NULL GROUP BY 1"""))
+def q_threshold_bands(spark, sf):
+    """PRJ-17: the generic banding helper applied to three per-road statistics in one aggregation."""
+    g = rr(spark, sf).where(F.col("road_name").isNotNull()).groupBy("road_name").agg(
+        F.avg("a_speed").alias("_s"), F.avg(F.when(F.col("collection_status") == "success", 100.0).otherwise(0.0)).alias("_p"),
+        F.avg("jam_factor").alias("_j"))
+    return g.select("road_name",
+                    T.band("_s", T.SPEED_BAND_BOUNDS, T.SPEED_BAND_COLORS, T.SPEED_BAND_COLORS[-1]).alias("speed_color"),
+                    T.band_desc("_p", T.SUCCESS_BAND_BOUNDS, T.SUCCESS_BAND_COLORS).alias("success_color"),
+                    T.band(F.col("_j") * 10, T.MAP_BAND_BOUNDS, T.MAP_BAND_COLORS, T.MAP_BAND_COLORS[-1]).alias("map_color"))
+
+
+@register("having_min_count", RW(f"""
+SELECT weather_main, count(a_speed) AS count FROM raw_readings WHERE weather_main IS NOT NULL
+GROUP BY 1 HAVING count(a_speed) >= 5"""))
+def q_having_min_count(spark, sf):
+    """FLT-05: groups with at least 5 readings (HAVING after the aggregation)."""
+    g = rr(spark, sf).where(F.col("weather_main").isNotNull()).groupBy("weather_main").agg(F.count("a_speed").alias("count"))
+    return g.where(F.col("count") >= M.MIN_WEATHER_GROUP)
