@@ -17,7 +17,7 @@ EPS = 1e-10                        # denominators of improvement percentages
 SKLEARN_MAPE_EPS = 2.220446049250313e-16   # float64 machine epsilon floor
 UTILITY_WEIGHTS = (0.7, 0.2, 0.1)  # accuracy, speed, robustness
 VARIANT_LABEL_CHARS = 15
-ENSEMBLE_NAMES = ["ODTC Framework", "Stacking Ensemble", "Weighted Ensemble"]
+ENSEMBLE_NAMES = ["Framework", "Stacking Ensemble", "Weighted Ensemble"]
 # -----------------------------------------------------------------------------
 
 
@@ -104,6 +104,6 @@ def ensemble_weights(cv_scores: DataFrame, name: str = "base", score: str = "cv_
 
 
 def adaptation_gain(static: Column, online: Column, abs_of_sum: bool = False) -> Column:
-    """ON-03: (online - static) / (|static| + 1e-10) * 100 (step-7 variant: |static + 1e-10|)."""
+    """ON-03: (online - static) / (|static| + 1e-10) * 100 (alternative form: |static + 1e-10|)."""
     den = F.abs(static + F.lit(EPS)) if abs_of_sum else F.abs(static) + F.lit(EPS)
     return (online - static) / den * F.lit(100.0)

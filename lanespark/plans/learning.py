@@ -375,10 +375,10 @@ def q_static_windows(spark, sf):
 
 @register("adaptation_gain")
 def q_adaptation_gain(spark, sf):
-    """ON-03: (online - static) / (|static| + 1e-10) * 100 per window size (and the |static + 1e-10| variant)."""
+    """ON-03: (online - static) / (|static| + 1e-10) * 100 per window size (and the |static + 1e-10| form)."""
     g = _windows(spark, sf, "safe").groupBy("window_size").agg(F.avg("static_r2").alias("s"), F.avg("online_r2").alias("o"))
     return g.select("window_size", MT.adaptation_gain(F.col("s"), F.col("o")).alias("gain_pct"),
-                    MT.adaptation_gain(F.col("s"), F.col("o"), abs_of_sum=True).alias("gain_pct_step7"))
+                    MT.adaptation_gain(F.col("s"), F.col("o"), abs_of_sum=True).alias("gain_pct_alt"))
 
 
 def _test_blocks(spark, sf, ws):
