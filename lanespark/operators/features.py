@@ -98,9 +98,17 @@ def first_seen_encode(df: DataFrame, col: str, order_col: str, out: str) -> Data
     return df.join(codes, col, "left")
 
 
-def weather_categories(df: DataFrame, col: str = "weather") -> list[str]:
-    """Small driver-side metadata: the sorted distinct categories (pass them in to stay lazy)."""
-    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+MAX_CATEGORIES = 1000
+
+
+def weather_categories(df: DataFrame, col: str = "weather", limit: int = MAX_CATEGORIES) -> list[str]:
+    """Small driver-side metadata: the sorted distinct categories (pass them in to stay lazy).
+
+    Guarded: more than ``limit`` categories is an error, not an unbounded collect."""
+    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()]
+    if len(vals) > limit:
+        raise ValueError(f"{col} has more than {limit} categories; one-hot encoding is not appropriate")
+    return sorted(vals)
 
 
 def one_hot(df: DataFrame, col: str = "weather", prefix: str = "weather", categories: list[str] | None = None,

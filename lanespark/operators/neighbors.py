@@ -27,10 +27,18 @@ def lsh_candidates(queries: DataFrame, base: DataFrame, id_q: str, id_b: str, ve
                         "distance")
 
 
-def top_k(pairs: DataFrame, k: int) -> DataFrame:
-    """SL-08: the k closest candidates of every query row (distance, then id, break ties)."""
+def top_k(pairs: DataFrame, k: int, salt_buckets: int = 16) -> DataFrame:
+    """SL-08: the k closest candidates of every query row (distance, then id, break ties).
+
+    Two stages so that a query with a huge candidate set never sorts all of it in
+    one task: first the k best inside (query, salt) sub-groups (salt = hash of the
+    neighbour id), then the k best of those <= salt_buckets * k survivors.
+    """
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("neighbor_id"), F.lit(salt_buckets)))
+    w1 = Window.partitionBy("query_id", "_salt").orderBy("distance", "neighbor_id")
+    local = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn_predict(neigh: DataFrame, labels: DataFrame, id_b: str, label: str, weights: str = "uniform") -> DataFrame:

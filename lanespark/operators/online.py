@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from .metrics import regression_metrics
 
 
-def block_grams(df: DataFrame, block: str, x: str, y: str, p: int) -> dict[int, dict]:
-    """Per-block sufficient statistics of rows (block int, x array<double>, y double)."""
-    q = p + 1
+def block_gram_frame(df: DataFrame, block: str, x: str, y: str) -> DataFrame:
+    """One row per block: flattened Gram (with intercept column), X'y, y'y, n — computed distributedly."""
 
     def partial(batches):
         acc: dict[int, list] = {}
@@ -56,9 +55,15 @@ def block_grams(df: DataFrame, block: str, x: str, y: str, p: int) -> dict[int,
                              "xy": [np.sum(np.vstack(pdf["xy"].to_numpy()), axis=0).tolist()],
                              "yy": [float(pdf["yy"].sum())], "n": [float(pdf["n"].sum())]})
 
-    total = parts.groupBy(block).applyInPandas(combine, schema)
+    return parts.groupBy(block).applyInPandas(combine, schema)
+
+
+def block_grams(df: DataFrame, block: str, x: str, y: str, p: int) -> dict[int, dict]:
+    """Per-block sufficient statistics on the driver — for a handful of blocks (CV folds)."""
+    q = p + 1
+    total = block_gram_frame(df, block, x, y)
     out = {}
-    for r in total.collect():  # one row per block: blocks x p^2 doubles
+    for r in total.collect():  # one row per fold: folds x p^2 doubles
         out[int(r[block])] = dict(G=np.array(r["gram"]).reshape(q, q), xy=np.array(r["xy"]), yy=r["yy"], n=r["n"])
     return out
 
@@ -81,9 +86,10 @@ def score_blocks(spark, rows: DataFrame, block: str, x: str, y: str, coefs: dict
                  name: str) -> DataFrame:
     """Exact per-row predictions with block-specific coefficients, then AG-36 per block."""
     table = spark.createDataFrame([(int(b), [float(v) for v in w]) for b, w in coefs.items()],
-                                  f"{block} int, _w array<double>")  # blocks x p: small, broadcast
-    j = rows.join(F.broadcast(table), block)
-    pred = F.aggregate(F.zip_with(x, "_w", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v) \
+                                  f"{block} int, _w array<double>")  # blocks x p
+    j = rows.join(table, block)  # AQE broadcasts it while it is small
+    weights = F.slice("_w", 1, F.size("_w") - 1)  # intercept is the last entry
+    pred = F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v) \
         + F.element_at("_w", -1)
     scored = j.select(block, F.col(y).alias("label"), pred.alias("prediction"))
     return regression_metrics(scored, "label", "prediction", [block]).select(block, F.col("r2").alias(name))
@@ -91,20 +97,54 @@ def score_blocks(spark, rows: DataFrame, block: str, x: str, y: str, coefs: dict
 
 def online_adaptation(spark, train: DataFrame, test_blocks: DataFrame, x: str, y: str, p: int,
                       alpha: float = 0.001) -> DataFrame:
-    """ON-01/02: static ridge (train only) vs online ridge (train + earlier blocks) per block."""
+    """ON-01/02: static ridge (train only) vs online ridge (train + earlier blocks) per block.
+
+    Fully distributed: per-block Grams (one row per block), cumulative sums of
+    the earlier blocks with a window over the block order on the long form
+    (partitioned by matrix entry, so no task holds more than one entry's
+    series), and one p x p solve per block inside ``applyInPandas``.
+    """
+    q = p + 1
     rows = train.select(F.lit(0).alias("block"), x, y).unionByName(test_blocks.select("block", x, y))
-    stats = block_grams(rows, "block", x, y, p)
-    base = stats.pop(0)
-    blocks = sorted(stats)
-    w_static = solve_ridge(base["G"], base["xy"], alpha)
-    G, xy = base["G"].copy(), base["xy"].copy()
-    online = {}
-    for i, b in enumerate(blocks):
-        online[b] = w_static if i == 0 else solve_ridge(G, xy, alpha)
-        G += stats[b]["G"]
-        xy += stats[b]["xy"]
-    s = score_blocks(spark, test_blocks, "block", x, y, {b: w_static for b in blocks}, "static_r2")
-    o = score_blocks(spark, test_blocks, "block", x, y, online, "online_r2")
+    g = block_gram_frame(rows, "block", x, y)
+    # long form: entry e < q*q is the Gram, then q entries of X'y
+    long = g.select("block", F.posexplode(F.concat("gram", "xy")).alias("e", "v"))
+    base = long.where(F.col("block") == 0).select("e", F.col("v").alias("v0"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("e").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tests = long.where(F.col("block") > 0)
+    cum = tests.withColumn("c", F.coalesce(F.sum("v").over(w), F.lit(0.0))).join(base, "e") \
+        .select("block", "e", "v0", (F.col("v0") + F.col("c")).alias("vc"))
+    packed = cum.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("e", "v0", "vc"))).alias("m"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out_b, out_s, out_o = [], [], []
+        for b, m in zip(pdf["block"], pdf["m"]):
+            v0 = np.array([t["v0"] for t in m])
+            vc = np.array([t["vc"] for t in m])
+            ws = solve_ridge(v0[:q * q].reshape(q, q), v0[q * q:], alpha)
+            wo = solve_ridge(vc[:q * q].reshape(q, q), vc[q * q:], alpha)
+            out_b.append(int(b))
+            out_s.append(ws.tolist())
+            out_o.append(wo.tolist())
+        return pd.DataFrame({"block": out_b, "w_static": out_s, "w_online": out_o})
+
+    coefs = packed.groupBy("block").applyInPandas(
+        solve, "block int, w_static array<double>, w_online array<double>")
+    first = coefs.agg(F.min("block").alias("_b1"))  # the first block uses the static model
+    coefs = coefs.crossJoin(first).withColumn(
+        "w_online", F.when(F.col("block") == F.col("_b1"), F.col("w_static")).otherwise(F.col("w_online"))).drop("_b1")
+    j = test_blocks.select("block", x, y).join(coefs, "block")
+
+    def pred(wcol):
+        # x has p entries, the coefficients p + 1 (intercept last)
+        return F.aggregate(F.zip_with(x, F.slice(wcol, 1, p), lambda a, b: a * b), F.lit(0.0),
+                           lambda acc, v: acc + v) + F.element_at(wcol, -1)
+
+    scored = j.select("block", F.col(y).alias("label"), pred("w_static").alias("p_static"),
+                      pred("w_online").alias("p_online"))
+    s = regression_metrics(scored, "label", "p_static", ["block"]).select("block", F.col("r2").alias("static_r2"))
+    o = regression_metrics(scored, "label", "p_online", ["block"]).select("block", F.col("r2").alias("online_r2"))
     return s.join(o, "block")
 
 

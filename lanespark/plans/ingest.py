@@ -369,7 +369,8 @@ def q_write_metadata(spark, sf_dir):
     from ..sources import sinks as K
     from ..streaming.jobs import scratch
     d = B.daily_traffic(spark, sf_dir)
-    areas = sorted(r[0] for r in d.select("area_name").distinct().collect())  # category metadata
+    from ..operators.features import weather_categories
+    areas = weather_categories(d, "area_name")  # guarded category metadata
     meta = K.metadata_frame(spark, d, ["avg_speed", "tti", "congestion", "capacity_util", "incidents"], "volume",
                             {"area_name": {a: i for i, a in enumerate(areas)}})
     path = scratch(spark, "metadata")

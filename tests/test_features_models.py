@@ -109,3 +109,35 @@ def test_leakage_parity_vs_safe(spark):
     assert r_par["test_r2"] > 0.999999            # the identity volume = trend + lag3
     assert r_safe["test_r2"] < 0.999
     assert len(par.feature_names) == 61
+
+
+def test_online_adaptation_equals_numpy_refits(spark):
+    rng = np.random.default_rng(2)
+    p = 3
+    Xtr = rng.normal(size=(200, p))
+    Xte = rng.normal(size=(300, p)) + 0.5
+    beta = np.array([1.0, -1.0, 2.0])
+    ytr = Xtr @ beta + rng.normal(scale=0.5, size=200)
+    yte = Xte @ (beta * 1.5) + 1.0 + rng.normal(scale=0.5, size=300)
+    train = spark.createDataFrame([([float(v) for v in x], float(t)) for x, t in zip(Xtr, ytr)], "x array<double>, y double")
+    blocks = spark.createDataFrame([(int(i // 100) + 1, [float(v) for v in x], float(t))
+                                    for i, (x, t) in enumerate(zip(Xte, yte))], "block int, x array<double>, y double")
+    got = {r["block"]: (r["static_r2"], r["online_r2"])
+           for r in ON.online_adaptation(spark, train, blocks, "x", "y", p, 0.001).collect()}
+
+    def fit(X, y):
+        X1 = np.hstack([X, np.ones((len(X), 1))])
+        pen = np.eye(p + 1) * 0.001
+        pen[-1, -1] = 0
+        return np.linalg.solve(X1.T @ X1 + pen, X1.T @ y)
+
+    def r2(X, y, w):
+        pred = np.hstack([X, np.ones((len(X), 1))]) @ w
+        return 1 - ((y - pred) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+
+    ws = fit(Xtr, ytr)
+    for b in (1, 2, 3):
+        Xb, yb = Xte[(b - 1) * 100:b * 100], yte[(b - 1) * 100:b * 100]
+        wo = ws if b == 1 else fit(np.vstack([Xtr, Xte[:(b - 1) * 100]]), np.concatenate([ytr, yte[:(b - 1) * 100]]))
+        assert got[b][0] == pytest.approx(r2(Xb, yb, ws), abs=1e-9)
+        assert got[b][1] == pytest.approx(r2(Xb, yb, wo), abs=1e-9)
