@@ -66,9 +66,14 @@ def best_per_family(runs: DataFrame, score: str = "test_r2", order: str = "row_o
 
 def variant_sensitivity(runs: DataFrame, score: str = "test_r2", model: str = "model",
                         variant: str = "variant") -> DataFrame:
-    """WN-07: |score - previous variant's score| within a model, variants in string order; first = 0."""
-    w = Window.partitionBy(model).orderBy(variant)
-    return runs.withColumn("sensitivity", F.coalesce(F.abs(F.col(score) - F.lag(score).over(w)), F.lit(0.0)))
+    """WN-07: |score - previous variant's score| within a model, variants in string order; first = 0.
+
+    The lag runs through ``group_lag`` (range-partitioned), so one model with a
+    very large share of the runs is not sorted in a single task."""
+    from .ordering import group_lag
+    lagged = group_lag(runs, [model], [variant], score, "_prev_score")
+    return lagged.withColumn("sensitivity", F.coalesce(F.abs(F.col(score) - F.col("_prev_score")), F.lit(0.0))) \
+        .drop("_prev_score")
 
 
 def utility_score(runs: DataFrame, score: str = "test_r2", time: str = "train_time",

@@ -43,3 +43,29 @@ def global_row_number(df: DataFrame, order: list, name: str = "rn",
 def hash_order(key_cols: list, seed: int) -> Column:
     """A deterministic pseudo-random order key (replaces rand() for reproducible splits)."""
     return F.xxhash64(F.lit(seed), *_cols(key_cols))
+
+
+def group_lag(df: DataFrame, groups: list[str], order: list, col: str, name: str,
+              num_partitions: int | None = None) -> DataFrame:
+    """``lag(col) over (partition by groups order by order)`` without putting a whole group in one task.
+
+    Rows are range-partitioned on (groups, order) — a group holding a third of
+    all rows is spread over many tasks — and the lag is taken inside each
+    (partition, group) piece. The first row of a piece takes the last value of
+    the same group in the nearest earlier partition, found on a table with one
+    row per (partition, group piece).
+    """
+    keys = [F.col(g) for g in groups] + _cols(order)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    local = ranged.withColumn("_pid", F.spark_partition_id()) \
+        .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    local = cut_lineage(local)
+    piece = Window.partitionBy("_pid", *groups).orderBy("_pos")
+    local = local.withColumn(name, F.lag(col).over(piece)).withColumn("_first", F.row_number().over(piece) == 1)
+    lasts = local.groupBy("_pid", *groups).agg(F.max_by(col, "_pos").alias("_last"))
+    prev = lasts.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*groups).orderBy("_pid"))) \
+        .select("_pid", *groups, "_prev")
+    out = local.join(prev, ["_pid", *groups], "left")
+    return out.withColumn(name, F.when(F.col("_first"), F.col("_prev")).otherwise(F.col(name))) \
+        .drop("_pid", "_pos", "_first", "_prev")

@@ -454,9 +454,8 @@ def q_write_results(spark, sf):
     from ..sources import sinks as K
     from ..streaming import jobs as J
     from .modeling import runs
-    r = runs(spark, sf)
-    res = r.select("model", "variant", "test_r2", "test_rmse",
-                   F.row_number().over(Window.orderBy(F.desc("test_r2"), "row_order")).alias("rank"))
+    r = runs(spark, sf).withColumn("_neg", -F.col("test_r2"))
+    res = global_row_number(r, ["_neg", "row_order"], "rank").select("model", "variant", "test_r2", "test_rmse", "rank")
     path = J.scratch(spark, "results")
     K.write_results(res, path)
     return spark.read.option("header", True).csv(path)

@@ -185,9 +185,11 @@ def q_utility_score(spark, sf):
 @register("model_ranking", MX(RUNS_O + """
 SELECT model, variant, CAST(row_number() OVER (ORDER BY test_r2 DESC, row_order) AS INT) AS rank FROM runs"""))
 def q_model_ranking(spark, sf):
-    """CM-03: rank all runs by test R2 (the results frame is small: one row per model run)."""
-    r = runs(spark, sf)
-    return r.select("model", "variant", F.row_number().over(Window.orderBy(F.desc("test_r2"), "row_order")).alias("rank"))
+    """CM-03: rank all runs by test R2 (distributed numbering: the runs table grows with the data)."""
+    from ..operators.ordering import global_row_number
+    r = runs(spark, sf).withColumn("_neg", -F.col("test_r2"))
+    ranked = global_row_number(r, ["_neg", "row_order"], "rank")
+    return ranked.select("model", "variant", F.col("rank").cast("int").alias("rank"))
 
 
 @register("topk_models", MX(RUNS_O + f"""

@@ -141,3 +141,15 @@ def test_online_adaptation_equals_numpy_refits(spark):
         wo = ws if b == 1 else fit(np.vstack([Xtr, Xte[:(b - 1) * 100]]), np.concatenate([ytr, yte[:(b - 1) * 100]]))
         assert got[b][0] == pytest.approx(r2(Xb, yb, ws), abs=1e-9)
         assert got[b][1] == pytest.approx(r2(Xb, yb, wo), abs=1e-9)
+
+
+def test_group_lag_equals_window_lag_on_skewed_groups(spark):
+    from pyspark.sql import Window
+    from lanespark.operators.ordering import group_lag
+    # group "hot" holds most rows and spans several range partitions
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 10 < 8, "hot").otherwise(
+        F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"),
+        (F.col("id") * 7919 % 3001).alias("o"), (F.col("id") * 1.5).alias("v"))
+    got = group_lag(df, ["g"], ["o"], "v", "prev", num_partitions=6).select("g", "o", "prev").collect()
+    exp = df.withColumn("prev", F.lag("v").over(Window.partitionBy("g").orderBy("o"))).select("g", "o", "prev").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, exp))
