@@ -21,8 +21,11 @@ def _cols(order):
 
 
 def global_row_number(df: DataFrame, order: list, name: str = "rn",
-                      num_partitions: int | None = None) -> DataFrame:
-    """Append a 1-based row number following ``order`` (must be a total order)."""
+                      num_partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """Append a 1-based row number following ``order`` (must be a total order).
+
+    ``total`` names an optional column with the row count, taken from the same
+    per-partition counts (no second pass over the input)."""
     order = _cols(order)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -34,10 +37,12 @@ def global_row_number(df: DataFrame, order: list, name: str = "rn",
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(
             Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("_pid", "_off")
-    return local.join(F.broadcast(offsets), "_pid") \
-        .withColumn(name, F.col("_off") + F.col("_pos") + 1) \
-        .drop("_pid", "_pos", "_off")
+    ).withColumn("_tot", F.sum("_cnt").over(Window.partitionBy(F.lit(1)))).select("_pid", "_off", "_tot")
+    out = local.join(F.broadcast(offsets), "_pid") \
+        .withColumn(name, F.col("_off") + F.col("_pos") + 1)
+    if total:
+        out = out.withColumnRenamed("_tot", total)
+    return out.drop("_pid", "_pos", "_off", "_tot")
 
 
 def hash_order(key_cols: list, seed: int) -> Column:

@@ -152,8 +152,7 @@ def ecdf(df: DataFrame, col: str, digits: int = 8) -> DataFrame:
     """
     x = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("value"),
                                                 F.xxhash64(*[F.col(c) for c in df.columns]).alias("_tb"))
-    n = x.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    numbered = global_row_number(x, ["value", "_tb"], "_rn").crossJoin(F.broadcast(n))
+    numbered = global_row_number(x, ["value", "_tb"], "_rn", total="_n")
     pos = F.when(F.col("_n") == 1, F.lit(0.0)).otherwise((F.col("_rn") - 1) / (F.col("_n") - 1))
     return numbered.select("value", rnd(pos, digits).alias("position"))
 

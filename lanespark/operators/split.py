@@ -22,9 +22,7 @@ def arith_hash(key: Column, seed: int) -> Column:
 
 def train_test_split(df: DataFrame, order: list, test_fraction: float = 0.3, name: str = "is_test") -> DataFrame:
     """FP-02: the first ceil(n * test_fraction) rows of ``order`` are the test set."""
-    numbered = global_row_number(df, order, "_rn")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    j = numbered.crossJoin(F.broadcast(n))
+    j = global_row_number(df, order, "_rn", total="_n")
     return j.withColumn(name, F.col("_rn") <= F.ceil(F.col("_n") * F.lit(test_fraction))) \
         .withColumnRenamed("_rn", "row_id").drop("_n")
 
@@ -56,9 +54,7 @@ def contiguous_folds(rn: Column, n: Column, k: int = 5) -> Column:
 
 def row_blocks(df: DataFrame, order: list, ws: int, min_blocks: int = 2) -> DataFrame:
     """WN-13: consecutive blocks of ``ws`` rows; the tail is dropped; empty if < min_blocks blocks."""
-    numbered = global_row_number(df, order, "_rn")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    j = numbered.crossJoin(F.broadcast(n))
+    j = global_row_number(df, order, "_rn", total="_n")
     nb = F.floor(F.col("_n") / ws)
     return j.where((nb >= min_blocks) & (F.col("_rn") <= nb * ws)) \
         .withColumn("block", (F.floor((F.col("_rn") - 1) / ws) + 1).cast("int")).drop("_n")

@@ -283,9 +283,7 @@ def q_contiguous_folds(spark, sf):
     """WN-15: 5 contiguous folds over the training rows' order (sizes of ntile(5))."""
     from ..operators.ordering import global_row_number
     train = _split(spark, sf).where(~F.col("is_test")).select("traffic_date", "road_name", "row_id")
-    numbered = global_row_number(train, ["row_id"], "_k")
-    n = train.agg(F.count(F.lit(1)).alias("_n"))
-    j = numbered.crossJoin(F.broadcast(n))
+    j = global_row_number(train, ["row_id"], "_k", total="_n")
     return j.select("traffic_date", "road_name", SP.contiguous_folds(F.col("_k"), F.col("_n"), 5).alias("fold"))
 
 

@@ -139,9 +139,8 @@ def q_rf_importance(spark, sf):
 def _fold_rows(prep):
     """Training rows with WN-15 contiguous folds (row order = split order)."""
     tr = ML.features_array(prep.train)
-    numbered = global_row_number(tr, ["row_id"], "_k")
-    n = tr.agg(F.count(F.lit(1)).alias("_n"))
-    return numbered.crossJoin(F.broadcast(n)).withColumn("fold", SP.contiguous_folds(F.col("_k"), F.col("_n"), 5))
+    numbered = global_row_number(tr, ["row_id"], "_k", total="_n")
+    return numbered.withColumn("fold", SP.contiguous_folds(F.col("_k"), F.col("_n"), 5))
 
 
 @register("validation_curve")
