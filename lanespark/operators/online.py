@@ -47,7 +47,10 @@ def block_gram_frame(df: DataFrame, block: str, x: str, y: str) -> DataFrame:
             })
 
     schema = f"{block} int, gram array<double>, xy array<double>, yy double, n double"
-    parts = df.select(block, x, y).mapInPandas(partial, schema)
+    # one partial Gram per task: as many tasks as cores is enough for a single pass
+    # (coalesce never shuffles; with fewer input partitions it is a no-op)
+    par = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.select(block, x, y).coalesce(par).mapInPandas(partial, schema)
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({block: [int(pdf[block].iloc[0])],
@@ -163,3 +166,16 @@ def ridge_path(stats_by_fold: dict[int, dict], alphas: list[float]) -> list[tupl
             w = solve_ridge(tr["G"], tr["xy"], a)
             out.append((float(a), int(f), r2_from_stats(tr, w), r2_from_stats(v, w)))
     return out
+
+
+# The pandas functions above run in Python workers, which may not have this
+# package installed (cluster nodes, or a driver started outside the repo):
+# ship them by value instead of by module reference.
+def _ship_by_value() -> None:
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
