@@ -151,6 +151,77 @@ def online_adaptation(spark, train: DataFrame, test_blocks: DataFrame, x: str, y
     return s.join(o, "block")
 
 
+def online_adaptation_multi(spark, train: DataFrame, test: DataFrame, order: list, x: str, y: str, p: int,
+                            window_sizes: list[int], alpha: float = 0.001, min_blocks: int = 2) -> DataFrame:
+    """ON-01/02 for several window sizes with ONE numbering, ONE Gram pass and ONE solve stage.
+
+    Test rows are numbered once along ``order``; Grams are computed per granule
+    of g = gcd(window sizes) rows, and every block of every window size is a
+    sum of consecutive granules (blocks start at row 1 and the tail is dropped,
+    exactly as with blocks built directly).
+    Returns (window_size, block, static_r2, online_r2).
+    """
+    from functools import reduce
+    from math import gcd
+
+    from pyspark.sql import Window
+
+    from .ordering import global_row_number
+
+    q = p + 1
+    g = reduce(gcd, window_sizes)
+    num = global_row_number(test.select(*order, x, y), order, "_rn", total="_n")
+    num = num.withColumn("_gran", F.when(F.col("_rn") <= F.floor(F.col("_n") / g) * g,
+                                         F.floor((F.col("_rn") - 1) / g) + 1).cast("int"))
+    rows = train.select(F.lit(0).alias("_gran"), x, y).unionByName(
+        num.where(F.col("_gran").isNotNull()).select("_gran", x, y))
+    grams = block_gram_frame(rows, "_gran", x, y)
+    long = grams.select("_gran", F.posexplode(F.concat("gram", "xy")).alias("e", "v"))
+    base = long.where(F.col("_gran") == 0).select("e", F.col("v").alias("v0"))
+    n_total = num.agg(F.max("_n").alias("_n"))  # one row
+    # granule -> (window size, block) memberships, blocks that fit entirely, at least min_blocks of them
+    sizes = spark.createDataFrame([(int(w), int(w // g)) for w in window_sizes], "window_size int, _k int")
+    member = long.where(F.col("_gran") > 0).crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(n_total)) \
+        .withColumn("block", (F.floor((F.col("_gran") - 1) / F.col("_k")) + 1).cast("int")) \
+        .withColumn("_nb", F.floor(F.col("_n") / F.col("window_size"))) \
+        .where((F.col("block") <= F.col("_nb")) & (F.col("_nb") >= min_blocks))
+    per_block = member.groupBy("window_size", "block", "e").agg(F.sum("v").alias("v"))
+    w = Window.partitionBy("window_size", "e").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    cum = per_block.withColumn("c", F.coalesce(F.sum("v").over(w), F.lit(0.0))).join(F.broadcast(base), "e") \
+        .select("window_size", "block", "e", "v0", (F.col("v0") + F.col("c")).alias("vc"))
+    packed = cum.groupBy("window_size", "block").agg(F.sort_array(F.collect_list(F.struct("e", "v0", "vc"))).alias("m"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = {"window_size": [], "block": [], "w_static": [], "w_online": []}
+        for ws_, b, m in zip(pdf["window_size"], pdf["block"], pdf["m"]):
+            v0 = np.array([t["v0"] for t in m])
+            vc = np.array([t["vc"] for t in m])
+            wst = solve_ridge(v0[:q * q].reshape(q, q), v0[q * q:], alpha)
+            won = wst if int(b) == 1 else solve_ridge(vc[:q * q].reshape(q, q), vc[q * q:], alpha)
+            out["window_size"].append(int(ws_))
+            out["block"].append(int(b))
+            out["w_static"].append(wst.tolist())
+            out["w_online"].append(won.tolist())
+        return pd.DataFrame(out)
+
+    coefs = packed.groupBy("window_size", "block").applyInPandas(
+        solve, "window_size int, block int, w_static array<double>, w_online array<double>")
+    scored_rows = num.where(F.col("_gran").isNotNull()).crossJoin(F.broadcast(sizes)) \
+        .withColumn("block", (F.floor((F.col("_gran") - 1) / F.col("_k")) + 1).cast("int")) \
+        .join(coefs, ["window_size", "block"])
+
+    def pred(wcol):
+        return F.aggregate(F.zip_with(x, F.slice(wcol, 1, p), lambda a, b: a * b), F.lit(0.0),
+                           lambda acc, v: acc + v) + F.element_at(wcol, -1)
+
+    scored = scored_rows.select("window_size", "block", F.col(y).alias("label"),
+                                pred("w_static").alias("p_static"), pred("w_online").alias("p_online"))
+    keys = ["window_size", "block"]
+    s_ = regression_metrics(scored, "label", "p_static", keys).select(*keys, F.col("r2").alias("static_r2"))
+    o_ = regression_metrics(scored, "label", "p_online", keys).select(*keys, F.col("r2").alias("online_r2"))
+    return s_.join(o_, keys)
+
+
 def ridge_path(stats_by_fold: dict[int, dict], alphas: list[float]) -> list[tuple]:
     """ML-13: train and validation R2 for every (alpha, fold) from per-fold Grams only."""
     folds = sorted(stats_by_fold)

@@ -197,15 +197,9 @@ def _compute_windows(spark, sf, leakage):
     train = ML.features_array(prep.train)
     test = prep.test.select("row_id", "traffic_date", "road_name", "label",
                             vector_to_array("features_scaled").alias("x"))
-    out = []
-    for ws in REFERENCE_SIZES["window_sizes"]:
-        blocks = SP.row_blocks(test, ["traffic_date", "road_name"], ws)
-        res = ON.online_adaptation(spark, train, blocks, "x", "label", p, REFERENCE_SIZES["ridge_alpha"])
-        out.append(res.withColumn("window_size", F.lit(ws)))
-    df = out[0]
-    for o in out[1:]:
-        df = df.unionByName(o)
-    return cut_lineage(df)  # a few hundred rows; re-read by the summary queries
+    res = ON.online_adaptation_multi(spark, train, test, ["traffic_date", "road_name"], "x", "label", p,
+                                     REFERENCE_SIZES["window_sizes"], REFERENCE_SIZES["ridge_alpha"])
+    return cut_lineage(res)  # a few hundred rows; re-read by the summary queries
 
 
 @register("online_windows")

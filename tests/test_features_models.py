@@ -153,3 +153,24 @@ def test_group_lag_equals_window_lag_on_skewed_groups(spark):
     got = group_lag(df, ["g"], ["o"], "v", "prev", num_partitions=6).select("g", "o", "prev").collect()
     exp = df.withColumn("prev", F.lag("v").over(Window.partitionBy("g").orderBy("o"))).select("g", "o", "prev").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, exp))
+
+
+def test_online_adaptation_multi_matches_single(spark):
+    rng = np.random.default_rng(3)
+    p = 2
+    Xtr, Xte = rng.normal(size=(150, p)), rng.normal(size=(430, p)) + 0.3
+    ytr = Xtr @ np.array([1.0, 2.0]) + rng.normal(scale=0.3, size=150)
+    yte = Xte @ np.array([1.5, 1.0]) + 0.5 + rng.normal(scale=0.3, size=430)
+    train = spark.createDataFrame([([float(v) for v in x], float(t)) for x, t in zip(Xtr, ytr)], "x array<double>, y double")
+    test = spark.createDataFrame([(i, [float(v) for v in x], float(t)) for i, (x, t) in enumerate(zip(Xte, yte))],
+                                 "k long, x array<double>, y double")
+    multi = {(r["window_size"], r["block"]): (r["static_r2"], r["online_r2"])
+             for r in ON.online_adaptation_multi(spark, train, test, ["k"], "x", "y", p, [100, 200]).collect()}
+    assert sorted({k[0] for k in multi}) == [100, 200]
+    assert max(b for ws, b in multi if ws == 100) == 4 and max(b for ws, b in multi if ws == 200) == 2
+    for ws in (100, 200):
+        blocks = SP.row_blocks(test, ["k"], ws).select("block", "x", "y")
+        single = {r["block"]: (r["static_r2"], r["online_r2"])
+                  for r in ON.online_adaptation(spark, train, blocks, "x", "y", p).collect()}
+        for b, v in single.items():
+            assert multi[(ws, b)] == pytest.approx(v, abs=1e-9)
