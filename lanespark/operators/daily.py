@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
-from ..functions.traffic import (DEFAULT_CAPACITY_VPH, DEFAULT_LANES, WINDY_MEAN_WIND_MS,
-                                 estimate_volume, map_weather, truthy)
+from ..functions.traffic import (DEFAULT_CAPACITY_VPH, WINDY_MEAN_WIND_MS, estimate_volume, map_weather,
+                                 truthy)
 
 DAILY_COLUMNS = [
     "traffic_date", "area_name", "road_name", "volume", "avg_speed", "tti", "congestion",

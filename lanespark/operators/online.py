@@ -85,19 +85,6 @@ def r2_from_stats(s: dict, w: np.ndarray) -> float:
     return float(1 - sse / sst) if sst > 0 else float("nan")
 
 
-def score_blocks(spark, rows: DataFrame, block: str, x: str, y: str, coefs: dict[int, np.ndarray],
-                 name: str) -> DataFrame:
-    """Exact per-row predictions with block-specific coefficients, then AG-36 per block."""
-    table = spark.createDataFrame([(int(b), [float(v) for v in w]) for b, w in coefs.items()],
-                                  f"{block} int, _w array<double>")  # blocks x p
-    j = rows.join(table, block)  # AQE broadcasts it while it is small
-    weights = F.slice("_w", 1, F.size("_w") - 1)  # intercept is the last entry
-    pred = F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v) \
-        + F.element_at("_w", -1)
-    scored = j.select(block, F.col(y).alias("label"), pred.alias("prediction"))
-    return regression_metrics(scored, "label", "prediction", [block]).select(block, F.col("r2").alias(name))
-
-
 def online_adaptation(spark, train: DataFrame, test_blocks: DataFrame, x: str, y: str, p: int,
                       alpha: float = 0.001) -> DataFrame:
     """ON-01/02: static ridge (train only) vs online ridge (train + earlier blocks) per block.

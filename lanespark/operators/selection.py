@@ -7,8 +7,6 @@ are computed from ONE aggregation over the data for all features at once.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -6,8 +6,6 @@ Every operator is ``daily -> DataFrame``; group keys drop NULLs like pandas
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

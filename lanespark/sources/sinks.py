@@ -7,14 +7,10 @@ and the daily upsert can overwrite just the dates it touches.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.daily import DAILY_COLUMNS
-
 # ---- fixed values that must equal the reference's ---------------------------
 REQUIRED_DAILY = ["Area Name", "Road/Intersection Name", "Date", "Traffic Volume", "Average Speed",
                   "Travel Time Index", "Congestion Level", "Road Capacity Utilization", "Incident Reports",
