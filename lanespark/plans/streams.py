@@ -77,3 +77,27 @@ def q_stream_ingest(spark, sf):
     landed = J.scratch(spark, "landed")
     J.land(docs, landed, fmt="json")
     return J.stream_ingest(spark, landed, J.scratch(spark, "ingest"), docs.schema)
+
+
+@register("stream_late")
+def q_stream_late(spark, sf):
+    """ST-05: the first day's readings arrive after everything else. The 15-minute window job has
+    already moved its watermark past them and drops them; the date-recomputing daily job still
+    builds that day. One row per date: readings kept by the window job vs road-days in the daily table."""
+    r = B.raw_readings(spark, sf)
+    first = r.agg(F.min("reading_date").alias("d")).first()["d"]  # one value (driver metadata)
+    src = J.scratch(spark, "late-src")
+    r.where(F.col("reading_date") != F.lit(first)).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    win_out, daily_out = J.scratch(spark, "late-win"), J.scratch(spark, "late-daily")
+    dim = B.road_dim(spark, sf)
+    for late_batch in (False, True):
+        if late_batch:  # the late file lands in the same source folder
+            r.where(F.col("reading_date") == F.lit(first)).write.mode("append").parquet(src)
+        J.stream_cycle_15m(spark, src, win_out, schema)
+        J.stream_daily(spark, src, daily_out, schema, dim)
+    win = spark.read.parquet(win_out).groupBy(F.substring("cycle", 1, 10).cast("date").alias("reading_date")) \
+        .agg(F.sum("readings").alias("window_readings"))
+    daily = spark.read.parquet(daily_out).groupBy(F.col("traffic_date").alias("reading_date")) \
+        .agg(F.count(F.lit(1)).alias("daily_road_days"))
+    return daily.join(win, "reading_date", "left").fillna(0, ["window_readings"])

@@ -57,7 +57,7 @@ INVENTORY = {
     "SL-05": ["topk_features"], "SL-06": ["preview"], "SL-07": ["sample_n"], "SL-08": ["topk_per_group"],
     "SO-01": ["union_daily"], "SO-02": ["pool_providers"], "SO-03": ["expand_training"], "SO-04": ["except_dates"],
     "ST-01": ["stream_ingest"], "ST-02": ["stream_cycle_15m"], "ST-03": ["stream_daily"], "ST-04": ["stream_dedup"],
-    "ST-05": ["test:test_late_rows_dropped_by_window_but_fixed_by_daily_recompute"], "ST-06": ["stream_latest"],
+    "ST-05": ["stream_late"], "ST-06": ["stream_latest"],
     "ST-07": ["stream_score"],
     "FP-01": ["one_hot_weather"], "FP-02": ["train_test_split"], "FP-03": ["standardize"],
     "FP-04": ["temporal_features"], "FP-05": ["context_enrich"], "FP-06": ["prepare_features"],
