@@ -208,7 +208,7 @@ imp AS (SELECT r.model, arg_max(r.variant, (r.test_r2, -r.row_order)) AS improve
         FROM runs r JOIN orig o ON o.model = r.model WHERE r.variant <> o.original_variant GROUP BY 1)
 SELECT o.model, original_variant, improved_variant, {R('r2_after - r2_before', 6)} AS r2_gain,
        {R('(rmse_before - rmse_after) / (rmse_before + 1e-10) * 100.0e0', 4)} AS rmse_reduction_pct
-FROM orig o JOIN imp i ON i.model = o.model""").replace("runs AS (SELECT *, CAST(substr(variant, 3) AS BIGINT) AS row_order FROM model_runs),\n,", "runs AS (SELECT *, CAST(substr(variant, 3) AS BIGINT) AS row_order FROM model_runs),"))
+FROM orig o JOIN imp i ON i.model = o.model"""))
 def q_before_after(spark, sf):
     """CM-04: original (first) variant vs the best other variant of each model."""
     r = runs(spark, sf)
@@ -250,7 +250,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY
 fw AS (SELECT test_r2 AS fr2, test_rmse AS frmse FROM runs ORDER BY test_r2 DESC, row_order LIMIT 1)
 SELECT model, {R('(fr2 - test_r2) / (abs(test_r2) + 1e-10) * 100.0e0', 4)} AS r2_improvement_pct,
        {R('(test_rmse - frmse) / (test_rmse + 1e-10) * 100.0e0', 4)} AS rmse_reduction_pct
-FROM best, fw""").replace("model_runs),\n,", "model_runs),"))
+FROM best, fw"""))
 def q_improvements(spark, sf):
     """CM-01: the overall best run (as the framework row) against every family's best run."""
     r = runs(spark, sf)
@@ -321,35 +321,36 @@ def _weighted(spark, sf):
     return w, ens
 
 
-@register("ensemble_weights", B.with_bindings(f"SELECT base, {R('cv_r2', 6)} AS cv_r2, {R('weight', 6)} AS weight FROM wt",
-                                              "predictions", extra={}).replace(
-    "SELECT base, ", _BASES_SQL.strip().join([",\n", "\nSELECT base, "]), 1))
+def EX(sql: str) -> str:
+    """Oracle over the prediction binding plus the base-model / weight CTEs."""
+    return MX(_BASES_SQL.strip() + "\n" + sql.strip(), "predictions")
+
+
+@register("ensemble_weights", EX(f"SELECT base, {R('cv_r2', 6)} AS cv_r2, {R('weight', 6)} AS weight FROM wt"))
 def q_ensemble_weights(spark, sf):
     """EN-02 weights: max(0, CV R2) / sum."""
     w, _ = _weighted(spark, sf)
     return w.select("base", rnd("cv_r2", 6).alias("cv_r2"), rnd("weight", 6).alias("weight"))
 
 
-@register("weighted_ensemble", B.with_bindings(_METRICS_SQL.replace("predicted", "weighted") + " FROM ens",
-                                               "predictions").replace(
-    "\nSELECT count(*)", _BASES_SQL.rstrip().join([",", "\nSELECT count(*)"]), 1))
+@register("weighted_ensemble", EX(_METRICS_SQL.replace("predicted", "weighted") + " FROM ens"))
 def q_weighted_ensemble(spark, sf):
     """EN-02: weighted sum of base predictions, evaluated with AG-36."""
     _, ens = _weighted(spark, sf)
     return _round_metrics(MT.regression_metrics(ens, "actual", "weighted"))
 
 
-@register("pick_best", B.with_bindings("""
-SELECT CASE WHEN s.r2 > w.r2 THEN 'Stacking Ensemble' ELSE 'Weighted Ensemble' END AS chosen FROM
+@register("pick_best", EX("""
+SELECT CASE WHEN """ + R("s.r2", 10) + " > " + R("w.r2", 10) + """ THEN 'Stacking Ensemble' ELSE 'Weighted Ensemble' END AS chosen FROM
   (SELECT 1.0e0 - sum((actual - p_blend) * (actual - p_blend)) / nullif(var_pop(actual) * count(*), 0) AS r2 FROM bases) s,
-  (SELECT 1.0e0 - sum((actual - weighted) * (actual - weighted)) / nullif(var_pop(actual) * count(*), 0) AS r2 FROM ens) w""",
-                                       "predictions").replace(
-    "\nSELECT CASE", _BASES_SQL.rstrip().join([",", "\nSELECT CASE"]), 1))
+  (SELECT 1.0e0 - sum((actual - weighted) * (actual - weighted)) / nullif(var_pop(actual) * count(*), 0) AS r2 FROM ens) w"""))
 def q_pick_best(spark, sf):
     """EN-03: stacking only if its R2 is strictly greater than the weighted ensemble's."""
     _, ens = _weighted(spark, sf)
     b = _bases(spark, sf)
     s = MT.regression_metrics(b, "actual", "p_blend").select(F.col("r2").alias("_s"))
     w = MT.regression_metrics(ens, "actual", "weighted").select(F.col("r2").alias("_w"))
-    return s.crossJoin(w).select(F.when(F.col("_s") > F.col("_w"), "Stacking Ensemble")
+    # "strictly greater" at 1e-10: two R2 values of identical predictions must not be
+    # separated by the summation order of their aggregations
+    return s.crossJoin(w).select(F.when(rnd("_s", 10) > rnd("_w", 10), "Stacking Ensemble")
                                  .otherwise("Weighted Ensemble").alias("chosen"))
