@@ -21,9 +21,6 @@ _LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # aggregates with object buffers (mode, min_by/max_by on strings) stay hash-based
-    # for up to this many keys per task before falling back to sort-based aggregation
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
 
