@@ -27,8 +27,10 @@ def global_row_number(df: DataFrame, order: list, name: str = "rn",
     ``total`` names an optional column with the row count, taken from the same
     per-partition counts (no second pass over the input)."""
     order = _cols(order)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # without an explicit count AQE sizes the range partitions to the data (adjacent
+    # ranges are merged, so partition order still follows the sort order)
+    ranged = (df.repartitionByRange(num_partitions, *order) if num_partitions
+              else df.repartitionByRange(*order)).sortWithinPartitions(*order)
     # monotonically_increasing_id = (partition index << 33) + position in partition
     local = ranged.withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
@@ -61,8 +63,8 @@ def group_lag(df: DataFrame, groups: list[str], order: list, col: str, name: str
     row per (partition, group piece).
     """
     keys = [F.col(g) for g in groups] + _cols(order)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
+              else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     local = ranged.withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
     local = cut_lineage(local)
