@@ -16,6 +16,21 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+#: An id list of up to this many rows (about 8 MB) may be broadcast.
+BROADCAST_IDS = 500_000
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``rows`` whose key is not in ``ids`` (distinct keys); rows with a null key stay.
+
+    The list is counted: up to ``BROADCAST_IDS`` it is broadcast, so that the
+    rows stay where they are; beyond, both sides are shuffled by the key.
+    """
+    ids = cut_lineage(ids.select(key))
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_anti").select(*rows.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph given by long columns ``src`` and ``dst``.
 

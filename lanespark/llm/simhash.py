@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lanespark.session import cut_lineage
 
-from .common import components, is_empty
+from .common import components, is_empty, without
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -136,13 +136,11 @@ def keep_first(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed: int =
 
     If rows repeat a kept id, any one of them stays. Rows with a null id stay.
     """
-    found = near_duplicates(docs, shingle, max_bits, seed)
-    kept = cut_lineage(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id")
-                       .agg((F.count("*") > 1).alias("repeated")))
-    out = docs.join(kept.where(~F.col("repeated")).select("doc_id"), "doc_id", "left_semi").select(*docs.columns) \
-        .unionByName(docs.where(F.col("doc_id").isNull()))
-    repeated = kept.where("repeated").select("doc_id")
-    if not is_empty(repeated):
-        out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-                              .select(*docs.columns))
-    return out
+    found = cut_lineage(near_duplicates(docs, shingle, max_bits, seed).groupBy("doc_id", "component_id")
+                        .agg((F.count("*") > 1).alias("repeated")))
+    out = without(docs, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    repeated = found.where(F.col("repeated") & (F.col("doc_id") == F.col("component_id"))).select("doc_id")
+    if is_empty(repeated):
+        return out
+    once = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return without(out, repeated).unionByName(once)
