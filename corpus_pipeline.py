@@ -9,11 +9,27 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lanespark.llm import packing, simhash
+from lanespark.llm import langid, packing, quality, simhash
 from lanespark.session import ensure_checkpoint_dir
 
 
+#: A document goes if no learned language reaches this score (a half more than four languages' chance level).
+LEAST_LANGUAGE_SCORE = 0.375
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a learned language."""
+    return langid.accepted(docs, langid.fit(langid.sample(docs)), LEAST_LANGUAGE_SCORE)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (host: source, path section: language)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.accepted(docs, labels, F.col("source"), F.col("lang"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: 4-word shingles, links at 4 or fewer bits."""
     return simhash.keep_first(docs, shingle=4, max_bits=4)
@@ -27,7 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(p, capacity=1024)
 
 
-STAGES = [("simhash_near_dedup", near_duplicates), ("best_fit_packing", pack)]
+STAGES = [("language_id", language), ("quality_classifier", good), ("simhash_near_dedup", near_duplicates),
+          ("best_fit_packing", pack)]
 
 #: Trained models and hashes that SQL does not have; tests hold the stages against brute force.
 ORACLE_SQL = None

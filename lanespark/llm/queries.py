@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash, sketch
+from . import bpe, html_extract, langid, packing, quality, sharding, simhash, sketch, url_filter, vecgraph
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,64 @@ def query(fn):
     return fn
 
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+@query
+def op1_url_filter(spark, sf_dir):
+    """Every page's URL by the rules, else by boosted trees trained on the URLs that the rules decide."""
+    return url_filter.classify(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+@query
+def op2_byte_bpe(spark, sf_dir):
+    """Every document encoded by the merge transducer and decoded again by the streaming decoder."""
+    return bpe.round_trip(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    """The language of every document by a byte-level network trained on those not held out."""
+    docs = read(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(langid.sample(docs)))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_quality(spark, sf_dir):
+    """Quality of every document: its own evidence and its site's (host: source, path section: language)."""
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), F.col("source"),
+                            F.col("lang"))
+
+
+@query
+def op5_embedding_near_dedup(spark, sf_dir):
+    """Links of cosine 0.95 or more between all vectors, and their components."""
+    return vecgraph.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+ORACLES["op5_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+           embedding IS NOT NULL AND len(embedding) > 0
+           AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, x -> x <> 0)) > 0 AS ok
+    FROM embeddings
+), u AS (
+    SELECT vec_id, list_transform(e, x -> x / sqrt(list_inner_product(e, e))) AS e FROM v WHERE ok
+), link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_inner_product(a.e, b.e) >= 0.95
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+), comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT c.vec_id, CAST((SELECT count(*) FROM link l WHERE l.a = c.vec_id) AS BIGINT) AS n_links, c.component_id,
+       c.vec_id = c.component_id AS kept
+FROM comp c
+"""
+
+
 def _crc32(col) -> F.Column:
     return F.crc32(F.coalesce(F.col(col), F.lit("")).cast("binary"))
 
@@ -60,3 +118,11 @@ def op9_sharding(spark, sf_dir):
     s = sharding.external_shuffle(read(spark, sf_dir, "documents"), n_shards=24)
     return s.select("doc_id", "size", _crc32("text").alias("text_crc32"), F.lit("rows").alias("law"), "shard",
                     F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_html_extraction(spark, sf_dir):
+    """The main text of every page by the recurrent block labeller."""
+    pages = read(spark, sf_dir, "pages")
+    found = html_extract.extract(pages, html_extract.train(pages))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
