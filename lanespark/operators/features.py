@@ -98,30 +98,20 @@ def first_seen_encode(df: DataFrame, col: str, order_col: str, out: str) -> Data
     return df.join(codes, col, "left")
 
 
-MAX_CATEGORIES = 1000
-
-
-def weather_categories(df: DataFrame, col: str = "weather", limit: int = MAX_CATEGORIES) -> list[str]:
-    """Small driver-side metadata: the sorted distinct categories (pass them in to stay lazy).
-
-    Guarded: more than ``limit`` categories is an error, not an unbounded collect."""
-    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"{col} has more than {limit} categories; one-hot encoding is not appropriate")
-    return sorted(vals)
-
-
-def one_hot(df: DataFrame, col: str = "weather", prefix: str = "weather", categories: list[str] | None = None,
+def one_hot(df: DataFrame, col: str, prefix: str, categories: list[str],
             drop_first: bool = True) -> tuple[DataFrame, list[str]]:
-    """FP-01: 0/1 dummies of the sorted categories, first one dropped, NULL -> all zero."""
-    cats = sorted(categories) if categories is not None else weather_categories(df, col)
+    """FP-01: 0/1 dummies of the sorted categories, first one dropped, NULL -> all zero.
+
+    One column per category: the caller names the categories (``label_encode``
+    is the form for a column whose values are not known beforehand)."""
+    cats = sorted(categories)
     keep = cats[1:] if drop_first else cats
     names = [f"{prefix}_{c.lower()}" for c in keep]
     return df.select("*", *[F.coalesce(F.col(col) == c, F.lit(False)).cast("int").alias(n)
                             for c, n in zip(keep, names)]), names
 
 
-def context_enrich(df: DataFrame, categories: list[str] | None = None, leakage: str = "parity") -> DataFrame:
+def context_enrich(df: DataFrame, categories: list[str], leakage: str = "parity") -> DataFrame:
     """FP-05: 17 context columns (needs ``is_weekend`` from the temporal stage)."""
     x = label_encode(df, AREA, "area_encoded")
     x = label_encode(x, ROAD, "road_encoded")
@@ -138,7 +128,7 @@ def context_enrich(df: DataFrame, categories: list[str] | None = None, leakage:
     return x.select("*", *cols)
 
 
-def feature_table(daily: DataFrame, categories: list[str] | None = None, leakage: str = "parity") -> DataFrame:
+def feature_table(daily: DataFrame, categories: list[str], leakage: str = "parity") -> DataFrame:
     """Stage 1 + stage 2: the full feature table."""
     return context_enrich(temporal_features(daily, leakage), categories, leakage)
 

@@ -51,12 +51,11 @@ class Prepared:
 
 def split_key_daily() -> F.Column:
     """Portable hash order for (date, road) rows: reproducible 70/30 split."""
-    key = F.unix_date("traffic_date").cast("long") * 100 + F.abs(F.hash("road_name")) % 100
-    return SP.arith_hash(key, 42)
+    return SP.arith_hash(SP.daily_key(), 42)
 
 
-def prepare_features(daily: DataFrame, leakage: str = "parity", test_fraction: float = 0.3,
-                     categories: list[str] | None = None, checkpoint: bool = True) -> Prepared:
+def prepare_features(daily: DataFrame, categories: list[str], leakage: str = "parity", test_fraction: float = 0.3,
+                     checkpoint: bool = True) -> Prepared:
     """FP-06: features -> drop incomplete -> hash split -> assemble -> train-fitted scaler.
 
     The cleaned feature table is materialised once in the shared checkpoint
@@ -123,22 +122,29 @@ def linear(features: str = "features_scaled") -> LinearRegression:
                             standardization=False, solver="normal")
 
 
+def _depth(max_depth: int) -> int:
+    """MLlib grows trees to depth 30 at most; a deeper request is an error, not a silent cut."""
+    if max_depth > 30:
+        raise ValueError(f"max_depth {max_depth}: MLlib trees have a depth of 30 at most")
+    return max_depth
+
+
 def decision_tree(max_depth: int = 15, min_leaf: int = 1, features: str = "features", seed: int = 42):
-    return DecisionTreeRegressor(featuresCol=features, labelCol="label", maxDepth=min(max_depth, 30),
+    return DecisionTreeRegressor(featuresCol=features, labelCol="label", maxDepth=_depth(max_depth),
                                  minInstancesPerNode=min_leaf, seed=seed, maxBins=64)
 
 
 def random_forest(n_trees: int = 200, max_depth: int = 20, subset: str = "all", features: str = "features",
                   seed: int = 42, bootstrap: bool = True):
     return RandomForestRegressor(featuresCol=features, labelCol="label", numTrees=n_trees,
-                                 maxDepth=min(max_depth, 30), featureSubsetStrategy=subset, seed=seed,
+                                 maxDepth=_depth(max_depth), featureSubsetStrategy=subset, seed=seed,
                                  bootstrap=bootstrap, maxBins=64)
 
 
 def extra_trees(n_trees: int = 200, max_depth: int = 20, features: str = "features", seed: int = 42):
     """Approximation of extremely randomised trees: no bootstrap, sqrt subsets, coarse bins."""
     return RandomForestRegressor(featuresCol=features, labelCol="label", numTrees=n_trees,
-                                 maxDepth=min(max_depth, 30), featureSubsetStrategy="sqrt", seed=seed,
+                                 maxDepth=_depth(max_depth), featureSubsetStrategy="sqrt", seed=seed,
                                  bootstrap=False, maxBins=16)
 
 
@@ -190,9 +196,5 @@ def boosting_curve(spark, model, frame: DataFrame) -> DataFrame:
     return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)], "iteration int, loss double")
 
 
-def predictions_array(model, frame: DataFrame) -> DataFrame:
-    return model.transform(frame).select("row_id", "label", "prediction")
-
-
 def features_array(frame: DataFrame, col: str = "features_scaled") -> DataFrame:
     return frame.select("row_id", "label", vector_to_array(col).alias("x"))

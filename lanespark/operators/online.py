@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from .metrics import regression_metrics
 
 
+#: Groups of the first merge level of partial Grams.
+MERGE_FAN_IN = 64
+
+
 def block_gram_frame(df: DataFrame, block: str, x: str, y: str) -> DataFrame:
     """One row per block: flattened Gram (with intercept column), X'y, y'y, n — computed distributedly."""
 
@@ -47,10 +51,8 @@ def block_gram_frame(df: DataFrame, block: str, x: str, y: str) -> DataFrame:
             })
 
     schema = f"{block} int, gram array<double>, xy array<double>, yy double, n double"
-    # one partial Gram per task: as many tasks as cores is enough for a single pass
-    # (coalesce never shuffles; with fewer input partitions it is a no-op)
-    par = df.sparkSession.sparkContext.defaultParallelism
-    parts = df.select(block, x, y).coalesce(par).mapInPandas(partial, schema)
+    parts = df.select(block, x, y).mapInPandas(partial, schema).withColumn(
+        "part", F.pmod(F.spark_partition_id(), F.lit(MERGE_FAN_IN)))
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({block: [int(pdf[block].iloc[0])],
@@ -58,7 +60,9 @@ def block_gram_frame(df: DataFrame, block: str, x: str, y: str) -> DataFrame:
                              "xy": [np.sum(np.vstack(pdf["xy"].to_numpy()), axis=0).tolist()],
                              "yy": [float(pdf["yy"].sum())], "n": [float(pdf["n"].sum())]})
 
-    return parts.groupBy(block).applyInPandas(combine, schema)
+    # a tree of two levels: with T tasks no group holds more than max(T / fan-in, fan-in) partial Grams
+    merged = parts.groupBy(block, "part").applyInPandas(combine, schema)
+    return merged.groupBy(block).applyInPandas(combine, schema)
 
 
 def block_grams(df: DataFrame, block: str, x: str, y: str, p: int) -> dict[int, dict]:

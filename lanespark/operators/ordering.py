@@ -10,7 +10,7 @@ partition (bounded by the partition count, so broadcasting it is safe).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -20,20 +20,6 @@ def _cols(order):
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _range_partitions(df: DataFrame, num_partitions: int | None) -> int | None:
-    """Explicit partition count, or None to let AQE size the range partitions.
-
-    With many more shuffle partitions than cores (e.g. the default 200 on a small
-    input) AQE merges adjacent ranges to its advisory size; when the configured
-    count is already close to the core count it is used as is, keeping every core busy.
-    """
-    if num_partitions:
-        return num_partitions
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return n if n <= 2 * spark.sparkContext.defaultParallelism else None
-
-
 def global_row_number(df: DataFrame, order: list, name: str = "rn",
                       num_partitions: int | None = None, total: str | None = None) -> DataFrame:
     """Append a 1-based row number following ``order`` (must be a total order).
@@ -43,7 +29,7 @@ def global_row_number(df: DataFrame, order: list, name: str = "rn",
     order = _cols(order)
     # without an explicit count AQE sizes the range partitions to the data (adjacent
     # ranges are merged, so partition order still follows the sort order)
-    n = _range_partitions(df, num_partitions)
+    n = num_partitions
     ranged = (df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)).sortWithinPartitions(*order)
     # monotonically_increasing_id = (partition index << 33) + position in partition
     local = ranged.withColumn("_pid", F.spark_partition_id()) \
@@ -61,11 +47,6 @@ def global_row_number(df: DataFrame, order: list, name: str = "rn",
     return out.drop("_pid", "_pos", "_off", "_tot")
 
 
-def hash_order(key_cols: list, seed: int) -> Column:
-    """A deterministic pseudo-random order key (replaces rand() for reproducible splits)."""
-    return F.xxhash64(F.lit(seed), *_cols(key_cols))
-
-
 def group_lag(df: DataFrame, groups: list[str], order: list, col: str, name: str,
               num_partitions: int | None = None) -> DataFrame:
     """``lag(col) over (partition by groups order by order)`` without putting a whole group in one task.
@@ -77,7 +58,7 @@ def group_lag(df: DataFrame, groups: list[str], order: list, col: str, name: str
     row per (partition, group piece).
     """
     keys = [F.col(g) for g in groups] + _cols(order)
-    n = _range_partitions(df, num_partitions)
+    n = num_partitions
     ranged = (df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     local = ranged.withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))

@@ -158,14 +158,14 @@ def ecdf(df: DataFrame, col: str, digits: int = 8) -> DataFrame:
 
 
 def clean_numeric(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """PRJ-01: coerce columns to double, drop rows where any fails.
+    """PRJ-01: coerce columns to double, drop rows where any is missing or no number.
 
     Returns (clean rows, report). A row counts against the FIRST column that
-    fails, as in sequential per-column dropping.
+    is missing or fails, as in sequential per-column dropping; NaN is missing.
     """
     casted = df.select("*", *[F.col(c).cast("string").try_cast("double").alias(f"__n_{c}") for c in cols])
-    ok = [F.col(f"__n_{c}").isNotNull() | F.col(c).isNull() for c in cols]
-    bad = [F.col(c).isNotNull() & F.col(f"__n_{c}").isNull() for c in cols]
+    ok = [F.col(f"__n_{c}").isNotNull() & ~F.isnan(f"__n_{c}") for c in cols]
+    bad = [~e for e in ok]
     counters = []
     for i, c in enumerate(cols):
         cond = bad[i]

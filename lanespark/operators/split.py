@@ -14,10 +14,36 @@ from pyspark.sql import functions as F
 from .ordering import global_row_number
 
 
+# Two Lehmer multipliers modulo the Mersenne prime 2^31 - 1.
+_M31, _A, _B = 2147483647, 48271, 69621
+
+
 def arith_hash(key: Column, seed: int) -> Column:
-    """Portable integer hash (same value in any SQL engine): Lehmer step on a mixed key."""
-    h = F.pmod(key * F.lit(7919) + F.lit(seed * 31), F.lit(1000003))
-    return F.pmod(h * F.lit(48271), F.lit(2147483647))
+    """Portable 62-bit hash of a non-negative integer key (same value in any SQL engine).
+
+    The two halves come from different multipliers; keys that differ below 2^31 never share a value.
+    """
+    m = F.lit(_M31)
+    low, high = F.pmod(key, m), F.floor(key / m).cast("long")
+    a = F.pmod(low * F.lit(_A) + F.lit(seed * 7919), m)
+    b = F.pmod(F.pmod(low + F.pmod(high, m) * F.lit(16807), m) * F.lit(_B) + F.lit(seed * 31), m)
+    return a * F.lit(1 << 31) + b
+
+
+def sql_arith_hash(key: str, seed: int) -> str:
+    """The same hash as SQL text (``//`` is integer division)."""
+    low, high = f"(({key}) % {_M31})", f"((({key}) // {_M31}) % {_M31})"
+    return (f"((({low} * {_A} + {seed * 7919}) % {_M31}) * {1 << 31}"
+            f" + ((({low} + {high} * 16807) % {_M31}) * {_B} + {seed * 31}) % {_M31})")
+
+
+def daily_key(date: str = "traffic_date", road: str = "road_name") -> Column:
+    """Integer key of a (date, road) row: day number and the road's number."""
+    return F.unix_date(date).cast("long") * 100 + F.regexp_extract(road, r"(\d+)$", 1).try_cast("long")
+
+
+SQL_DAILY_KEY = ("(traffic_date - DATE '1970-01-01') * 100"
+                 " + TRY_CAST(regexp_extract(road_name, '([0-9]+)$', 1) AS BIGINT)")
 
 
 def train_test_split(df: DataFrame, order: list, test_fraction: float = 0.3, name: str = "is_test") -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions.numeric import rnd, sql_rnd as R
 from ..operators import calendar as C
 from ..operators import profile as P
 from ..operators import temporal as T
+from ..operators.split import SQL_DAILY_KEY, sql_arith_hash
 from ..sources import bindings as B
 from .registry import register
 
@@ -353,7 +354,8 @@ _ALL_DT = ["traffic_date", "road_name", "area_name", "volume", "avg_speed", "tti
 
 @register("missing_profile", W("\nUNION ALL\n".join(
     f"SELECT '{c}' AS column_name, CAST(count_if({c} IS NULL{' OR isnan(' + c + ')' if c in NUMERIC[:-1] else ''}) AS BIGINT) AS missing, "
-    f"{R(f'count_if({c} IS NULL) * 100.0e0 / nullif(count(*), 0)', 4)} AS pct FROM daily_traffic" for c in _ALL_DT)))
+    f"{R('count_if(' + c + ' IS NULL' + (' OR isnan(' + c + ')' if c in NUMERIC[:-1] else '') + ') * 100.0e0 / nullif(count(*), 0)', 4)} AS pct "
+    "FROM daily_traffic" for c in _ALL_DT)))
 def q_missing_profile(spark, sf):
     """AG-15."""
     return P.missing_profile(dt(spark, sf), _ALL_DT)
@@ -455,21 +457,37 @@ def q_date_range(spark, sf):
                              F.count_distinct("traffic_date").alias("n_dates"))
 
 
+# Text readings of the daily numbers with faults at fixed places of the calendar: a unit, a comma, a dash, a blank, a NULL.
+_DIRTY = [("%d % 7 = 0", "'n/a'"), ("%d % 11 = 0", "concat(%c, ' km')"), ("%d % 13 = 0", "'1,234'"), ("%d % 17 = 0", "NULL"),
+          ("%d % 19 = 0", "'-'"), ("%d % 23 = 0", "''")]
+
+
+def _dirty(c: str, i: int, day: str, text: str) -> str:
+    """SQL for column ``c`` as dirty text; the i-th column takes its own fault."""
+    when, then = _DIRTY[i % len(_DIRTY)]
+    return f"CASE WHEN {when.replace('%d', day)} THEN {then.replace('%c', text)} ELSE {text} END AS {c}"
+
+
 def _clean_numeric_sql():
+    day = "(traffic_date - DATE '1970-01-01')"
+    dirty = ", ".join(_dirty(c, i, day, f"CAST({c} AS VARCHAR)") for i, c in enumerate(NUMERIC))
     parts = []
     for i, c in enumerate(NUMERIC):
-        bad = f"({c} IS NOT NULL AND TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NULL)"
-        ok_before = " AND ".join(f"NOT ({p} IS NOT NULL AND TRY_CAST(CAST({p} AS VARCHAR) AS DOUBLE) IS NULL)"
-                                 for p in NUMERIC[:i]) or "true"
-        parts.append(f"SELECT '{c}' AS column_name, CAST(count_if({bad} AND {ok_before}) AS BIGINT) AS rows_removed FROM daily_traffic")
+        fine = " AND ".join(f"TRY_CAST({p} AS DOUBLE) IS NOT NULL" for p in NUMERIC[:i]) or "true"
+        parts.append(f"SELECT '{c}' AS column_name, CAST(count_if(TRY_CAST({c} AS DOUBLE) IS NULL AND {fine}) AS BIGINT) "
+                     f"AS rows_removed FROM (SELECT {dirty} FROM daily_traffic)")
     return W("\nUNION ALL\n".join(parts))
 
 
+def _dirty_text(spark, sf):
+    return dt(spark, sf).selectExpr(*[_dirty(c, i, "unix_date(traffic_date)", f"CAST({c} AS STRING)")
+                                      for i, c in enumerate(NUMERIC)])
+
+
 @register("clean_numeric", _clean_numeric_sql())
 def q_clean_numeric(spark, sf):
-    """PRJ-01 report: rows removed per column (sequential attribution)."""
-    d = dt(spark, sf).select(*[F.col(c).cast("string").alias(c) for c in NUMERIC])
-    return P.clean_numeric(d, NUMERIC)[1]
+    """PRJ-01 report on dirty text readings: rows removed per column (sequential attribution, NULL removed too)."""
+    return P.clean_numeric(_dirty_text(spark, sf), NUMERIC)[1]
 
 
 @register("findings_table")
@@ -510,8 +528,7 @@ def q_sort_series(spark, sf):
     return dt(spark, sf).select("road_name", "traffic_date", F.row_number().over(w).alias("position"))
 
 
-_SAMPLE_H = ("(((((traffic_date - DATE '1970-01-01') * 100 + CAST(substr(road_name, 6) AS INT)) * 7919 + 42 * 31)"
-             " % 1000003) * 48271) % 2147483647")
+_SAMPLE_H = sql_arith_hash(SQL_DAILY_KEY, 42)
 
 
 @register("sample_n", W(f"""
@@ -520,8 +537,7 @@ ORDER BY {_SAMPLE_H}, traffic_date, road_name LIMIT 2000"""))
 def q_sample_n(spark, sf):
     """SL-07: min(2000, n) rows in a seeded hash order (deterministic, own seed; not the same rows as numpy)."""
     from ..operators import split as SP
-    key = F.unix_date("traffic_date").cast("long") * 100 + F.substring("road_name", 6, 100).cast("int")
-    d = dt(spark, sf).withColumn("_h", SP.arith_hash(key, 42))
+    d = dt(spark, sf).withColumn("_h", SP.arith_hash(SP.daily_key(), 42))
     return d.orderBy("_h", "traffic_date", "road_name").limit(2000).select("traffic_date", "road_name", "volume")
 
 

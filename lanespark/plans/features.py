@@ -177,7 +177,7 @@ def q_label_encode(spark, sf):
 @register("one_hot_weather", WX(_CONTEXT_CTE + "\n" + _sel(_keys_and(_DUMMIES), "cf")))
 def q_one_hot_weather(spark, sf):
     """FP-01: categories discovered with one small distinct() (driver metadata)."""
-    d, names = FE.one_hot(dt(spark, sf), "weather", "weather")
+    d, names = FE.one_hot(dt(spark, sf), "weather", "weather", _CATS)
     return d.select(*_keys_and(names))
 
 
@@ -214,16 +214,14 @@ def q_first_seen_encode(spark, sf):
 _SPLIT_CTE = """
 cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY road_name ORDER BY traffic_date) AS pos
                       FROM daily_traffic) WHERE pos > 7 AND volume IS NOT NULL),
-hk AS (SELECT *, (((((traffic_date - DATE '1970-01-01') * 100 + CAST(substr(road_name, 6) AS INT)) * 7919 + 42 * 31)
-                  % 1000003) * 48271) % 2147483647 AS h FROM cl),
+hk AS (SELECT *, """ + SP.sql_arith_hash(SP.SQL_DAILY_KEY, 42) + """ AS h FROM cl),
 sp AS (SELECT *, row_number() OVER (ORDER BY h, traffic_date, road_name) AS row_id,
               row_number() OVER (ORDER BY h, traffic_date, road_name) <= ceil(count(*) OVER () * 0.3e0) AS is_test
        FROM hk)"""
 
 
 def _split_key():
-    key = F.unix_date("traffic_date").cast("long") * 100 + F.substring("road_name", 6, 100).cast("int")
-    return SP.arith_hash(key, 42)
+    return SP.arith_hash(SP.daily_key(), 42)
 
 
 def _clean(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import traffic as T
 from ..functions.numeric import rnd, sql_rnd
 from ..operators import daily as D
+from ..operators.split import SQL_DAILY_KEY, sql_arith_hash
 from ..sources import bindings as B
 from ..sources import payloads as P
 from .registry import register
@@ -341,8 +342,8 @@ def q_write_processed(spark, sf_dir):
     from ..sources import sinks as K
     from ..streaming.jobs import scratch
     d = B.daily_traffic(spark, sf_dir)
-    key = F.unix_date("traffic_date").cast("long") * 100 + F.substring("road_name", 6, 100).cast("int")
-    s = SP.train_test_split(d.withColumn("_h", SP.arith_hash(key, 42)), ["_h", "traffic_date", "road_name"])
+    s = SP.train_test_split(d.withColumn("_h", SP.arith_hash(SP.daily_key(), 42)),
+                            ["_h", "traffic_date", "road_name"])
     path = scratch(spark, "processed")
     K.write_processed(s.drop("_h"), path)
     train, test = K.scan_split(spark, path)
@@ -369,10 +370,8 @@ def q_write_metadata(spark, sf_dir):
     from ..sources import sinks as K
     from ..streaming.jobs import scratch
     d = B.daily_traffic(spark, sf_dir)
-    from ..operators.features import weather_categories
-    areas = weather_categories(d, "area_name")  # guarded category metadata
-    meta = K.metadata_frame(spark, d, ["avg_speed", "tti", "congestion", "capacity_util", "incidents"], "volume",
-                            {"area_name": {a: i for i, a in enumerate(areas)}})
+    meta = K.metadata_frame(d, ["avg_speed", "tti", "congestion", "capacity_util", "incidents"], "volume",
+                            ["area_name"])
     path = scratch(spark, "metadata")
     K.write_metadata(meta, path)
     return spark.read.json(path)
@@ -382,9 +381,8 @@ from .registry import ORACLES as _ORACLES  # noqa: E402
 
 _ORACLES["append_raw"] = B.with_bindings(
     "SELECT reading_date, count(*) AS records FROM raw_readings GROUP BY 1", "raw_readings")
-_ORACLES["write_processed"] = B.with_bindings("""
+_ORACLES["write_processed"] = B.with_bindings(f"""
 SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS split, count(*) AS rows FROM (
   SELECT row_number() OVER (ORDER BY h, traffic_date, road_name) <= ceil(count(*) OVER () * 0.3e0) AS is_test
-  FROM (SELECT *, (((((traffic_date - DATE '1970-01-01') * 100 + CAST(substr(road_name, 6) AS INT)) * 7919 + 42 * 31)
-                   % 1000003) * 48271) % 2147483647 AS h FROM daily_traffic))
+  FROM (SELECT *, {sql_arith_hash(SQL_DAILY_KEY, 42)} AS h FROM daily_traffic))
 GROUP BY 1""", "daily_traffic")

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rnd
+from ..functions.numeric import rnd, sql_rnd
 from ..operators import metrics as MT
 from ..operators import models as ML
 from ..operators import neighbors as NB
@@ -23,6 +23,7 @@ from ..operators import selection as S
 from ..operators import split as SP
 from ..operators.ordering import global_row_number
 from ..sources import bindings as B
+from .features import _SPLIT_CTE, WX
 from .registry import register
 
 CATEGORIES = ["Clear", "Fog", "Overcast", "Rain", "Windy"]
@@ -49,10 +50,12 @@ _PREP: dict = {}
 
 
 def prepared(spark, sf, leakage="parity") -> ML.Prepared:
-    key = (spark.sparkContext.applicationId, sf, leakage)
-    if key not in _PREP:
-        _PREP[key] = ML.prepare_features(B.daily_traffic(spark, sf), leakage=leakage, categories=CATEGORIES)
-    return _PREP[key]
+    """The training set, kept for as long as the source's files stay the same."""
+    slot = (spark.sparkContext.applicationId, sf, leakage)
+    version = B.version(spark, sf, "lineitem")
+    if slot not in _PREP or _PREP[slot][0] != version:
+        _PREP[slot] = (version, ML.prepare_features(B.daily_traffic(spark, sf), CATEGORIES, leakage=leakage))
+    return _PREP[slot][1]
 
 
 def _sd_n(prep):
@@ -104,10 +107,10 @@ def q_ridge_safe(spark, sf):
 
 @register("boosting_curve")
 def q_boosting_curve(spark, sf):
-    """ML-10: loss after every boosting iteration (test rows)."""
+    """ML-10: training loss after every boosting iteration."""
     prep = prepared(spark, sf)
-    model = ML.gradient_boosting(20, 0.1, 3).fit(prep.train)
-    return ML.boosting_curve(spark, model, prep.test)
+    model = ML.gradient_boosting(QUERY_SIZES["gb_iter"], QUERY_SIZES["gb_lr"], QUERY_SIZES["gb_depth"]).fit(prep.train)
+    return ML.boosting_curve(spark, model, prep.train)
 
 
 @register("coefficient_table")
@@ -179,15 +182,12 @@ def q_evaluate_variant(spark, sf):
     return row.crossJoin(cv)
 
 
-_WIN: dict = {}
-
-
 def _windows(spark, sf, leakage="parity"):
-    """Per-block static/online R2 for every window size, computed once per session and materialised."""
-    key = (spark.sparkContext.applicationId, sf, leakage)
-    if key not in _WIN:
-        _WIN[key] = _compute_windows(spark, sf, leakage)
-    return _WIN[key]
+    """Per-block static/online R2 for every window size, kept with the training set it was computed from."""
+    prep = prepared(spark, sf, leakage)
+    if "windows" not in prep.stats:
+        prep.stats["windows"] = _compute_windows(spark, sf, leakage)
+    return prep.stats["windows"]
 
 
 def _compute_windows(spark, sf, leakage):
@@ -211,7 +211,7 @@ def q_online_windows(spark, sf):
 @register("window_summary")
 def q_window_summary(spark, sf):
     """AG-42 + ON-03: mean static/online R2 per window size and the adaptation gain."""
-    w = _windows(spark, sf, "safe")
+    w = _windows(spark, sf)
     g = w.groupBy("window_size").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("static_r2").alias("avg_static_r2"),
                                      F.avg("online_r2").alias("avg_online_r2"))
     return g.withColumn("improvement_pct", MT.adaptation_gain(F.col("avg_static_r2"), F.col("avg_online_r2")))
@@ -360,7 +360,10 @@ def q_stacking(spark, sf):
     return MT.regression_metrics(out, "label", "prediction").withColumn("model", F.lit("Stacking Ensemble"))
 
 
-@register("prepare_features")
+@register("prepare_features", WX(_SPLIT_CTE + """
+SELECT (SELECT count(*) FROM daily_traffic) AS n_original, count(*) AS n_clean,
+       CAST(count_if(NOT is_test) AS BIGINT) AS n_train, CAST(count_if(is_test) AS BIGINT) AS n_test,
+       CAST(61 AS INT) AS n_features FROM sp"""))
 def q_prepare_features(spark, sf):
     """FP-06: sizes before/after cleaning and of the split, and the feature count."""
     prep = prepared(spark, sf)
@@ -381,7 +384,7 @@ def q_static_windows(spark, sf):
 @register("adaptation_gain")
 def q_adaptation_gain(spark, sf):
     """ON-03: (online - static) / (|static| + 1e-10) * 100 per window size (and the |static + 1e-10| form)."""
-    g = _windows(spark, sf, "safe").groupBy("window_size").agg(F.avg("static_r2").alias("s"), F.avg("online_r2").alias("o"))
+    g = _windows(spark, sf).groupBy("window_size").agg(F.avg("static_r2").alias("s"), F.avg("online_r2").alias("o"))
     return g.select("window_size", MT.adaptation_gain(F.col("s"), F.col("o")).alias("gain_pct"),
                     MT.adaptation_gain(F.col("s"), F.col("o"), abs_of_sum=True).alias("gain_pct_alt"))
 
@@ -392,24 +395,41 @@ def _test_blocks(spark, sf, ws):
     return prep, SP.row_blocks(test, ["traffic_date", "road_name"], ws)
 
 
-@register("expanding_prefix")
-def q_expanding_prefix(spark, sf):
-    """WN-14: rows available to the online model before block i (training rows + blocks < i)."""
+_PREFIX_SQL = """,
+te AS (SELECT volume, row_number() OVER (ORDER BY traffic_date, road_name) AS k, count(*) OVER () AS n
+       FROM sp WHERE is_test),
+bl AS (SELECT CAST(floor((k - 1) / 100) + 1 AS INT) AS block, count(*) AS block_rows, sum(volume) AS s FROM te
+       WHERE n // 100 >= 2 AND k <= (n // 100) * 100 GROUP BY 1),
+tr AS (SELECT count(*) AS nt, sum(volume) AS st FROM sp WHERE NOT is_test),
+px AS (SELECT block, block_rows, nt + coalesce(sum(block_rows) OVER w, 0) AS train_rows,
+              st + coalesce(sum(s) OVER w, 0.0e0) AS train_sum
+       FROM bl, tr WINDOW w AS (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def _prefixes(spark, sf):
+    """Per block: its rows, and the number and label sum of the training rows and all blocks before it."""
     prep, blocks = _test_blocks(spark, sf, 100)
-    n_train = prep.train.agg(F.count(F.lit(1)).alias("_nt"))
-    per = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("block_rows"))
+    train = prep.train.agg(F.count(F.lit(1)).alias("_nt"), F.sum("label").alias("_st"))
+    per = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("block_rows"), F.sum("label").alias("_s"))
     w = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    return per.crossJoin(n_train).select(
-        "block", "block_rows", (F.col("_nt") + F.coalesce(F.sum("block_rows").over(w), F.lit(0))).alias("train_rows"))
+    return per.crossJoin(F.broadcast(train)).select(
+        "block", "block_rows", (F.col("_nt") + F.coalesce(F.sum("block_rows").over(w), F.lit(0))).alias("train_rows"),
+        (F.col("_st") + F.coalesce(F.sum("_s").over(w), F.lit(0.0))).alias("train_sum"))
+
+
+@register("expanding_prefix", WX(_SPLIT_CTE + _PREFIX_SQL + """
+SELECT block, block_rows, CAST(train_rows AS BIGINT) AS train_rows FROM px"""))
+def q_expanding_prefix(spark, sf):
+    """WN-14: rows available to the online model before block i (training rows + blocks < i)."""
+    return _prefixes(spark, sf).select("block", "block_rows", "train_rows")
 
 
-@register("expand_training")
+@register("expand_training", WX(_SPLIT_CTE + _PREFIX_SQL + f"""
+SELECT block, CAST(train_rows AS BIGINT) AS rows, {sql_rnd('train_sum / train_rows', 4)} AS label_mean FROM px"""))
 def q_expand_training(spark, sf):
-    """SO-03: training rows stacked with the test blocks already seen (here: before block 3)."""
-    prep, blocks = _test_blocks(spark, sf, 100)
-    seen = blocks.where(F.col("block") < 3).select("row_id", "label")
-    stacked = prep.train.select("row_id", "label").unionByName(seen)
-    return stacked.agg(F.count(F.lit(1)).alias("rows"), F.avg("label").alias("label_mean"))
+    """SO-03: for every block, the training rows stacked with all the test blocks already seen."""
+    return _prefixes(spark, sf).select("block", F.col("train_rows").alias("rows"),
+                                       rnd(F.col("train_sum") / F.col("train_rows"), 4).alias("label_mean"))
 
 
 @register("stream_score")

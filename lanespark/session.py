@@ -47,11 +47,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/object store) folder there; we read it and
-    register it with the context. Only when it is unset (local tests) do we
-    create a private scratch folder.
+    register it with the context. Only a local master may leave it unset; it
+    gets a private scratch folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lanespark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext

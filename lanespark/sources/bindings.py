@@ -247,3 +247,11 @@ def with_bindings(sql: str, *names: str, extra: dict[str, str] | None = None) ->
     if not parts:
         return sql.strip()
     return "WITH " + ",\n".join(parts) + "\n" + sql.strip()
+
+
+def version(spark, sf_dir: str, name: str) -> tuple:
+    """What identifies a table's files as they are now: their number, newest change and names."""
+    f = table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_modification_time",
+                                          "_metadata.file_size").distinct()
+    return tuple(f.agg(F.count("*"), F.max("file_modification_time").cast("string"), F.sum("file_size"),
+                       F.bit_xor(F.xxhash64("file_path"))).first())

@@ -7,6 +7,7 @@ and the daily upsert can overwrite just the dates it touches.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,7 +63,9 @@ def scan_raw(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """SRC-03: raw readings; an absent or empty location gives an empty frame."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - a missing path is "no data yet"
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -88,14 +91,17 @@ def scan_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return df.where(~F.col("is_test")), df.where(F.col("is_test"))
 
 
-def metadata_frame(spark: SparkSession, df: DataFrame, features: list[str], target: str,
-                   encoders: dict[str, dict[str, int]]) -> DataFrame:
-    """SNK-04: one-row metadata (feature list, sizes, date range, encoder maps) as a DataFrame."""
+def metadata_frame(df: DataFrame, features: list[str], target: str, encoded: list[str]) -> DataFrame:
+    """SNK-04: one-row metadata (feature list, sizes, date range, encoder maps) as a DataFrame.
+
+    The maps (alphabetical code of each value of the ``encoded`` columns) are built inside Spark."""
     stats = df.agg(F.count(F.lit(1)).alias("n_rows"), F.min("traffic_date").alias("first_date"),
                    F.max("traffic_date").alias("last_date"))
-    maps = F.create_map(*[x for k, m in encoders.items()
-                          for x in (F.lit(k), F.map_from_arrays(F.array(*[F.lit(a) for a in m]),
-                                                                F.array(*[F.lit(v) for v in m.values()])))])
+    for c in encoded:
+        values = df.agg(F.array_sort(F.collect_set(c)).alias("v"))  # a set of one column's categories
+        stats = stats.crossJoin(values.select(F.map_from_entries(F.transform(
+            "v", lambda x, i: F.struct(x, i))).alias(f"_map_{c}")))
+    maps = F.create_map(*[x for c in encoded for x in (F.lit(c), F.col(f"_map_{c}"))])
     return stats.select(F.array(*[F.lit(f) for f in features]).alias("features"), F.lit(target).alias("target"),
                         "n_rows", F.concat_ws(" to ", F.col("first_date").cast("string"),
                                               F.col("last_date").cast("string")).alias("date_range"),
