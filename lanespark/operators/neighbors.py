@@ -1,44 +1,124 @@
-"""Nearest neighbours without an all-pairs join (JN-09, SL-08, ML-05, ML-14).
-
-Candidates come from random-projection LSH (``BucketedRandomProjectionLSH``):
-only rows that share a hash bucket in some table are compared, and only pairs
-within ``threshold`` survive. The k nearest per query row are then chosen with
-a window over that row's candidates. This is an *approximation* of exact kNN
-(a true neighbour that never shares a bucket is missed); it is named so, and
-the tests measure it against brute force on a small fixture.
+"""Exact nearest neighbours over cells with distance bounds (JN-09, SL-08, ML-05, ML-14).
+
+The base rows are dealt to cells around k-means centres; the number of cells
+grows with the rows, and a crowded cell is cut into blocks of bounded size.
+Each query first looks into the nearest cells that hold k rows. Its k-th
+distance then rules out every cell whose centre lies farther away than that
+distance plus the cell's radius (triangle inequality); the cells that are left
+are searched in a second pass, so the result is exact and every query has k
+neighbours (or all rows, if there are fewer). A block compares its vectors with
+the queries sent to it and returns only the k best for each: pairs are never
+emitted. On clustered vectors the compared share falls as rows grow; on vectors
+without structure the bounds rule out little and the second pass is a blocked
+scan.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+#: The centres are fitted on at most this many rows, and there are at most a quarter as many cells.
+SAMPLE_ROWS = 4096
+
+
+def _centers(base: DataFrame, n: int, cell_rows: int, seed: int) -> np.ndarray:
+    k = max(2, min(SAMPLE_ROWS // 4, n // cell_rows))
+    few = base.orderBy(F.xxhash64("neighbor_id", F.lit(seed)), "neighbor_id").limit(SAMPLE_ROWS) \
+        .select(array_to_vector("v").alias("features"))
+    return np.array(KMeans(k=k, seed=seed, maxIter=10).fit(cut_lineage(few)).clusterCenters())
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, cell_rows: int = 256, block_rows: int = 4096,
+            query_rows: int = 8192, seed: int = 42) -> DataFrame:
+    """JN-09 + SL-08: (query_id, neighbor_id, distance, rank), the exact k nearest base rows of every query.
+
+    ``queries`` has ``query_id``, ``v`` (array of double) and ``grp``, ``base``
+    has ``neighbor_id``, ``v`` and ``grp``: rows of an equal non-null group are
+    not each other's neighbours (NULL excludes nothing). Distances are
+    Euclidean in double; ties go by neighbour id.
+    """
+    n = base.count()
+    empty = base.sparkSession.createDataFrame([], "query_id long, neighbor_id long, distance double, rank int")
+    if n == 0 or not queries.take(1):
+        return empty
+    centers = _centers(base, n, cell_rows, seed)
+
+    def place(frames):
+        for f in frames:
+            if len(f):
+                x = np.stack(f["v"].to_numpy()).astype(float)
+                d = np.sqrt(np.maximum(((x[:, None, :] - centers[None]) ** 2).sum(2), 0)) if len(x) * len(centers) < 200_000 \
+                    else np.stack([np.linalg.norm(centers - row, axis=1) for row in x])
+                yield f.assign(cell=d.argmin(1).astype("int32"), away=d.min(1))
 
-def lsh_candidates(queries: DataFrame, base: DataFrame, id_q: str, id_b: str, vec: str = "v",
-                   bucket_length: float = 1.0, tables: int = 6, threshold: float = 1.3, seed: int = 42) -> DataFrame:
-    """JN-09: (query id, base id, distance) for candidate pairs within ``threshold``."""
-    lsh = BucketedRandomProjectionLSH(inputCol=vec, outputCol="_hash", bucketLength=bucket_length,
-                                      numHashTables=tables, seed=seed)
-    model = lsh.fit(base)
-    pairs = model.approxSimilarityJoin(queries, base, threshold, distCol="distance")
-    return pairs.select(F.col(f"datasetA.{id_q}").alias("query_id"), F.col(f"datasetB.{id_b}").alias("neighbor_id"),
-                        "distance")
+    placed = cut_lineage(base.select("neighbor_id", "v", "grp").mapInPandas(
+        place, "neighbor_id long, v array<double>, grp long, cell int, away double"))
+    cells = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(
+        F.count("*").alias("n"), F.max("away").alias("radius")).collect()}  # one row per cell
+    sizes = np.array([cells.get(c, (0, 0.0))[0] for c in range(len(centers))])
+    radius = np.array([cells.get(c, (0, 0.0))[1] for c in range(len(centers))])
+    blocks = np.maximum(1, -(-sizes // block_rows))
+    n_parts = max(1, -(-queries.count() // query_rows))  # parts of the query set
+    size_of = F.array(*[F.lit(int(b)) for b in blocks])
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("neighbor_id"), F.element_at(size_of, F.col("cell") + 1))
+                              .cast("int")) \
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
 
+    def probe(first: bool):
+        def run(frames):
+            for f in frames:
+                rows = []
+                for q, v, g, kth in zip(f["query_id"], f["v"], f["grp"], f["kth"]):
+                    d = np.linalg.norm(centers - np.asarray(v, float), axis=1)
+                    order = np.argsort(d, kind="stable")
+                    need = int(np.searchsorted(np.cumsum(sizes[order]), min(k, n)) + 1)
+                    near = order[:need]
+                    if not first:
+                        bound = np.inf if pd.isna(kth) else kth * (1 + 1e-9) + 1e-9
+                        near = np.setdiff1d(np.nonzero((sizes > 0) & (d - radius <= bound))[0], near)
+                    rows += [(q, v, g, int(c), b) for c in near if sizes[c] for b in range(blocks[c])]
+                yield pd.DataFrame(rows, columns=["query_id", "v", "grp", "cell", "block"])
+        return run
 
-def top_k(pairs: DataFrame, k: int, salt_buckets: int = 16) -> DataFrame:
+    def search(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(b):
+            x, ids, grp = np.stack(b["v"].to_numpy()).astype(float), b["neighbor_id"].to_numpy(), b["grp"].to_numpy(float)
+            for query, v, g in zip(q["query_id"], q["v"], q["grp"].to_numpy(float)):
+                d = np.sqrt(((x - np.asarray(v, float)) ** 2).sum(1))
+                ok = np.nonzero(grp != g)[0]
+                best = ok[np.lexsort((ids[ok], d[ok]))[:k]]
+                out += [(query, ids[i], d[i]) for i in best]
+        return pd.DataFrame(out, columns=["query_id", "neighbor_id", "distance"])
+
+    def look(asked: DataFrame, first: bool) -> DataFrame:
+        sent = asked.mapInPandas(probe(first), "query_id long, v array<double>, grp long, cell int, block int") \
+            .withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_parts)).cast("int"))
+        keys = ["cell", "block", "part"]
+        return sent.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(
+            search, "query_id long, neighbor_id long, distance double")
+
+    asked = queries.select("query_id", "v", "grp", F.lit(None).cast("double").alias("kth"))
+    one = cut_lineage(top_k(look(asked, True), k))
+    kth = one.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("kth"))
+    again = queries.select("query_id", "v", "grp").join(kth, "query_id", "left")
+    return top_k(one.drop("rank").unionByName(look(again, False)), k)
+
+
+def top_k(pairs: DataFrame, k: int) -> DataFrame:
     """SL-08: the k closest candidates of every query row (distance, then id, break ties).
 
-    Two stages so that a query with a huge candidate set never sorts all of it in
-    one task: first the k best inside (query, salt) sub-groups (salt = hash of the
-    neighbour id), then the k best of those <= salt_buckets * k survivors.
+    Each block already returned its k best, so a query's candidates are a few rows per block.
     """
-    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("neighbor_id"), F.lit(salt_buckets)))
-    w1 = Window.partitionBy("query_id", "_salt").orderBy("distance", "neighbor_id")
-    local = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn_predict(neigh: DataFrame, labels: DataFrame, id_b: str, label: str, weights: str = "uniform") -> DataFrame:
@@ -56,19 +136,32 @@ def knn_predict(neigh: DataFrame, labels: DataFrame, id_b: str, label: str, weig
                     .otherwise(F.col("_num") / F.col("_den")).alias("prediction"), "n_neighbors")
 
 
-def elbow_curve(neigh: DataFrame, labels: DataFrame, truth: DataFrame, id_b: str, label: str, id_q: str,
-                max_k: int = 30) -> DataFrame:
-    """ML-14: R2 for every k = 1..max_k from ONE ranking (running mean of labels by rank)."""
-    j = neigh.where(F.col("rank") <= max_k).join(
-        labels.select(F.col(id_b).alias("neighbor_id"), F.col(label).alias("_y")), "neighbor_id")
+def elbow_curve(neigh: DataFrame, labels: DataFrame, max_k: int = 30) -> DataFrame:
+    """ML-14: cross-validated R2 for every k = 1..max_k from ONE ranking, and the best k.
+
+    ``neigh`` ranks every row's neighbours outside its own fold; ``labels`` has
+    ``id``, ``fold`` and ``label``. R2 is the mean of the folds' R2; the first
+    k with the greatest mean is best.
+    """
+    base = labels.select(F.col("id").alias("neighbor_id"), F.col("label").alias("_y"))
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    run = j.select("query_id", F.col("rank").alias("k"), F.avg("_y").over(w).alias("prediction"))
-    t = run.join(truth.select(F.col(id_q).alias("query_id"), F.col(label).alias("actual")), "query_id")
+    run = neigh.where(F.col("rank") <= max_k).join(base, "neighbor_id") \
+        .select("query_id", F.col("rank").alias("k"), F.avg("_y").over(w).alias("prediction"))
+    t = run.join(labels.select(F.col("id").alias("query_id"), "fold", F.col("label").alias("actual")), "query_id")
     err = F.col("actual") - F.col("prediction")
-    g = t.groupBy("k").agg(F.sum(err * err).alias("_sse"), (F.var_pop("actual") * F.count(F.lit(1))).alias("_sst"),
-                           F.count(F.lit(1)).alias("n"))
-    return g.select("k", "n", (F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst"))).alias("r2"))
+    per = t.groupBy("k", "fold").agg(F.sum(err * err).alias("_sse"),
+                                     (F.var_pop("actual") * F.count(F.lit(1))).alias("_sst"))
+    g = per.groupBy("k").agg(F.avg(F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst"))).alias("cv_r2"))
+    best = Window.orderBy(F.desc("cv_r2"), "k")  # max_k rows
+    return g.withColumn("is_best", F.row_number().over(best) == 1)
+
+
+def _ship_by_value() -> None:
+    """Python workers may not have this package: send the functions above by value."""
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def with_vector(df: DataFrame, col: str, out: str = "v") -> DataFrame:
-    return df.withColumn(out, array_to_vector(F.transform(col, lambda x: x.cast("double"))))
+_ship_by_value()

@@ -218,49 +218,82 @@ def q_window_summary(spark, sf):
 
 
 # ---- nearest neighbours on the embeddings table -------------------------------------
+# Queries: vec_id % 10 < 3; base: the rest. Distances in double.
 def _emb(spark, sf):
-    e = NB.with_vector(B.table(spark, sf, "embeddings"), "embedding")
-    test = e.where(F.col("vec_id") % 10 < 3)
-    train = e.where(F.col("vec_id") % 10 >= 3)
-    return train, test
+    e = B.table(spark, sf, "embeddings").select(
+        "vec_id", F.col("label").cast("double").alias("label"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.lit(None).cast("long").alias("grp"))
+    return e.where(F.col("vec_id") % 10 >= 3), e.where(F.col("vec_id") % 10 < 3)
 
 
 def _neighbours(spark, sf, k):
     train, test = _emb(spark, sf)
-    pairs = NB.lsh_candidates(test.select("vec_id", "v"), train.select("vec_id", "v"), "vec_id", "vec_id")
-    return NB.top_k(pairs, k), train, test
+    found = NB.nearest(test.withColumnRenamed("vec_id", "query_id"), train.withColumnRenamed("vec_id", "neighbor_id"), k)
+    return found, train, test
 
 
-@register("knn_candidates")
+def _nearest_sql(k: int, body: str) -> str:
+    return f"""
+WITH e AS (SELECT vec_id, CAST(label AS DOUBLE) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, q.label AS actual, b.vec_id AS neighbor_id, b.label,
+             list_distance(q.v, b.v) AS distance
+      FROM e q JOIN e b ON q.vec_id % 10 < 3 AND b.vec_id % 10 >= 3),
+nn AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INT) AS rank
+                      FROM d) WHERE rank <= {k})
+{body}"""
+
+
+@register("knn_candidates", _nearest_sql(30, f"SELECT query_id, neighbor_id, {sql_rnd('distance', 8)} AS distance FROM nn"))
 def q_knn_candidates(spark, sf):
-    """JN-09: LSH candidate pairs (test x train) within the distance threshold — no all-pairs join."""
-    train, test = _emb(spark, sf)
-    pairs = NB.lsh_candidates(test.select("vec_id", "v"), train.select("vec_id", "v"), "vec_id", "vec_id")
-    return pairs.select("query_id", "neighbor_id", rnd("distance", 8).alias("distance"))
+    """JN-09: the 30 nearest training vectors of every test vector, found through cells and distance bounds."""
+    nb, _, _ = _neighbours(spark, sf, 30)
+    return nb.select("query_id", "neighbor_id", rnd("distance", 8).alias("distance"))
 
 
-@register("topk_per_group")
+@register("topk_per_group", _nearest_sql(8, f"SELECT query_id, neighbor_id, {sql_rnd('distance', 8)} AS distance, rank FROM nn"))
 def q_topk_per_group(spark, sf):
-    """SL-08: the 8 nearest candidates of every test vector."""
+    """SL-08: the 8 nearest training vectors of every test vector."""
     nb, _, _ = _neighbours(spark, sf, 8)
     return nb.select("query_id", "neighbor_id", rnd("distance", 8).alias("distance"), "rank")
 
 
-@register("knn")
+@register("knn", _nearest_sql(8, f"""
+, p AS (SELECT query_id, max(actual) AS actual, CASE WHEN count_if(distance = 0) > 0
+               THEN avg(label) FILTER (WHERE distance = 0) ELSE sum(label / distance) / sum(1.0e0 / distance) END AS pred
+        FROM nn GROUP BY 1)
+SELECT count(*) AS n, {sql_rnd('1.0e0 - sum((actual - pred) * (actual - pred)) / nullif(var_pop(actual) * count(*), 0)', 6)} AS r2,
+       {sql_rnd('sqrt(sum((actual - pred) * (actual - pred)) / count(*))', 6)} AS rmse,
+       {sql_rnd('avg(abs(actual - pred))', 6)} AS mae FROM p"""))
 def q_knn(spark, sf):
     """ML-05: k=8 distance-weighted neighbour regression of the label, with metrics."""
     nb, train, test = _neighbours(spark, sf, 8)
     pred = NB.knn_predict(nb, train, "vec_id", "label", "distance")
-    t = pred.join(test.select(F.col("vec_id").alias("query_id"), F.col("label").cast("double").alias("actual")),
-                  "query_id")
-    return MT.regression_metrics(t, "actual", "prediction")
-
-
-@register("elbow_k")
+    t = pred.join(test.select(F.col("vec_id").alias("query_id"), F.col("label").alias("actual")), "query_id")
+    m = MT.regression_metrics(t, "actual", "prediction")
+    return m.select("n", *[rnd(c, 6).alias(c) for c in ("r2", "rmse", "mae")])
+
+
+@register("elbow_k", f"""
+WITH e AS (SELECT vec_id, CAST(label AS DOUBLE) AS label, CAST(embedding AS DOUBLE[]) AS v,
+                  ntile(5) OVER (ORDER BY vec_id) AS fold FROM embeddings WHERE vec_id % 10 >= 3),
+nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM (
+         SELECT q.vec_id AS query_id, q.label AS actual, q.fold, b.vec_id AS neighbor_id, b.label,
+                list_distance(q.v, b.v) AS distance FROM e q JOIN e b ON q.fold <> b.fold)),
+r AS (SELECT fold, rank AS k, actual, avg(label) OVER (PARTITION BY query_id ORDER BY rank
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pred FROM nn WHERE rank <= 30),
+f AS (SELECT k, fold, 1.0e0 - sum((actual - pred) * (actual - pred)) / nullif(var_pop(actual) * count(*), 0) AS r2
+      FROM r GROUP BY 1, 2),
+g AS (SELECT k, avg(r2) AS cv_r2 FROM f GROUP BY 1)
+SELECT CAST(k AS INT) AS k, {sql_rnd('cv_r2', 6)} AS cv_r2, row_number() OVER (ORDER BY cv_r2 DESC, k) = 1 AS is_best FROM g""")
 def q_elbow_k(spark, sf):
-    """ML-14: R2 for k = 1..30 from one neighbour ranking."""
-    nb, train, test = _neighbours(spark, sf, 30)
-    return NB.elbow_curve(nb, train, test, "vec_id", "label", "vec_id", 30)
+    """ML-14: 5-fold cross-validated R2 for k = 1..30 on the training vectors, and the best k."""
+    train, _ = _emb(spark, sf)
+    numbered = global_row_number(train, ["vec_id"], "_k", total="_n")
+    rows = numbered.select("vec_id", "label", "v",
+                           SP.contiguous_folds(F.col("_k"), F.col("_n"), 5).cast("long").alias("grp"))
+    nb = NB.nearest(rows.withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "neighbor_id"), 30)
+    curve = NB.elbow_curve(nb, rows.select(F.col("vec_id").alias("id"), F.col("grp").alias("fold"), "label"), 30)
+    return curve.select("k", rnd("cv_r2", 6).alias("cv_r2"), "is_best")
 
 
 # ---- multi-horizon, selection-driven refit, ensembles -------------------------------

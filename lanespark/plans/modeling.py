@@ -274,41 +274,52 @@ def q_broadcast_scalar(spark, sf):
 
 
 # ---- ensembles on given predictions -------------------------------------------------
-# Base predictors over the prediction rows; "CV" scores are measured on line numbers 1-4.
+# The given predictions carry no signal of the actual values, so the base predictors are simulated readings of it
+# with errors from the given prediction. They cover all prediction rows; five folds by order key. A base's CV score is the mean of its
+# folds' R2; the stacked prediction of a fold is a least-squares fit of the actual on p_price in the other folds.
 
 _BASES_SQL = """
-bases AS (SELECT l_orderkey, l_linenumber, actual, predicted AS p_price, predicted * 0.9e0 AS p_discounted,
-                 (actual + predicted) / 2.0e0 AS p_blend FROM predictions),
-long AS (SELECT l_orderkey, l_linenumber, actual, 'p_price' AS base, p_price AS pred FROM bases
-         UNION ALL SELECT l_orderkey, l_linenumber, actual, 'p_discounted', p_discounted FROM bases
-         UNION ALL SELECT l_orderkey, l_linenumber, actual, 'p_blend', p_blend FROM bases),
-cv AS (SELECT base, 1.0e0 - sum((actual - pred) * (actual - pred)) / nullif(var_pop(actual) * count(*), 0) AS cv_r2
-       FROM long WHERE l_linenumber <= 4 GROUP BY 1),
+bases AS (SELECT l_orderkey, l_linenumber, l_orderkey % 5 AS fold, actual,
+                 0.6e0 * actual + 0.4e0 * predicted AS p_price, 0.5e0 * actual + 0.4e0 * predicted AS p_discounted,
+                 0.8e0 * actual + 0.1e0 * predicted AS p_shrunk FROM predictions),
+long AS (SELECT fold, actual, 'p_price' AS base, p_price AS pred FROM bases
+         UNION ALL SELECT fold, actual, 'p_discounted', p_discounted FROM bases
+         UNION ALL SELECT fold, actual, 'p_shrunk', p_shrunk FROM bases),
+per AS (SELECT base, fold, 1.0e0 - sum((actual - pred) * (actual - pred)) / nullif(var_pop(actual) * count(*), 0) AS r2
+        FROM long GROUP BY 1, 2),
+cv AS (SELECT base, avg(r2) AS cv_r2 FROM per GROUP BY 1),
 wt AS (SELECT base, cv_r2, greatest(cv_r2, 0.0e0) / sum(greatest(cv_r2, 0.0e0)) OVER () AS weight FROM cv),
 w1 AS (SELECT max(weight) FILTER (WHERE base = 'p_price') AS w_price,
               max(weight) FILTER (WHERE base = 'p_discounted') AS w_discounted,
-              max(weight) FILTER (WHERE base = 'p_blend') AS w_blend FROM wt),
-ens AS (SELECT actual, w_price * p_price + w_discounted * p_discounted + w_blend * p_blend AS weighted
-        FROM bases, w1)"""
+              max(weight) FILTER (WHERE base = 'p_shrunk') AS w_shrunk FROM wt),
+ens AS (SELECT actual, w_price * p_price + w_discounted * p_discounted + w_shrunk * p_shrunk AS weighted
+        FROM bases, w1),
+sums AS (SELECT fold, count(*) AS n, avg(p_price) AS mx, avg(actual) AS my, var_pop(p_price) AS vx,
+                covar_pop(p_price, actual) AS cxy FROM bases GROUP BY 1),
+meta AS (SELECT a.fold, sum(b.n * b.mx) / sum(b.n) AS mx, sum(b.n * b.my) / sum(b.n) AS my,
+                sum(b.n * (b.cxy + b.mx * b.my)) / sum(b.n) AS exy, sum(b.n * (b.vx + b.mx * b.mx)) / sum(b.n) AS exx
+         FROM sums a JOIN sums b ON a.fold <> b.fold GROUP BY 1),
+stk AS (SELECT actual, my + (exy - mx * my) / (exx - mx * mx) * (p_price - mx) AS stacked FROM bases JOIN meta USING (fold))"""
 
 
 def _bases(spark, sf):
     p = preds(spark, sf)
-    return p.select("l_orderkey", "l_linenumber", "actual",
-                    F.col("predicted").alias("p_price"), (F.col("predicted") * F.lit(0.9)).alias("p_discounted"),
-                    ((F.col("actual") + F.col("predicted")) / F.lit(2.0)).alias("p_blend"))
+    mix = lambda a, b: F.lit(a) * F.col("actual") + F.lit(b) * F.col("predicted")
+    return p.select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 5).alias("fold"), "actual",
+                    mix(0.6, 0.4).alias("p_price"), mix(0.5, 0.4).alias("p_discounted"), mix(0.8, 0.1).alias("p_shrunk"))
 
 
-_BASE_NAMES = ["p_price", "p_discounted", "p_blend"]
+_BASE_NAMES = ["p_price", "p_discounted", "p_shrunk"]
 
 
 def _weighted(spark, sf):
     b = _bases(spark, sf)
-    long = b.select("l_orderkey", "l_linenumber", "actual", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("base"), F.col(n).alias("pred")) for n in _BASE_NAMES])).alias("_s")) \
-        .select("l_orderkey", "l_linenumber", "actual", "_s.base", "_s.pred")
-    cv = MT.regression_metrics(long.where(F.col("l_linenumber") <= 4), "actual", "pred", ["base"]) \
-        .select("base", F.col("r2").alias("cv_r2"))
+    # one pass over the rows gives every base's R2 in every fold (15 numbers)
+    err = [F.sum((F.col("actual") - F.col(n)) * (F.col("actual") - F.col(n))).alias(n) for n in _BASE_NAMES]
+    per = b.groupBy("fold").agg((F.var_pop("actual") * F.count(F.lit(1))).alias("_sst"), *err)
+    cv = per.select(F.explode(F.array(*[F.struct(F.lit(n).alias("base"), (F.lit(1.0) - F.try_divide(
+        F.col(n), F.col("_sst"))).alias("r2")) for n in _BASE_NAMES])).alias("_s")).select("_s.*") \
+        .groupBy("base").agg(F.avg("r2").alias("cv_r2"))
     w = MT.ensemble_weights(cv)  # one row per base model
     # pivot the weights to ONE row and broadcast it: the weighted sum is then a
     # per-row projection of the base predictions (no shuffle of prediction rows)
@@ -321,6 +332,22 @@ def _weighted(spark, sf):
     return w, ens
 
 
+def _stacked(spark, sf):
+    """Out-of-fold least squares of the actual on p_price: the moments of the other four folds (5 rows)."""
+    b = _bases(spark, sf)
+    m = b.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("p_price").alias("mx"), F.avg("actual").alias("my"),
+                              F.var_pop("p_price").alias("vx"), F.covar_pop("p_price", "actual").alias("cxy"))
+    o = m.select(F.col("fold").alias("other"), "n", "mx", "my", "vx", "cxy")
+    mean = lambda e: F.sum(F.col("n") * e) / F.sum("n")
+    x, y = F.col("mx"), F.col("my")
+    meta = m.select("fold").join(F.broadcast(o), F.col("fold") != F.col("other")).groupBy("fold").agg(
+        mean(x).alias("ex"), mean(y).alias("ey"), mean(F.col("cxy") + x * y).alias("exy"),
+        mean(F.col("vx") + x * x).alias("exx"))
+    slope = (F.col("exy") - F.col("ex") * F.col("ey")) / (F.col("exx") - F.col("ex") * F.col("ex"))
+    return b.join(F.broadcast(meta), "fold").select(
+        "actual", (F.col("ey") + slope * (F.col("p_price") - F.col("ex"))).alias("stacked"))
+
+
 def EX(sql: str) -> str:
     """Oracle over the prediction binding plus the base-model / weight CTEs."""
     return MX(_BASES_SQL.strip() + "\n" + sql.strip(), "predictions")
@@ -341,16 +368,17 @@ def q_weighted_ensemble(spark, sf):
 
 
 @register("pick_best", EX("""
-SELECT CASE WHEN """ + R("s.r2", 10) + " > " + R("w.r2", 10) + """ THEN 'Stacking Ensemble' ELSE 'Weighted Ensemble' END AS chosen FROM
-  (SELECT 1.0e0 - sum((actual - p_blend) * (actual - p_blend)) / nullif(var_pop(actual) * count(*), 0) AS r2 FROM bases) s,
+SELECT CASE WHEN """ + R("s.r2", 10) + " > " + R("w.r2", 10) + """ THEN 'Stacking Ensemble' ELSE 'Weighted Ensemble' END AS chosen,
+       """ + R("s.r2", 6) + " AS stacking_r2, " + R("w.r2", 6) + """ AS weighted_r2 FROM
+  (SELECT 1.0e0 - sum((actual - stacked) * (actual - stacked)) / nullif(var_pop(actual) * count(*), 0) AS r2 FROM stk) s,
   (SELECT 1.0e0 - sum((actual - weighted) * (actual - weighted)) / nullif(var_pop(actual) * count(*), 0) AS r2 FROM ens) w"""))
 def q_pick_best(spark, sf):
     """EN-03: stacking only if its R2 is strictly greater than the weighted ensemble's."""
     _, ens = _weighted(spark, sf)
-    b = _bases(spark, sf)
-    s = MT.regression_metrics(b, "actual", "p_blend").select(F.col("r2").alias("_s"))
+    s = MT.regression_metrics(_stacked(spark, sf), "actual", "stacked").select(F.col("r2").alias("_s"))
     w = MT.regression_metrics(ens, "actual", "weighted").select(F.col("r2").alias("_w"))
     # "strictly greater" at 1e-10: two R2 values of identical predictions must not be
     # separated by the summation order of their aggregations
     return s.crossJoin(w).select(F.when(rnd("_s", 10) > rnd("_w", 10), "Stacking Ensemble")
-                                 .otherwise("Weighted Ensemble").alias("chosen"))
+                                 .otherwise("Weighted Ensemble").alias("chosen"),
+                                 rnd("_s", 6).alias("stacking_r2"), rnd("_w", 6).alias("weighted_r2"))
