@@ -4,11 +4,9 @@ Ridge refits on "training rows + every earlier block" need only the Gram
 statistics of each block: G_b = X_b'X_b (with an intercept column), X_b'y,
 y'y and n. They are computed in ONE pass: every task folds its rows into
 per-block partial Grams (numpy inside the task), and a group-by on the block
-adds the partials (a group holds one row per contributing task, so its size
-is bounded by the partition count, not by the data). The driver then solves a
-p x p system per block — O(blocks * p^3), independent of the row count — and
-the coefficient table (blocks x p, small) is broadcast back to score every
-row exactly.
+adds the partials in a tree of two levels. Cross-validation solves its few
+folds on the driver; online adaptation carries a running Gram through ordered
+pieces of the rows and solves inside the tasks.
 """
 
 from __future__ import annotations
@@ -18,9 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import regression_metrics
-
-
 #: Groups of the first merge level of partial Grams.
 MERGE_FAN_IN = 64
 
@@ -83,134 +78,83 @@ def solve_ridge(G: np.ndarray, xy: np.ndarray, alpha: float) -> np.ndarray:
 
 
 def r2_from_stats(s: dict, w: np.ndarray) -> float:
-    sse = s["yy"] - 2 * w @ s["xy"] + w @ s["G"] @ w
-    sy = s["xy"][-1]
-    sst = s["yy"] - sy * sy / s["n"]
+    """R2 of coefficients ``w`` from sufficient statistics.
+
+    Both sums are taken about the label's mean: the last column is the
+    intercept, so subtracting the mean from it centres every prediction."""
+    n, mean = s["n"], s["xy"][-1] / s["n"]
+    v = w.copy()
+    v[-1] -= mean
+    xy = s["xy"] - mean * s["G"][-1]
+    sst = s["yy"] - n * mean * mean
+    sse = sst - 2 * v @ xy + v @ s["G"] @ v
     return float(1 - sse / sst) if sst > 0 else float("nan")
 
 
-def online_adaptation(spark, train: DataFrame, test_blocks: DataFrame, x: str, y: str, p: int,
-                      alpha: float = 0.001) -> DataFrame:
-    """ON-01/02: static ridge (train only) vs online ridge (train + earlier blocks) per block.
+def online_adaptation(train: DataFrame, test: DataFrame, order: list, x: str, y: str, p: int,
+                      window_sizes: list[int], alpha: float = 0.001, min_blocks: int = 2,
+                      piece_rows: int = 20_000) -> DataFrame:
+    """ON-01/02: static ridge (training rows only) vs online ridge (training rows + earlier blocks) per block.
 
-    Fully distributed: per-block Grams (one row per block), cumulative sums of
-    the earlier blocks with a window over the block order on the long form
-    (partitioned by matrix entry, so no task holds more than one entry's
-    series), and one p x p solve per block inside ``applyInPandas``.
-    """
-    q = p + 1
-    rows = train.select(F.lit(0).alias("block"), x, y).unionByName(test_blocks.select("block", x, y))
-    g = block_gram_frame(rows, "block", x, y)
-    # long form: entry e < q*q is the Gram, then q entries of X'y
-    long = g.select("block", F.posexplode(F.concat("gram", "xy")).alias("e", "v"))
-    base = long.where(F.col("block") == 0).select("e", F.col("v").alias("v0"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("e").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    tests = long.where(F.col("block") > 0)
-    cum = tests.withColumn("c", F.coalesce(F.sum("v").over(w), F.lit(0.0))).join(base, "e") \
-        .select("block", "e", "v0", (F.col("v0") + F.col("c")).alias("vc"))
-    packed = cum.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("e", "v0", "vc"))).alias("m"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out_b, out_s, out_o = [], [], []
-        for b, m in zip(pdf["block"], pdf["m"]):
-            v0 = np.array([t["v0"] for t in m])
-            vc = np.array([t["vc"] for t in m])
-            ws = solve_ridge(v0[:q * q].reshape(q, q), v0[q * q:], alpha)
-            wo = solve_ridge(vc[:q * q].reshape(q, q), vc[q * q:], alpha)
-            out_b.append(int(b))
-            out_s.append(ws.tolist())
-            out_o.append(wo.tolist())
-        return pd.DataFrame({"block": out_b, "w_static": out_s, "w_online": out_o})
-
-    coefs = packed.groupBy("block").applyInPandas(
-        solve, "block int, w_static array<double>, w_online array<double>")
-    first = coefs.agg(F.min("block").alias("_b1"))  # the first block uses the static model
-    coefs = coefs.crossJoin(first).withColumn(
-        "w_online", F.when(F.col("block") == F.col("_b1"), F.col("w_static")).otherwise(F.col("w_online"))).drop("_b1")
-    j = test_blocks.select("block", x, y).join(coefs, "block")
-
-    def pred(wcol):
-        # x has p entries, the coefficients p + 1 (intercept last)
-        return F.aggregate(F.zip_with(x, F.slice(wcol, 1, p), lambda a, b: a * b), F.lit(0.0),
-                           lambda acc, v: acc + v) + F.element_at(wcol, -1)
-
-    scored = j.select("block", F.col(y).alias("label"), pred("w_static").alias("p_static"),
-                      pred("w_online").alias("p_online"))
-    s = regression_metrics(scored, "label", "p_static", ["block"]).select("block", F.col("r2").alias("static_r2"))
-    o = regression_metrics(scored, "label", "p_online", ["block"]).select("block", F.col("r2").alias("online_r2"))
-    return s.join(o, "block")
-
-
-def online_adaptation_multi(spark, train: DataFrame, test: DataFrame, order: list, x: str, y: str, p: int,
-                            window_sizes: list[int], alpha: float = 0.001, min_blocks: int = 2) -> DataFrame:
-    """ON-01/02 for several window sizes with ONE numbering, ONE Gram pass and ONE solve stage.
-
-    Test rows are numbered once along ``order``; Grams are computed per granule
-    of g = gcd(window sizes) rows, and every block of every window size is a
-    sum of consecutive granules (blocks start at row 1 and the tail is dropped,
-    exactly as with blocks built directly).
+    Test rows are numbered once along ``order`` and cut into pieces of about
+    ``piece_rows`` rows at which blocks of every window size begin. One pass
+    gives each piece's Gram; their running sums (one p x p matrix per piece)
+    give the statistics of everything before a piece. A second pass takes each
+    piece with its prefix, carries a running Gram through its rows, solves at
+    every block's start and scores the block there. The static model is solved
+    once. Blocks start at row 1, the tail is dropped, and a window size with
+    fewer than ``min_blocks`` blocks has none.
     Returns (window_size, block, static_r2, online_r2).
     """
     from functools import reduce
-    from math import gcd
+    from math import gcd, lcm
 
     from pyspark.sql import Window
 
     from .ordering import global_row_number
 
-    q = p + 1
-    g = reduce(gcd, window_sizes)
-    num = global_row_number(test.select(*order, x, y), order, "_rn", total="_n")
-    num = num.withColumn("_gran", F.when(F.col("_rn") <= F.floor(F.col("_n") / g) * g,
-                                         F.floor((F.col("_rn") - 1) / g) + 1).cast("int"))
-    rows = train.select(F.lit(0).alias("_gran"), x, y).unionByName(
-        num.where(F.col("_gran").isNotNull()).select("_gran", x, y))
-    grams = block_gram_frame(rows, "_gran", x, y)
-    long = grams.select("_gran", F.posexplode(F.concat("gram", "xy")).alias("e", "v"))
-    base = long.where(F.col("_gran") == 0).select("e", F.col("v").alias("v0"))
-    n_total = num.agg(F.max("_n").alias("_n"))  # one row
-    # granule -> (window size, block) memberships, blocks that fit entirely, at least min_blocks of them
-    sizes = spark.createDataFrame([(int(w), int(w // g)) for w in window_sizes], "window_size int, _k int")
-    member = long.where(F.col("_gran") > 0).crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(n_total)) \
-        .withColumn("block", (F.floor((F.col("_gran") - 1) / F.col("_k")) + 1).cast("int")) \
-        .withColumn("_nb", F.floor(F.col("_n") / F.col("window_size"))) \
-        .where((F.col("block") <= F.col("_nb")) & (F.col("_nb") >= min_blocks))
-    per_block = member.groupBy("window_size", "block", "e").agg(F.sum("v").alias("v"))
-    w = Window.partitionBy("window_size", "e").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    cum = per_block.withColumn("c", F.coalesce(F.sum("v").over(w), F.lit(0.0))).join(F.broadcast(base), "e") \
-        .select("window_size", "block", "e", "v0", (F.col("v0") + F.col("c")).alias("vc"))
-    packed = cum.groupBy("window_size", "block").agg(F.sort_array(F.collect_list(F.struct("e", "v0", "vc"))).alias("m"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {"window_size": [], "block": [], "w_static": [], "w_online": []}
-        for ws_, b, m in zip(pdf["window_size"], pdf["block"], pdf["m"]):
-            v0 = np.array([t["v0"] for t in m])
-            vc = np.array([t["vc"] for t in m])
-            wst = solve_ridge(v0[:q * q].reshape(q, q), v0[q * q:], alpha)
-            won = wst if int(b) == 1 else solve_ridge(vc[:q * q].reshape(q, q), vc[q * q:], alpha)
-            out["window_size"].append(int(ws_))
-            out["block"].append(int(b))
-            out["w_static"].append(wst.tolist())
-            out["w_online"].append(won.tolist())
-        return pd.DataFrame(out)
-
-    coefs = packed.groupBy("window_size", "block").applyInPandas(
-        solve, "window_size int, block int, w_static array<double>, w_online array<double>")
-    scored_rows = num.where(F.col("_gran").isNotNull()).crossJoin(F.broadcast(sizes)) \
-        .withColumn("block", (F.floor((F.col("_gran") - 1) / F.col("_k")) + 1).cast("int")) \
-        .join(coefs, ["window_size", "block"])
-
-    def pred(wcol):
-        return F.aggregate(F.zip_with(x, F.slice(wcol, 1, p), lambda a, b: a * b), F.lit(0.0),
-                           lambda acc, v: acc + v) + F.element_at(wcol, -1)
-
-    scored = scored_rows.select("window_size", "block", F.col(y).alias("label"),
-                                pred("w_static").alias("p_static"), pred("w_online").alias("p_online"))
-    keys = ["window_size", "block"]
-    s_ = regression_metrics(scored, "label", "p_static", keys).select(*keys, F.col("r2").alias("static_r2"))
-    o_ = regression_metrics(scored, "label", "p_online", keys).select(*keys, F.col("r2").alias("online_r2"))
-    return s_.join(o_, keys)
+    q, g, span = p + 1, reduce(gcd, window_sizes), lcm(*window_sizes)
+    span *= max(1, piece_rows // span)
+    num = global_row_number(test.select(*order, x, y), order, "_rn", total="_n") \
+        .select("_rn", "_n", x, y, F.floor((F.col("_rn") - 1) / span).cast("int").alias("_piece"))
+    base = block_grams(train.select(F.lit(0).alias("_b"), x, y), "_b", x, y, p).get(0)
+    schema = "window_size int, block int, static_r2 double, online_r2 double"
+    if base is None:
+        return num.sparkSession.createDataFrame([], schema)
+    g0, xy0 = base["G"], base["xy"]
+    w_static = solve_ridge(g0, xy0, alpha)
+    long = block_gram_frame(num.select("_piece", x, y), "_piece", x, y) \
+        .select("_piece", F.posexplode(F.concat("gram", "xy")).alias("e", "v"))
+    before = Window.partitionBy("e").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = long.withColumn("c", F.coalesce(F.sum("v").over(before), F.lit(0.0))).groupBy("_piece") \
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("e", "c"))), lambda t: t["c"]).alias("_before"))
+
+    def run(key, rows: pd.DataFrame, pre: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(pre):
+            rows = rows.sort_values("_rn", ignore_index=True)
+            n, first = int(rows["_n"].iloc[0]), int(rows["_rn"].iloc[0]) - 1
+            xs = np.hstack([np.vstack(rows[x].to_numpy()), np.ones((len(rows), 1))])
+            ys = rows[y].to_numpy(dtype=np.float64)
+            flat = np.asarray(pre["_before"].iloc[0], dtype=np.float64)
+            gram, xy = g0 + flat[:q * q].reshape(q, q), xy0 + flat[q * q:]
+            for a in range(0, len(rows), g):
+                w_online = None
+                for ws in window_sizes:
+                    block = (first + a) // ws + 1
+                    if (first + a) % ws or n // ws < min_blocks or block > n // ws:
+                        continue
+                    if w_online is None:
+                        w_online = w_static if first + a == 0 else solve_ridge(gram, xy, alpha)
+                    xb, yb = xs[a:a + ws], ys[a:a + ws]
+                    sst = ((yb - yb.mean()) ** 2).sum()
+                    r2 = [float(1 - ((yb - xb @ w) ** 2).sum() / sst) if sst > 0 else None for w in (w_static, w_online)]
+                    out.append((ws, block, *r2))
+                gram = gram + xs[a:a + g].T @ xs[a:a + g]
+                xy = xy + xs[a:a + g].T @ ys[a:a + g]
+        return pd.DataFrame(out, columns=["window_size", "block", "static_r2", "online_r2"])
+
+    return num.groupBy("_piece").cogroup(prefix.groupBy("_piece")).applyInPandas(run, schema)
 
 
 def ridge_path(stats_by_fold: dict[int, dict], alphas: list[float]) -> list[tuple]:

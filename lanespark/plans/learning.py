@@ -197,8 +197,8 @@ def _compute_windows(spark, sf, leakage):
     train = ML.features_array(prep.train)
     test = prep.test.select("row_id", "traffic_date", "road_name", "label",
                             vector_to_array("features_scaled").alias("x"))
-    res = ON.online_adaptation_multi(spark, train, test, ["traffic_date", "road_name"], "x", "label", p,
-                                     REFERENCE_SIZES["window_sizes"], REFERENCE_SIZES["ridge_alpha"])
+    res = ON.online_adaptation(train, test, ["traffic_date", "road_name"], "x", "label", p,
+                               REFERENCE_SIZES["window_sizes"], REFERENCE_SIZES["ridge_alpha"])
     return cut_lineage(res)  # a few hundred rows; re-read by the summary queries
 
 

@@ -120,10 +120,10 @@ def test_online_adaptation_equals_numpy_refits(spark):
     ytr = Xtr @ beta + rng.normal(scale=0.5, size=200)
     yte = Xte @ (beta * 1.5) + 1.0 + rng.normal(scale=0.5, size=300)
     train = spark.createDataFrame([([float(v) for v in x], float(t)) for x, t in zip(Xtr, ytr)], "x array<double>, y double")
-    blocks = spark.createDataFrame([(int(i // 100) + 1, [float(v) for v in x], float(t))
-                                    for i, (x, t) in enumerate(zip(Xte, yte))], "block int, x array<double>, y double")
+    test = spark.createDataFrame([(i, [float(v) for v in x], float(t)) for i, (x, t) in enumerate(zip(Xte, yte))],
+                                 "k long, x array<double>, y double")
     got = {r["block"]: (r["static_r2"], r["online_r2"])
-           for r in ON.online_adaptation(spark, train, blocks, "x", "y", p, 0.001).collect()}
+           for r in ON.online_adaptation(train, test, ["k"], "x", "y", p, [100], 0.001, piece_rows=100).collect()}
 
     def fit(X, y):
         X1 = np.hstack([X, np.ones((len(X), 1))])
@@ -155,22 +155,38 @@ def test_group_lag_equals_window_lag_on_skewed_groups(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, exp))
 
 
-def test_online_adaptation_multi_matches_single(spark):
+def test_online_adaptation_does_not_depend_on_the_pieces(spark):
     rng = np.random.default_rng(3)
     p = 2
-    Xtr, Xte = rng.normal(size=(150, p)), rng.normal(size=(430, p)) + 0.3
+    Xtr, Xte = rng.normal(size=(150, p)), rng.normal(size=(1130, p)) + 0.3
     ytr = Xtr @ np.array([1.0, 2.0]) + rng.normal(scale=0.3, size=150)
-    yte = Xte @ np.array([1.5, 1.0]) + 0.5 + rng.normal(scale=0.3, size=430)
+    yte = Xte @ np.array([1.5, 1.0]) + 0.5 + rng.normal(scale=0.3, size=1130)
     train = spark.createDataFrame([([float(v) for v in x], float(t)) for x, t in zip(Xtr, ytr)], "x array<double>, y double")
     test = spark.createDataFrame([(i, [float(v) for v in x], float(t)) for i, (x, t) in enumerate(zip(Xte, yte))],
                                  "k long, x array<double>, y double")
-    multi = {(r["window_size"], r["block"]): (r["static_r2"], r["online_r2"])
-             for r in ON.online_adaptation_multi(spark, train, test, ["k"], "x", "y", p, [100, 200]).collect()}
-    assert sorted({k[0] for k in multi}) == [100, 200]
-    assert max(b for ws, b in multi if ws == 100) == 4 and max(b for ws, b in multi if ws == 200) == 2
-    for ws in (100, 200):
-        blocks = SP.row_blocks(test, ["k"], ws).select("block", "x", "y")
-        single = {r["block"]: (r["static_r2"], r["online_r2"])
-                  for r in ON.online_adaptation(spark, train, blocks, "x", "y", p).collect()}
-        for b, v in single.items():
-            assert multi[(ws, b)] == pytest.approx(v, abs=1e-9)
+
+    def run(rows):
+        return {(r["window_size"], r["block"]): (r["static_r2"], r["online_r2"]) for r in ON.online_adaptation(
+            train, test, ["k"], "x", "y", p, [100, 200, 1000], piece_rows=rows).collect()}
+    one, many = run(100_000), run(1)
+    assert sorted({k[0] for k in one}) == [100, 200]           # one block of 1000 is too few
+    assert max(b for ws, b in one if ws == 100) == 11 and max(b for ws, b in one if ws == 200) == 5
+    assert one.keys() == many.keys()
+    for k, v in one.items():
+        assert many[k] == pytest.approx(v, abs=1e-9)
+
+
+def test_r2_from_statistics_keeps_its_digits_far_from_zero():
+    rng = np.random.default_rng(4)
+    X = np.hstack([rng.normal(size=(400, 2)), np.ones((400, 1))])
+    y = X @ np.array([1.0, -2.0, 1e6]) + rng.normal(scale=0.5, size=400)
+    s = dict(G=X.T @ X, xy=X.T @ y, yy=float(y @ y), n=400.0)
+    w = np.linalg.lstsq(X, y, rcond=None)[0]
+    true = 1 - ((y - X @ w) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    assert ON.r2_from_stats(s, w) == pytest.approx(true, abs=1e-3)
+
+
+def test_depth_beyond_the_limit_is_an_error():
+    from lanespark.operators import models as ML
+    with pytest.raises(ValueError):
+        ML.random_forest(2, 31)

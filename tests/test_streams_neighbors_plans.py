@@ -74,20 +74,36 @@ def test_late_rows_dropped_by_window_but_fixed_by_daily_recompute(spark):
     assert daily[0]["n"] == 3                                # the recompute sees it
 
 
-def test_lsh_neighbours_vs_brute_force(spark):
-    e = NB.with_vector(B.table(spark, SF_SMALL, "embeddings"), "embedding")
-    test = e.where(F.col("vec_id") % 10 < 3).select("vec_id", "v")
-    train = e.where(F.col("vec_id") % 10 >= 3).select("vec_id", "v")
-    got = NB.top_k(NB.lsh_candidates(test, train, "vec_id", "vec_id"), 5).select("query_id", "neighbor_id").collect()
-    pdf = B.table(spark, SF_SMALL, "embeddings").toPandas()
-    X = np.stack(pdf.embedding.values).astype(np.float64)
-    ids = pdf.vec_id.values
-    te = ids % 10 < 3
-    Dm = np.sqrt(((X[te][:, None, :] - X[~te][None, :, :]) ** 2).sum(-1))
-    order = np.argsort(Dm, axis=1, kind="stable")[:, :5]
-    true = {(int(q), int(ids[~te][j])) for qi, q in enumerate(ids[te]) for j in order[qi]}
-    found = {(r[0], r[1]) for r in got}
-    assert len(found & true) / len(true) >= 0.95      # named approximation: recall bound
+def _vectors(spark, rows, name):
+    return spark.createDataFrame([(int(i), [float(x) for x in v], None) for i, v in rows],
+                                 f"{name} long, v array<double>, grp long")
+
+
+def _brute(queries, base, k):
+    out = {}
+    for i, v in queries:
+        d = sorted((float(np.sqrt(((np.array(v) - np.array(b)) ** 2).sum())), j) for j, b in base)
+        out[i] = [j for _, j in d[:k]]
+    return out
+
+
+@pytest.mark.parametrize("cell_rows,block_rows,query_rows", [(256, 4096, 8192), (20, 15, 30)])
+def test_neighbours_are_exact_and_k_each(spark, cell_rows, block_rows, query_rows):
+    rng = np.random.default_rng(1)
+    base = [(i, v) for i, v in enumerate(rng.normal(size=(300, 8)))] + [(1000 + i, np.ones(8)) for i in range(100)]
+    queries = [(i, v) for i, v in enumerate(rng.normal(size=(40, 8)))] + [(99, np.ones(8))]
+    got = {}
+    for r in NB.nearest(_vectors(spark, queries, "query_id"), _vectors(spark, base, "neighbor_id"), 7, cell_rows,
+                        block_rows, query_rows).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.neighbor_id))
+    assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == _brute(queries, base, 7)
+
+
+def test_neighbours_of_few_or_no_rows(spark):
+    q, none = _vectors(spark, [(1, [0.0, 1.0])], "query_id"), _vectors(spark, [], "neighbor_id")
+    assert NB.nearest(q, none, 3).count() == 0
+    two = _vectors(spark, [(5, [0.0, 1.0]), (6, [3.0, 1.0])], "neighbor_id")
+    assert [(r.neighbor_id, r.distance) for r in NB.nearest(q, two, 3).orderBy("rank").collect()] == [(5, 0.0), (6, 3.0)]
 
 
 def test_distance_weighted_zero_distance_takes_all_weight(spark):
