@@ -22,6 +22,7 @@ from ..operators import online as ON
 from ..operators import selection as S
 from ..operators import split as SP
 from ..operators.ordering import global_row_number
+from ..session import cut_lineage
 from ..sources import bindings as B
 from .features import _SPLIT_CTE, WX
 from .registry import register
@@ -140,10 +141,12 @@ def q_rf_importance(spark, sf):
 
 
 def _fold_rows(prep):
-    """Training rows with WN-15 contiguous folds (row order = split order)."""
-    tr = ML.features_array(prep.train)
-    numbered = global_row_number(tr, ["row_id"], "_k", total="_n")
-    return numbered.withColumn("fold", SP.contiguous_folds(F.col("_k"), F.col("_n"), 5))
+    """Training rows with WN-15 contiguous folds (row order = split order); vectors kept."""
+    if "folds" not in prep.stats:
+        numbered = global_row_number(prep.train, ["row_id"], "_k", total="_n")
+        prep.stats["folds"] = numbered.withColumn("fold", SP.contiguous_folds(F.col("_k"), F.col("_n"), 5)) \
+            .withColumn("x", vector_to_array("features_scaled")).drop("_k", "_n")
+    return prep.stats["folds"]
 
 
 @register("validation_curve")
@@ -191,7 +194,6 @@ def _windows(spark, sf, leakage="parity"):
 
 
 def _compute_windows(spark, sf, leakage):
-    from ..session import cut_lineage
     prep = prepared(spark, sf, leakage)
     p = len(prep.feature_names)
     train = ML.features_array(prep.train)
@@ -325,72 +327,103 @@ def q_multi_horizon(spark, sf):
     return rows[0].unionByName(rows[1])
 
 
+def _selected(spark, prep):
+    """FP-10 on real scores: binned MI + forest importance -> adaptive selection; the training set on those columns."""
+    from pyspark.ml.feature import VectorSlicer
+    if "selected" not in prep.stats:
+        names = prep.feature_names
+        arr = ML.features_array(prep.train).select("label", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
+        mi = S.binned_mutual_information(arr, names, "label", 10)
+        rf = _estimator("Random Forest", prep).setFeaturesCol("features_scaled").fit(prep.train)
+        imp = ML.importance_table(spark, rf, names).withColumnRenamed("importance", "rf_importance")
+        chosen = [r["feature"] for r in S.adaptive_selection(mi.join(imp, "feature")).where("selected")
+                  .select("feature", "combined_rank").orderBy("combined_rank").collect()]  # <= p names
+        idx = [names.index(c) for c in chosen]
+        sl = VectorSlicer(inputCol="features_scaled", outputCol="features_sel", indices=idx)
+        drop = ["features", "features_scaled"]
+        rename = lambda d: sl.transform(d).drop(*drop).withColumn("features", F.col("features_sel")) \
+            .withColumnRenamed("features_sel", "features_scaled")
+        prep.stats["selected"] = ML.Prepared(rename(prep.train), rename(prep.test), chosen)
+    return prep.stats["selected"]
+
+
+_SELECTED_FAMILIES = ["Linear Regression", "Ridge Regression", "Decision Tree", "Random Forest",
+                      "Extra Trees (approx.)", "Gradient Boosting"]
+
+
 @register("selected_feature_models")
 def q_selected_feature_models(spark, sf):
-    """ML-15 (+ FP-10 on real scores): binned MI + RF importance -> adaptive selection -> ridge refit."""
-    prep = prepared(spark, sf)
-    names = prep.feature_names
-    arr = ML.features_array(prep.train).select("label", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
-    mi = S.binned_mutual_information(arr, names, "label", 10)
-    rf = ML.random_forest(QUERY_SIZES["rf_trees"], QUERY_SIZES["rf_depth"], features="features_scaled").fit(prep.train)
-    imp = ML.importance_table(spark, rf, names).withColumnRenamed("importance", "rf_importance")
-    sel = S.adaptive_selection(mi.join(imp, "feature"))
-    chosen = [r["feature"] for r in sel.where("selected").select("feature").collect()]  # <= p names
-    idx = [names.index(c) for c in chosen]
-    from pyspark.ml.feature import VectorSlicer
-    sl = VectorSlicer(inputCol="features_scaled", outputCol="features_sel", indices=idx)
-    sub = ML.Prepared(sl.transform(prep.train), sl.transform(prep.test), chosen)
-    sd, n = _sd_n(prep)
-    est = ML.ridge(REFERENCE_SIZES["ridge_alpha"], sd, n, features="features_sel")
-    return ML.evaluate_variant(spark, "Ridge Regression (selected)", f"{len(chosen)} features", est, sub)
+    """ML-15 (+ FP-10 on real scores): six families refitted on the selected features, one row each."""
+    sub = _selected(spark, prepared(spark, sf))
+    rows = _parallel(lambda n: ML.evaluate_variant(spark, f"{n} (selected)", f"{len(sub.feature_names)} features",
+                                                   _estimator(n, sub), sub), _SELECTED_FAMILIES)
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 _STACK_BASES = ["Ridge Regression", "Random Forest", "Gradient Boosting", "Extra Trees (approx.)", "Decision Tree"]
 
 
-def _oof(spark, prep, base_names, sizes=STACK_SIZES):
-    """Out-of-fold predictions of every base (5 contiguous folds), joined by row_id (columns b0..b4).
+def _scored(models, rows, col="features_scaled"):
+    """``rows`` with one prediction column per model, b0, b1, ..: chained transforms, no joins."""
+    for i, m in enumerate(models):
+        rows = m.setFeaturesCol(col).setPredictionCol(f"b{i}").transform(rows)
+    return rows
+
+
+def _oof(prep, base_names, sizes, col="features_scaled"):
+    """Out-of-fold predictions b0.. of every base on the training rows (5 contiguous folds), with ``fold``.
 
     The 5 x bases fold fits are independent Spark jobs and run concurrently."""
-    rows = prep.train.join(_fold_rows(prep).select("row_id", "fold"), "row_id")
-    rows = rows.persist()
+    rows = _fold_rows(prep).select("row_id", "label", "fold", col)
 
     def fit_fold(job):
-        i, name, f = job
-        est = _estimator(name, prep, sizes).setFeaturesCol("features_scaled")
-        m = est.fit(rows.where(F.col("fold") != f))
-        return i, m.transform(rows.where(F.col("fold") == f)).select("row_id", F.col("prediction").alias(f"b{i}"))
-
-    done = _parallel(fit_fold, [(i, n, f) for i, n in enumerate(base_names) for f in range(1, 6)])
-    oof = None
-    for i in range(len(base_names)):
-        parts = [d for j, d in done if j == i]
-        u = parts[0]
-        for p_ in parts[1:]:
-            u = u.unionByName(p_)
-        oof = u if oof is None else oof.join(u, "row_id")
-    return rows.select("row_id", "label").join(oof, "row_id")
+        name, f = job
+        return _estimator(name, prep, sizes).setFeaturesCol(col).fit(rows.where(F.col("fold") != f))
+
+    jobs = [(n, f) for f in range(1, 6) for n in base_names]
+    done = _parallel(fit_fold, jobs)
+    out = None
+    for f in range(1, 6):
+        part = _scored([m for (_, g), m in zip(jobs, done) if g == f], rows.where(F.col("fold") == f), col)
+        out = part if out is None else out.unionByName(part)
+    return out.select("row_id", "label", "fold", *[f"b{i}" for i in range(len(base_names))])
+
+
+def _cv_scores(oof, base_names):
+    """Mean R2 over the folds of every base: one aggregation over the out-of-fold rows."""
+    per = oof.groupBy("fold").agg(
+        (F.var_pop("label") * F.count(F.lit(1))).alias("_sst"),
+        *[F.sum((F.col("label") - F.col(f"b{i}")) * (F.col("label") - F.col(f"b{i}"))).alias(f"b{i}")
+          for i in range(len(base_names))])
+    return per.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("base"), (F.lit(1.0) - F.try_divide(F.col(f"b{i}"), F.col("_sst"))).alias("r2"))
+        for i, n in enumerate(base_names)])).alias("_s")).select("_s.*") \
+        .groupBy("base").agg(F.avg("r2").alias("cv_r2"))
+
+
+def _stack(prep, oof, base_models, base_names, col="features_scaled"):
+    """Test rows with the bases' predictions and ``stacked``: a ridge on the out-of-fold predictions."""
+    from pyspark.ml.feature import VectorAssembler
+    cols = [f"b{i}" for i in range(len(base_names))]
+    va = VectorAssembler(inputCols=cols, outputCol="meta_x")
+    meta_train = va.transform(oof)
+    sd, n = ML.label_sd_pop(meta_train)
+    meta = ML.ridge(REFERENCE_SIZES["stack_meta_alpha"], sd, n, features="meta_x").setPredictionCol("stacked")
+    return meta.fit(meta_train).transform(va.transform(_scored(base_models, prep.test, col)))
 
 
 @register("stacking")
 def q_stacking(spark, sf):
     """EN-01: OOF predictions of 5 bases -> Ridge(1.0) meta; bases refit on all training rows."""
-    from pyspark.ml.feature import VectorAssembler
     prep = prepared(spark, sf)
-    oof = _oof(spark, prep, _STACK_BASES)
-    cols = [f"b{i}" for i in range(len(_STACK_BASES))]
-    va = VectorAssembler(inputCols=cols, outputCol="meta_x")
-    meta_train = va.transform(oof)
-    sd = meta_train.agg(F.stddev_pop("label")).first()[0]
-    n = meta_train.count()
-    meta = ML.ridge(REFERENCE_SIZES["stack_meta_alpha"], sd, n, features="meta_x").fit(meta_train)
-    test_preds = prep.test.select("row_id", "label")
-    fitted = _parallel(lambda j: _estimator(j[1], prep, STACK_SIZES).setFeaturesCol("features_scaled").fit(prep.train),
-                       list(enumerate(_STACK_BASES)))
-    for i, m in enumerate(fitted):
-        test_preds = test_preds.join(m.transform(prep.test).select("row_id", F.col("prediction").alias(f"b{i}")), "row_id")
-    out = meta.transform(va.transform(test_preds))
-    return MT.regression_metrics(out, "label", "prediction").withColumn("model", F.lit("Stacking Ensemble"))
+    oof = cut_lineage(_oof(prep, _STACK_BASES, STACK_SIZES))
+    fitted = _parallel(lambda n: _estimator(n, prep, STACK_SIZES).setFeaturesCol("features_scaled").fit(prep.train),
+                       _STACK_BASES)
+    out = _stack(prep, oof, fitted, _STACK_BASES)
+    return MT.regression_metrics(out, "label", "stacked").withColumn("model", F.lit("Stacking Ensemble"))
 
 
 @register("prepare_features", WX(_SPLIT_CTE + """
@@ -477,33 +510,57 @@ def q_stream_score(spark, sf):
     return J.stream_score(spark, rows, J.scratch(spark, "score-out"), schema, model)
 
 
-_FRAMEWORK_MODELS = ["Ridge Regression", "Lasso Regression", "ElasticNet", "Decision Tree", "Random Forest",
-                     "Extra Trees (approx.)", "Gradient Boosting"]
+_FRAMEWORK_MODELS = ["Linear Regression", "Ridge Regression", "Lasso Regression", "ElasticNet", "Decision Tree",
+                     "Random Forest", "Extra Trees (approx.)", "Gradient Boosting"]
 
 
 @register("run_framework")
 def q_run_framework(spark, sf):
-    """EN-04: stages 1-5 — features, families, weighted ensemble, pick best, improvements, ranking."""
-    prep = prepared(spark, sf)
+    """EN-04: the whole run, one row per model.
+
+    Feature selection on the training rows, eight families on the selected
+    features, out-of-fold predictions of five bases (training rows only) that
+    give both the CV weights of the weighted ensemble and the stacking
+    ensemble, the better of the two, its improvement over every family, the
+    gain of online adaptation, and the ranking."""
+    full = prepared(spark, sf)
+    prep = _selected(spark, full)
     fitted = _parallel(lambda n: ML.fit_timed(_estimator(n, prep).setFeaturesCol("features_scaled"), prep.train),
                        _FRAMEWORK_MODELS)
-    rows, preds = [], None
-    for name, (model, secs) in zip(_FRAMEWORK_MODELS, fitted):
-        p = model.transform(prep.test).select("row_id", "label", F.col("prediction").alias(name))
-        preds = p if preds is None else preds.join(p.drop("label"), "row_id")
-        rows.append((name, secs))
-    long = preds.select("row_id", "label", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("model"), F.col(f"`{n}`").alias("pred")) for n in _FRAMEWORK_MODELS])).alias("_s")) \
-        .select("row_id", "label", "_s.model", "_s.pred")
-    m = MT.regression_metrics(long, "label", "pred", ["model"])
-    times = spark.createDataFrame(rows, "model string, train_time double")
-    # weighted ensemble over the families (weights from their test R2, as an in-sample stand-in for CV)
-    w = MT.ensemble_weights(m.select(F.col("model").alias("base"), F.col("r2").alias("cv_r2")))
-    ens = long.join(F.broadcast(w.select(F.col("base").alias("model"), "weight")), "model") \
-        .groupBy("row_id").agg(F.first("label").alias("label"), F.sum(F.col("weight") * F.col("pred")).alias("pred"))
-    e = MT.regression_metrics(ens, "label", "pred").withColumn("model", F.lit("Weighted Ensemble"))
-    allm = m.unionByName(e).join(times, "model", "left")
-    return allm.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("r2"), "model")))
+    oof = cut_lineage(_oof(prep, _STACK_BASES, STACK_SIZES))
+    weights = {r["base"]: (r["cv_r2"], r["weight"])
+               for r in MT.ensemble_weights(_cv_scores(oof, _STACK_BASES)).collect()}  # 5 rows
+    bases = _parallel(lambda n: _estimator(n, prep, STACK_SIZES).setFeaturesCol("features_scaled").fit(prep.train),
+                      _STACK_BASES)
+    out = _stack(prep, oof, bases, _STACK_BASES)
+    blend = None
+    for i, n in enumerate(_STACK_BASES):
+        term = F.lit(weights[n][1]) * F.col(f"b{i}")
+        blend = term if blend is None else blend + term
+    out = out.withColumn("blend", blend)
+    for i, (m, _) in enumerate(fitted):
+        out = m.setPredictionCol(f"m{i}").transform(out)
+    columns = {**{n: f"m{i}" for i, n in enumerate(_FRAMEWORK_MODELS)}, "Weighted Ensemble": "blend",
+               "Stacking Ensemble": "stacked"}
+    long = out.select("label", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("model"), F.col(c).alias("pred")) for n, c in columns.items()])).alias("_s")) \
+        .select("label", "_s.*")
+    metrics = MT.regression_metrics(long, "label", "pred", ["model"])
+    facts = spark.createDataFrame(
+        [(n, float(fitted[i][1]) if i < len(fitted) else None, *weights.get(n, (None, None)))
+         for i, n in enumerate(columns)], "model string, train_time double, cv_r2 double, weight double")
+    rows = cut_lineage(metrics.join(facts, "model"))  # one row per model from here on
+    pick = rows.where(F.col("model").isin("Weighted Ensemble", "Stacking Ensemble"))
+    chosen = pick.orderBy(F.desc("r2"), F.desc("model")).limit(1)  # stacking only if strictly better
+    gains = MT.improvements(rows.withColumnsRenamed({"r2": "test_r2", "rmse": "test_rmse"}),
+                            chosen.withColumnsRenamed({"r2": "test_r2", "rmse": "test_rmse"}))
+    adapt = _windows(spark, sf).agg(F.avg("static_r2").alias("s"), F.avg("online_r2").alias("o")) \
+        .select(MT.adaptation_gain(F.col("s"), F.col("o")).alias("adaptation_gain_pct"))
+    return rows.join(gains, "model", "left").crossJoin(F.broadcast(chosen.select(F.col("model").alias("_c")))) \
+        .crossJoin(F.broadcast(adapt)) \
+        .withColumn("chosen", F.col("model") == F.col("_c")).drop("_c") \
+        .withColumn("n_features", F.lit(len(prep.feature_names))) \
+        .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("r2"), "model")))
 
 
 @register("write_results")
