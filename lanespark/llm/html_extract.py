@@ -369,16 +369,24 @@ def relaid(main: list[Block], other: list[Block], rng) -> tuple[list[Block], lis
     for kind, chance in (("notice", .4), ("header", .6), ("menu", .7), ("form", .2), ("advert", .4), ("sidebar", .25)):
         maybe(kind, chance)
     cut = int(rng.integers(0, len(main) + 1))
-    titled = False
     for k, b in enumerate(main):
         if k == cut and k:
             maybe("advert", .25, True)
             maybe("sidebar", .15, True)
         leaf = [t for t in b.path if t in ("h1", "h2", "h3", "li", "blockquote", "p", "pre", "td")][-1:] or ["p"]
-        if leaf == ["p"] and rng.random() < 0.05:
-            leaf = [pick(["h2", "h3", "blockquote", "li", "div", "pre", "figcaption"])]
-        titled |= leaf == ["h1"]
-        page.append((Block((*root, *home, *(("ul",) if leaf == ["li"] else ()), *leaf), b.text, 0), True))
+        text = b.text
+        if leaf == ["p"] and rng.random() < 0.12:
+            leaf = [pick(["h2", "h3", "blockquote", "li", "li", "div", "pre", "figcaption", "td"])]
+        if rng.random() < 0.15:     # short blocks belong to the text as well
+            text = " ".join(text.split()[:int(rng.integers(1, 6))])
+        inner = ("ul",) if leaf == ["li"] else pick([(), (), (), ("div",), ("section",)])
+        page.append((Block((*root, *home, *inner, *leaf), text, 0), True))
+        if rng.random() < 0.15:     # a list of short items
+            items = (*root, *home, pick(["ul", "ol"]), "li")
+            page += [(Block(items, " ".join(x.text.split()[:int(rng.integers(1, 5))]), 0), True)
+                     for x in main[:int(rng.integers(2, 6))]]
+        if rng.random() < 0.04:     # words alone decide nothing
+            page.append((Block((*root, *home, "p"), pick(PHRASES[pick(sorted(PHRASES))]), 0), True))
     for kind, chance, inside in (("sidebar", .3, True), ("comments", .3, True), ("comments", .4, False),
                                  ("form", .3, False), ("sidebar", .4, False), ("advert", .3, False),
                                  ("notice", .25, False), ("menu", .2, False), ("footer", .8, False)):
@@ -386,15 +394,16 @@ def relaid(main: list[Block], other: list[Block], rng) -> tuple[list[Block], lis
     return [b for b, _ in page], [y for _, y in page]
 
 
-def fit(pages: list[str], layouts: int = 3, epochs: int = 3, batch: int = 32, rate: float = 0.02, longest: int = 80,
-        seed: int = 0) -> BlockLabeller:
-    """Train on pages and on their blocks set into ``layouts`` other layouts each.
+def fit(pages: list[str], relaid_pages: int = 700, epochs: int = 4, batch: int = 32, rate: float = 0.02,
+        longest: int = 80, seed: int = 0) -> BlockLabeller:
+    """Train on pages and on their blocks set into other layouts, ``relaid_pages`` of them in all.
 
     Training pages are cut into runs of at most ``longest`` blocks (labelling reads pages whole).
     """
     rng = np.random.default_rng(seed)
     net = BlockLabeller(seed=seed)
     data: list[tuple[list[Block], list[bool]]] = []
+    layouts = -(-relaid_pages // max(1, len(pages)))
     for page in pages:
         bs = blocks(page)
         ys = [silver(b) for b in bs]
@@ -403,7 +412,7 @@ def fit(pages: list[str], layouts: int = 3, epochs: int = 3, batch: int = 32, ra
             data.append(([b for b, _ in sure], [y for _, y in sure]))
         main = [b for b, y in sure if y] or [Block(("p",), "Text of the page.", 0)]
         for _ in range(layouts):
-            data.append(relaid(main[:longest // 2], [b for b, y in sure if not y], rng))
+            data.append(relaid(main[:int(rng.integers(1, 25))], [b for b, y in sure if not y], rng))
     data = [(b[a:a + longest], y[a:a + longest]) for b, y in data for a in range(0, len(b), longest)]
     if not data:
         return net
@@ -422,25 +431,29 @@ def fit(pages: list[str], layouts: int = 3, epochs: int = 3, batch: int = 32, ra
             part, vectors, bags = order[a:a + batch], [], []
             for i in part:
                 v = np.zeros((len(data[i][0]), pd + wd + N_NUMBERS), np.float32)
-                rows = [[x for x in r if rng.random() > 0.15] for r in path_rows[i]]     # hashed tokens drop out
+                rows = [[x for x in r if rng.random() > 0.1] for r in path_rows[i]]     # hashed tokens drop out
+                said = rng.random() > 0.3                                               # and so do a page's words
                 for k, r in enumerate(rows):
                     if r:
                         v[k, :pd] = net.w["path"][r].sum(axis=0)
-                    v[k, pd:pd + wd] = net.w["word"][word_rows[i][k]].mean(axis=0)
+                    if said:
+                        v[k, pd:pd + wd] = net.w["word"][word_rows[i][k]].mean(axis=0)
                 v[:, pd + wd:] = nums[i]
                 vectors.append(v)
-                bags.append(rows)
+                bags.append((rows, said))
             x, mask = _stack(vectors)
             y = np.zeros(mask.shape, np.float32)
             for k, i in enumerate(part):
                 y[:len(data[i][1]), k] = data[i][1]
             _, g, d_x = net.gradients(x, mask, y)
             for k, i in enumerate(part):
-                for t, r in enumerate(bags[k]):
+                rows, said = bags[k]
+                for t, r in enumerate(rows):
                     if r:
                         np.add.at(g["path"], r, d_x[t, k, :pd])
                     words = word_rows[i][t]
-                    np.add.at(g["word"], words, d_x[t, k, pd:pd + wd] / len(words))
+                    if said:
+                        np.add.at(g["word"], words, d_x[t, k, pd:pd + wd] / len(words))
             step += 1
             lr = rate * min(1.0, 2 * (1 - step / (total + 1)))
             for k in net.w:
