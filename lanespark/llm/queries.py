@@ -61,11 +61,11 @@ ORACLES["op5_embedding_near_dedup"] = """
 WITH RECURSIVE v AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
            embedding IS NOT NULL AND len(embedding) > 0
-           AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-           AND len(list_filter(embedding, x -> x <> 0)) > 0 AS ok
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
     FROM embeddings
 ), u AS (
-    SELECT vec_id, list_transform(e, x -> x / sqrt(list_inner_product(e, e))) AS e FROM v WHERE ok
+    SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v WHERE ok
 ), link AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
     WHERE list_inner_product(a.e, b.e) >= 0.95

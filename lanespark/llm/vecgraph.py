@@ -4,8 +4,9 @@ Equal vectors are one node. Nodes are dealt to overlapping regions around
 centroids. Within a region, small overlapping cluster shards each give a graph
 whose adjacency lists are pruned robustly (a neighbour goes if a kept one is
 much nearer to it); the lists of a node in several shards are united. A greedy
-search enters at the shards' medoids, walks the flat graph best first, and
-widens its range for as long as it meets nodes within the threshold. Every
+search enters at the shards' medoids and at the query's own node, walks the
+flat graph best first, and widens its range for as long as it meets nodes
+within the threshold. Every
 link found is verified by cosine in double precision. A brute-force audit
 of a bounded sample measures recall; if it falls short, the search is
 repeated with more overlap and a wider range.
@@ -113,6 +114,8 @@ def range_search(x, adjacency, entries, queries, threshold: float, breadth: int,
         first = x[q] @ x[entries].T
         sim[:, entries] = first
         waits[:, entries] = first
+        sim[rows, q] = 1.0
+        waits[rows, q] = 1.0                 # a query that is a node starts from there as well
         best_few = np.sort(first, axis=1)[:, ::-1][:, :breadth]
         if best_few.shape[1] < breadth:
             best_few = np.pad(best_few, ((0, 0), (0, breadth - best_few.shape[1])), constant_values=-2.0)
