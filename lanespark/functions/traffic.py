@@ -174,3 +174,10 @@ def register_sql_functions(spark: SparkSession) -> None:
       CREATE OR REPLACE TEMPORARY FUNCTION congestion_band(p DOUBLE) RETURNS STRING RETURN
         CASE WHEN p IS NULL THEN 'Unknown' WHEN p < 20 THEN 'Free Flow' WHEN p < 40 THEN 'Light'
              WHEN p < 60 THEN 'Moderate' WHEN p < 80 THEN 'Heavy' ELSE 'Severe' END""")
+    spark.sql("""
+      CREATE OR REPLACE TEMPORARY FUNCTION jam_factor(v DOUBLE, vf DOUBLE) RETURNS DOUBLE RETURN
+        CASE WHEN v IS NULL OR vf IS NULL OR vf <= 0 THEN NULL
+             ELSE round(CAST((1 - least(v / vf, 1)) * 10 AS DECIMAL(38,10)), 2) END""")
+    spark.sql("""
+      CREATE OR REPLACE TEMPORARY FUNCTION yes_flag(x STRING) RETURNS INT RETURN
+        CASE WHEN x = 'Yes' THEN 1 ELSE 0 END""")

@@ -64,13 +64,25 @@ def running_success(r: DataFrame) -> DataFrame:
 
 
 def latest_per_road(r: DataFrame, cols: list[str]) -> DataFrame:
-    """WN-11 (per road): the newest reading of each road, ties broken by event id."""
-    packed = F.struct(*[F.col(c) for c in cols])
-    g = r.where(F.col("road_name").isNotNull()).groupBy("road_name").agg(
-        F.max_by(packed, F.struct("reading_ts", "event_id")).alias("_last"))
+    """WN-11 (per road): the newest reading of each road, ties broken by event id.
+
+    The newest time per road comes from a hash aggregate over two columns; only
+    the readings of that time (a few per road) reach the tie break."""
+    known = r.where(F.col("road_name").isNotNull())
+    newest = known.groupBy(F.col("road_name").alias("_road")).agg(F.max("reading_ts").alias("_ts"))
+    at_newest = known.join(newest, (F.col("road_name") == F.col("_road"))
+                           & F.col("reading_ts").eqNullSafe(F.col("_ts")))
+    g = at_newest.groupBy("road_name").agg(
+        F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct("reading_ts", "event_id")).alias("_last"))
     return g.select("road_name", "_last.*")
 
 
+def newest_snapshot(r: DataFrame) -> DataFrame:
+    """WN-11 (whole table): all readings of the newest time."""
+    newest = r.agg(F.max("reading_ts").alias("_ts"))  # one row
+    return r.join(F.broadcast(newest), F.col("reading_ts") == F.col("_ts"), "left_semi")
+
+
 def incident_sampling(r: DataFrame, minute_limit: int = 15) -> DataFrame:
     """PRJ-30: incidents only fetched in the first cycle of the hour; other rows -> 0/false, 'skipped'."""
     keep = F.minute("reading_ts") < minute_limit

@@ -37,6 +37,25 @@ def q_scan_daily(spark, sf):
     return dt(spark, sf)
 
 
+@register("scan_daily_csv", W("""
+SELECT traffic_date, road_name, area_name, volume, avg_speed, tti, congestion, capacity_util, incidents, weather, roadwork
+FROM daily_traffic"""))
+def q_scan_daily_csv(spark, sf):
+    """SRC-01 + SRC-02: the daily table as a historical CSV (published header, extra columns empty), scanned with an
+    explicit schema and checked for the required columns."""
+    from ..sources import sinks as K
+    from ..streaming.jobs import scratch
+    ours = {v: k for k, v in K.DAILY_CSV_NAMES.items()}
+    d = dt(spark, sf)
+    kinds = {f.name: f.dataType for f in K.DAILY_CSV_SCHEMA}
+    out = d.select(*[(F.col(K.DAILY_CSV_NAMES[n]) if K.DAILY_CSV_NAMES[n] in d.columns else F.lit(None))
+                     .cast(kinds[n]).alias(n) for n in kinds])
+    path = scratch(spark, "historical")
+    out.write.option("header", True).csv(path)
+    back = K.scan_daily_csv(spark, path)
+    return back.select(*[c for c in ours if c in d.columns])
+
+
 @register("monthly_stats", W(f"""
 SELECT {MONTH} AS year_month, {R('avg(volume)', 4)} AS mean, {R('stddev_samp(volume)', 4)} AS std,
        count(volume) AS count,
@@ -505,7 +524,12 @@ def q_findings_table(spark, sf):
                         F.when(F.col("diff_pct") > 0, "higher").otherwise("lower")).alias("line"))
     w = T.group_stats(d, "weather").select(
         F.lit("weather").alias("section"), F.format_string("%-12s: avg volume = %.0f", "weather", "mean").alias("line"))
-    return ch.unionByName(gap).unionByName(w)
+    from ..sources import sinks as K
+    from ..streaming.jobs import scratch
+    path = scratch(spark, "findings")
+    K.write_findings(ch.unionByName(gap).unionByName(w).select(F.concat_ws("\t", "section", "line").alias("line")), path)
+    parts = F.split("value", "\t", 2)
+    return spark.read.text(path).select(parts[0].alias("section"), parts[1].alias("line"))
 
 
 @register("corr_strength", W("""

@@ -200,11 +200,21 @@ _LATEST_COLS = ["reading_ts", "event_id", "area_name", "a_speed", "a_free_flow",
 @register("latest_snapshot", RWX(_LATEST_SQL + f"""
 SELECT road_name, {TS_TEXT} AS reading_time, area_name, a_speed, collection_status FROM latest"""))
 def q_latest_snapshot(spark, sf):
-    """WN-11 per road via max_by (partial aggregation, no sort)."""
+    """WN-11 per road: newest time by hash aggregate, tie break on the survivors."""
     last = M.latest_per_road(rr(spark, sf), _LATEST_COLS)
     return last.select("road_name", ts_text().alias("reading_time"), "area_name", "a_speed", "collection_status")
 
 
+@register("newest_snapshot", RWX(f"""
+nw AS (SELECT max(reading_ts) AS m FROM raw_readings)
+SELECT event_id, road_name, {TS_TEXT} AS reading_time, a_speed, collection_status
+FROM raw_readings, nw WHERE reading_ts = m"""))
+def q_newest_snapshot(spark, sf):
+    """WN-11 whole table: every reading of the newest time."""
+    return M.newest_snapshot(rr(spark, sf)).select("event_id", "road_name", ts_text().alias("reading_time"), "a_speed",
+                                                   "collection_status")
+
+
 @register("live_table", RWX(_LATEST_SQL + f"""
 SELECT road_name, area_name, a_speed AS current_speed, a_free_flow AS free_flow_speed,
        {_cong_pct_sql('a_speed', 'a_free_flow')} AS congestion_pct, {_jam_sql('a_speed', 'a_free_flow')} AS jam,
@@ -278,6 +288,20 @@ def q_status_distribution(spark, sf):
     return value_counts(rr(spark, sf), "collection_status")
 
 
+@register("sql_functions", RW(f"""
+SELECT event_id, {_jam_sql('a_speed', 'a_free_flow')} AS jam, {_cong_band_sql('a_speed')} AS band,
+       CASE WHEN lower(weather_main) IN ('rain', 'drizzle', 'thunderstorm') THEN 'Rain'
+            WHEN lower(weather_main) IN ('mist', 'fog', 'haze', 'smoke') THEN 'Fog'
+            WHEN lower(weather_main) IN ('squall', 'tornado') THEN 'Windy' ELSE 'Clear' END AS weather,
+       CAST(CASE WHEN has_construction THEN 1 ELSE 0 END AS INT) AS roadwork FROM raw_readings"""))
+def q_sql_functions(spark, sf):
+    """The scalar functions as SQL users call them."""
+    T.register_sql_functions(spark)
+    return rr(spark, sf).selectExpr(
+        "event_id", "jam_factor(a_speed, a_free_flow) AS jam", "congestion_band(a_speed) AS band",
+        "map_weather(weather_main) AS weather", "yes_flag(IF(has_construction, 'Yes', 'No')) AS roadwork")
+
+
 @register("jam_factor", RW(f"""
 SELECT event_id, {_jam_sql('a_speed', 'a_free_flow')} AS jam, {_cong_pct_sql('a_speed', 'a_free_flow')} AS congestion_pct
 FROM raw_readings"""))

@@ -113,8 +113,8 @@ def write_metadata(meta: DataFrame, path: str) -> None:
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """SNK-05: result tables as CSV with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """SNK-05: result tables as CSV with a header (one file per task)."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def export_filtered(df: DataFrame, path: str) -> None:

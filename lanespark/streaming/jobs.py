@@ -43,6 +43,12 @@ def land(df: DataFrame, path: str, fmt: str = "parquet", partition: str | None =
     return path
 
 
+def _files(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """Stream over the files of a folder; ``max_files`` bounds a micro-batch."""
+    r = spark.readStream.schema(schema)
+    return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(path)
+
+
 def run_available_now(query_builder, checkpoint: str):
     q = query_builder.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -71,29 +77,32 @@ def cycle_stats(stream: DataFrame) -> DataFrame:
                     "avg_speed", "max_jam")
 
 
-def stream_cycle_15m(spark: SparkSession, readings_dir: str, out_dir: str, schema) -> DataFrame:
-    src = spark.readStream.schema(schema).parquet(readings_dir)
+def stream_cycle_15m(spark: SparkSession, readings_dir: str, out_dir: str, schema,
+                     max_files: int | None = None) -> DataFrame:
+    src = _files(spark, readings_dir, schema, max_files)
     run_available_now(cycle_stats(src).writeStream.outputMode("append").format("parquet").option("path", out_dir),
                       out_dir + "._ckpt")
     return spark.read.parquet(out_dir)
 
 
 # ---- ST-03: replay-safe daily roll-up (recompute touched dates, replace them) ------------
-def stream_daily(spark: SparkSession, readings_dir: str, daily_dir: str, schema, road_dim: DataFrame | None):
+def stream_daily(spark: SparkSession, readings_dir: str, daily_dir: str, schema, road_dim: DataFrame | None,
+                 max_files: int | None = None):
     """Each micro-batch recomputes the daily record of every date it touched from ALL stored
     readings of those dates and overwrites just those date partitions (dynamic overwrite):
-    late rows are corrected, replays are idempotent."""
-    all_readings = spark.read.schema(schema).parquet(readings_dir)
+    late rows are corrected, replays are idempotent. The stored readings are listed anew in
+    every batch, so files that arrived meanwhile count."""
 
     def upsert(batch: DataFrame, epoch_id: int):
         dates = batch.select("reading_date").distinct()
-        touched = all_readings.join(dates, "reading_date", "left_semi")
+        stored = batch.sparkSession.read.schema(schema).parquet(readings_dir)
+        touched = stored.join(dates, "reading_date", "left_semi")
         daily = D.daily_rollup(touched, road_dim)
         (daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("traffic_date").parquet(daily_dir))
 
-    src = spark.readStream.schema(schema).parquet(readings_dir)
-    run_available_now(src.writeStream.foreachBatch(upsert), daily_dir + "._ckpt")
+    run_available_now(_files(spark, readings_dir, schema, max_files).writeStream.foreachBatch(upsert),
+                      daily_dir + "._ckpt")
     return spark.read.parquet(daily_dir)
 
 
@@ -103,10 +112,12 @@ def dedup_readings(stream: DataFrame) -> DataFrame:
     return s.dropDuplicatesWithinWatermark(["reading_ts", "road_name"])
 
 
-def stream_dedup(spark: SparkSession, readings_dirs: list[str], out_dir: str, schema) -> DataFrame:
+def stream_dedup(spark: SparkSession, readings_dirs: list[str], out_dir: str, schema,
+                 max_files: int | None = None) -> DataFrame:
+    """Files may come in several micro-batches if they come in event-time order, to within the watermark."""
     src = None
     for d in readings_dirs:
-        s = spark.readStream.schema(schema).parquet(d)
+        s = _files(spark, d, schema, max_files)
         src = s if src is None else src.unionByName(s)
     q = dedup_readings(src).drop("event_ts").writeStream.format("parquet").option("path", out_dir)
     run_available_now(q, out_dir + "._ckpt")

@@ -74,6 +74,42 @@ def test_late_rows_dropped_by_window_but_fixed_by_daily_recompute(spark):
     assert daily[0]["n"] == 3                                # the recompute sees it
 
 
+def _by_day(spark, readings, folder):
+    """One file per reading date, older files first (the file source goes by modification time, then name)."""
+    import time
+    for (d,) in sorted(tuple(r) for r in readings.select("reading_date").distinct().collect()):
+        readings.where(F.col("reading_date") == F.lit(d)).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.02)
+    return folder
+
+
+def test_streams_in_many_micro_batches_equal_one(spark):
+    r = B.raw_readings(spark, SF_SMALL)
+    some = [x[0] for x in r.select("reading_date").distinct().orderBy("reading_date").limit(5).collect()]
+    r = r.where(F.col("reading_date").isin(some))
+    src = _by_day(spark, r, J.scratch(spark, "t-days"))
+    schema = spark.read.parquet(src).schema
+    dim = B.road_dim(spark, SF_SMALL)
+    daily = J.stream_daily(spark, src, J.scratch(spark, "t-daily"), schema, dim, max_files=1)
+    assert daily.count() == D.daily_rollup(r, dim).count()
+    once = J.stream_dedup(spark, [src], J.scratch(spark, "t-dd1"), schema)
+    many = J.stream_dedup(spark, [src], J.scratch(spark, "t-dd2"), schema, max_files=1)
+    key = ["event_id", "road_name"]
+    assert _rows(many.select(*key)) == _rows(once.select(*key))
+
+
+def test_stream_daily_sees_files_that_arrive_while_it_runs(spark):
+    r = B.raw_readings(spark, SF_SMALL)
+    day = r.select("reading_date").orderBy("reading_date").first()[0]
+    one = r.where(F.col("reading_date") == F.lit(day))
+    src, out = J.scratch(spark, "t-grow"), J.scratch(spark, "t-grow-daily")
+    one.limit(1).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    J.stream_daily(spark, src, out, schema, None)
+    one.exceptAll(one.limit(1)).write.mode("append").parquet(src)
+    assert J.stream_daily(spark, src, out, schema, None).count() == D.daily_rollup(one, None).count()
+
+
 def _vectors(spark, rows, name):
     return spark.createDataFrame([(int(i), [float(x) for x in v], None) for i, v in rows],
                                  f"{name} long, v array<double>, grp long")
@@ -165,3 +201,10 @@ def test_road_dimension_join_is_broadcast(spark):
     registry.load_all()
     plan = _plan(registry.QUERIES["daily_rollup"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_latest_reading_needs_no_sort_of_all_readings(spark):
+    from lanespark.operators import monitor as M
+    plan = _plan(M.latest_per_road(B.raw_readings(spark, SF_SMALL), ["event_id", "a_speed"]))
+    first = plan[plan.rindex("max(reading_ts"):]
+    assert "SortAggregate" not in first and "HashAggregate" in plan
