@@ -16,6 +16,12 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def drawn(keys: list, rows: int, n: int, seed: int):
+    """Condition that holds for about ``rows`` of ``n`` rows (all, if there are no more), by a hash of their keys."""
+    share = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return share < min(1.0, rows / max(1, n))
+
+
 #: An id list of up to this many rows (about 8 MB) may be broadcast.
 BROADCAST_IDS = 500_000
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from lanespark.session import cut_lineage
 
+from .common import drawn
+
 FEATURES = ("url_length", "host_length", "path_length", "labels", "depth", "digit_share", "hyphens", "entropy",
             "parameters", "query_length", "has_fragment", "suffix1_rate", "suffix2_rate")
 
@@ -106,9 +108,9 @@ def classify(urls: DataFrame, rules: Sequence[tuple[str, str]], train_rows: int
 
     ``urls`` has ``url`` and other columns that ride along, except those of
     the names above, which are replaced. A null URL, or one without ``://``, has empty host and path and no
-    rule. The trees are fitted on at most ``train_rows`` of the URLs that a
-    rule decides, picked by hash; the suffix statistics come from the same
-    rows, so they are no more than that and are broadcast. If the rules label
+    rule. The trees are fitted on about ``train_rows`` of the URLs that a rule
+    decides, picked by hash (copies of a URL together); the suffix statistics
+    come from the same rows, so they are no more than that and are broadcast. If the rules label
     no URL, or all alike, the rest get that verdict (``allow`` if none) and a
     null probability.
     """
@@ -117,10 +119,10 @@ def classify(urls: DataFrame, rules: Sequence[tuple[str, str]], train_rows: int
                         host_of(F.col("url").cast("string")).alias("host"),
                         path_of(F.col("url").cast("string")).alias("path"))
     judged = whole.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
-    order = F.xxhash64("url", F.lit(seed))
-    train = judged.where("hit is not null").select("url", "host", "path",
+    known = judged.where("hit is not null").select("url", "host", "path",
                                                    (F.col("hit.verdict") == "block").cast("double").alias("label"))
-    train = cut_lineage(train.orderBy(order, "url").limit(train_rows))
+    n = known.count()
+    train = cut_lineage(known.where(drawn(["url"], train_rows, n, seed)))
     lot = train.agg(F.count("*").alias("n"), F.sum("label").alias("b")).first()
     one_sided = not lot["n"] or lot["b"] in (0, lot["n"])
     if one_sided:

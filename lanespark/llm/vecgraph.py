@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lanespark.session import cut_lineage
 
-from .common import components
+from .common import components, drawn
 
 
 def robust_prune(x: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -182,7 +182,7 @@ def _nodes(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataF
 def _search(nodes: DataFrame, n: int, threshold: float, overlap: int, breadth: int, region_rows: int, shard: int,
             degree: int, alpha: float, sample_rows: int, seed: int) -> DataFrame:
     """Rows ``(node, links, root)`` from every region: links counted once, and edges that span them."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample_rows).select("vec").collect()
+    sample = nodes.where(drawn(["node"], sample_rows, n, seed)).orderBy("node").select("vec").collect()
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(len(r["vec"]), []).append(r["vec"])
@@ -260,9 +260,9 @@ def _search(nodes: DataFrame, n: int, threshold: float, overlap: int, breadth: i
     return cut_lineage(dealt.groupBy("region", "tile").applyInPandas(region, "node long, links long, root long"))
 
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float, rows: int, seed: int) -> tuple[int, int]:
-    """Links of at most ``rows`` sampled nodes: found, and there are (brute force against all nodes)."""
-    few = nodes.orderBy(F.xxhash64("node", F.lit(seed + 1)), "node").limit(rows).select("node", "vec").collect()
+def audit(nodes: DataFrame, n: int, found: DataFrame, threshold: float, rows: int, seed: int) -> tuple[int, int]:
+    """Links of about ``rows`` sampled nodes: found, and there are (brute force against all nodes)."""
+    few = nodes.where(drawn(["node"], rows, n, seed + 1)).select("node", "vec").collect()
     if not few:
         return 0, 0
     by_dim: dict[int, tuple] = {}
@@ -307,7 +307,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, overlap: int = 3,
     n = groups.count()
     for _ in range(3):
         found = _search(groups, n, threshold, overlap, breadth, region_rows, shard, degree, alpha, sample_rows, seed)
-        got, there = audit(groups, found, threshold, audit_rows, seed)
+        got, there = audit(groups, n, found, threshold, audit_rows, seed)
         if got >= least_recall * there:
             break
         overlap, breadth = 2 * overlap, 2 * breadth
