@@ -519,7 +519,7 @@ def q_findings_table(spark, sf):
                         F.abs("pct_change"), F.col("reasons")).alias("line"))
     gap = T.weekday_weekend_gap(d).select(
         F.lit("weekday").alias("section"),
-        F.format_string("Weekday avg: %.0f, Weekend avg: %.0f -> Weekday is %+.1f%% %s", F.col("weekday_avg"),
+        F.format_string("%.0f vehicles on weekdays, %.0f at weekends: weekdays are %+.1f%% (%s)", F.col("weekday_avg"),
                         F.col("weekend_avg"), F.col("diff_pct"),
                         F.when(F.col("diff_pct") > 0, "higher").otherwise("lower")).alias("line"))
     w = T.group_stats(d, "weather").select(

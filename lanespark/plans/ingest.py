@@ -351,7 +351,9 @@ def q_write_processed(spark, sf_dir):
         test.select(F.lit("test").alias("split"), "row_id")).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("export_filtered")
+@register("export_filtered", B.with_bindings("""
+SELECT event_id, road_name AS "Road Name", area_name AS "Area Name", a_speed AS "Current Speed (km/h)",
+       collection_status AS "Status" FROM raw_readings WHERE area_name = 'Area 3'""", "raw_readings"))
 def q_export_filtered(spark, sf_dir):
     """SNK-06: display-named, filtered readings exported as CSV and read back."""
     from ..operators import monitor as M
@@ -360,13 +362,19 @@ def q_export_filtered(spark, sf_dir):
     r = M.facet_filter(B.raw_readings(spark, sf_dir), area="Area 3")
     r = r.select("event_id", "road_name", "area_name", "a_speed", "collection_status")
     path = scratch(spark, "export")
-    K.export_filtered(M.rename_display(r), path)
-    return spark.read.option("header", True).csv(path)
+    named = M.rename_display(r)
+    K.export_filtered(named, path)
+    return spark.read.schema(named.schema).option("header", True).csv(path)
 
 
-@register("write_metadata")
+@register("write_metadata", B.with_bindings("""
+SELECT area_name AS value, CAST(dense_rank() OVER (ORDER BY area_name) - 1 AS INT) AS code, 'volume' AS target,
+       5 AS n_features, n_rows, date_range
+FROM (SELECT DISTINCT area_name FROM daily_traffic WHERE area_name IS NOT NULL),
+     (SELECT count(*) AS n_rows, concat(CAST(min(traffic_date) AS VARCHAR), ' to ', CAST(max(traffic_date) AS VARCHAR))
+             AS date_range FROM daily_traffic)""", "daily_traffic"))
 def q_write_metadata(spark, sf_dir):
-    """SNK-04: one-row metadata JSON (features, sizes, date range, encoder maps) read back."""
+    """SNK-04: one-row metadata JSON (features, sizes, date range, encoder maps) read back, one row per area code."""
     from ..sources import sinks as K
     from ..streaming.jobs import scratch
     d = B.daily_traffic(spark, sf_dir)
@@ -374,7 +382,9 @@ def q_write_metadata(spark, sf_dir):
                             ["area_name"])
     path = scratch(spark, "metadata")
     K.write_metadata(meta, path)
-    return spark.read.json(path)
+    back = spark.read.schema(meta.schema).json(path)
+    return back.select(F.explode(F.col("encoders")["area_name"]).alias("value", "code"), "target",
+                       F.size("features").alias("n_features"), "n_rows", "date_range")
 
 
 from .registry import ORACLES as _ORACLES  # noqa: E402

@@ -563,7 +563,9 @@ def q_run_framework(spark, sf):
         .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("r2"), "model")))
 
 
-@register("write_results")
+@register("write_results", B.with_bindings("""
+SELECT model, variant, test_r2, test_rmse,
+       row_number() OVER (ORDER BY test_r2 DESC, CAST(substr(variant, 3) AS BIGINT)) AS rank FROM model_runs""", "model_runs"))
 def q_write_results(spark, sf):
     """SNK-05: the ranked model-results table written as CSV (header) and read back."""
     from ..sources import sinks as K
@@ -573,4 +575,4 @@ def q_write_results(spark, sf):
     res = global_row_number(r, ["_neg", "row_order"], "rank").select("model", "variant", "test_r2", "test_rmse", "rank")
     path = J.scratch(spark, "results")
     K.write_results(res, path)
-    return spark.read.option("header", True).csv(path)
+    return spark.read.schema(res.schema).option("header", True).csv(path)

@@ -79,7 +79,12 @@ def q_stream_ingest(spark, sf):
     return J.stream_ingest(spark, landed, J.scratch(spark, "ingest"), docs.schema)
 
 
-@register("stream_late")
+@register("stream_late", B.with_bindings(f"""
+SELECT r.reading_date, CAST(count(DISTINCT road_name) AS BIGINT) AS daily_road_days,
+       CAST(count_if(r.reading_date <> f.d AND {_CYCLE_START} + INTERVAL 15 MINUTE <= f.m - INTERVAL 30 MINUTE) AS BIGINT)
+       AS window_readings
+FROM raw_readings r, (SELECT min(reading_date) AS d, max(CAST(reading_ts AS TIMESTAMPTZ)) AS m FROM raw_readings) f
+GROUP BY 1""", "raw_readings"))
 def q_stream_late(spark, sf):
     """ST-05: the first day's readings arrive after everything else. The 15-minute window job has
     already moved its watermark past them and drops them; the date-recomputing daily job still
