@@ -15,8 +15,9 @@ from lanespark.llm import langid, packing, quality, simhash
 from lanespark.session import ensure_checkpoint_dir
 
 
-#: A document goes if no learned language reaches this score (a half more than four languages' chance level).
-LEAST_LANGUAGE_SCORE = 0.375
+#: A document goes if it has no letter, or if no learned language reaches this score: four languages' chance level is
+#: 0.25, and clean documents that mix languages stay a good way above this.
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
