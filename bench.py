@@ -28,7 +28,8 @@ BENCH_KEYS = [
     "monthly_stats", "month_over_month", "day_of_week", "weather_distribution", "area_month_pivot",
     "centered_ma30", "collection_history", "collection_kpis", "road_success_rate", "latest_snapshot",
     "temporal_features", "context_enrich", "train_test_split", "regression_metrics", "best_per_family",
-    "utility_score", "ridge", "gradient_boosting", "online_windows", "stream_cycle_15m",
+    "utility_score", "ridge", "gradient_boosting", "random_forest", "stacking", "knn", "online_windows",
+    "stream_cycle_15m", "stream_daily",
 ]
 
 

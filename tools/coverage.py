@@ -9,7 +9,7 @@ from lanespark.plans import registry  # noqa: E402
 
 # SURVEY id -> registered query key(s); "test:" = covered by a pytest parity/property test only
 INVENTORY = {
-    "SRC-01": ["scan_daily"], "SRC-02": ["require_columns"], "SRC-03": ["scan_raw"], "SRC-04": ["write_processed"],
+    "SRC-01": ["scan_daily", "scan_daily_csv"], "SRC-02": ["require_columns"], "SRC-03": ["scan_raw"], "SRC-04": ["write_processed"],
     "SRC-05": ["parse_flow"], "SRC-06": ["parse_jam"], "SRC-07": ["parse_weather"], "SRC-08": ["parse_incidents"],
     "SRC-09": ["incident_bbox"], "SRC-10": ["road_dim"],
     "SNK-01": ["append_raw"], "SNK-02": ["replace_dates"], "SNK-03": ["write_processed"], "SNK-04": ["write_metadata"],
@@ -51,7 +51,7 @@ INVENTORY = {
     "WN-01": ["lag_features"], "WN-02": ["rolling_mean", "rolling_mean_safe"], "WN-03": ["rolling_std"],
     "WN-04": ["trend_3"], "WN-05": ["month_over_month"], "WN-06": ["centered_ma30"], "WN-07": ["variant_sensitivity"],
     "WN-08": ["rank_by_score"], "WN-09": ["label_encode"], "WN-10": ["first_seen_encode"],
-    "WN-11": ["latest_snapshot"], "WN-12": ["running_success"], "WN-13": ["row_windows"],
+    "WN-11": ["latest_snapshot", "newest_snapshot"], "WN-12": ["running_success"], "WN-13": ["row_windows"],
     "WN-14": ["expanding_prefix"], "WN-15": ["contiguous_folds"],
     "SL-01": ["sort_daily"], "SL-02": ["sort_series"], "SL-03": ["topk_models"], "SL-04": ["topk_areas"],
     "SL-05": ["topk_features"], "SL-06": ["preview"], "SL-07": ["sample_n"], "SL-08": ["topk_per_group"],
@@ -77,6 +77,8 @@ INVENTORY = {
 
 def main():
     registry.load_all()
+    here = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tests")
+    tests = "".join(open(os.path.join(here, f)).read() for f in sorted(os.listdir(here)) if f.endswith(".py"))
     lines = ["| SURVEY id | query key(s) | check |", "|---|---|---|"]
     missing = []
     for sid, keys in INVENTORY.items():
@@ -87,7 +89,7 @@ def main():
                 continue
             if k not in registry.QUERIES:
                 missing.append(k)
-            kinds.append("SQL oracle" if k in registry.ORACLES else "rows + pytest")
+            kinds.append("SQL oracle" if k in registry.ORACLES else "pytest" if f'"{k}"' in tests else "rows")
         lines.append(f"| {sid} | {', '.join('`' + k.replace('test:', '') + '`' for k in keys)} | {', '.join(sorted(set(kinds)))} |")
     print("\n".join(lines))
     if missing:
