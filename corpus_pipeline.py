@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import public_tokenizers
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanespark.llm import langid, packing, quality, simhash
+from lanespark.llm.common import ship
 from lanespark.session import ensure_checkpoint_dir
 
 
@@ -44,8 +46,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(p, capacity=1024)
 
 
-STAGES = [("language_id", language), ("quality_classifier", good), ("simhash_near_dedup", near_duplicates),
-          ("best_fit_packing", pack)]
+def _stage(fn):
+    @functools.wraps(fn)
+    def run_stage(spark, docs, sf_dir):
+        ship(spark)
+        return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [("language_id", _stage(language)), ("quality_classifier", _stage(good)),
+          ("simhash_near_dedup", _stage(near_duplicates)), ("best_fit_packing", _stage(pack))]
 
 #: Trained models and hashes that SQL does not have; tests hold the stages against brute force.
 ORACLE_SQL = None
