@@ -186,9 +186,10 @@ def _pack_round(items: DataFrame, n_tasks: int, capacity: int, base: int, full:
     schema = items.schema.simpleString()[len("struct<"):-1].replace(":", " ")
 
     def run(frames):
-        part = pd.concat(list(frames), ignore_index=True)
-        if not len(part):
+        frames = list(frames)
+        if not sum(map(len, frames)):
             return
+        part = pd.concat(frames, ignore_index=True)
         part = part.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
         lengths = part["length"].to_numpy()
         bins = local_search(best_fit(lengths, capacity), lengths, capacity, full)

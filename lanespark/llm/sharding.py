@@ -22,12 +22,13 @@ def external_shuffle(rows: DataFrame, n_shards: int = 24, seed: int = 7, bucket_
 
     Slots are gapless from 0 in each shard and give the shuffled order. Law:
     ``rows``, shard sizes at most one row apart. A null text has no bytes.
-    All columns of ``rows`` ride along. The bucket depends on the seed and
+    All columns of ``rows`` ride along, except those of the three names above,
+    which are replaced. The bucket depends on the seed and
     on all columns, so equal rows share a bucket and other rows spread
     whatever key they share; inside a bucket rows are ordered by hash before
     the shuffle, so that a retry gives the same order. No rows give no rows.
     """
-    names = rows.columns
+    names = [c for c in rows.columns if c not in ("size", "shard", "slot")]
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long") + 8
     mixed = F.xxhash64(F.lit(seed), *names)
     sized = rows.select(F.struct(*names).alias("row"), size.alias("size"), mixed.alias("mixed"))
