@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -43,11 +44,15 @@ class MergeTransducer:
         self._ranks, self._limit = ranks, limit
         self._bytes = {r: b for b, r in ranks.items()}
         self._fits: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int]] = {}   # the two tokens that a token's last merge joins
         # trie: node -> {byte: node}; token at node; only tokens that encode to themselves can occur
         self._next, self._token = [{}], [None]
         for token, rank in ranks.items():
-            if self._merge(token) != [rank]:
+            *before, whole = self._merges(token)
+            if whole != [rank]:
                 continue
+            if before:
+                self._halves[rank] = tuple(before[-1])
             node = 0
             for b in token:
                 nxt = self._next[node].get(b)
@@ -75,16 +80,18 @@ class MergeTransducer:
             self._moves.append({})
         return found
 
-    def _merge(self, piece: bytes) -> list[int]:
-        """Byte-pair encoding by definition: the pair of lowest rank first, leftmost among equals."""
+    def _merges(self, piece: bytes) -> list[list[int]]:
+        """Byte-pair encoding by definition, step by step: the pair of lowest rank first, leftmost among equals."""
         none = 1 << 60
         parts = [piece[i:i + 1] for i in range(len(piece))]
+        steps = [[self._ranks[p] for p in parts]]
         while len(parts) > 1:
             rank, i = min((self._ranks.get(a + b, none), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
             if rank == none:
                 break
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return [self._ranks[p] for p in parts]
+            steps.append([self._ranks[p] for p in parts])
+        return steps
 
     def _compatible(self, a: int, b: int) -> bool:
         key = a << 32 | b
@@ -92,9 +99,30 @@ class MergeTransducer:
         if found is None:
             if len(self._fits) > 1_000_000:
                 self._fits.clear()
-            found = self._fits[key] = self._merge(self._bytes[a] + self._bytes[b]) == [a, b]
+            found = self._fits[key] = self._stay_apart(a, b)
         return found
 
+    def _stay_apart(self, a: int, b: int) -> bool:
+        """Whether no merge ever crosses the border of neighbours ``a`` and ``b``.
+
+        Run their merges backwards, latest first. The two tokens at the border
+        then stand there until the merge just undone; a crossing merge that
+        comes before it would have happened. Among equal ranks the left one is
+        first.
+        """
+        raw, halves, ranks, until = self._bytes, self._halves, self._ranks, 1 << 60
+        while True:
+            crossing = ranks.get(raw[a] + raw[b])
+            if crossing is not None and crossing < until:
+                return False
+            left, right = halves.get(a), halves.get(b)
+            if left is None and right is None:
+                return True
+            if right is None or left is not None and a > b:
+                until, a = a, left[1]
+            else:
+                until, b = b + 1, right[0]
+
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
         """Next state and emitted tokens; made on first use."""
         last, readings = self._states[state]
@@ -146,13 +174,22 @@ class TextEncoder:
         import regex
 
         self._split = regex.compile(pattern).findall
-        self._transducer = MergeTransducer(load_ranks(path))
-        self._memo = ChunkMemo(self._encode, limit=400_000)
+        encode = MergeTransducer(load_ranks(path)).encode
+
+        class Pieces(dict):
+            """Ids of pretokens met before; emptied when full."""
+
+            def __missing__(pieces, piece):
+                if len(pieces) >= 300_000:
+                    pieces.clear()
+                out = pieces[piece] = array("I", encode(piece.encode("utf-8"))).tobytes()
+                return out
+
+        self._pieces = Pieces()
+        self._memo = ChunkMemo(self._encode, limit=250_000)
 
     def _encode(self, text: str) -> bytes:
-        encode = self._transducer.encode
-        ids = [i for piece in self._split(text) for i in encode(piece.encode("utf-8"))]
-        return np.array(ids, dtype="<u4").tobytes()
+        return b"".join(map(self._pieces.__getitem__, self._split(text)))
 
     def __call__(self, text: str) -> bytes:
         return self._memo(text)

@@ -48,6 +48,18 @@ def test_transducer_emits_after_bounded_lookahead_and_forgets_states(tik):
         assert all(sum(len(t._bytes[x]) for x in held) <= 2 * longest for _, rs in t._states for _, held in rs)
 
 
+def test_border_check_is_byte_pair_encoding(tik):
+    t = bpe.MergeTransducer(bpe.load_ranks(queries.RANKS))
+    rng = np.random.default_rng(0)
+    known = [x for x in t._token if x is not None]
+    pairs = [(int(a), int(b)) for a, b in rng.choice(known, (4000, 2))]
+    text = "internationalisation is theanthe aaaaaaaa ==== thereonthe ciónmente \n\n\n\n 1111111 " * 3
+    ids = [i for i in tik.encode_ordinary(text)]
+    pairs += list(zip(ids, ids[1:])) + [(a, a) for a in known[:3000]]
+    for a, b in pairs:
+        assert t._stay_apart(a, b) == (t._merges(t._bytes[a] + t._bytes[b])[-1] == [a, b]), (a, b)
+
+
 def test_decoder_releases_whole_characters(coder, tik):
     decoder = coder[1]
     text = "naïve 漢字 😀👩‍👩‍👧 ñ é " * 5
