@@ -465,9 +465,11 @@ def fit(pages: list[str], relaid_pages: int = 700, epochs: int = 4, batch: int =
 
 
 def train(pages: DataFrame, rows: int = 120, html_col: str = "html") -> BlockLabeller:
-    """Fit on at most ``rows`` pages, the first by a hash of their markup."""
-    got = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).cast("string").alias("h")) \
-        .select("h", F.xxhash64("h").alias("k")).orderBy("k", "h").limit(rows).collect()
+    """Fit on ``rows`` different pages (all, if there are no more): those whose markup's hash is smallest."""
+    hashed = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).cast("string").alias("h")) \
+        .withColumn("k", F.xxhash64("h"))
+    first = [r["k"] for r in hashed.select("k").distinct().orderBy("k").limit(rows).collect()]
+    got = hashed.where(F.col("k").isin(first)).dropDuplicates(["k"]).collect()
     return fit(sorted(r["h"] for r in got))
 
 
