@@ -40,7 +40,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class MergeTransducer:
     """Bytes of one pretoken to token ids. ``limit`` bounds the states kept; beyond it they are made anew."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 450_000):
         self._ranks, self._limit = ranks, limit
         self._bytes = {r: b for b, r in ranks.items()}
         self._fits: dict[int, bool] = {}
@@ -180,7 +180,7 @@ class TextEncoder:
             """Ids of pretokens met before; emptied when full."""
 
             def __missing__(pieces, piece):
-                if len(pieces) >= 300_000:
+                if len(pieces) >= 400_000:
                     pieces.clear()
                 out = pieces[piece] = array("I", encode(piece.encode("utf-8"))).tobytes()
                 return out
