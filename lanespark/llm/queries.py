@@ -92,15 +92,14 @@ def _crc32(col) -> F.Column:
 def op6_fingerprints(spark, sf_dir):
     """Threshold-scaled sketches of every document, of its edited text, and their likeness.
 
-    Likeness is the estimated share of the document's shingles that the other text holds.
+    Likeness is the estimated share of the document's shingles that the other text holds. The fingerprint of a text
+    whose sketch is of few hashes goes on, after a bar, with those of its character shingles.
     """
     d = sketch.edited(read(spark, sf_dir, "documents"))
-    return d.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited_text"), 256).alias("edited_sha256"),
-        sketch.as_string(F.col("sketch")).alias("fingerprint"),
-        sketch.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-        sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        sketch.containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    both = lambda k: F.concat_ws("|", sketch.as_string(F.col(k + "sketch")), sketch.as_string(F.col(k + "fine")))
+    return d.select("doc_id", "n_chars", F.sha2(F.col("edited_text"), 256).alias("edited_sha256"),
+                    both("").alias("fingerprint"), both("edited_").alias("edited_fingerprint"),
+                    "near_edited", "near_next")
 
 
 @query

@@ -209,6 +209,35 @@ def test_sketch_estimates_containment(spark):
     assert row.ba == 1.0 and abs(row.ab - 1 / 3) < 0.05 and row.same and abs(row.n / 8995 - 1 / 8) < 0.02
 
 
+def test_short_texts_are_told_apart(spark):
+    def slow(t):
+        t = " ".join(t.split())
+        t = " " * 5 + t + " " * 5
+        return {t[i:i + 6] for i in range(len(t) - 5)}
+
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz\U0001f600"), rng.integers(1, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in range(1, 21)] + ["x" * 900, "", "  ", "\t", None]
+    texts += [" ".join(word() for _ in range(400)), "same words", "same words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in sketch.edited(docs).collect()}
+    for i, t in enumerate(texts):
+        nxt, r = texts[i - 1] or "", got[i]
+        a = slow(t or "")
+        if (t or "").strip() and len(t.split()) <= 20:
+            for near, other in ((r.near_edited, r.edited_text), (r.near_next, nxt)):
+                want = len(a & slow(other)) / len(a) if other.strip() else 0.0
+                # up to 64 character shingles are all kept; of more, a sample
+                assert abs(near - want) < (1e-12 if len(a) <= 64 else 0.25), (t, other)
+            assert r.fine
+        elif not (t or "").strip():
+            assert r.near_next == float((t or "") == nxt) and r.near_edited == float((t or "") == r.edited_text)
+        else:
+            assert r.fine is None
+    short = [(tuple(r.sketch), tuple(r.fine)) for i, r in got.items() if i < 24]
+    assert len(set(short)) == len(short) and got[24].fine == got[21].fine and got[27].near_next == 1.0
+
+
 def test_shard_files_are_written_whole(docs, tmp_path, spark):
     s = sharding.external_shuffle(docs, n_shards=3, bucket_bytes=2000)
     sharding.write_shards(s, str(tmp_path / "shards"))
