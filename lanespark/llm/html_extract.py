@@ -31,6 +31,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 SILENT_TAGS = frozenset("""script style noscript template head title iframe object svg math canvas audio video
     select textarea button datalist noembed noframes applet map""".split())
 RAW_TAGS = frozenset("script style textarea title iframe noembed noframes xmp noscript".split())
+# What an open head may hold; anything else ends it, as its closing tag may be left out.
+HEAD_TAGS = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 # An opening tag closes an open element of the same kind before it.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
                 "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -42,10 +44,30 @@ _TOKEN = re.compile(
     re.S | re.X)
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?""")
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_CSS_OPAQUE = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'|\([^()]*\)""", re.S)
 _SPACE = re.compile(r"\s+")
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether a tag's attributes hide it: ``hidden``, ``aria-hidden="true"`` or a style that ends up ``display: none``."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):   # of repeated attributes the first one counts
+        found.setdefault(m[1].lower(), html.unescape(next((x for x in m.groups()[1:] if x is not None), "")))
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    display, firm = "", False
+    for declaration in _CSS_OPAQUE.sub(" ", found.get("style", "")).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        value, mark, _ = value.partition("!")
+        if name.strip() == "display" and (mark or not firm):
+            display, firm = value.strip(), bool(mark)
+    return display == "none"
+
+
 @dataclass
 class Block:
     path: tuple[str, ...]   # tags and class or id words from the root down
@@ -86,6 +108,8 @@ def blocks(page: str | None) -> list[Block]:
         m = _TOKEN.match(page, at)
         at = m.end()
         if m[4] is not None:
+            if silent and open_tags[-1][0] == "head" and m[4].strip():
+                close(len(open_tags) - 1)
             if not silent:
                 text.append(m[4])
                 if in_link:
@@ -110,6 +134,14 @@ def blocks(page: str | None) -> list[Block]:
                         close(k)
                     break
             continue
+        if tag == "head" and any(t != "html" for t, _, _ in open_tags):     # a head inside the page is none
+            continue
+        if tag == "body":
+            heads = [k for k, (t, _, _) in enumerate(open_tags) if t == "head"]
+            if heads:
+                close(heads[0])
+        elif open_tags and open_tags[-1][0] == "head" and tag not in HEAD_TAGS:
+            close(len(open_tags) - 1)
         ends = SELF_CLOSING.get(tag, ()) if tag != "p" else ()
         if tag in _CLOSES_P or ends:
             for k in range(len(open_tags) - 1, -1, -1):
@@ -122,7 +154,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         names = [next(x for x in c if x is not None) for c in _CLASS.findall(m[3]) if any(c)] if "=" in m[3] else ()
         parts = (tag, *("." + w.lower() for name in names for w in _PARTS.findall(_camel(name))))
-        quiet = tag in SILENT_TAGS or bool(m[3] and _HIDDEN.search(m[3]))
+        quiet = tag in SILENT_TAGS or bool(m[3] and is_hidden(m[3]))
         if tag in RAW_TAGS:
             stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = stop.end() if stop else end

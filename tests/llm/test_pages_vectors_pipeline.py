@@ -81,6 +81,27 @@ def test_blocks_are_read_whole():
     assert [b.text for b in html_extract.blocks("plain text only")] == ["plain text only"]
 
 
+@pytest.mark.parametrize("attributes, shown", [
+    ('class="overflow-hidden"', True), ('style="overflow:hidden"', True), ('href="/hidden-valley"', True),
+    ('title="The hidden valley"', True), ('data-hidden="x"', True), ("aria-hidden=false", True),
+    ('style="--x-display: none"', True), ('style="display:none; display:block"', True),
+    ("title='display:none'", True), ("style=\"content:'; display:none'\"", True),
+    ("hidden", False), ("class=a hidden", False), ('HIDDEN=""', False), ("aria-hidden=true", False),
+    ('style="color:red; Display : none"', False), ('style="display:none!important; display:block"', False)])
+def test_only_hidden_elements_are_silent(attributes, shown):
+    page = f"<article {attributes}><h1>Title</h1><p>The text.</p></article><p>More.</p>"
+    assert [b.text for b in html_extract.blocks(page)] == ["Title", "The text."] * shown + ["More."]
+
+
+@pytest.mark.parametrize("page", [
+    "<head><title>x</title><body><p>Text.</p>", "<html><head><title>x</title><meta a=b><p>Text.",
+    "<head><script>y</script><div><p>Text.</p></div></html>", "<html><head><title>x</title>\n Text.<br>",
+    "<head><noscript><p>no</p></noscript><span>Text.</span>",
+    "<html><head><title>x</title></head><body><head><p>Text."])
+def test_a_head_left_open_ends_at_the_body(page):
+    assert [b.text for b in html_extract.blocks(page)] == ["Text."]
+
+
 @pytest.fixture(scope="module")
 def labeller(spark):
     return html_extract.train(spark.read.parquet(f"{SF}/pages.parquet"))
