@@ -190,3 +190,16 @@ def test_a_changed_table_is_prepared_anew(spark, tmp_path):
     shutil.copy(part, folder / "lineitem.parquet")
     spark.catalog.refreshByPath(str(folder / "lineitem.parquet"))
     assert L.prepared(spark, str(folder)) is not first
+
+
+def test_registered_fits_have_the_references_sizes(spark, monkeypatch):
+    made = []
+    for kind in ("random_forest", "extra_trees", "gradient_boosting", "decision_tree"):
+        monkeypatch.setattr(ML, kind, lambda *a, kind=kind, **k: made.append((kind, a)))
+    prep = L.prepared(spark, SF_SMALL)
+    for sizes in ((), (L.STACK_SIZES,)):
+        for name in ("Random Forest", "Extra Trees (approx.)", "Gradient Boosting", "Decision Tree"):
+            L._estimator(name, prep, *sizes)
+    assert made == [("random_forest", (200, 20)), ("extra_trees", (200, 20)), ("gradient_boosting", (300, 0.05, 5)),
+                    ("decision_tree", (15,)), ("random_forest", (100, 15)), ("extra_trees", (100, 15)),
+                    ("gradient_boosting", (300, 0.05, 5)), ("decision_tree", (12,))]
