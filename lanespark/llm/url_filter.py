@@ -81,8 +81,11 @@ def lexical(urls: DataFrame) -> DataFrame:
         "query_length": F.char_length(query), "has_fragment": F.instr(url, "#") > 0,
     }
     return urls.withColumns({**{k: v.cast("double") for k, v in double.items()},
-                             "suffix1": F.substring_index("host", ".", -1),
-                             "suffix2": F.substring_index("host", ".", -2)})
+                             **_suffixes()})
+
+
+def _suffixes() -> dict[str, Column]:
+    return {"suffix1": F.substring_index("host", ".", -1), "suffix2": F.substring_index("host", ".", -2)}
 
 
 def _with_rates(rows: DataFrame, stats: dict[str, DataFrame], base: float, fold: bool) -> DataFrame:
@@ -90,12 +93,11 @@ def _with_rates(rows: DataFrame, stats: dict[str, DataFrame], base: float, fold:
     for k in ("suffix1", "suffix2"):
         s = stats[k]
         if fold:
-            rows = rows.join(F.broadcast(s.select(F.col(k).alias("s"), F.col("fold").alias("f"), "n", "b")),
+            rows = rows.join(s.select(F.col(k).alias("s"), F.col("fold").alias("f"), "n", "b"),
                              (F.col(k) == F.col("s")) & (F.col("fold") == F.col("f")), "left").drop("s", "f")
         else:
-            rows = rows.join(F.broadcast(s.where("fold = 0").select(F.col(k).alias("s"),
-                                                                    F.col("all_n").alias("n"),
-                                                                    F.col("all_b").alias("b"))),
+            rows = rows.join(s.where("fold = 0").select(F.col(k).alias("s"), F.col("all_n").alias("n"),
+                                                        F.col("all_b").alias("b")),
                              F.col(k) == F.col("s"), "left").drop("s")
         rate = (F.coalesce("b", F.lit(0.0)) + 5 * base) / (F.coalesce("n", F.lit(0.0)) + 5)
         rows = rows.withColumn(k + "_rate", rate).drop("n", "b")
@@ -110,7 +112,7 @@ def classify(urls: DataFrame, rules: Sequence[tuple[str, str]], train_rows: int
     the names above, which are replaced. A null URL, or one without ``://``, has empty host and path and no
     rule. The trees are fitted on about ``train_rows`` of the URLs that a rule
     decides, picked by hash (copies of a URL together); the suffix statistics
-    come from the same rows, so they are no more than that and are broadcast. If the rules label
+    count all of those URLs and are joined without a hint. If the rules label
     no URL, or all alike, the rest get that verdict (``allow`` if none) and a
     null probability.
     """
@@ -121,8 +123,11 @@ def classify(urls: DataFrame, rules: Sequence[tuple[str, str]], train_rows: int
     judged = whole.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     known = judged.where("hit is not null").select("url", "host", "path",
                                                    (F.col("hit.verdict") == "block").cast("double").alias("label"))
-    n = known.count()
-    train = cut_lineage(known.where(drawn(["url"], train_rows, n, seed)))
+    in_fold = F.pmod(F.xxhash64("host"), F.lit(folds))
+    counts = cut_lineage(known.withColumns({**_suffixes(), "fold": in_fold}).groupBy("suffix1", "suffix2", "fold").agg(
+        F.count("*").cast("double").alias("n"), F.sum("label").alias("b")))
+    total = counts.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
+    train = cut_lineage(known.where(drawn(["url"], train_rows, int(total["n"] or 0), seed)))
     lot = train.agg(F.count("*").alias("n"), F.sum("label").alias("b")).first()
     one_sided = not lot["n"] or lot["b"] in (0, lot["n"])
     if one_sided:
@@ -130,13 +135,13 @@ def classify(urls: DataFrame, rules: Sequence[tuple[str, str]], train_rows: int
         out = judged.select("row", "url", "host", "path", "hit", F.lit(rest).alias("guess"),
                             F.lit(None).cast("double").alias("block_probability"))
     else:
-        base = lot["b"] / lot["n"]
-        train = lexical(train).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(folds)))
+        base = total["b"] / total["n"]
+        train = lexical(train).withColumn("fold", in_fold)
         train = cut_lineage(train)
         stats = {}
         for k in ("suffix1", "suffix2"):
-            by_fold = train.groupBy(k, "fold").agg(F.count("*").cast("double").alias("fn"), F.sum("label").alias("fb"))
-            every = train.groupBy(k).agg(F.count("*").cast("double").alias("all_n"), F.sum("label").alias("all_b"))
+            by_fold = counts.groupBy(k, "fold").agg(F.sum("n").alias("fn"), F.sum("b").alias("fb"))
+            every = counts.groupBy(k).agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
             grid = every.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long"))))
             stats[k] = cut_lineage(grid.join(by_fold, [k, "fold"], "left").withColumns({
                 "n": F.col("all_n") - F.coalesce("fn", F.lit(0.0)), "b": F.col("all_b") - F.coalesce("fb", F.lit(0.0))}))

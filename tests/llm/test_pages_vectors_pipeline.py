@@ -53,6 +53,20 @@ def test_trees_learn_from_labelled_urls(spark):
     assert np.mean([(r.verdict == "block") == ("1234567890" in r.path) for r in got]) > 0.95
 
 
+def test_suffix_rates_count_every_labelled_url(spark, monkeypatch):
+    seen, real = {}, url_filter._with_rates
+    monkeypatch.setattr(url_filter, "_with_rates", lambda rows, stats, *a: seen.update(stats) or real(rows, stats, *a))
+    kinds = [("net", "/"), ("org", "/ok/")]
+    urls = [(f"http://h{i % 7}.site{i % 150}.{kinds[i % 2][0]}{kinds[i % 2][1]}{i}",) for i in range(1200)]
+    df = spark.createDataFrame([*urls, ("http://free.example/x",)], "url string")
+    out = url_filter.classify(df, (("net/", "block"), ("org/ok/", "allow")), train_rows=60, trees=2, depth=2)
+    assert out.count() == 1201
+    for k, n in (("suffix1", 2), ("suffix2", 150)):
+        rows = seen[k].where("fold = 0").collect()
+        assert len(rows) == n and all(r.all_n == 1200 / n for r in rows)
+        assert all(r.all_b == (r.all_n if r[k].endswith("net") else 0) for r in rows)
+
+
 def test_entropy_is_shannons(spark):
     texts = ["", "a", "aaaa", "abab", "hello world", "日本日"]
     got = spark.createDataFrame([(t,) for t in texts], "s string").select("s", url_filter._entropy(F.col("s")).alias("e"))
