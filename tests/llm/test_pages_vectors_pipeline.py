@@ -204,6 +204,17 @@ def test_graph_links_are_brute_force(spark, size):
         assert got == want
 
 
+def test_audit_judges_every_node(spark, monkeypatch):
+    assert vecgraph.recall([(3000, 3000)] * 80 + [(0, 2)] * 20) == 0.8 and vecgraph.recall([]) == 1.0
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(20, 8)), 2, axis=0) + 1e-3 * rng.normal(size=(40, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    real = vecgraph._search
+    monkeypatch.setattr(vecgraph, "_search", lambda *a: real(*a).withColumn("links", F.lit(0).cast("long")))
+    with pytest.raises(RuntimeError, match="recall"):
+        vecgraph.near_duplicates(df, threshold=0.95)
+
+
 def test_graph_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vecgraph.near_duplicates(df).count() == 0
