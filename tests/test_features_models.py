@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 from lanespark.operators import features as FE
 from lanespark.operators import online as ON
 from lanespark.operators import split as SP

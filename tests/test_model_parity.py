@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 from lanespark.operators import models as ML
 from lanespark.plans import learning as L
 from lanespark.plans import registry

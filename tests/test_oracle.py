@@ -7,7 +7,7 @@ import pytest
 from lanespark.plans import registry
 
 registry.load_all()
-from conftest import SF_SMALL  # noqa: E402
+from small_data import SF_SMALL  # noqa: E402
 
 # slow ML / streaming keys are covered by dedicated tests
 KEYS = sorted(k for k in registry.ORACLES if not k.startswith("stream_"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 from lanespark.operators import daily as D
 from lanespark.operators import neighbors as NB
 from lanespark.sources import bindings as B
