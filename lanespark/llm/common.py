@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanespark.session import cut_lineage
+from lanespark.session import cut_lineage, ensure_checkpoint_dir
 
 
 _SHIPPED: set[str] = set()
@@ -45,19 +46,21 @@ def drawn(keys: list, rows: int, n: int, seed: int):
     return share < min(1.0, rows / max(1, n))
 
 
-#: An id list of up to this many rows (about 8 MB) may be broadcast.
-BROADCAST_IDS = 500_000
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: Spark then knows its size when it plans a join."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """``rows`` whose key is not in ``ids`` (distinct keys); rows with a null key stay.
 
-    The list is counted: up to ``BROADCAST_IDS`` it is broadcast, so that the
-    rows stay where they are; beyond, both sides are shuffled by the key.
+    The list is written first, so that Spark plans the join by its size: a
+    short one is broadcast and the rows stay where they are, a long one is
+    shuffled with them.
     """
-    ids = cut_lineage(ids.select(key))
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, key, "left_anti").select(*rows.columns)
+    return rows.join(stored(ids.select(key)), key, "left_anti").select(*rows.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ fingerprints, so every linked pair is within ``max_bits`` of each other there.
 The vectors are cut into two halves of 16 segments; one half is then within
 ``max_bits // 2``. The grid join finds those: each fingerprint visits the cells
 (exact half vectors) within half that radius of its own, rounded up, and two
-half vectors within the radius always meet in a common cell. Pairs that meet
-are verified in the join condition by the exact Hamming distance, so the join
-only returns true links.
+half vectors within the radius always meet in a common cell. Fingerprints are
+dealt to cells, and those that meet are verified inside the task by the exact
+Hamming distance; only edges that span the linked groups leave it, so what comes
+out grows with the fingerprints, not with their pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lanespark.session import cut_lineage
 
-from .common import components, is_empty, without
+from .common import components, is_empty, stored, without
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -87,24 +88,104 @@ def _cells(counts, radius: int):
     return cells
 
 
-def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Pairs ``(src, dst)``, src < dst, of distinct fingerprints at most ``max_bits`` bits apart.
+def _cell_id(half, cell):
+    """One long for a half (0 or 1) and its 32-bit cell."""
+    return F.shiftleft(half.cast("long"), 32).bitwiseOR(cell)
 
-    ``fps`` has one row per distinct fingerprint in ``fp``. A pair can come out once for every common cell.
+
+def _crowds(own: DataFrame, radius: int, block_rows: int) -> DataFrame:
+    """``(crowded, blocks)`` of the cells that more than ``block_rows`` fingerprints may visit.
+
+    A cell's visitors come from the own cells around it, at most ``around`` of
+    them. Own cells of up to ``block_rows / around`` fingerprints bring at most
+    ``block_rows`` together, so only the greater ones are summed.
+    """
+    around = 33 ** radius
+    heavy = own.groupBy("half", "v").agg(F.count("*").alias("n")).where(F.col("n") * around > block_rows)
+    visited = heavy.select(F.explode(F.transform(_cells(F.col("v"), radius), lambda c: _cell_id(F.col("half"), c)))
+                           .alias("crowded"), "n")
+    return visited.groupBy("crowded").agg((F.ceil(F.sum("n") / block_rows) + 1).cast("int").alias("blocks"))
+
+
+def _cell_links(max_bits: int, chunk_rows: int = 200_000, held_pairs: int = 1_000_000):
+    """Task over visits sorted by cell and tile: edges (a fingerprint, the least one it is linked with)."""
+
+    def spanning(a: np.ndarray, b: np.ndarray, m: int):
+        label = np.arange(m)
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            for at in (a, b, label[a], label[b]):
+                np.minimum.at(new, at, low)
+            new = new[new]
+            if (new == label).all():
+                node = np.nonzero(label != np.arange(m))[0]
+                return node, label[node]
+            label = new
+
+    def edges(cell, tile, fp):
+        names, code = np.unique(fp, return_inverse=True)
+        got, held = [np.zeros((2, 0), np.int64)], 0
+        live, step = np.arange(len(fp)), 0
+        while len(live):
+            step += 1
+            live = live[live + step < len(fp)]
+            other = live + step
+            same = (cell[live] == cell[other]) & (tile[live] == tile[other])
+            live, other = live[same], other[same]     # a cell's rows are neighbours in the order
+            near = np.bitwise_count(fp[live] ^ fp[other]) <= max_bits
+            got.append(np.stack([code[live[near]], code[other[near]]]))
+            held += int(near.sum())
+            if held > held_pairs:
+                got, held = [np.stack(spanning(*np.concatenate(got, axis=1), len(names)))], 0
+        node, root = spanning(*np.concatenate(got, axis=1), len(names))
+        return pa.RecordBatch.from_arrays([pa.array(names[node].view(np.int64)), pa.array(names[root].view(np.int64))],
+                                          names=["src", "dst"])
+
+    def run(batches):
+        kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+            cols[2] = cols[2].view(np.uint64)
+            kept = [np.concatenate(c) for c in zip(kept, cols)]
+            if len(kept[0]) >= chunk_rows:
+                last = np.nonzero((kept[0] != kept[0][-1]) | (kept[1] != kept[1][-1]))[0]
+                cut = int(last[-1]) + 1 if len(last) else 0
+                yield edges(*[c[:cut] for c in kept])
+                kept = [c[cut:] for c in kept]
+        yield edges(*kept)
+
+    return run
+
+
+def links(fps: DataFrame, max_bits: int = 4, block_rows: int = 1024) -> DataFrame:
+    """Edges ``(src, dst)`` between distinct fingerprints that connect all pairs at most ``max_bits`` bits apart.
+
+    ``fps`` has one row per distinct fingerprint in ``fp``. Every fingerprint is
+    dealt to the cells it visits; the members of a cell are compared inside the
+    task, all with all. A crowded cell is cut into blocks of about
+    ``block_rows``, and each pair of blocks is a tile of its own. A task returns
+    at most one edge a fingerprint and chunk of its rows, never the pairs: all
+    its links lie within the connected groups that the edges span.
     """
     reach = max_bits // 2            # one half is this near
     radius = (reach + 1) // 2        # and meets in a cell within this radius of either
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)
-    halves = fps.select("fp", F.explode(F.array(
+    own = fps.select("fp", F.explode(F.array(
         *[F.struct(F.lit(k).alias("half"), segment_counts(bits).alias("v")) for k, bits in enumerate((low, high))]))
-        .alias("h"))
-    visits = halves.select("fp", "h.half", F.explode(_cells(F.col("h.v"), radius)).alias("cell"))
-    a = visits.select(F.col("fp").alias("src"), F.col("half").alias("h1"), F.col("cell").alias("c1"))
-    b = visits.select(F.col("fp").alias("dst"), F.col("half").alias("h2"), F.col("cell").alias("c2"))
-    hamming = F.bit_count(F.col("src").bitwiseXOR(F.col("dst")))
-    return a.join(b, (F.col("h1") == F.col("h2")) & (F.col("c1") == F.col("c2")) & (F.col("src") < F.col("dst"))
-                  & (hamming <= max_bits)).select("src", "dst")
+        .alias("h")).select("fp", "h.half", "h.v")
+    visits = own.select("fp", F.explode(F.transform(_cells(F.col("v"), radius), lambda c: _cell_id(F.col("half"), c)))
+                        .alias("cell"))
+    crowds = stored(_crowds(own, radius, block_rows))
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    tiles = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.least(o, block) * F.col("blocks") + F.greatest(o, block)))
+    dealt = visits.join(crowds, F.col("cell") == F.col("crowded"), "left") \
+        .select("cell", F.explode(tiles).alias("tile"), "fp")
+    return dealt.repartition("cell", "tile").sortWithinPartitions("cell", "tile") \
+        .mapInArrow(_cell_links(max_bits), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed: int = 42, id_col: str = "doc_id",

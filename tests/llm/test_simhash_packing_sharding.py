@@ -75,10 +75,36 @@ def test_links_find_every_pair(spark):
     fps = sorted(fps)
     signed = [f - 2 ** 64 if f >= 2 ** 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    got = {(r.src % 2 ** 64, r.dst % 2 ** 64) for r in simhash.links(df, 4).distinct().collect()}
-    got = {tuple(sorted(p)) for p in got}
-    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1:] if (a ^ b).bit_count() <= 4}
-    assert got == want
+    comp = slow_components(fps, lambda a, b: (a ^ b).bit_count() <= 4)
+    found = {r.node % 2 ** 64: r.component for r in components(simhash.links(df, 4)).collect()}
+    groups = {}
+    for f in fps:
+        groups.setdefault(found.get(f, f if f < 2 ** 63 else f - 2 ** 64), set()).add(f)
+    want = {}
+    for f in fps:
+        want.setdefault(comp[f], set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+@pytest.mark.parametrize("block_rows", [1024, 100])
+def test_a_ball_of_fingerprints_gives_few_edges(spark, block_rows):
+    """Two balls of 1,009 fingerprints within 2 bits and a bridge: edges stay linear, the components are right."""
+    centers = [0x0123456789ABCDEF, 0x7123456089ABCDE0 ^ 0x00FF00FF00FF00FF]
+    fps = []
+    for c in centers:
+        fps += [c] + [c ^ (1 << i) for i in range(64)] + [c ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)
+                                                          if (i + j) % 2 == 0]
+    lone = [0xFFFFFFFF00000000, 0x00000000FFFFFFFF]
+    fps = sorted(set(fps + lone))
+    df = spark.createDataFrame([(f - 2 ** 64 if f >= 2 ** 63 else f,) for f in fps], "fp long").repartition(8)
+    edges = simhash.links(df, 4, block_rows)
+    n = edges.count()
+    assert n <= 60 * len(fps) * (1 if block_rows == 1024 else 12)
+    found = {r.node % 2 ** 64: r.component for r in components(edges).collect()}
+    near = lambda f, c: (f ^ c).bit_count() <= 2
+    for c in centers:
+        assert len({found[f] for f in fps if near(f, c)}) == 1
+    assert len({found[c] for c in centers}) == 2 and not any(f in found for f in lone)
 
 
 def test_components_chain_star_and_nothing(spark):
