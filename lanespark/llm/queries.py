@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, langid, packing, quality, sharding, simhash, sketch, url_filter, vecgraph
+from . import bpe, collocations, exact_topk, html_extract, langid, packing, periods, quality, sharding, simhash, sketch, url_filter, vecgraph
 from .common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +132,100 @@ def op10_html_extraction(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     found = html_extract.extract(pages, html_extract.train(pages))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op11_exact_topk(spark, sf_dir):
+    """The 20 greatest integer inner products of every twentieth vector with all others."""
+    v = exact_topk.quantised(read(spark, sf_dir, "embeddings"), scale=64)
+    return exact_topk.top_k(v, F.col("id") % 20 == 0, k=20).withColumnRenamed("id", "vec_id")
+
+
+ORACLES["op11_exact_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w),
+           lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def _with_period(doc_id, words):
+    """The contract's texts: every tenth document (by its id's CRC) goes on periodically from a word on."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query
+def op12_periods(spark, sf_dir):
+    """Periodic runs of at least 12 words of every document, its longest run, and its text without repetitions."""
+    d = periods.runs(read(spark, sf_dir, "documents"), least=12, rewrite=_with_period)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("size"), r["start"].alias("start"),
+                                                              r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    sha = lambda c: F.lower(F.sha2(F.encode(c, "UTF-8"), 256))
+    return d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                    sha(listed).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", F.col("best.start").alias("start"), (-F.col("best.size")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("(-best.size * 1000) div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    """Each language's 2000 best phrases of 2 to 5 words, counted by united transducers."""
+    found = collocations.collocations(read(spark, sf_dir, "documents"), longest=5, least=100, limit=2000)
+    return found.drop("k")
+
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS (
+    SELECT doc_id, coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                               'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+    FROM documents
+), w AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS ws FROM p
+), totals AS (
+    SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang
+), g AS (
+    SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+    FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(ws) >= m
+), f AS (
+    SELECT lang, m, phrase, count(*) AS f, string_split(phrase, ' ') AS ws FROM g GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+    SELECT lang, m, phrase, f AS a, ws, unnest(range(1, m)) AS k FROM f WHERE m >= 2
+), scored AS (
+    SELECT c.lang, c.phrase, c.m, c.a, c.k, x.f AS l, y.f AS r, t.n,
+           CAST(CAST(c.a AS HUGEINT) * t.n * 1000 // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+    FROM cuts c JOIN totals t ON t.lang = c.lang
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1:], ' ')
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+    SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(f) AS longer
+    FROM f, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(2, 5)) AS j)
+    WHERE m > j AND i + j - 1 <= m GROUP BY ALL
+), kept AS (
+    SELECT b.* FROM best b LEFT JOIN inner_parts s ON s.lang = b.lang AND s.phrase = b.phrase
+    WHERE s.longer IS NULL OR 100 * s.longer < 100 * b.a
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
