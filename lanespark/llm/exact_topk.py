@@ -35,19 +35,39 @@ def postings(start: np.ndarray, terms: np.ndarray, weights: np.ndarray):
     return {int(t): (row[a:b], weights[a:b]) for t, a, b in zip(names, first, ends)}
 
 
-def accumulate(lists: dict, n: int, start: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Dense scores ``[query, candidate]`` of sparse query rows: one term at a time, all its postings."""
-    scores = np.zeros((len(start) - 1, n), np.int64)
+def _spread(lists: dict, n: int, dtype) -> dict:
+    """Posting lists of a quarter of the rows or more as arrays over all rows (zero where there is no posting)."""
+    out = {}
+    for term, (at, w) in lists.items():
+        if 4 * len(at) >= n:
+            full = np.zeros(n, dtype)
+            full[at] = w
+            out[term] = (None, full)
+        else:
+            out[term] = (at, w.astype(dtype))
+    return out
+
+
+def accumulate(lists: dict, n: int, start: np.ndarray, terms: np.ndarray, weights: np.ndarray, dtype=np.int64):
+    """Dense scores ``[query, candidate]`` of sparse query rows: one term at a time, all its postings (``_spread``).
+
+    The few queries of a call keep their scores in the processor's cache.
+    """
+    m = len(start) - 1
+    scores, adds = np.zeros((m, n), dtype), np.empty((m, n), dtype)
     for term, (asking, asked) in postings(start, terms, weights).items():
         if term not in lists:
             continue
         at, held = lists[term]
-        if len(at) == n and len(asking) == len(scores):     # a term that every row has
-            scores += asked[:, None] * held
-        elif len(at) == n:
-            scores[asking] += asked[:, None] * held
+        if at is None and 2 * len(asking) >= m:
+            whole = np.zeros(m, dtype)
+            whole[asking] = asked
+            np.multiply(whole[:, None], held, out=adds)
+            scores += adds
+        elif at is None:
+            scores[asking] += asked.astype(dtype)[:, None] * held
         else:
-            scores[np.ix_(asking, at)] += asked[:, None] * held
+            scores[np.ix_(asking, at)] += asked.astype(dtype)[:, None] * held
     return scores
 
 
@@ -73,55 +93,52 @@ def _sparse(table: pa.Table):
     return start, *flat
 
 
-def _guard(lists: dict, start: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
-    """Scores must fit 64 bits."""
+def _score_type(lists: dict, start: np.ndarray, weights: np.ndarray):
+    """The narrowest type that holds every score and every sum on the way to it."""
     most = max((int(np.abs(w).max()) for _, w in lists.values()), default=0)
-    if len(weights) and most * int(np.abs(weights).max()) * int(np.diff(start).max()) >= 1 << 62:
+    bound = most * int(np.abs(weights).max()) * int(np.diff(start).max()) if len(weights) else 0
+    if bound >= 1 << 62:
         raise OverflowError("a score may pass 64 bits: scale the weights down")
+    return np.int32 if bound < 1 << 31 else np.int64
 
 
-def _search(k: int, batch: int):
+def _search(k: int, cache_bytes: int):
     def run(key, asked, block):
-        found: dict[str, list] = {c: [np.zeros(0, np.int64)] for c in _FOUND.names}
         if len(asked) and len(block):
             # candidates by id, nulls last, so that the first of equal scores has the smallest id
             block = block.sort_by([("no_id", "ascending"), ("id", "ascending"), ("row", "ascending")])
             rows, n = block["row"].to_numpy(), len(block)
             lists = postings(*_sparse(block))
             start, terms, weights = _sparse(asked)
-            _guard(lists, start, terms, weights)
+            dtype = _score_type(lists, start, weights)
+            lists, batch = _spread(lists, n, dtype), max(1, cache_bytes // (n * dtype().itemsize))
             query = asked["row"].to_numpy()
             place = {r: i for i, r in enumerate(rows.tolist())}
-            picks, owners = [], []
+            picks, owners, best = [], [], []
             for a in range(0, len(query), batch):
                 b = min(a + batch, len(query))
                 lo, hi = start[a], start[b]
-                scores = accumulate(lists, n, start[a:b + 1] - lo, terms[lo:hi], weights[lo:hi])
+                scores = accumulate(lists, n, start[a:b + 1] - lo, terms[lo:hi], weights[lo:hi],
+                                    dtype)
                 own = [place.get(q, -1) for q in query[a:b].tolist()]
                 for i, cols in enumerate(select(scores, k + 1)):    # one more: the query's own row goes
                     if own[i] >= 0:
                         cols = cols[cols != own[i]]
                     if len(cols) > k:
-                        best = np.lexsort((cols, -scores[i, cols]))[:k]
-                        cols = cols[best]
+                        cols = cols[np.lexsort((cols, -scores[i, cols]))[:k]]
                     picks.append(cols)
                     owners.append(np.full(len(cols), query[a + i]))
-                    found["score"].append(scores[i, cols])
+                    best.append(scores[i, cols].astype(np.int64))
             at = np.concatenate(picks)
-            found["query"] = owners
-            found["cand"] = [rows[at]]
-            names = block["id"].combine_chunks()
-            ids = names.take(pa.array(at))
-            return pa.table([pa.array(np.concatenate(found["query"])), pa.array(rows[at]),
-                             ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids,
-                             pa.array(np.concatenate(found["score"]))], schema=_FOUND)
+            return pa.table([pa.array(np.concatenate(owners)), pa.array(rows[at]), block["id"].take(pa.array(at)),
+                             pa.array(np.concatenate(best))], schema=_FOUND)
         return _FOUND.empty_table()
 
     return run
 
 
 def top_k(rows: DataFrame, is_query, k: int = 20, block_rows: int = 4096, query_rows: int = 4096,
-          batch: int = 256) -> DataFrame:
+          cache_bytes: int = 1 << 20) -> DataFrame:
     """``query_id, rank, id, score``: the k rows of greatest inner product with every query row, itself left out.
 
     ``rows`` has ``id`` (long), ``terms`` and ``weights`` (arrays of long of
@@ -144,7 +161,7 @@ def top_k(rows: DataFrame, is_query, k: int = 20, block_rows: int = 4096, query_
     asked = given.where("asks").select("row", "terms", "weights", dealt(parts).alias("part"),
                                        every(blocks).alias("block"))
     best = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(
-        _search(k, batch), "query long, cand long, id long, score long")
+        _search(k, cache_bytes), "query long, cand long, id long, score long")
     # every map task keeps k rows a query before the shuffle
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"), "cand")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

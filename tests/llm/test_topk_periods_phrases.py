@@ -47,7 +47,7 @@ def test_topk_is_brute_force(spark, k, block_rows, query_rows):
     rows += [(4, dict(rows[4][1])), (4, dict(rows[4][1])), (-8, {0: 2})]
     df = spark.createDataFrame([(i, list(v), list(v.values()), "x", 1) for i, v in rows],
                                "id long, terms array<long>, weights array<long>, row string, block int")
-    got = exact_topk.top_k(df, F.col("id") % 4 == 0, k, block_rows, query_rows, batch=3)
+    got = exact_topk.top_k(df, F.col("id") % 4 == 0, k, block_rows, query_rows, cache_bytes=100)
     assert got.columns == ["query_id", "rank", "id", "score"]
     assert sorted(map(tuple, got.collect()), key=str) == slow_topk(rows, lambda q: q is not None and q % 4 == 0, k)
 
