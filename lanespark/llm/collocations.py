@@ -205,7 +205,7 @@ class _Shard:
         return words, rank[np.concatenate(self.codes)]
 
 
-def _shards(batches, shard_words: int, text_bytes: int = 4_000_000):
+def _shards(batches, shard_words: int, text_bytes: int = 2_000_000):
     """``(lang, words, codes)`` of the batches' texts, each shard of about ``shard_words`` words."""
     waiting: dict[str, list] = {}
     size: dict[str, int] = {}
@@ -237,7 +237,7 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                        F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_words: int = 4_000_000) -> DataFrame:
+def vocabulary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_words: int = 2_500_000) -> DataFrame:
     """``(lang, word, f)``: how often each language has each word."""
 
     def count(batches):
@@ -501,7 +501,7 @@ def _ends(rows: np.ndarray) -> np.ndarray:
 
 
 def counts(docs: DataFrame, longest: int = 5, least: int = 100, text_col: str = "text", lang_col: str = "lang",
-           shard_words: int = 4_000_000, range_words: int = 2_000_000, most_ranges: int = 16_384,
+           shard_words: int = 2_500_000, range_words: int = 2_000_000, most_ranges: int = 16_384,
            filter_bits: int = 25) -> tuple[DataFrame, DataFrame, Ranges | None]:
     """``(lang, range, words, f)`` of all n-grams of up to ``longest`` words with at least ``least`` occurrences in
     their language, the languages' word totals ``(lang, n)``, and the ranges."""
