@@ -1,41 +1,181 @@
 """Exact nearest neighbours over cells with distance bounds (JN-09, SL-08, ML-05, ML-14).
 
-The base rows are dealt to cells around k-means centres; the number of cells
-grows with the rows, and a crowded cell is cut into blocks of bounded size.
-Each query first looks into the nearest cells that hold k rows. Its k-th
-distance then rules out every cell whose centre lies farther away than that
-distance plus the cell's radius (triangle inequality); the cells that are left
-are searched in a second pass, so the result is exact and every query has k
-neighbours (or all rows, if there are fewer). A block compares its vectors with
-the queries sent to it and returns only the k best for each: pairs are never
-emitted. On clustered vectors the compared share falls as rows grow; on vectors
-without structure the bounds rule out little and the second pass is a blocked
-scan.
+The base rows are dealt to cells around k-means centres of two levels; the
+number of cells grows with the rows, and a crowded cell is cut into blocks of
+bounded size. Each query first looks into the nearest cells that hold enough
+rows. Its k-th distance then rules out every cell whose centre lies farther
+away than that distance plus the cell's radius (triangle inequality); the cells
+that are left are searched in a second pass, so the result is exact and every
+query has k neighbours (or all rows, if there are fewer). Queries that ask for
+a cell are dealt to parts, and the cell's blocks are copied to just those
+parts: a cell that nobody asks for stays where it is, another one travels once
+for every ``query_rows`` queries. A block is compared with its queries as
+matrices and returns only the k best for each: pairs are never emitted. On
+vectors without structure the bounds rule out little and the second pass is a
+blocked scan.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: The centres are fitted on at most this many rows, and there are at most a quarter as many cells.
+#: The upper centres are fitted on about this many rows, and so are the lower centres of each upper one.
 SAMPLE_ROWS = 4096
+#: Most cells; beyond, cells have more rows and are cut into blocks. The driver holds a centre and two numbers for each.
+MOST_CELLS = 65_536
 
 
-def _centers(base: DataFrame, n: int, cell_rows: int, seed: int) -> np.ndarray:
-    k = max(2, min(SAMPLE_ROWS // 4, n // cell_rows))
-    few = base.orderBy(F.xxhash64("neighbor_id", F.lit(seed)), "neighbor_id").limit(SAMPLE_ROWS) \
-        .select(array_to_vector("v").alias("features"))
-    return np.array(KMeans(k=k, seed=seed, maxIter=10).fit(cut_lineage(few)).clusterCenters())
+def _kmeans(x: np.ndarray, k: int, seed: int, steps: int = 8) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    c = x[np.sort(rng.choice(len(x), min(k, len(x)), replace=False))]
+    for _ in range(steps):
+        home = _far2(x, c).argmin(axis=1)
+        n = np.bincount(home, minlength=len(c))
+        sums = np.zeros_like(c)
+        np.add.at(sums, home, x)
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+    return c
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, cell_rows: int = 256, block_rows: int = 4096,
+def _far2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows, up to rounding."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0.0)
+
+
+def _rounding(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far ``_far2`` may be off, for each row of ``a``."""
+    return 1e-12 * ((a * a).sum(1) + (b * b).sum(1).max(initial=0.0)) * max(1, a.shape[1])
+
+
+def _stack(v) -> np.ndarray:
+    return np.stack(v.to_numpy()).astype(float)
+
+
+class Cells:
+    """Base rows in cells: centres, radii and sizes on the driver, the rows with their cell in ``placed``."""
+
+    def __init__(self, base: DataFrame, n: int, cell_rows: int, seed: int):
+        k = max(1, min(MOST_CELLS, n // cell_rows))
+        upper_k = k if k <= 256 else int(np.ceil(np.sqrt(k)))
+        share = F.pmod(F.xxhash64("neighbor_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        few = base.where(share <= min(1.0, SAMPLE_ROWS / n)).select("v").collect() or base.select("v").take(1)
+        upper = _kmeans(np.array([r["v"] for r in few], float), upper_k, seed)
+        lower = {i: c[None] for i, c in enumerate(upper)}
+        if upper_k < k:
+            each = -(-k // upper_k)
+
+            def inner(key, f):
+                c = _kmeans(_stack(f["v"]), each, seed)
+                return pd.DataFrame({"upper": [key[0]] * len(c), "v": list(c)})
+
+            def near(frames):
+                for f in frames:
+                    if len(f):
+                        yield f.assign(upper=_far2(_stack(f["v"]), upper).argmin(1).astype("int32"))
+
+            drawn = base.where(share <= min(1.0, SAMPLE_ROWS * upper_k / n)).select("v").mapInPandas(
+                near, "v array<double>, upper int")
+            got: dict[int, list] = {}
+            for r in drawn.groupBy("upper").applyInPandas(inner, "upper int, v array<double>").collect():  # the centres
+                got.setdefault(r["upper"], []).append(r["v"])
+            lower.update({i: np.array(sorted(c)) for i, c in got.items()})
+        first = np.cumsum([0, *[len(lower[i]) for i in range(len(upper))]])
+        self.centers = np.concatenate([lower[i] for i in range(len(upper))])
+
+        def place(frames):
+            for f in frames:
+                if not len(f):
+                    continue
+                x = _stack(f["v"])
+                top, cell = _far2(x, upper).argmin(1), np.zeros(len(f), np.int64)
+                for i in np.unique(top):
+                    cell[top == i] = first[i] + _far2(x[top == i], lower[i]).argmin(1)
+                away = np.sqrt(((x - np.concatenate([lower[i] for i in range(len(upper))])[cell]) ** 2).sum(1))
+                yield f.assign(cell=cell.astype("int32"), away=away)
+
+        self.placed = cut_lineage(base.select("neighbor_id", "v", "grp").mapInPandas(
+            place, "neighbor_id long, v array<double>, grp long, cell int, away double"))
+        self.stats = cut_lineage(self.placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")))
+        self.sizes, self.radius = np.zeros(len(self.centers), np.int64), np.zeros(len(self.centers))
+        for r in self.stats.collect():      # one row per cell
+            self.sizes[r["cell"]], self.radius[r["cell"]] = r["n"], r["radius"]
+
+    def ask(self, queries: DataFrame, k: int, first: bool) -> DataFrame:
+        """``queries`` (query_id, v, grp, kth) with the array ``cells`` that each has to search."""
+        centers, sizes, radius = self.centers, self.sizes, self.radius
+        enough = min(2 * k + 16, int(sizes.sum()))     # some may be of the query's own group
+
+        def run(frames):
+            for f in frames:
+                if not len(f):
+                    continue
+                q, asked = _stack(f["v"]), []
+                for a in range(0, len(q), 1024):
+                    part = q[a:a + 1024]
+                    d2 = _far2(part, centers)
+                    d = np.sqrt(np.maximum(d2 - _rounding(part, centers)[:, None], 0.0))
+                    order = np.argsort(d2, axis=1, kind="stable")
+                    need = (np.cumsum(sizes[order], axis=1) < enough).sum(axis=1) + 1
+                    for i, kth in enumerate(f["kth"].to_numpy()[a:a + 1024]):
+                        near = order[i, :need[i]]
+                        if not first:
+                            bound = np.inf if pd.isna(kth) else kth * (1 + 1e-9) + 1e-9
+                            near = np.setdiff1d(np.nonzero(d[i] - radius <= bound)[0], near)
+                        asked.append(near[sizes[near] > 0].astype("int32"))
+                yield f.assign(cells=asked)
+
+        return cut_lineage(queries.mapInPandas(
+            run, "query_id long, v array<double>, grp long, kth double, cells array<int>"))
+
+    def deal(self, asked: DataFrame, block_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame]:
+        """Queries and base rows with the ``(cell, block, part)`` where they meet."""
+        asks = asked.select("query_id", "v", "grp", F.explode("cells").alias("cell"))
+        parts = asks.groupBy("cell").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("parts"))
+        # at most MOST_CELLS rows of three numbers
+        load = F.broadcast(cut_lineage(parts.join(self.stats, "cell").select(
+            "cell", "parts", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))))
+        upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        sent = asks.join(load, "cell").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")) \
+            .withColumn("block", upto("blocks"))
+        held = self.placed.join(load, "cell").withColumn(
+            "block", F.pmod(F.xxhash64("neighbor_id"), F.col("blocks")).cast("int")).withColumn("part", upto("parts"))
+        return sent.select("query_id", "v", "grp", "cell", "block", "part"), \
+            held.select("neighbor_id", "v", "grp", "cell", "block", "part")
+
+
+def _search(k: int):
+    def run(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(q) and len(b):
+            x, ids, grp = _stack(b["v"]), b["neighbor_id"].to_numpy(), b["grp"].to_numpy(float)
+            names, own, v = q["query_id"].to_numpy(), q["grp"].to_numpy(float), _stack(q["v"])
+            step = max(1, 4_000_000 // len(x))
+            for a in range(0, len(v), step):
+                part = v[a:a + step]
+                d2 = _far2(part, x)
+                d2[own[a:a + step, None] == grp] = np.inf
+                if len(x) > k:
+                    bound = np.partition(d2, k - 1, axis=1)[:, k - 1] + 2 * _rounding(part, x)
+                else:
+                    bound = np.full(len(part), np.inf)
+                row, col = np.nonzero((d2 <= bound[:, None]) & np.isfinite(d2))
+                d = np.sqrt(((x[col] - part[row]) ** 2).sum(1))
+                order = np.lexsort((ids[col], d, row))
+                row, col, d = row[order], col[order], d[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                best = rank < k
+                out.append((names[a:a + step][row[best]], ids[col[best]], d[best]))
+        return pd.DataFrame({c: np.concatenate(p) for c, p in zip(("query_id", "neighbor_id", "distance"), zip(*out))})
+
+    return run
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, cell_rows: int = 1024, block_rows: int = 4096,
             query_rows: int = 8192, seed: int = 42) -> DataFrame:
     """JN-09 + SL-08: (query_id, neighbor_id, distance, rank), the exact k nearest base rows of every query.
 
@@ -45,71 +185,21 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, cell_rows: int = 256, b
     Euclidean in double; ties go by neighbour id.
     """
     n = base.count()
-    empty = base.sparkSession.createDataFrame([], "query_id long, neighbor_id long, distance double, rank int")
     if n == 0 or not queries.take(1):
-        return empty
-    centers = _centers(base, n, cell_rows, seed)
-
-    def place(frames):
-        for f in frames:
-            if len(f):
-                x = np.stack(f["v"].to_numpy()).astype(float)
-                d = np.sqrt(np.maximum(((x[:, None, :] - centers[None]) ** 2).sum(2), 0)) if len(x) * len(centers) < 200_000 \
-                    else np.stack([np.linalg.norm(centers - row, axis=1) for row in x])
-                yield f.assign(cell=d.argmin(1).astype("int32"), away=d.min(1))
-
-    placed = cut_lineage(base.select("neighbor_id", "v", "grp").mapInPandas(
-        place, "neighbor_id long, v array<double>, grp long, cell int, away double"))
-    cells = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(
-        F.count("*").alias("n"), F.max("away").alias("radius")).collect()}  # one row per cell
-    sizes = np.array([cells.get(c, (0, 0.0))[0] for c in range(len(centers))])
-    radius = np.array([cells.get(c, (0, 0.0))[1] for c in range(len(centers))])
-    blocks = np.maximum(1, -(-sizes // block_rows))
-    n_parts = max(1, -(-queries.count() // query_rows))  # parts of the query set
-    size_of = F.array(*[F.lit(int(b)) for b in blocks])
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("neighbor_id"), F.element_at(size_of, F.col("cell") + 1))
-                              .cast("int")) \
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-
-    def probe(first: bool):
-        def run(frames):
-            for f in frames:
-                rows = []
-                for q, v, g, kth in zip(f["query_id"], f["v"], f["grp"], f["kth"]):
-                    d = np.linalg.norm(centers - np.asarray(v, float), axis=1)
-                    order = np.argsort(d, kind="stable")
-                    need = int(np.searchsorted(np.cumsum(sizes[order]), min(k, n)) + 1)
-                    near = order[:need]
-                    if not first:
-                        bound = np.inf if pd.isna(kth) else kth * (1 + 1e-9) + 1e-9
-                        near = np.setdiff1d(np.nonzero((sizes > 0) & (d - radius <= bound))[0], near)
-                    rows += [(q, v, g, int(c), b) for c in near if sizes[c] for b in range(blocks[c])]
-                yield pd.DataFrame(rows, columns=["query_id", "v", "grp", "cell", "block"])
-        return run
-
-    def search(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(b):
-            x, ids, grp = np.stack(b["v"].to_numpy()).astype(float), b["neighbor_id"].to_numpy(), b["grp"].to_numpy(float)
-            for query, v, g in zip(q["query_id"], q["v"], q["grp"].to_numpy(float)):
-                d = np.sqrt(((x - np.asarray(v, float)) ** 2).sum(1))
-                ok = np.nonzero(grp != g)[0]
-                best = ok[np.lexsort((ids[ok], d[ok]))[:k]]
-                out += [(query, ids[i], d[i]) for i in best]
-        return pd.DataFrame(out, columns=["query_id", "neighbor_id", "distance"])
-
-    def look(asked: DataFrame, first: bool) -> DataFrame:
-        sent = asked.mapInPandas(probe(first), "query_id long, v array<double>, grp long, cell int, block int") \
-            .withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_parts)).cast("int"))
+        return base.sparkSession.createDataFrame([], "query_id long, neighbor_id long, distance double, rank int")
+    cells = Cells(base, n, cell_rows, seed)
+
+    def look(asked: DataFrame) -> DataFrame:
+        sent, held = cells.deal(asked, block_rows, query_rows)
         keys = ["cell", "block", "part"]
-        return sent.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(
-            search, "query_id long, neighbor_id long, distance double")
+        return sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(
+            _search(k), "query_id long, neighbor_id long, distance double")
 
-    asked = queries.select("query_id", "v", "grp", F.lit(None).cast("double").alias("kth"))
-    one = cut_lineage(top_k(look(asked, True), k))
+    mine = queries.select("query_id", "v", "grp")
+    one = cut_lineage(top_k(look(cells.ask(mine.withColumn("kth", F.lit(None).cast("double")), k, True)), k))
     kth = one.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("kth"))
-    again = queries.select("query_id", "v", "grp").join(kth, "query_id", "left")
-    return top_k(one.drop("rank").unionByName(look(again, False)), k)
+    again = cells.ask(mine.join(kth, "query_id", "left"), k, False)
+    return top_k(one.drop("rank").unionByName(look(again)), k)
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:

@@ -135,6 +135,30 @@ def test_neighbours_are_exact_and_k_each(spark, cell_rows, block_rows, query_row
     assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == _brute(queries, base, 7)
 
 
+def test_cells_of_two_levels_are_exact(spark):
+    rng = np.random.default_rng(4)
+    base = [(i, v) for i, v in enumerate(rng.normal(size=(1500, 3)))]
+    queries = [(i, v) for i, v in enumerate(rng.normal(size=(30, 3)))]
+    got = {}
+    for r in NB.nearest(_vectors(spark, queries, "query_id"), _vectors(spark, base, "neighbor_id"), 4, cell_rows=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.neighbor_id))
+    assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == _brute(queries, base, 4)
+
+
+def test_base_rows_travel_only_to_the_parts_that_ask(spark):
+    """Clustered rows: four times as many queries send at most a few more base rows, and never all to all parts."""
+    rng = np.random.default_rng(6)
+    spots = rng.normal(size=(40, 5)) * 50
+    base = _vectors(spark, [(i, spots[i % 40] + rng.normal(size=5)) for i in range(2000)], "neighbor_id")
+    cells = NB.Cells(base, 2000, 50, 42)
+    copies = []
+    for n in (400, 1600):
+        q = _vectors(spark, [(i, spots[i % 40] + rng.normal(size=5)) for i in range(n)], "query_id") \
+            .withColumn("kth", F.lit(None).cast("double"))
+        copies.append(cells.deal(cells.ask(q, 5, True), 4096, 100)[1].count())
+    assert copies[1] <= 2 * 2000 and copies[1] <= 2 * copies[0]
+
+
 def test_neighbours_of_few_or_no_rows(spark):
     q, none = _vectors(spark, [(1, [0.0, 1.0])], "query_id"), _vectors(spark, [], "neighbor_id")
     assert NB.nearest(q, none, 3).count() == 0
