@@ -1,4 +1,4 @@
-"""MLlib regressors with the reference's model families and parameter mapping.
+"""The prepared training set, and MLlib's linear regressors with the reference's parameter mapping.
 
 Training data is prepared once (``prepare_features``): cleaned feature table,
 hash split, ``VectorAssembler``, train-fitted scaler; the assembled frames are
@@ -11,30 +11,26 @@ Parameter mapping to the reference's objectives (scikit-learn conventions):
 * Ridge  ``||y-Xw||^2 + a||w||^2``      -> regParam = a * sd_pop(y) / n, L2 only, no standardization
 * Lasso  ``(1/2n)||y-Xw||^2 + a||w||_1`` -> regParam = a, elasticNetParam = 1
 * ElasticNet (l1_ratio l) -> reg = a*l + a*(1-l)*sd_pop(y), elasticNetParam = a*l / reg
-* Extra trees has no MLlib counterpart: approximated by a random forest without
-  bootstrap and with sqrt feature subsets (named as an approximation).
+
+Trees, forests and boosting are in ``operators.trees``.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import LinearRegression
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.traffic import overfit_status
 from ..session import cut_lineage
 from . import features as FE
 from . import split as SP
-from .metrics import regression_metrics
 
 TARGET = "volume"
 
@@ -122,61 +118,6 @@ def linear(features: str = "features_scaled") -> LinearRegression:
                             standardization=False, solver="normal")
 
 
-def _depth(max_depth: int) -> int:
-    """MLlib grows trees to depth 30 at most; a deeper request is an error, not a silent cut."""
-    if max_depth > 30:
-        raise ValueError(f"max_depth {max_depth}: MLlib trees have a depth of 30 at most")
-    return max_depth
-
-
-def decision_tree(max_depth: int = 15, min_leaf: int = 1, features: str = "features", seed: int = 42):
-    return DecisionTreeRegressor(featuresCol=features, labelCol="label", maxDepth=_depth(max_depth),
-                                 minInstancesPerNode=min_leaf, seed=seed, maxBins=64)
-
-
-def random_forest(n_trees: int = 200, max_depth: int = 20, subset: str = "all", features: str = "features",
-                  seed: int = 42, bootstrap: bool = True):
-    return RandomForestRegressor(featuresCol=features, labelCol="label", numTrees=n_trees,
-                                 maxDepth=_depth(max_depth), featureSubsetStrategy=subset, seed=seed,
-                                 bootstrap=bootstrap, maxBins=64)
-
-
-def extra_trees(n_trees: int = 200, max_depth: int = 20, features: str = "features", seed: int = 42):
-    """Approximation of extremely randomised trees: no bootstrap, sqrt subsets, coarse bins."""
-    return RandomForestRegressor(featuresCol=features, labelCol="label", numTrees=n_trees,
-                                 maxDepth=_depth(max_depth), featureSubsetStrategy="sqrt", seed=seed,
-                                 bootstrap=False, maxBins=16)
-
-
-def gradient_boosting(n_iter: int = 300, lr: float = 0.05, max_depth: int = 5, subsample: float = 1.0,
-                      features: str = "features", seed: int = 42):
-    return GBTRegressor(featuresCol=features, labelCol="label", maxIter=n_iter, stepSize=lr,
-                        maxDepth=max_depth, subsamplingRate=subsample, seed=seed, maxBins=64)
-
-
-def fit_timed(estimator, train: DataFrame):
-    t0 = time.time()
-    model = estimator.fit(train)
-    return model, time.time() - t0
-
-
-def metrics_row(model, frame: DataFrame) -> dict:
-    pred = model.transform(frame).select("label", "prediction")
-    return regression_metrics(pred, "label", "prediction").first().asDict()
-
-
-def evaluate_variant(spark, name: str, variant: str, estimator, prep: Prepared) -> DataFrame:
-    """ML-11: fit, time, train and test metrics, R2 gap and overfitting status -> one row."""
-    model, secs = fit_timed(estimator, prep.train)
-    tr = metrics_row(model, prep.train)
-    te = metrics_row(model, prep.test)
-    row = dict(model=name, variant=variant, train_r2=tr["r2"], train_rmse=tr["rmse"], train_mae=tr["mae"],
-               test_r2=te["r2"], test_rmse=te["rmse"], test_mae=te["mae"], test_mape=te["mape"],
-               r2_gap=tr["r2"] - te["r2"], train_time=secs)
-    df = spark.createDataFrame([row])
-    return df.withColumn("overfit_status", overfit_status("r2_gap"))
-
-
 def coefficient_table(spark, model, names: list[str]) -> DataFrame:
     """FP-12: coefficients sorted by |coef| (p values: driver metadata)."""
     rows = [(n, float(c)) for n, c in zip(names, model.coefficients.toArray())]
@@ -184,17 +125,5 @@ def coefficient_table(spark, model, names: list[str]) -> DataFrame:
     return df.withColumn("abs_coefficient", F.abs("coefficient")).orderBy(F.desc("abs_coefficient"), "feature")
 
 
-def importance_table(spark, model, names: list[str]) -> DataFrame:
-    """FP-09: impurity importances of a tree ensemble."""
-    rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double")
-
-
-def boosting_curve(spark, model, frame: DataFrame) -> DataFrame:
-    """ML-10: loss after every boosting iteration."""
-    losses = model.evaluateEachIteration(frame, "squared")
-    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)], "iteration int, loss double")
-
-
 def features_array(frame: DataFrame, col: str = "features_scaled") -> DataFrame:
     return frame.select("row_id", "label", vector_to_array(col).alias("x"))

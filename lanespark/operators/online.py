@@ -77,6 +77,33 @@ def solve_ridge(G: np.ndarray, xy: np.ndarray, alpha: float) -> np.ndarray:
     return np.linalg.lstsq(G + pen, xy, rcond=None)[0]
 
 
+def solve_l1(G: np.ndarray, xy: np.ndarray, n: float, alpha: float, l1_ratio: float = 1.0, sweeps: int = 1000,
+             tol: float = 1e-9) -> np.ndarray:
+    """Lasso / elastic net by coordinate descent on the Gram matrix (last column: intercept, not penalised).
+
+    Minimises ``|y - Xw - b|^2 / 2n + alpha (l1_ratio |w|_1 + (1 - l1_ratio) |w|^2 / 2)``.
+    """
+    mean, label = G[-1, :-1] / n, xy[-1] / n
+    g = G[:-1, :-1] / n - np.outer(mean, mean)
+    c = xy[:-1] / n - mean * label
+    w = np.zeros(len(c))
+    rest = c.copy()                                  # c - g w
+    for _ in range(sweeps):
+        most = 0.0
+        for j in range(len(c)):
+            if g[j, j] <= 1e-14:
+                continue
+            r = rest[j] + g[j, j] * w[j]
+            new = np.sign(r) * max(abs(r) - alpha * l1_ratio, 0.0) / (g[j, j] + alpha * (1 - l1_ratio))
+            if new != w[j]:
+                rest -= g[:, j] * (new - w[j])
+                most = max(most, abs(new - w[j]))
+                w[j] = new
+        if most <= tol * max(1.0, np.abs(w).max(initial=0.0)):
+            break
+    return np.append(w, label - mean @ w)
+
+
 def r2_from_stats(s: dict, w: np.ndarray) -> float:
     """R2 of coefficients ``w`` from sufficient statistics.
 

@@ -76,7 +76,8 @@ class Forest:
     """What to grow. ``random``: one uniform threshold a node and feature instead of the best one.
 
     ``fold``: rows of this fold do not train, and only they are predicted; None: all training rows train, all rows
-    are predicted. ``depths``: squared errors of the trees cut at these depths are summed as well.
+    are predicted. ``depths``: squared errors of the trees cut at these depths are summed as well. ``prefixes``: the
+    first so many trees are a forest of their own (scores of kind ``score@n``).
     """
 
     name: str
@@ -89,6 +90,7 @@ class Forest:
     seed: int = 42
     fold: int | None = None
     depths: tuple = ()
+    prefixes: tuple = ()
 
 
 @dataclass
@@ -133,95 +135,121 @@ def _thresholds(low: np.ndarray, high: np.ndarray, keys: np.ndarray, first: int)
     return np.where(t >= high, low, t)
 
 
-def _gain(sl, wl, s, w):
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return sl * sl / wl + (s - sl) ** 2 / (w - wl)
-
+def _best_splits(rows, values, wy, w, start, size, s, weight, keys, spec):
+    """Feature, threshold and gain of every node's best split (feature -1: none).
 
-def _best_splits(x, wy, w, order, start, size, s, weight, keys, spec):
-    """Feature and threshold of every node's best split (feature -1: none); ``order`` has a row for each feature."""
-    p, m = order.shape
+    ``rows`` and ``values`` have a row for each feature: the nodes' row numbers
+    and values in the feature's order, node after node.
+    """
+    p, m = rows.shape
     k = len(start)
     mask = _chosen(keys, p, spec)
     best, found = np.full(k, -np.inf), np.full(k, -1)
-    inner = np.ones(m, bool)                       # a cut after this place leaves min_leaf rows on both sides
-    place = np.arange(m) - np.repeat(start, size)
-    inner[(place + 1 < spec.min_leaf) | (np.repeat(size, size) - place - 1 < max(1, spec.min_leaf))] = False
-    total, whole = np.repeat(s, size), np.repeat(weight, size)
-
-    def scores(rows, values):
-        cw, cs = np.cumsum(w[rows], axis=-1), np.cumsum(wy[rows], axis=-1)
-        base_w = np.concatenate([np.zeros((*cw.shape[:-1], 1)), cw], axis=-1)[..., start]
-        base_s = np.concatenate([np.zeros((*cs.shape[:-1], 1)), cs], axis=-1)[..., start]
-        out = _gain(cs - np.repeat(base_s, size, axis=-1), cw - np.repeat(base_w, size, axis=-1), total, whole)
-        ok = np.zeros(values.shape, bool)
-        ok[..., :-1] = values[..., 1:] > values[..., :-1] + SAME
-        return np.where(ok & inner, out, -np.inf)
+    node = np.repeat(np.arange(k), size)
+    place = np.arange(m) - start[node]
+    # a cut after this place leaves min_leaf rows on both sides
+    inner = (place + 1 >= spec.min_leaf) & (size[node] - place - 1 >= max(1, spec.min_leaf))
+    mean, whole, later = (s / weight)[node], weight[node], start[1:]
+
+    def scores(r, v):
+        """Fall of the squared error for a cut after each place."""
+        wl, sl = w.take(r), wy.take(r)
+        wl[..., later] -= weight[:-1]       # the sums start anew at each node
+        sl[..., later] -= s[:-1]
+        np.cumsum(wl, axis=-1, out=wl)
+        np.cumsum(sl, axis=-1, out=sl)
+        other = mean * wl
+        sl -= other
+        sl *= sl
+        np.subtract(whole, wl, out=other)
+        other *= wl
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sl /= other
+        sl *= whole
+        ok = np.empty(v.shape, bool)
+        np.greater(v[..., 1:], v[..., :-1] + SAME, out=ok[..., :-1])
+        ok[..., -1] = False
+        ok &= inner
+        sl[~ok] = -np.inf
+        return sl
 
     step = max(1, 16_384 // m)                     # so many features at a time that arrays stay in cache
     for a in range(0, p, step):
-        rows = order[a:a + step]
-        top = np.maximum.reduceat(scores(rows, np.take_along_axis(x[a:a + step], rows, axis=1)), start, axis=1)
+        top = np.maximum.reduceat(scores(rows[a:a + step], values[a:a + step]), start, axis=1)
         if mask is not None:
             top = np.where(mask[a:a + step], top, -np.inf)
-        f = (top >= top.max(axis=0) * (1 - 1e-12)).argmax(axis=0)      # gains that differ by rounding are equal
+        f = (top >= top.max(axis=0) * (1 - 1e-10)).argmax(axis=0)      # gains that differ by rounding are equal
         value = top[f, np.arange(k)]
-        better = (value > np.where(best > 0, best * (1 + 1e-12), best)) & (value > -np.inf)
+        better = (value > np.where(best > 0, best * (1 + 1e-10), best)) & (value > -np.inf)
         best[better], found[better] = value[better], a + f[better]
-    own = np.repeat(np.maximum(found, 0), size)
-    rows = order[own, np.arange(m)]
-    values = x[own, rows]
-    sc = scores(rows, values)
-    top = np.repeat(np.maximum.reduceat(sc, start), size)
-    at = np.minimum.reduceat(np.where(sc == top, np.arange(m), m), start)
-    ok = (found >= 0) & np.isfinite(top[start]) & (at + 1 < m)
+    own = np.maximum(found, 0)[node]
+    r, v = rows[own, np.arange(m)], values[own, np.arange(m)]
+    sc = scores(r, v)
+    top = np.maximum.reduceat(sc, start)
+    at = np.minimum.reduceat(np.where(sc >= (top * (1 - 1e-10))[node], np.arange(m), m), start)
+    ok = (found >= 0) & np.isfinite(top) & (at + 1 < m)
     at = np.where(ok, at, 0)
-    lower, upper = values[at].astype(np.float64), values[np.minimum(at + 1, m - 1)].astype(np.float64)
+    lower, upper = v[at].astype(np.float64), v[np.minimum(at + 1, m - 1)].astype(np.float64)
     middle = lower / 2 + upper / 2
     middle = np.where(middle >= upper, lower, middle)
-    return np.where(ok, found, -1), middle, np.where(ok, top[start], -np.inf)
+    return np.where(ok, found, -1), middle, np.where(ok, top, 0.0)
 
 
-def _random_splits(x, wy, w, rows, start, size, s, weight, keys, spec):
+def _random_splits(x, rows, wy, w, start, size, s, weight, keys, spec):
     """As ``_best_splits`` with one uniform threshold a node and feature; ``rows`` are grouped by node."""
     p, m, k = len(x), len(rows), len(start)
     mask = _chosen(keys, p, spec)
     best, found, cut = np.full(k, -np.inf), np.full(k, -1), np.zeros(k)
-    wr, yr = w[rows], wy[rows]
+    wr, yr, node = w[rows], wy[rows], np.repeat(np.arange(k), size)
+    plain = bool((wr == 1).all())
     step = max(1, 16_384 // m)
     for a in range(0, p, step):
-        v = x[a:a + step][:, rows]
+        v = x[a:a + step].take(rows, axis=1)
         low, high = np.minimum.reduceat(v, start, axis=1), np.maximum.reduceat(v, start, axis=1)
         t = _thresholds(low, high, keys, a)
-        goes = v <= np.repeat(t, size, axis=1)
-        n_left = np.add.reduceat(goes.astype(np.int64), start, axis=1)
-        sc = _gain(np.add.reduceat(goes * yr, start, axis=1), np.add.reduceat(goes * wr, start, axis=1), s, weight)
-        sc = np.where((high > low + SAME) & (n_left >= spec.min_leaf) & (size - n_left >= spec.min_leaf), sc, -np.inf)
+        goes = (v <= t.take(node, axis=1)).astype(np.float64)
+        n_left = np.add.reduceat(goes, start, axis=1)
+        wl = n_left if plain else np.add.reduceat(goes * wr, start, axis=1)
+        goes *= yr
+        sl = np.add.reduceat(goes, start, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sc = (sl - s / weight * wl) ** 2 / (wl * (weight - wl)) * weight
+        sc = np.where((high > low + SAME) & (n_left >= max(1, spec.min_leaf))
+                      & (size - n_left >= max(1, spec.min_leaf)), sc, -np.inf)
         if mask is not None:
             sc = np.where(mask[a:a + step], sc, -np.inf)
-        f = sc.argmax(axis=0)
+        f = (sc >= sc.max(axis=0) * (1 - 1e-10)).argmax(axis=0)
         value = sc[f, np.arange(k)]
-        better = (value > best) & np.isfinite(value)
+        better = (value > np.where(best > 0, best * (1 + 1e-10), best)) & np.isfinite(value)
         best[better], found[better], cut[better] = value[better], a + f[better], t[f, np.arange(k)][better]
-    return found, cut, best
+    return found, cut, np.where(found >= 0, best, 0.0)
 
 
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, order: np.ndarray | None, key, depth: int, spec: Forest) -> Tree:
     """One tree below a node at ``depth`` with ``key``; ``x`` is features by rows, ``order`` each feature's rows in
     order (not needed for random thresholds). Rows of weight 0 take no part."""
-    bag = w > 0
+    bag, p = w > 0, len(x)
     if spec.random:
-        rows = np.nonzero(bag)[0]
+        rows, values = np.nonzero(bag)[0], None
     else:
-        rows = order[bag[order]].reshape(len(x), -1)
+        rows = order[bag[order]].reshape(p, -1).astype(np.intp)
+        values = np.take_along_axis(x, rows, axis=1)
     m = rows.shape[-1]
-    middle = float((w * y).sum() / w.sum()) if m else 0.0
-    yc = y - middle
-    wy, wyy = w * yc, w * yc * yc
     out: dict[str, list] = {c: [] for c in ("feature", "threshold", "left", "right", "value", "gain")}
-    start, size, keys, made = np.zeros(1, np.int64), np.array([m]), np.array([key], np.uint64), 1
     if not m:
         return Tree(np.array([-1]), np.zeros(1), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1), np.zeros(1))
+    middle = float((w * y).sum() / w.sum())
+    yc = y - middle
+    wy, wyy = w * yc, w * yc * yc
+    start, size, keys, made = np.zeros(1, np.int64), np.array([m]), np.array([key], np.uint64), 1
+
+    def keep(mask):
+        nonlocal rows, values
+        at = np.flatnonzero(mask)
+        if not spec.random:
+            values = values.take(at, axis=1)
+        rows = rows.take(at, axis=-1)
+
     while True:
         one = rows if spec.random else rows[0]
         s, weight, sq = (np.add.reduceat(v[one], start) for v in (wy, w, wyy))
@@ -233,12 +261,12 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, order: np.ndarray | None,
         feature, threshold, gain = np.full(k, -1), np.zeros(k), np.zeros(k)
         if may.any():
             if not may.all():
-                rows = rows[..., np.repeat(may, size)]
+                keep(np.repeat(may, size))
             start_m = np.concatenate([[0], np.cumsum(size[may])[:-1]])
-            find = _random_splits if spec.random else _best_splits
-            f, t, g = find(x, wy, w, rows, start_m, size[may], s[may], weight[may], keys[may], spec)
-            feature[may], threshold[may] = f, t
-            gain[may] = np.where(f >= 0, g - s[may] ** 2 / weight[may], 0.0)
+            found = _random_splits(x, rows, wy, w, start_m, size[may], s[may], weight[may], keys[may], spec) \
+                if spec.random else _best_splits(rows, values, wy, w, start_m, size[may], s[may], weight[may],
+                                                 keys[may], spec)
+            feature[may], threshold[may], gain[may] = found
         split = feature >= 0
         n_split = int(split.sum())
         left, right = np.zeros(k, np.int64), np.zeros(k, np.int64)
@@ -251,17 +279,21 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, order: np.ndarray | None,
             return Tree(**{c: np.concatenate(v) for c, v in out.items()})
         stays = np.repeat(split[may], size[may])
         if not stays.all():
-            rows = rows[..., stays]
+            keep(stays)
         sizes = size[split]
         one = rows if spec.random else rows[0]
         node = np.repeat(np.nonzero(split)[0], sizes)
         goes = np.zeros(len(y), bool)
         goes[one] = x[feature[node], one] <= threshold[node]
-        mine = goes[rows]
+        mine = goes.take(rows)
         n_left = np.add.reduceat(goes[one].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
         # all left children first, then all right ones; rows keep their order
-        shape = (len(x), -1) if not spec.random else (-1,)
-        rows = np.concatenate([rows[mine].reshape(shape), rows[~mine].reshape(shape)], axis=-1)
+        lefts, rights = np.flatnonzero(mine), np.flatnonzero(~mine)
+        if spec.random:
+            rows = np.concatenate([rows.take(lefts), rows.take(rights)])
+        else:
+            rows, values = (np.concatenate([v.take(lefts).reshape(p, -1), v.take(rights).reshape(p, -1)], axis=1)
+                            for v in (rows, values))
         size = np.concatenate([n_left, sizes - n_left])
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
         a, b = child_keys(keys[split])
@@ -339,16 +371,17 @@ def codes_of(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def split_histograms(count, total, min_leaf: int, mask=None):
-    """Best split of nodes from (node, feature, bin) histograms: feature (-1: none), bin, gain term, left sums."""
+    """Best split of nodes from (node, feature, bin) histograms: feature (-1: none), bin, gain, left sum and count."""
     k, p, b = count.shape
     cl, sl = np.cumsum(count, axis=2), np.cumsum(total, axis=2)
     n, s = cl[:, :1, -1:], sl[:, :1, -1:]
-    sc = _gain(sl, cl, s, n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sc = (sl - s / n * cl) ** 2 / (cl * (n - cl)) * n
     sc = np.where((cl >= max(1, min_leaf)) & (n - cl >= max(1, min_leaf)), sc, -np.inf)
     if mask is not None:
         sc = np.where(mask.T[:, :, None], sc, -np.inf)
     flat = sc.reshape(k, -1)
-    at = flat.argmax(axis=1)
+    at = (flat >= flat.max(axis=1, keepdims=True) * (1 - 1e-10)).argmax(axis=1)
     top = flat[np.arange(k), at]
     f, c = at // b, at % b
     ok = np.isfinite(top)
@@ -485,7 +518,7 @@ def _split_job(rows, specs, tops, job, edges, p, task_cells):
             # a row counts as often as it was drawn, so sizes of children are told by weight
             feature[k], value[k], size[k], error[k] = f, s / w, w, add[k, -3] - s * s / w
             if f >= 0:
-                cut[k], gain[k], left_n[k] = edges[f, min(c, BINS - 1)], top - s * s / w, wl
+                cut[k], gain[k], left_n[k] = edges[f, min(c, BINS - 1)], top, wl
                 left_value[k], right_value[k] = sl / wl, (s - sl) / (w - wl)
     if kinds.any():
         _, low, high = gather("range", None)
@@ -501,11 +534,12 @@ def _split_job(rows, specs, tops, job, edges, p, task_cells):
             mask = _chosen(keys[k:k + 1], p, spec)
             if mask is not None:
                 ok &= mask[:, 0]
-            sc = np.where(ok, _gain(sl, wl, s, w), -np.inf)
-            f = int(sc.argmax())
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sc = np.where(ok, (sl - s / w * wl) ** 2 / (wl * (w - wl)) * w, -np.inf)
+            f = int((sc >= sc.max() * (1 - 1e-10)).argmax())
             value[k], size[k], error[k] = s / w, w, sq - s * s / w
             if np.isfinite(sc[f]):
-                feature[k], cut[k], gain[k], left_n[k] = f, cuts[f, k], sc[f] - s * s / w, wl[f]
+                feature[k], cut[k], gain[k], left_n[k] = f, cuts[f, k], sc[f], wl[f]
                 left_value[k], right_value[k] = sl[f] / wl[f], (s - sl[f]) / (w - wl[f])
     again = []
     for k, (i, t, top) in enumerate(job):
@@ -603,11 +637,12 @@ def _slot_sums(specs, slots):
         slot, i, spec, leaf, (row_id, fold, label, x), (tx, ty), trees = _slot_trees(table, specs, slots)
         asked = np.nonzero(_asked(fold, spec))[0]
         ax, ay = x[:, asked], label[asked]
-        sums, gains = np.zeros(len(asked)), np.zeros(len(x))
+        sizes = (*sorted(spec.prefixes), spec.trees)
+        sums, gains = np.zeros((len(sizes), len(asked))), np.zeros(len(x))
         errors = {d: [0.0, 0.0] for d in spec.depths}
         above = () if leaf is None else leaf.above
         for t, tree in trees:
-            sums += tree.value[tree.walk(ax)]
+            sums[[k for k, n in enumerate(sizes) if t < n]] += tree.value[tree.walk(ax)]
             inner = tree.feature >= 0
             got = np.bincount(tree.feature[inner], tree.gain[inner], len(x))
             gains += got / max(1e-300, got.sum()) if leaf is None else got
@@ -615,10 +650,11 @@ def _slot_sums(specs, slots):
                 for side, rows, y in ((0, tx, ty), (1, ax, ay)):
                     said = above[d] if d < len(above) else tree.value[tree.walk(rows, d - len(above))]
                     errors[d][side] += float(((y - said) ** 2).sum())
-        ids = [row_id[asked], np.arange(len(x)), *[np.array([d, d]) for d in spec.depths]]
-        values = [sums, gains, *[np.array(errors[d]) for d in spec.depths]]
+        ids = [np.tile(row_id[asked], len(sizes)), np.arange(len(x)), *[np.array([d, d]) for d in spec.depths]]
+        values = [(sums / np.array(sizes)[:, None]).ravel(), gains / spec.trees, *[np.array(errors[d]) for d in spec.depths]]
         gain = "gain" if leaf is None else f"gain {slots[slot][1][0]}"
-        kinds = ["score"] * len(asked) + [gain] * len(x) + ["train error", "held error"] * len(spec.depths)
+        kinds = [k for n in (*[f"score@{n}" for n in sizes[:-1]], "score") for k in [n] * len(asked)] \
+            + [gain] * len(x) + ["train error", "held error"] * len(spec.depths)
         return pa.table([pa.array(np.full(len(kinds), i, np.int32)), pa.array(kinds),
                          pa.array(np.concatenate(ids).astype(np.int64)),
                          pa.array(np.concatenate(values).astype(np.float64))], schema=_SUMS)
@@ -674,19 +710,18 @@ def forests(rows: DataFrame, specs: list[Forest], task_cells: int = TASK_CELLS)
         return rows.sparkSession.createDataFrame([], SUMS)
     parts = _dealt(rows, specs, tops, slots).groupBy("slot").applyInArrow(_slot_sums(specs, slots), SUMS)
     upper = [(i, f"gain {t}", node.split[0], node.gain) for (i, t), top in tops.items() for node in top.inner()]
-    if upper:
-        parts = parts.unionByName(rows.sparkSession.createDataFrame(upper, SUMS))
+    if not upper:
+        return parts.groupBy("spec", "kind", "id").agg(F.sum("value").alias("value"))
+    # a tree in several parts: the falls add up first, then the shares' mean over trees
     trees = F.element_at(F.array(*[F.lit(float(s.trees)) for s in specs]), F.col("spec") + 1)
-    total = parts.groupBy("spec", "kind", "id").agg(F.sum("value").alias("value"))
-    mean = F.col("kind").isin("score", "gain")
-    if upper:       # gains of a tree in several parts: its shares first, then their mean over trees
-        split = F.col("kind").startswith("gain ")
-        one = total.where(split)
-        whole = one.groupBy("spec", "kind").agg(F.sum("value").alias("whole"))
-        shares = one.join(whole, ["spec", "kind"]).groupBy("spec", "id").agg(
-            F.sum(F.try_divide("value", "whole")).alias("value")).select("spec", F.lit("gain").alias("kind"), "id", "value")
-        total = total.where(~split).unionByName(shares).groupBy("spec", "kind", "id").agg(F.sum("value").alias("value"))
-    return total.select("spec", "kind", "id", F.when(mean, F.col("value") / trees).otherwise(F.col("value")).alias("value"))
+    falls = F.when(F.col("kind").startswith("gain "), F.col("value") * trees).otherwise(F.col("value"))
+    total = parts.withColumn("value", falls).unionByName(rows.sparkSession.createDataFrame(upper, SUMS)) \
+        .groupBy("spec", "kind", "id").agg(F.sum("value").alias("value"))
+    split = F.col("kind").startswith("gain ")
+    whole = total.where(split).groupBy("spec", "kind").agg(F.sum("value").alias("whole"))
+    shares = total.where(split).join(whole, ["spec", "kind"]).select(
+        "spec", F.lit("gain").alias("kind"), "id", (F.try_divide("value", "whole") / trees).alias("value"))
+    return total.where(~split).unionByName(shares).groupBy("spec", "kind", "id").agg(F.sum("value").alias("value"))
 
 
 @dataclass
@@ -742,6 +777,7 @@ class Booster:
     """Gradient boosting of squared error: each tree fits the residuals, and ``rate`` times its values are added.
 
     Splits lie at ``BINS`` thresholds a feature. ``subsample``: share of the rows, by a hash, that a step's tree sees.
+    ``prefixes``: predictions after the first so many steps as well (kind ``score@n``).
     """
 
     name: str
@@ -752,6 +788,7 @@ class Booster:
     subsample: float = 1.0
     seed: int = 42
     fold: int | None = None
+    prefixes: tuple = ()
 
 
 class _Level:
@@ -791,8 +828,8 @@ class _Level:
         known, pairs, opened = {}, [], []
         for k, node in enumerate(nodes):
             self.value[node] = s[k] / max(n[k], 1e-300)
-            gain = top[k] - s[k] ** 2 / max(n[k], 1e-300) if f[k] >= 0 else 0.0
-            if f[k] < 0 or self.depth >= self.spec.max_depth or gain <= 1e-12 * abs(top[k]):
+            gain = top[k] if f[k] >= 0 else 0.0
+            if gain <= 1e-12 * s[k] ** 2 / max(n[k], 1e-300) or self.depth >= self.spec.max_depth:
                 continue
             a, b = len(self.feature), len(self.feature) + 1
             self.feature[node], self.bin[node], self.left[node], self.right[node] = int(f[k]), int(c[k]), a, b
@@ -826,15 +863,18 @@ def _walk_codes(tree: tuple, codes: np.ndarray) -> np.ndarray:
     return at
 
 
-def _histograms(flat: np.ndarray, node: np.ndarray, residual: np.ndarray, want: list, p: int) -> dict:
-    """``(count, sum)`` by (feature, bin) of every wanted node; ``flat`` is bin + 256 * feature, features by rows."""
-    number = np.full(int(node.max(initial=0)) + 2, -1)
-    number[[w for w in want if w < len(number)]] = [k for k, w in enumerate(want) if w < len(number)]
+def _histograms(codes: np.ndarray, node: np.ndarray, residual: np.ndarray, want: list) -> dict:
+    """``(count, sum)`` by (feature, bin) of every wanted node; ``codes`` are bin numbers, features by rows."""
+    number = np.full(max(int(node.max(initial=0)), max(want)) + 1, -1)
+    number[want] = np.arange(len(want))
     at = np.nonzero(number[node] >= 0)[0]
-    index = (flat[:, at] + (number[node[at]] * (p * 256))).ravel()
-    size = len(want) * p * 256
-    count = np.bincount(index, minlength=size).reshape(len(want), p, 256).astype(float)
-    total = np.bincount(index, np.tile(residual[at], p), size).reshape(len(want), p, 256)
+    base, r, size = number[node[at]] * 256, residual[at], len(want) * 256
+    whole = len(at) == codes.shape[1]
+    count, total = np.empty((len(want), len(codes), 256)), np.empty((len(want), len(codes), 256))
+    for f, c in enumerate(codes):
+        index = (c if whole else c.take(at)) + base
+        count[:, f] = np.bincount(index, minlength=size).reshape(-1, 256)
+        total[:, f] = np.bincount(index, r, size).reshape(-1, 256)
     return {w: (count[k], total[k]) for k, w in enumerate(want)}
 
 
@@ -847,10 +887,10 @@ def _seen(row_id: np.ndarray, spec: Booster, step: int) -> np.ndarray:
     return u < spec.subsample
 
 
-def _boost_sums(i, row_id, asked, said, losses, gains):
-    ids = [row_id[asked], np.arange(1, len(losses) + 1), np.arange(len(gains))]
-    kinds = ["score"] * int(asked.sum()) + ["loss"] * len(losses) + ["gain"] * len(gains)
-    values = [said[asked], np.array(losses), gains / max(1e-300, gains.sum())]
+def _boost_sums(i, row_id, asked, stages, losses, gains):
+    ids = [np.tile(row_id[asked], len(stages)), np.arange(1, len(losses) + 1), np.arange(len(gains))]
+    kinds = [k for k in stages for _ in range(int(asked.sum()))] + ["loss"] * len(losses) + ["gain"] * len(gains)
+    values = [*[v[asked] for v in stages.values()], np.array(losses), gains / max(1e-300, gains.sum())]
     return pa.table([pa.array(np.full(len(kinds), i, np.int32)), pa.array(kinds),
                      pa.array(np.concatenate(ids).astype(np.int64)),
                      pa.array(np.concatenate(values).astype(np.float64))], schema=_SUMS)
@@ -865,24 +905,26 @@ def _boost_task(specs, edges, p):
         row_id, fold, label, x = _arrays(table.sort_by("row_id"))
         train, asked = _trains(fold, spec), _asked(fold, spec)
         codes = codes_of(x, edges)
-        flat = codes[:, train].astype(np.int32) + 256 * np.arange(p, dtype=np.int32)[:, None]
+        own = np.ascontiguousarray(codes[:, train])
         said = np.full(len(label), label[train].mean())
-        losses, gains = [], np.zeros(p)
+        losses, gains, stages = [], np.zeros(p), {}
         for step in range(spec.steps):
             residual = (label - said)[train]
             seen = _seen(row_id[train], spec, step)
-            tree, node = _Level(spec, p), np.where(seen, 0, -1)
-            own = codes[:, train]
+            tree, node = _Level(spec, p), np.zeros(len(residual), np.int64)
             while tree.want:
-                tree.add(_histograms(flat, np.where(node >= 0, node, len(tree.feature)), residual, tree.want, p))
+                nowhere = len(tree.feature)         # rows that this step does not see
+                tree.add(_histograms(own, node if seen.all() else np.where(seen, node, nowhere), residual, tree.want))
                 if tree.open:
-                    node = np.where(seen, tree.walk(own), -1)
+                    node = tree.walk(own)
             grown = tree.result()
             said = said + spec.rate * grown[4][_walk_codes(grown, codes)]
             inner = grown[0] >= 0
             gains += np.bincount(grown[0][inner], grown[5][inner], p)
             losses.append(float(((label - said)[train] ** 2).mean()))
-        return _boost_sums(i, row_id, asked, said, losses, gains)
+            if step + 1 in spec.prefixes:
+                stages[f"score@{step + 1}"] = said
+        return _boost_sums(i, row_id, asked, {**stages, "score": said}, losses, gains)
 
     return run
 
@@ -939,10 +981,8 @@ def _boost_jobs(rows: DataFrame, specs: list[tuple], edges, p) -> DataFrame:
                     use = np.nonzero(_trains(fold, s) & _seen(row_id, s, step))[0]
                     if not mine or not len(use):
                         continue
-                    own = codes[:, use]
-                    flat = own.astype(np.int32) + 256 * np.arange(p, dtype=np.int32)[:, None]
-                    got = _histograms(flat, growing[k].walk(own), (label - said[:, k])[use],
-                                      [wants[j][1] for j in mine], p)
+                    own = np.ascontiguousarray(codes[:, use])
+                    got = _histograms(own, growing[k].walk(own), (label - said[:, k])[use], [wants[j][1] for j in mine])
                     for j in mine:
                         add[j] += np.concatenate([a.ravel() for a in got[wants[j][1]]])
             none = [b""] * len(wants)
@@ -981,6 +1021,7 @@ def _boost_jobs(rows: DataFrame, specs: list[tuple], edges, p) -> DataFrame:
 
     new: list[list] = [[] for _ in only]
     gains, losses, most, base = np.zeros((len(only), p)), [], max(s.steps for s in only), 0
+    scores: list[DataFrame] = []
     for step in range(most):
         growing = [_Level(s, p) for s in only]
         for k, s in enumerate(only):
@@ -997,21 +1038,26 @@ def _boost_jobs(rows: DataFrame, specs: list[tuple], edges, p) -> DataFrame:
                 tree = growing[k].result()
                 new[k].append(tree)
                 gains[k] += np.bincount(tree[0][tree[0] >= 0], tree[5][tree[0] >= 0], p)
-        if step + 1 == most or len(new[0]) + len(new[-1]) >= 2 * STEPS_A_CHECKPOINT:
+        ends = {k for k, s in enumerate(only) if step + 1 in (*s.prefixes, s.steps) and step < s.steps}
+        if ends or step + 1 - base >= STEPS_A_CHECKPOINT:
             summed = state.mapInArrow(advance(new, base, "loss"), SUMS).groupBy("spec", "kind", "id").agg(
                 F.sum("value").alias("value"))
             losses += [tuple(r) for r in summed.collect()]      # one row a step and booster
             state = cut_lineage(state.mapInArrow(advance(new, base, "state"), schema))
             base, new = step + 1, [[] for _ in only]
+            for k in ends:
+                i, s = specs[k]
+                asked = F.lit(True) if s.fold is None else F.col("fold") == s.fold
+                scores.append(state.where(asked).select(
+                    F.lit(i).alias("spec"), F.lit("score" if step + 1 == s.steps else f"score@{step + 1}").alias("kind"),
+                    F.col("row_id").alias("id"), F.col("said")[k].alias("value")))
     rows_of = {k: sum(v[1] for f, v in means.items() if s.fold is None or f != s.fold) for k, s in enumerate(only)}
     small = [(specs[k][0], "loss", i, v / rows_of[k]) for k, _, i, v in losses if i <= only[k].steps]
     small += [(specs[k][0], "gain", f, float(v / max(1e-300, gains[k].sum()))) for k in range(len(only))
               for f, v in enumerate(gains[k])]
     out = spark.createDataFrame(small, SUMS)
-    for k, (i, s) in enumerate(specs):
-        asked = F.lit(True) if s.fold is None else F.col("fold") == s.fold
-        out = out.unionByName(state.where(asked).select(F.lit(i).alias("spec"), F.lit("score").alias("kind"),
-                                                        F.col("row_id").alias("id"), F.col("said")[k].alias("value")))
+    for part in scores:
+        out = out.unionByName(part)
     return out
 
 

@@ -1,25 +1,28 @@
-"""MLlib model queries (rows-only checks; parity tests live in tests/).
+"""Model queries (rows-only checks; parity tests live in tests/).
 
 The prepared training set is built once per (session, table, leakage mode)
 and reused by every model query (checkpointed, like the reference's session
-state). The registered queries fit the reference's full sizes
-(``REFERENCE_SIZES``; the stacking bases ``STACK_SIZES``).
+state), and so is every fit (``operators.fits``). The registered queries fit
+the reference's full sizes (``REFERENCE_SIZES``; the stacking bases
+``STACK_SIZES``).
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd, sql_rnd
+from ..operators import fits as FT
+from ..operators import information as IN
 from ..operators import metrics as MT
 from ..operators import models as ML
 from ..operators import neighbors as NB
 from ..operators import online as ON
 from ..operators import selection as S
 from ..operators import split as SP
+from ..operators import trees as T
 from ..operators.ordering import global_row_number
 from ..session import cut_lineage
 from ..sources import bindings as B
@@ -30,23 +33,29 @@ CATEGORIES = ["Clear", "Fog", "Overcast", "Rain", "Windy"]
 
 # ---- fixed values that must equal the reference's ---------------------------
 REFERENCE_SIZES = dict(ridge_alpha=0.001, lasso_alpha=0.01, enet_alpha=0.01, enet_l1=0.5, knn_k=8,
-                       tree_depth=15, rf_trees=200, rf_depth=20, et_trees=200, et_depth=20,
+                       knn_weights="distance", tree_depth=15, rf_trees=200, rf_depth=20, et_trees=200, et_depth=20,
                        gb_iter=300, gb_lr=0.05, gb_depth=5, stack_meta_alpha=1.0, cv_folds=5,
-                       window_sizes=[100, 200, 500], selection_ratio=0.7)
-# the reference's stacking bases and importance forest have sizes of their own; the latter's trees grow without a limit,
-# MLlib's to depth 30
+                       window_sizes=[100, 200, 500], selection_ratio=0.7, mi_neighbors=5)
+# the reference's stacking bases and importance forest have sizes of their own; the latter's trees grow without a limit
 STACK_SIZES = dict(REFERENCE_SIZES, tree_depth=12, rf_trees=100, rf_depth=15, et_trees=100, et_depth=15)
-IMPORTANCE_TREES, IMPORTANCE_DEPTH = 100, 30
+IMPORTANCE_SIZES = dict(REFERENCE_SIZES, rf_trees=100, rf_depth=None)
+# the variants that the reference compares, family by family
+VARIANTS = {"Linear Regression": [("default", {})],
+            "Ridge Regression": [(f"alpha={a}", dict(ridge_alpha=a)) for a in (0.1, 1.0, 10.0)],
+            "Lasso Regression": [(f"alpha={a}", dict(lasso_alpha=a)) for a in (0.001, 0.01, 0.1, 1.0)],
+            "ElasticNet": [(f"alpha={a}", dict(enet_alpha=a, enet_l1=0.5)) for a in (0.001, 0.01, 0.1)],
+            "KNN": [(f"k={k}", dict(knn_k=k, knn_weights="uniform")) for k in (3, 5, 11)],
+            "Decision Tree": [(f"max_depth={d}", dict(tree_depth=d)) for d in (6, 12, None)],
+            "Random Forest": [(f"{n} trees", dict(rf_trees=n, rf_depth=None)) for n in (50, 100, 200)],
+            "Extra Trees": [(f"{n} trees", dict(et_trees=n, et_depth=None)) for n in (50, 100, 200)],
+            "Gradient Boosting": [(f"{n} estimators, lr=0.1", dict(gb_iter=n, gb_lr=0.1, gb_depth=5)) for n in (100, 200)]}
+CURVE_DEPTHS = tuple(range(2, 25))
 # -----------------------------------------------------------------------------
 QUERY_SIZES = REFERENCE_SIZES
-# independent fits run as concurrent Spark jobs (like CrossValidator(parallelism=...))
-FIT_PARALLELISM = 4
-
-
-def _parallel(fn, items):
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=FIT_PARALLELISM) as pool:
-        return list(pool.map(fn, items))
+VARIANT_NAMES = {"Linear Regression": "default", "Ridge Regression": "alpha=0.001", "Lasso Regression": "alpha=0.01",
+                 "ElasticNet": "alpha=0.01, l1_ratio=0.5", "KNN": "k=8, distance", "Decision Tree": "max_depth=15",
+                 "Random Forest": "trees=200, max_depth=20", "Extra Trees": "trees=200, max_depth=20",
+                 "Gradient Boosting": "iter=300, lr=0.05, depth=5"}
 
 _PREP: dict = {}
 
@@ -60,66 +69,47 @@ def prepared(spark, sf, leakage="parity") -> ML.Prepared:
     return _PREP[slot][1]
 
 
-def _sd_n(prep):
-    if "sd_n" not in prep.stats:
-        prep.stats["sd_n"] = ML.label_sd_pop(prep.train)
-    return prep.stats["sd_n"]
-
-
-def _estimator(name, prep, sizes=QUERY_SIZES):
-    sd, n = _sd_n(prep)
-    z = sizes
-    return {
-        "Linear Regression": lambda: ML.linear(),
-        "Ridge Regression": lambda: ML.ridge(z["ridge_alpha"], sd, n),
-        "Lasso Regression": lambda: ML.lasso(z["lasso_alpha"]),
-        "ElasticNet": lambda: ML.elastic_net(z["enet_alpha"], z["enet_l1"], sd),
-        "Decision Tree": lambda: ML.decision_tree(z["tree_depth"]),
-        "Random Forest": lambda: ML.random_forest(z["rf_trees"], z["rf_depth"]),
-        "Extra Trees (approx.)": lambda: ML.extra_trees(z["et_trees"], z["et_depth"]),
-        "Gradient Boosting": lambda: ML.gradient_boosting(z["gb_iter"], z["gb_lr"], z["gb_depth"]),
-    }[name]()
+def fits(spark, sf, leakage="parity") -> FT.Fits:
+    return FT.of(prepared(spark, sf, leakage))
 
 
-def _variant(key, name, variant):
+def _variant(key, name):
     @register(key)
     def q(spark, sf):
-        prep = prepared(spark, sf)
-        return ML.evaluate_variant(spark, name, variant, _estimator(name, prep), prep)
+        return fits(spark, sf).evaluate([(name, VARIANT_NAMES[name], QUERY_SIZES)])
     q.__doc__ = f"{name}: fit, time and train/test metrics (one row)."
     return q
 
 
-_variant("linear_regression", "Linear Regression", "default")                 # ML-01
-_variant("ridge", "Ridge Regression", "alpha=0.001")                           # ML-02
-_variant("lasso", "Lasso Regression", "alpha=0.01")                            # ML-03
-_variant("elastic_net", "ElasticNet", "alpha=0.01, l1_ratio=0.5")              # ML-04
-_variant("decision_tree", "Decision Tree", "max_depth=15")                     # ML-06
-_variant("random_forest", "Random Forest", "trees=200, max_depth=20")          # ML-07
-_variant("extra_trees", "Extra Trees (approx.)", "trees=200, max_depth=20")    # ML-08
-_variant("gradient_boosting", "Gradient Boosting", "iter=300, lr=0.05, depth=5")  # ML-09
+_variant("linear_regression", "Linear Regression")      # ML-01
+_variant("ridge", "Ridge Regression")                    # ML-02
+_variant("lasso", "Lasso Regression")                    # ML-03
+_variant("elastic_net", "ElasticNet")                    # ML-04
+_variant("knn_regression", "KNN")                        # ML-05 on the scaled training columns
+_variant("decision_tree", "Decision Tree")               # ML-06
+_variant("random_forest", "Random Forest")               # ML-07
+_variant("extra_trees", "Extra Trees")                   # ML-08
+_variant("gradient_boosting", "Gradient Boosting")       # ML-09
 
 
 @register("ridge_safe")
 def q_ridge_safe(spark, sf):
     """ML-02 on the leakage-safe feature table (the target is not recoverable: R2 < 1)."""
-    prep = prepared(spark, sf, "safe")
-    return ML.evaluate_variant(spark, "Ridge Regression", "alpha=0.001, safe", _estimator("Ridge Regression", prep), prep)
+    return fits(spark, sf, "safe").evaluate([("Ridge Regression", "alpha=0.001, safe", QUERY_SIZES)])
 
 
 @register("boosting_curve")
 def q_boosting_curve(spark, sf):
-    """ML-10: training loss after every boosting iteration."""
-    prep = prepared(spark, sf)
-    model = ML.gradient_boosting(QUERY_SIZES["gb_iter"], QUERY_SIZES["gb_lr"], QUERY_SIZES["gb_depth"]).fit(prep.train)
-    return ML.boosting_curve(spark, model, prep.train)
+    """ML-10: training loss after every step of the one boosting fit."""
+    sums = fits(spark, sf).full("Gradient Boosting", QUERY_SIZES).sums
+    return sums.where("kind = 'loss'").select(F.col("id").cast("int").alias("iteration"), F.col("value").alias("loss"))
 
 
 @register("coefficient_table")
 def q_coefficient_table(spark, sf):
     """FP-12: ridge coefficients sorted by magnitude."""
     prep = prepared(spark, sf)
-    model = _estimator("Ridge Regression", prep).fit(prep.train)
+    model = fits(spark, sf).estimator("Ridge Regression", QUERY_SIZES).fit(prep.train)
     return ML.coefficient_table(spark, model, prep.feature_names)
 
 
@@ -127,36 +117,34 @@ def q_coefficient_table(spark, sf):
 def q_lasso_eliminated(spark, sf):
     """FP-11: features whose lasso coefficient is exactly zero, with the kept count."""
     prep = prepared(spark, sf)
-    model = _estimator("Lasso Regression", prep).fit(prep.train)
+    model = fits(spark, sf).estimator("Lasso Regression", QUERY_SIZES).fit(prep.train)
     c = ML.coefficient_table(spark, model, prep.feature_names)
     kept = c.agg(F.count_if(F.col("coefficient") != 0).alias("n_kept"))
     return c.where(F.col("coefficient") == 0).select("feature").crossJoin(kept)
 
 
+def _importance(prep) -> DataFrame:
+    sums = FT.of(prep).full("Random Forest", IMPORTANCE_SIZES).sums
+    name = F.element_at(F.array(*[F.lit(n) for n in prep.feature_names]), F.col("id").cast("int") + 1)
+    return sums.where("kind = 'gain'").select(name.alias("feature"), F.col("value").alias("importance"))
+
+
 @register("rf_importance")
 def q_rf_importance(spark, sf):
-    """FP-09: impurity importances of a random forest."""
-    prep = prepared(spark, sf)
-    model = ML.random_forest(IMPORTANCE_TREES, IMPORTANCE_DEPTH, features="features_scaled").fit(prep.train)
-    return ML.importance_table(spark, model, prep.feature_names)
+    """FP-09: impurity importances of 100 trees that grow without a limit."""
+    return _importance(prepared(spark, sf))
 
 
 def _fold_rows(prep):
-    """Training rows with WN-15 contiguous folds (row order = split order); vectors kept."""
-    if "folds" not in prep.stats:
-        numbered = global_row_number(prep.train, ["row_id"], "_k", total="_n")
-        prep.stats["folds"] = numbered.withColumn("fold", SP.contiguous_folds(F.col("_k"), F.col("_n"), 5)) \
-            .withColumn("x", vector_to_array("features_scaled")).drop("_k", "_n")
-    return prep.stats["folds"]
+    """Training rows with WN-15 contiguous folds (row order = split order) and their scaled columns ``x``."""
+    return FT.of(prep).rows().where("fold > 0")
 
 
 @register("validation_curve")
 def q_validation_curve(spark, sf):
     """ML-13: ridge train / CV R2 for a grid of alphas from per-fold Gram statistics (one data pass)."""
     prep = prepared(spark, sf)
-    rows = _fold_rows(prep)
-    stats = ON.block_grams(rows, "fold", "x", "label", len(prep.feature_names))
-    sd, n = _sd_n(prep)
+    stats = FT.of(prep).grams()
     alphas = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
     res = ON.ridge_path(stats, alphas)
     df = spark.createDataFrame(res, "alpha double, fold int, train_r2 double, cv_r2 double")
@@ -166,24 +154,63 @@ def q_validation_curve(spark, sf):
     return g.crossJoin(best).withColumn("is_best", F.col("alpha") == F.col("_best")).drop("_best")
 
 
+def _all_families(names=FT.FAMILIES):
+    return [(n, QUERY_SIZES) for n in names]
+
+
 @register("cross_validate")
 def q_cross_validate(spark, sf):
-    """ML-12: 5 contiguous folds, mean and population std of the fold R2 (ridge)."""
-    prep = prepared(spark, sf)
-    stats = ON.block_grams(_fold_rows(prep), "fold", "x", "label", len(prep.feature_names))
-    res = ON.ridge_path(stats, [REFERENCE_SIZES["ridge_alpha"]])
-    r2 = np.array([r[3] for r in res])
-    return spark.createDataFrame([("Ridge Regression", float(r2.mean()), float(r2.std()), len(r2))],
-                                 "model string, cv_r2 double, cv_std double, folds int")
+    """ML-12: 5 contiguous folds, mean and population std of the fold R2, for every family."""
+    return fits(spark, sf).cv(_all_families())
 
 
 @register("evaluate_variant")
 def q_evaluate_variant(spark, sf):
-    """ML-11: the full variant row (train/test metrics, gap, status, CV R2, time)."""
-    prep = prepared(spark, sf)
-    row = ML.evaluate_variant(spark, "Ridge Regression", "alpha=0.001", _estimator("Ridge Regression", prep), prep)
-    cv = q_cross_validate(spark, sf).select("cv_r2")
-    return row.crossJoin(cv)
+    """ML-11: every family's row: train and test metrics, gap, status, time, CV R2."""
+    f = fits(spark, sf)
+    rows = f.evaluate([(n, VARIANT_NAMES[n], QUERY_SIZES) for n in FT.FAMILIES])
+    return rows.join(f.cv(_all_families()).select("model", "cv_r2", "cv_std"), "model", "left")
+
+
+@register("variant_grid")
+def q_variant_grid(spark, sf):
+    """ML-11 over the variants that are compared in training: 25 rows with train, test and CV metrics.
+
+    Smaller forests are the first trees of the largest, shorter boostings its first steps: each kind is fitted once."""
+    f = fits(spark, sf)
+    wanted = [(n, v, {**QUERY_SIZES, **z}) for n, variants in VARIANTS.items() for v, z in variants]
+    sizes = {"Random Forest": "rf_trees", "Extra Trees": "et_trees", "Gradient Boosting": "gb_iter"}
+    prefixes = {n: tuple(z[s] for _, z in VARIANTS[n][:-1]) for n, s in sizes.items()}
+    largest = {n: {**QUERY_SIZES, **VARIANTS[n][-1][1]} for n in sizes}
+    f.grow([(n, largest[n], FT.tree_spec(n, largest[n], prefixes=prefixes[n])) for n in sizes])
+    f.held([(n, largest[n]) for n in sizes], prefixes)
+    rows = f.evaluate(wanted)
+    cv = f.cv([(n, z) for n, _, z in wanted], [f"{n}/{v}" for n, v, _ in wanted])
+    return rows.join(cv.select(F.split("model", "/")[0].alias("model"), F.split("model", "/")[1].alias("variant"),
+                               "cv_r2", "cv_std"), ["model", "variant"], "left")
+
+
+@register("depth_curve")
+def q_depth_curve(spark, sf):
+    """ML-13 for trees: train and CV R2 of every depth from 2 to 24, from one deep tree a fold, and the best depth."""
+    f = fits(spark, sf)
+    specs = [T.Forest(f"depth {k}", max_depth=max(CURVE_DEPTHS), fold=k, depths=CURVE_DEPTHS) for k in range(1, f.folds + 1)]
+    sums = T.forests(f.matrix(), specs).where(F.col("kind").endswith("error"))
+    labels = f.labels().where("fold > 0")
+    whole = [labels.where(F.col("fold") == k if held else F.col("fold") != k).agg(
+        F.lit(k - 1).alias("spec"), F.lit(kind).alias("kind"), (F.var_pop("label") * F.count("*")).alias("sst"))
+        for k in range(1, f.folds + 1) for kind, held in (("train error", False), ("held error", True))]
+    sst = whole[0]
+    for w in whole[1:]:
+        sst = sst.unionByName(w)
+    r2 = sums.join(F.broadcast(sst), ["spec", "kind"]).select(    # two rows a fold
+        F.col("id").cast("int").alias("max_depth"), "kind", (F.lit(1.0) - F.try_divide("value", "sst")).alias("r2"))
+    side = lambda k: F.when(F.col("kind") == k, F.col("r2"))
+    g = r2.groupBy("max_depth").agg(
+        F.avg(side("train error")).alias("train_r2"), F.stddev_pop(side("train error")).alias("train_std"),
+        F.avg(side("held error")).alias("cv_r2"), F.stddev_pop(side("held error")).alias("cv_std"))
+    best = Window.orderBy(F.desc("cv_r2"), "max_depth")      # one row a depth
+    return g.withColumn("is_best", F.row_number().over(best) == 1)
 
 
 def _windows(spark, sf, leakage="parity"):
@@ -328,102 +355,89 @@ def q_multi_horizon(spark, sf):
     return rows[0].unionByName(rows[1])
 
 
-def _selected(spark, prep):
-    """FP-10 on real scores: binned MI + forest importance -> adaptive selection; the training set on those columns."""
+def _mi(spark, sf) -> DataFrame:
+    """kNN mutual information of every training column with the target, kept with the training set."""
+    prep = prepared(spark, sf)
+    if "mi" not in prep.stats:
+        rows = FT.of(prep).rows().where("fold > 0").select("row_id", "label", "x")
+        prep.stats["mi"] = cut_lineage(IN.knn_mutual_information(rows, prep.feature_names, REFERENCE_SIZES["mi_neighbors"]))
+    return prep.stats["mi"]
+
+
+@register("mutual_information_knn")
+def q_mutual_information_knn(spark, sf):
+    """FP-08: mutual information of the 61 training columns with the target by 5 nearest neighbours."""
+    return _mi(spark, sf)
+
+
+@register("feature_selection")
+def q_feature_selection(spark, sf):
+    """FP-10 on the training rows: kNN mutual information and forest importance, their ranks, the selected columns."""
+    imp = _importance(prepared(spark, sf)).withColumnRenamed("importance", "rf_importance")
+    return S.adaptive_selection(_mi(spark, sf).join(imp, "feature"))
+
+
+def _selected(spark, sf) -> ML.Prepared:
+    """The training set on the selected columns, kept with it."""
     from pyspark.ml.feature import VectorSlicer
+    prep = prepared(spark, sf)
     if "selected" not in prep.stats:
         names = prep.feature_names
-        arr = ML.features_array(prep.train).select("label", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
-        mi = S.binned_mutual_information(arr, names, "label", 10)
-        rf = _estimator("Random Forest", prep).setFeaturesCol("features_scaled").fit(prep.train)
-        imp = ML.importance_table(spark, rf, names).withColumnRenamed("importance", "rf_importance")
-        chosen = [r["feature"] for r in S.adaptive_selection(mi.join(imp, "feature")).where("selected")
+        chosen = [r["feature"] for r in q_feature_selection(spark, sf).where("selected")
                   .select("feature", "combined_rank").orderBy("combined_rank").collect()]  # <= p names
         idx = [names.index(c) for c in chosen]
-        sl = VectorSlicer(inputCol="features_scaled", outputCol="features_sel", indices=idx)
-        drop = ["features", "features_scaled"]
-        rename = lambda d: sl.transform(d).drop(*drop).withColumn("features", F.col("features_sel")) \
-            .withColumnRenamed("features_sel", "features_scaled")
-        prep.stats["selected"] = ML.Prepared(rename(prep.train), rename(prep.test), chosen)
+
+        def slice_(d):
+            for c in ("features", "features_scaled"):
+                d = VectorSlicer(inputCol=c, outputCol="_s", indices=idx).transform(d).drop(c).withColumnRenamed("_s", c)
+            return d
+        prep.stats["selected"] = ML.Prepared(slice_(prep.train), slice_(prep.test), chosen)
     return prep.stats["selected"]
 
 
 _SELECTED_FAMILIES = ["Linear Regression", "Ridge Regression", "Decision Tree", "Random Forest",
-                      "Extra Trees (approx.)", "Gradient Boosting"]
+                      "Extra Trees", "Gradient Boosting"]
 
 
 @register("selected_feature_models")
 def q_selected_feature_models(spark, sf):
     """ML-15 (+ FP-10 on real scores): six families refitted on the selected features, one row each."""
-    sub = _selected(spark, prepared(spark, sf))
-    rows = _parallel(lambda n: ML.evaluate_variant(spark, f"{n} (selected)", f"{len(sub.feature_names)} features",
-                                                   _estimator(n, sub), sub), _SELECTED_FAMILIES)
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
+    sub = _selected(spark, sf)
+    rows = FT.of(sub).evaluate([(n, f"{len(sub.feature_names)} features", QUERY_SIZES) for n in _SELECTED_FAMILIES])
+    return rows.withColumn("model", F.concat("model", F.lit(" (selected)")))
 
-_STACK_BASES = ["Ridge Regression", "Random Forest", "Gradient Boosting", "Extra Trees (approx.)", "Decision Tree"]
 
+_STACK_BASES = ["Ridge Regression", "Random Forest", "Gradient Boosting", "Extra Trees", "Decision Tree"]
 
-def _scored(models, rows, col="features_scaled"):
-    """``rows`` with one prediction column per model, b0, b1, ..: chained transforms, no joins."""
-    for i, m in enumerate(models):
-        rows = m.setFeaturesCol(col).setPredictionCol(f"b{i}").transform(rows)
-    return rows
 
+def _bases(f: FT.Fits):
+    """The bases' predictions of training rows (by the other folds) and of all rows (by all), one column each."""
+    held = f.held([(n, STACK_SIZES) for n in _STACK_BASES])
+    oof = f.wide({f"b{i}": d for i, d in enumerate(held.values())})
+    f.grow([(n, STACK_SIZES, FT.tree_spec(n, STACK_SIZES)) for n in _STACK_BASES[1:]
+            if FT._key(n, STACK_SIZES) not in f._full])
+    every = f.wide({f"b{i}": f.full(n, STACK_SIZES).scores for i, n in enumerate(_STACK_BASES)})
+    return cut_lineage(oof), cut_lineage(every)
 
-def _oof(prep, base_names, sizes, col="features_scaled"):
-    """Out-of-fold predictions b0.. of every base on the training rows (5 contiguous folds), with ``fold``.
 
-    The 5 x bases fold fits are independent Spark jobs and run concurrently."""
-    rows = _fold_rows(prep).select("row_id", "label", "fold", col)
-
-    def fit_fold(job):
-        name, f = job
-        return _estimator(name, prep, sizes).setFeaturesCol(col).fit(rows.where(F.col("fold") != f))
-
-    jobs = [(n, f) for f in range(1, 6) for n in base_names]
-    done = _parallel(fit_fold, jobs)
-    out = None
-    for f in range(1, 6):
-        part = _scored([m for (_, g), m in zip(jobs, done) if g == f], rows.where(F.col("fold") == f), col)
-        out = part if out is None else out.unionByName(part)
-    return out.select("row_id", "label", "fold", *[f"b{i}" for i in range(len(base_names))])
-
-
-def _cv_scores(oof, base_names):
-    """Mean R2 over the folds of every base: one aggregation over the out-of-fold rows."""
-    per = oof.groupBy("fold").agg(
-        (F.var_pop("label") * F.count(F.lit(1))).alias("_sst"),
-        *[F.sum((F.col("label") - F.col(f"b{i}")) * (F.col("label") - F.col(f"b{i}"))).alias(f"b{i}")
-          for i in range(len(base_names))])
-    return per.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("base"), (F.lit(1.0) - F.try_divide(F.col(f"b{i}"), F.col("_sst"))).alias("r2"))
-        for i, n in enumerate(base_names)])).alias("_s")).select("_s.*") \
-        .groupBy("base").agg(F.avg("r2").alias("cv_r2"))
+def _mixed(weights, columns):
+    """Weighted sum of columns; a last weight without a column is added."""
+    out = F.lit(float(weights[len(columns)])) if len(weights) > len(columns) else F.lit(0.0)
+    for w, c in zip(weights, columns):
+        out = out + F.lit(float(w)) * F.col(c)
+    return out
 
 
-def _stack(prep, oof, base_models, base_names, col="features_scaled"):
-    """Test rows with the bases' predictions and ``stacked``: a ridge on the out-of-fold predictions."""
-    from pyspark.ml.feature import VectorAssembler
-    cols = [f"b{i}" for i in range(len(base_names))]
-    va = VectorAssembler(inputCols=cols, outputCol="meta_x")
-    meta_train = va.transform(oof)
-    sd, n = ML.label_sd_pop(meta_train)
-    meta = ML.ridge(REFERENCE_SIZES["stack_meta_alpha"], sd, n, features="meta_x").setPredictionCol("stacked")
-    return meta.fit(meta_train).transform(va.transform(_scored(base_models, prep.test, col)))
+_BASE_COLUMNS = [f"b{i}" for i in range(len(_STACK_BASES))]
 
 
 @register("stacking")
 def q_stacking(spark, sf):
-    """EN-01: OOF predictions of 5 bases -> Ridge(1.0) meta; bases refit on all training rows."""
-    prep = prepared(spark, sf)
-    oof = cut_lineage(_oof(prep, _STACK_BASES, STACK_SIZES))
-    fitted = _parallel(lambda n: _estimator(n, prep, STACK_SIZES).setFeaturesCol("features_scaled").fit(prep.train),
-                       _STACK_BASES)
-    out = _stack(prep, oof, fitted, _STACK_BASES)
+    """EN-01: out-of-fold predictions of 5 bases -> Ridge(1.0) meta; bases refitted on all training rows."""
+    f = fits(spark, sf)
+    oof, every = _bases(f)
+    w = f.stack_weights(oof, _BASE_COLUMNS, REFERENCE_SIZES["stack_meta_alpha"])
+    out = every.where("fold = 0").withColumn("stacked", _mixed(w, _BASE_COLUMNS))
     return MT.regression_metrics(out, "label", "stacked").withColumn("model", F.lit("Stacking Ensemble"))
 
 
@@ -504,52 +518,44 @@ def q_stream_score(spark, sf):
     """ST-07: test rows arriving as files are scored by a fitted ridge; metrics per micro-batch."""
     from ..streaming import jobs as J
     prep = prepared(spark, sf)
-    model = _estimator("Ridge Regression", prep).fit(prep.train)
+    model = fits(spark, sf).estimator("Ridge Regression", QUERY_SIZES).fit(prep.train)
     rows = J.scratch(spark, "score-rows")
     prep.test.select("row_id", "label", "features_scaled").repartition(4, "row_id").write.parquet(rows)
     schema = spark.read.parquet(rows).schema
     return J.stream_score(spark, rows, J.scratch(spark, "score-out"), schema, model)
 
 
-_FRAMEWORK_MODELS = ["Linear Regression", "Ridge Regression", "Lasso Regression", "ElasticNet", "Decision Tree",
-                     "Random Forest", "Extra Trees (approx.)", "Gradient Boosting"]
+_FRAMEWORK_MODELS = FT.FAMILIES
 
 
 @register("run_framework")
 def q_run_framework(spark, sf):
     """EN-04: the whole run, one row per model.
 
-    Feature selection on the training rows, eight families on the selected
-    features, out-of-fold predictions of five bases (training rows only) that
-    give both the CV weights of the weighted ensemble and the stacking
-    ensemble, the better of the two, its improvement over every family, the
-    gain of online adaptation, and the ranking."""
-    full = prepared(spark, sf)
-    prep = _selected(spark, full)
-    fitted = _parallel(lambda n: ML.fit_timed(_estimator(n, prep).setFeaturesCol("features_scaled"), prep.train),
-                       _FRAMEWORK_MODELS)
-    oof = cut_lineage(_oof(prep, _STACK_BASES, STACK_SIZES))
-    weights = {r["base"]: (r["cv_r2"], r["weight"])
-               for r in MT.ensemble_weights(_cv_scores(oof, _STACK_BASES)).collect()}  # 5 rows
-    bases = _parallel(lambda n: _estimator(n, prep, STACK_SIZES).setFeaturesCol("features_scaled").fit(prep.train),
-                      _STACK_BASES)
-    out = _stack(prep, oof, bases, _STACK_BASES)
-    blend = None
-    for i, n in enumerate(_STACK_BASES):
-        term = F.lit(weights[n][1]) * F.col(f"b{i}")
-        blend = term if blend is None else blend + term
-    out = out.withColumn("blend", blend)
-    for i, (m, _) in enumerate(fitted):
-        out = m.setPredictionCol(f"m{i}").transform(out)
-    columns = {**{n: f"m{i}" for i, n in enumerate(_FRAMEWORK_MODELS)}, "Weighted Ensemble": "blend",
-               "Stacking Ensemble": "stacked"}
-    long = out.select("label", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("model"), F.col(c).alias("pred")) for n, c in columns.items()])).alias("_s")) \
-        .select("label", "_s.*")
-    metrics = MT.regression_metrics(long, "label", "pred", ["model"])
+    Feature selection on the training rows, nine families on all features,
+    out-of-fold predictions of five bases (training rows only) that give both
+    the CV weights of the weighted ensemble and the stacking ensemble, the
+    better of the two, its improvement over every family, the gain of online
+    adaptation, and the ranking."""
+    f = fits(spark, sf)
+    families = {n: f.full(n, QUERY_SIZES) for n in _FRAMEWORK_MODELS}
+    oof, every = _bases(f)
+    base_cv = f.cv([(n, STACK_SIZES) for n in _STACK_BASES]).withColumnRenamed("model", "base")
+    weights = {r["base"]: (r["cv_r2"], r["weight"]) for r in MT.ensemble_weights(base_cv).collect()}  # 5 rows
+    w = f.stack_weights(oof, _BASE_COLUMNS, REFERENCE_SIZES["stack_meta_alpha"])
+    mixed = every.where("fold = 0").withColumn("Stacking Ensemble", _mixed(w, _BASE_COLUMNS)) \
+        .withColumn("Weighted Ensemble", _mixed([weights[n][1] for n in _STACK_BASES], _BASE_COLUMNS))
+    long = mixed.select("label", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("model"), F.col(n).alias("prediction")) for n in ("Stacking Ensemble", "Weighted Ensemble")]))
+        .alias("_s")).select("label", "_s.*")
+    test = f.labels().where("fold = 0").select("row_id", "label")
+    for n, fit in families.items():
+        long = long.unionByName(fit.scores.join(test, "row_id").select("label", F.lit(n).alias("model"), "prediction"))
+    metrics = MT.regression_metrics(long, "label", "prediction", ["model"])
     facts = spark.createDataFrame(
-        [(n, float(fitted[i][1]) if i < len(fitted) else None, *weights.get(n, (None, None)))
-         for i, n in enumerate(columns)], "model string, train_time double, cv_r2 double, weight double")
+        [(n, float(families[n].seconds) if n in families else None, *weights.get(n, (None, None)))
+         for n in [*families, "Weighted Ensemble", "Stacking Ensemble"]],
+        "model string, train_time double, cv_r2 double, weight double")
     rows = cut_lineage(metrics.join(facts, "model"))  # one row per model from here on
     pick = rows.where(F.col("model").isin("Weighted Ensemble", "Stacking Ensemble"))
     chosen = pick.orderBy(F.desc("r2"), F.desc("model")).limit(1)  # stacking only if strictly better
@@ -560,7 +566,8 @@ def q_run_framework(spark, sf):
     return rows.join(gains, "model", "left").crossJoin(F.broadcast(chosen.select(F.col("model").alias("_c")))) \
         .crossJoin(F.broadcast(adapt)) \
         .withColumn("chosen", F.col("model") == F.col("_c")).drop("_c") \
-        .withColumn("n_features", F.lit(len(prep.feature_names))) \
+        .withColumn("n_features", F.lit(len(f.prep.feature_names))) \
+        .withColumn("n_selected", F.lit(len(_selected(spark, sf).feature_names))) \
         .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("r2"), "model")))
 
 

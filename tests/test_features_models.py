@@ -100,15 +100,12 @@ def test_gram_ridge_equals_numpy(spark):
 
 
 def test_leakage_parity_vs_safe(spark):
-    from lanespark.plans.learning import prepared, _estimator
-    from lanespark.operators import models as ML
-    par = prepared(spark, SF_SMALL, "parity")
-    safe = prepared(spark, SF_SMALL, "safe")
-    r_par = ML.evaluate_variant(spark, "Ridge Regression", "", _estimator("Ridge Regression", par), par).first()
-    r_safe = ML.evaluate_variant(spark, "Ridge Regression", "", _estimator("Ridge Regression", safe), safe).first()
+    from lanespark.plans.learning import QUERY_SIZES, fits, prepared
+    one = [("Ridge Regression", "", QUERY_SIZES)]
+    r_par, r_safe = (fits(spark, SF_SMALL, m).evaluate(one).first() for m in ("parity", "safe"))
     assert r_par["test_r2"] > 0.999999            # the identity volume = trend + lag3
     assert r_safe["test_r2"] < 0.999
-    assert len(par.feature_names) == 61
+    assert len(prepared(spark, SF_SMALL, "parity").feature_names) == 61
 
 
 def test_online_adaptation_equals_numpy_refits(spark):
@@ -184,9 +181,3 @@ def test_r2_from_statistics_keeps_its_digits_far_from_zero():
     w = np.linalg.lstsq(X, y, rcond=None)[0]
     true = 1 - ((y - X @ w) ** 2).sum() / ((y - y.mean()) ** 2).sum()
     assert ON.r2_from_stats(s, w) == pytest.approx(true, abs=1e-3)
-
-
-def test_depth_beyond_the_limit_is_an_error():
-    from lanespark.operators import models as ML
-    with pytest.raises(ValueError):
-        ML.random_forest(2, 31)

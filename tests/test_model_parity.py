@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from small_data import SF_SMALL
+from lanespark.operators import fits as FT
 from lanespark.operators import models as ML
 from lanespark.plans import learning as L
 from lanespark.plans import registry
@@ -60,14 +61,14 @@ def test_elastic_net_meets_its_optimality_conditions(small):
         assert abs(g) <= alpha * ratio + 1e-2 and (c == 0 or abs(g - alpha * ratio * np.sign(c)) < 1e-2)
 
 
-@pytest.mark.parametrize("key", ["linear_regression", "lasso", "elastic_net", "decision_tree", "random_forest",
-                                 "extra_trees", "gradient_boosting"])
+@pytest.mark.parametrize("key", ["linear_regression", "lasso", "elastic_net", "knn_regression", "decision_tree",
+                                 "random_forest", "extra_trees", "gradient_boosting"])
 def test_variant_rows_are_consistent(spark, key):
     r = query(spark, key).collect()
     assert len(r) == 1
     r = r[0]
     assert r.train_r2 <= 1 and r.test_r2 <= 1 and r.train_r2 > 0.5
-    assert r.test_rmse >= r.test_mae > 0 and r.train_rmse >= r.train_mae
+    assert r.test_rmse >= r.test_mae > 0 and r.train_rmse >= r.train_mae - 1e-9
     assert r.r2_gap == pytest.approx(r.train_r2 - r.test_r2)
 
 
@@ -89,30 +90,89 @@ def test_coefficients_importances_and_eliminated_features(spark):
     assert {r.feature for r in imp} == names and sum(r.importance for r in imp) == pytest.approx(1.0)
 
 
+def _train_arrays(spark, prep):
+    rows = L._fold_rows(prep).orderBy("row_id").collect()
+    return (np.array([r.x for r in rows]), np.array([r.label for r in rows]), np.array([r.fold for r in rows]),
+            [r.row_id for r in rows])
+
+
 def test_cross_validation_equals_numpy(spark):
     prep = L.prepared(spark, SF_SMALL, "safe")
-    rows = L._fold_rows(prep).select("fold", "x", "label").collect()
-    X = np.array([r.x for r in rows])
-    y, fold = np.array([r.label for r in rows]), np.array([r.fold for r in rows])
+    X, y, fold, ids = _train_arrays(spark, prep)
     from lanespark.operators import online as ON
-    stats = ON.block_grams(L._fold_rows(prep), "fold", "x", "label", X.shape[1])
     X1 = np.hstack([X, np.ones((len(X), 1))])
-    for alpha, f, _, cv in ON.ridge_path(stats, [1.0]):
+    pen = np.eye(X1.shape[1])
+    pen[-1, -1] = 0
+    want, said = {}, np.zeros(len(y))
+    for f in range(1, 6):
         tr, te = fold != f, fold == f
-        pen = np.eye(X1.shape[1]) * alpha
-        pen[-1, -1] = 0
         w = np.linalg.lstsq(X1[tr].T @ X1[tr] + pen, X1[tr].T @ y[tr], rcond=None)[0]
-        true = 1 - ((y[te] - X1[te] @ w) ** 2).sum() / ((y[te] - y[te].mean()) ** 2).sum()
-        assert cv == pytest.approx(true, abs=1e-6)
+        said[te] = X1[te] @ w
+        want[f] = 1 - ((y[te] - said[te]) ** 2).sum() / ((y[te] - y[te].mean()) ** 2).sum()
+    for _, f, _, cv in ON.ridge_path(FT.of(prep).grams(), [1.0]):
+        assert cv == pytest.approx(want[f], abs=1e-6)
+    sizes = dict(L.QUERY_SIZES, ridge_alpha=1.0)
+    held = {r.row_id: r.prediction for r in list(FT.of(prep).held([("Ridge Regression", sizes)]).values())[0].collect()}
+    assert np.allclose([held[i] for i in ids], said, rtol=1e-6)
+    row = FT.of(prep).cv([("Ridge Regression", sizes)]).first()
+    assert row.cv_r2 == pytest.approx(np.mean(list(want.values())), abs=1e-6) and row.folds == 5
+    assert row.cv_std == pytest.approx(np.std(list(want.values())), abs=1e-6)
+
+
+def test_lasso_by_gram_meets_its_optimality_conditions(small):
+    from lanespark.operators import online as ON
+    _, X, y = small
+    X1 = np.hstack([X, np.ones((len(X), 1))])
+    for alpha, ratio in ((0.2, 1.0), (0.3, 0.5)):
+        w = ON.solve_l1(X1.T @ X1, X1.T @ y, float(len(y)), alpha, ratio)
+        grad = X.T @ (y - X1 @ w) / len(y) - alpha * (1 - ratio) * w[:-1]
+        for g, c in zip(grad, w[:-1]):
+            assert abs(g) <= alpha * ratio + 1e-7 and (c == 0 or abs(g - alpha * ratio * np.sign(c)) < 1e-7)
+        assert abs((y - X1 @ w).mean()) < 1e-9
 
 
-def test_validation_curve_and_cross_validate_agree(spark):
+def test_neighbours_and_trees_of_the_folds_are_brute_force(spark):
+    prep = L.prepared(spark, SF_SMALL, "safe")
+    X, y, fold, ids = _train_arrays(spark, prep)
+    held = FT.of(prep).held([("KNN", L.QUERY_SIZES), ("Decision Tree", L.QUERY_SIZES)])
+    knn, tree = ({r.row_id: r.prediction for r in d.collect()} for d in held.values())
+    assert set(knn) == set(tree) == set(ids)
+    for i in range(0, len(ids), 7):
+        rest = np.nonzero(fold != fold[i])[0]
+        d = np.sqrt(((X[rest] - X[i]) ** 2).sum(axis=1))
+        near = rest[np.lexsort((np.array(ids)[rest], d))[:8]]
+        dn = np.sqrt(((X[near] - X[i]) ** 2).sum(axis=1))
+        want = y[near][dn == 0].mean() if (dn == 0).any() else (y[near] / dn).sum() / (1 / dn).sum()
+        assert knn[ids[i]] == pytest.approx(want)
+
+
+def test_every_family_is_cross_validated_and_evaluated(spark):
+    cv = {r.model: r for r in query(spark, "cross_validate").collect()}
+    assert set(cv) == set(FT.FAMILIES) and all(r.folds == 5 and r.cv_r2 <= 1 and r.cv_std >= 0 for r in cv.values())
+    rows = {r.model: r for r in query(spark, "evaluate_variant").collect()}
+    assert set(rows) == set(FT.FAMILIES)
+    assert all(rows[m].cv_r2 == pytest.approx(cv[m].cv_r2) for m in cv)
     curve = {r.alpha: r for r in query(spark, "validation_curve").collect()}
-    cv = query(spark, "cross_validate").first()
-    assert curve[0.001].cv_r2 == pytest.approx(cv.cv_r2, abs=1e-9) and cv.folds == 5
+    assert curve[0.001].cv_r2 == pytest.approx(cv["Ridge Regression"].cv_r2, abs=1e-6)
     assert [a for a, r in curve.items() if r.is_best] == [max(curve, key=lambda a: curve[a].cv_r2)]
-    row = query(spark, "evaluate_variant").first()
-    assert row.cv_r2 == pytest.approx(cv.cv_r2, abs=1e-9)
+
+
+def test_variant_grid_has_every_variant(spark):
+    rows = query(spark, "variant_grid").collect()
+    want = {(n, v) for n, vs in L.VARIANTS.items() for v, _ in vs}
+    assert {(r.model, r.variant) for r in rows} == want and len(rows) == len(want) == 25
+    assert all(r.test_r2 <= 1 and r.cv_r2 <= 1 for r in rows)
+    deep = {r.variant: r for r in rows if r.model == "Decision Tree"}
+    assert deep["max_depth=None"].train_r2 == pytest.approx(1.0) and deep["max_depth=6"].train_r2 < 1
+
+
+def test_depth_curve_is_whole(spark):
+    rows = query(spark, "depth_curve").orderBy("max_depth").collect()
+    assert [r.max_depth for r in rows] == list(range(2, 25)) and sum(r.is_best for r in rows) == 1
+    train = [r.train_r2 for r in rows]
+    assert all(b >= a - 1e-12 for a, b in zip(train, train[1:])) and all(r.cv_r2 <= r.train_r2 for r in rows)
+    best = next(r for r in rows if r.is_best)
+    assert best.cv_r2 == max(r.cv_r2 for r in rows)
 
 
 def test_window_summary_summarises_the_windows(spark):
@@ -127,22 +187,10 @@ def test_window_summary_summarises_the_windows(spark):
         assert gain[s.window_size].gain_pct == pytest.approx((b - a) / (abs(a) + 1e-10) * 100, abs=1e-9)
 
 
-def test_out_of_fold_rows_come_from_the_other_folds(spark):
-    prep = L.prepared(spark, SF_SMALL, "safe")
-    oof = L._oof(prep, ["Ridge Regression"], L.STACK_SIZES).collect()
-    assert sorted(r.row_id for r in oof) == sorted(r.row_id for r in prep.train.select("row_id").collect())
-    rows = L._fold_rows(prep)
-    est = L._estimator("Ridge Regression", prep, L.STACK_SIZES).setFeaturesCol("features_scaled")
-    model = est.fit(rows.where("fold <> 2"))
-    want = {r.row_id: r.prediction for r in model.transform(rows.where("fold = 2")).collect()}
-    got = {r.row_id: r.b0 for r in oof if r.fold == 2}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
-
-
 def test_framework_run_is_whole(spark):
     rows = {r.model: r for r in query(spark, "run_framework").collect()}
     assert set(rows) == set(L._FRAMEWORK_MODELS) | {"Weighted Ensemble", "Stacking Ensemble"}
-    assert sorted(r["rank"] for r in rows.values()) == list(range(1, 11))
+    assert sorted(r["rank"] for r in rows.values()) == list(range(1, 12))
     weights = [rows[n].weight for n in L._STACK_BASES]
     assert sum(weights) == pytest.approx(1.0) and all(w >= 0 for w in weights)
     positive = [max(rows[n].cv_r2, 0) for n in L._STACK_BASES]
@@ -192,14 +240,14 @@ def test_a_changed_table_is_prepared_anew(spark, tmp_path):
     assert L.prepared(spark, str(folder)) is not first
 
 
-def test_registered_fits_have_the_references_sizes(spark, monkeypatch):
+def test_registered_fits_have_the_references_sizes():
     made = []
-    for kind in ("random_forest", "extra_trees", "gradient_boosting", "decision_tree"):
-        monkeypatch.setattr(ML, kind, lambda *a, kind=kind, **k: made.append((kind, a)))
-    prep = L.prepared(spark, SF_SMALL)
-    for sizes in ((), (L.STACK_SIZES,)):
-        for name in ("Random Forest", "Extra Trees (approx.)", "Gradient Boosting", "Decision Tree"):
-            L._estimator(name, prep, *sizes)
-    assert made == [("random_forest", (200, 20)), ("extra_trees", (200, 20)), ("gradient_boosting", (300, 0.05, 5)),
-                    ("decision_tree", (15,)), ("random_forest", (100, 15)), ("extra_trees", (100, 15)),
-                    ("gradient_boosting", (300, 0.05, 5)), ("decision_tree", (12,))]
+    for sizes in (L.QUERY_SIZES, L.STACK_SIZES, L.IMPORTANCE_SIZES):
+        for name in (*FT.TREES, "Gradient Boosting"):
+            s = FT.tree_spec(name, sizes)
+            made.append((s.steps, s.rate, s.max_depth) if name == "Gradient Boosting" else
+                        (s.trees, s.max_depth, s.bootstrap, s.random))
+    boost = (300, 0.05, 5)
+    assert made == [(1, 15, False, False), (200, 20, True, False), (200, 20, False, True), boost,
+                    (1, 12, False, False), (100, 15, True, False), (100, 15, False, True), boost,
+                    (1, 15, False, False), (100, None, True, False), (200, 20, False, True), boost]
