@@ -153,7 +153,8 @@ def _best_splits(rows, values, wy, w, start, size, s, weight, keys, spec):
 
     def scores(r, v):
         """Fall of the squared error for a cut after each place."""
-        wl, sl = w.take(r), wy.take(r)
+        r = r.astype(np.intp)
+        wl, sl = w.take(r, mode="clip"), wy.take(r, mode="clip")
         wl[..., later] -= weight[:-1]       # the sums start anew at each node
         sl[..., later] -= s[:-1]
         np.cumsum(wl, axis=-1, out=wl)
@@ -195,6 +196,16 @@ def _best_splits(rows, values, wy, w, start, size, s, weight, keys, spec):
     return np.where(ok, found, -1), middle, np.where(ok, top, 0.0)
 
 
+def _node_sums(v: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of every node's stretch of the last axis; by running sums where nodes are small."""
+    if v.shape[-1] > 16 * len(start):
+        return np.add.reduceat(v, start, axis=-1)
+    run = np.cumsum(v, axis=-1)
+    ends = run[..., start + size - 1]
+    ends[..., 1:] -= run[..., start[1:] - 1]
+    return ends
+
+
 def _random_splits(x, rows, wy, w, start, size, s, weight, keys, spec):
     """As ``_best_splits`` with one uniform threshold a node and feature; ``rows`` are grouped by node."""
     p, m, k = len(x), len(rows), len(start)
@@ -208,10 +219,10 @@ def _random_splits(x, rows, wy, w, start, size, s, weight, keys, spec):
         low, high = np.minimum.reduceat(v, start, axis=1), np.maximum.reduceat(v, start, axis=1)
         t = _thresholds(low, high, keys, a)
         goes = (v <= t.take(node, axis=1)).astype(np.float64)
-        n_left = np.add.reduceat(goes, start, axis=1)
-        wl = n_left if plain else np.add.reduceat(goes * wr, start, axis=1)
+        n_left = _node_sums(goes, start, size)
+        wl = n_left if plain else _node_sums(goes * wr, start, size)
         goes *= yr
-        sl = np.add.reduceat(goes, start, axis=1)
+        sl = _node_sums(goes, start, size)
         with np.errstate(divide="ignore", invalid="ignore"):
             sc = (sl - s / weight * wl) ** 2 / (wl * (weight - wl)) * weight
         sc = np.where((high > low + SAME) & (n_left >= max(1, spec.min_leaf))
@@ -232,8 +243,9 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, order: np.ndarray | None,
     if spec.random:
         rows, values = np.nonzero(bag)[0], None
     else:
-        rows = order[bag[order]].reshape(p, -1).astype(np.intp)
-        values = np.take_along_axis(x, rows, axis=1)
+        # row numbers in few bytes: growing is bound by the memory they pass through
+        rows = order[bag[order]].reshape(p, -1).astype(np.uint16 if len(y) < 1 << 16 else np.int32)
+        values = np.take_along_axis(x, rows.astype(np.intp), axis=1)
     m = rows.shape[-1]
     out: dict[str, list] = {c: [] for c in ("feature", "threshold", "left", "right", "value", "gain")}
     if not m:
@@ -285,15 +297,22 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, order: np.ndarray | None,
         node = np.repeat(np.nonzero(split)[0], sizes)
         goes = np.zeros(len(y), bool)
         goes[one] = x[feature[node], one] <= threshold[node]
-        mine = goes.take(rows)
         n_left = np.add.reduceat(goes[one].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
         # all left children first, then all right ones; rows keep their order
-        lefts, rights = np.flatnonzero(mine), np.flatnonzero(~mine)
         if spec.random:
-            rows = np.concatenate([rows.take(lefts), rows.take(rights)])
+            mine = goes[rows]
+            rows = np.concatenate([rows[mine], rows[~mine]])
         else:
-            rows, values = (np.concatenate([v.take(lefts).reshape(p, -1), v.take(rights).reshape(p, -1)], axis=1)
-                            for v in (rows, values))
+            m, cut = rows.shape[1], int(n_left.sum())
+            new_rows, new_values = np.empty_like(rows), np.empty_like(values)
+            step = max(1, 16_384 // m)
+            for f in range(0, p, step):
+                r, v = rows[f:f + step], values[f:f + step]
+                mine = goes.take(r.astype(np.intp), mode="clip")
+                for part, to in ((np.flatnonzero(mine), np.s_[f:f + step, :cut]), (np.flatnonzero(~mine), np.s_[f:f + step, cut:])):
+                    new_rows[to] = r.take(part).reshape(len(r), -1)
+                    new_values[to] = v.take(part).reshape(len(r), -1)
+            rows, values = new_rows, new_values
         size = np.concatenate([n_left, sizes - n_left])
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
         a, b = child_keys(keys[split])
@@ -370,23 +389,37 @@ def codes_of(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(e, v, side="left") for e, v in zip(edges, x)]).astype(np.uint8)
 
 
-def split_histograms(count, total, min_leaf: int, mask=None):
-    """Best split of nodes from (node, feature, bin) histograms: feature (-1: none), bin, gain, left sum and count."""
-    k, p, b = count.shape
-    cl, sl = np.cumsum(count, axis=2), np.cumsum(total, axis=2)
-    n, s = cl[:, :1, -1:], sl[:, :1, -1:]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        sc = (sl - s / n * cl) ** 2 / (cl * (n - cl)) * n
-    sc = np.where((cl >= max(1, min_leaf)) & (n - cl >= max(1, min_leaf)), sc, -np.inf)
+def bin_starts(edges: np.ndarray) -> np.ndarray:
+    """Where each feature's bins begin in a node's histogram (and, last, how many there are)."""
+    return np.concatenate([[0], np.cumsum(np.isfinite(edges).sum(axis=1) + 1)])
+
+
+def split_histograms(count, total, starts, min_leaf: int, mask=None):
+    """Best split of nodes from (node, bin) histograms: feature (-1: none), bin, gain, left sum and count."""
+    k, nodes, first = len(count), np.arange(len(count)), starts[1:-1]
+    n = count[:, :starts[1]].sum(axis=1)[:, None]
+    s = total[:, :starts[1]].sum(axis=1)[:, None]
+    cl, sl = count.copy(), total.copy()
+    cl[:, first] -= n           # the sums start anew at each feature
+    sl[:, first] -= s
+    np.cumsum(cl, axis=1, out=cl)
+    np.cumsum(sl, axis=1, out=sl)
+    cl = np.rint(cl)
+    cr = n - cl
+    ok = (cl >= max(1, min_leaf)) & (cr >= max(1, min_leaf))
     if mask is not None:
-        sc = np.where(mask.T[:, :, None], sc, -np.inf)
-    flat = sc.reshape(k, -1)
-    at = (flat >= flat.max(axis=1, keepdims=True) * (1 - 1e-10)).argmax(axis=1)
-    top = flat[np.arange(k), at]
-    f, c = at // b, at % b
-    ok = np.isfinite(top)
-    rows = np.arange(k)
-    return np.where(ok, f, -1), c, top, sl[rows, f, c], cl[rows, f, c]
+        ok &= np.repeat(mask, np.diff(starts), axis=0).T
+    sc = sl - (s / np.maximum(n, 1e-300)) * cl
+    sc *= sc
+    cr *= cl
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sc /= cr
+    sc *= n
+    np.copyto(sc, -np.inf, where=~ok)
+    at = (sc >= sc.max(axis=1, keepdims=True) * (1 - 1e-10)).argmax(axis=1)
+    top = sc[nodes, at]
+    f = np.searchsorted(starts, at, side="right") - 1
+    return np.where(np.isfinite(top), f, -1), at - starts[f], top, sl[nodes, at], cl[nodes, at]
 
 
 class _Top:
@@ -455,17 +488,19 @@ def _split_job(rows, specs, tops, job, edges, p, task_cells):
             leaf.slot = index.get(id(leaf), -1)
         numbered[i, t] = tops[i, t]
     nodes = [(i, top.key) for i, _, top in job]
+    starts = bin_starts(edges)
+    cells = int(starts[-1])
 
     def gather(mode, cuts):
         def run(batches):
-            width = {"best": 2 * p * 256, "range": 0, "random": 3 * p}[mode]
+            width = {"best": 2 * cells, "range": 0, "random": 3 * p}[mode]
             add = np.zeros((len(nodes), width + 4))       # and rows, sum of squares, weight, sum
             low, high = np.full((len(nodes), p), np.inf), np.full((len(nodes), p), -np.inf)
             for b in batches:
                 row_id, fold, label, x = _arrays(b)
                 if not len(row_id):
                     continue
-                codes = codes_of(x, edges).astype(np.int64) + 256 * np.arange(p)[:, None] if mode == "best" else None
+                codes = codes_of(x, edges) + starts[:-1, None] if mode == "best" else None
                 for (i, t), top in numbered.items():
                     spec = specs[i]
                     if spec.random != (mode != "best"):
@@ -486,8 +521,8 @@ def _split_job(rows, specs, tops, job, edges, p, task_cells):
                         add[k, -4:] += len(at), (yk * label[at]).sum(), wk.sum(), yk.sum()
                         if mode == "best":
                             flat = codes[:, at].ravel()
-                            add[k, :p * 256] += np.bincount(flat, np.tile(wk, p), p * 256)
-                            add[k, p * 256:2 * p * 256] += np.bincount(flat, np.tile(yk, p), p * 256)
+                            add[k, :cells] += np.bincount(flat, np.tile(wk, p), cells)
+                            add[k, cells:2 * cells] += np.bincount(flat, np.tile(yk, p), cells)
                         else:
                             goes = x[:, at] <= cuts[:, k][:, None]
                             add[k, :p] += goes @ wk
@@ -509,12 +544,12 @@ def _split_job(rows, specs, tops, job, edges, p, task_cells):
     keys = np.array([key for _, key in nodes], np.uint64)
     if (~kinds).any():
         add, _, _ = gather("best", None)
-        count, total = (add[:, j * p * 256:(j + 1) * p * 256].reshape(-1, p, 256) for j in (0, 1))
+        count, total = add[:, :cells], add[:, cells:2 * cells]
         for k in np.nonzero(~kinds)[0]:
             spec = specs[job[k][0]]
             mask = _chosen(keys[k:k + 1], p, spec)
-            f, c, top, sl, wl = (v[0] for v in split_histograms(count[k:k + 1], total[k:k + 1], spec.min_leaf, mask))
-            w, s = count[k, 0].sum(), total[k, 0].sum()
+            f, c, top, sl, wl = (v[0] for v in split_histograms(count[k:k + 1], total[k:k + 1], starts, spec.min_leaf, mask))
+            w, s = add[k, -2:]
             # a row counts as often as it was drawn, so sizes of children are told by weight
             feature[k], value[k], size[k], error[k] = f, s / w, w, add[k, -3] - s * s / w
             if f >= 0:
@@ -797,8 +832,8 @@ class _Level:
     Only the smaller child of a split is counted; the larger one is its parent less that.
     """
 
-    def __init__(self, spec: Booster, p: int):
-        self.spec, self.p = spec, p
+    def __init__(self, spec: Booster, starts: np.ndarray):
+        self.spec, self.starts = spec, starts
         self.feature, self.bin, self.left, self.right = [-1], [0], [0], [0]
         self.value, self.gain = [0.0], [0.0]
         self.open, self.known, self.want = [0], {}, [0]     # nodes of this level, their histograms, those to count
@@ -823,8 +858,8 @@ class _Level:
             self.known[larger] = tuple(a - b for a, b in zip(parent, self.known[smaller]))
         nodes = self.open
         count, total = (np.stack([self.known[n][j] for n in nodes]) for j in (0, 1))
-        f, c, top, sl, wl = split_histograms(count, total, self.spec.min_leaf)
-        n, s = count[:, 0].sum(axis=1), total[:, 0].sum(axis=1)
+        f, c, top, sl, wl = split_histograms(count, total, self.starts, self.spec.min_leaf)
+        n, s = (v[:, :self.starts[1]].sum(axis=1) for v in (count, total))
         known, pairs, opened = {}, [], []
         for k, node in enumerate(nodes):
             self.value[node] = s[k] / max(n[k], 1e-300)
@@ -863,18 +898,21 @@ def _walk_codes(tree: tuple, codes: np.ndarray) -> np.ndarray:
     return at
 
 
-def _histograms(codes: np.ndarray, node: np.ndarray, residual: np.ndarray, want: list) -> dict:
-    """``(count, sum)`` by (feature, bin) of every wanted node; ``codes`` are bin numbers, features by rows."""
+def _histograms(codes: np.ndarray, node: np.ndarray, residual: np.ndarray, want: list, starts: np.ndarray) -> dict:
+    """``(count, sum)`` by bin of every wanted node; ``codes`` are bin numbers, features by rows."""
     number = np.full(max(int(node.max(initial=0)), max(want)) + 1, -1)
     number[want] = np.arange(len(want))
-    at = np.nonzero(number[node] >= 0)[0]
-    base, r, size = number[node[at]] * 256, residual[at], len(want) * 256
+    mine = number[node]
+    at = np.flatnonzero(mine >= 0)
     whole = len(at) == codes.shape[1]
-    count, total = np.empty((len(want), len(codes), 256)), np.empty((len(want), len(codes), 256))
+    mine, r = mine[at], residual[at]
+    count, total = np.empty((len(want), starts[-1])), np.empty((len(want), starts[-1]))
     for f, c in enumerate(codes):
-        index = (c if whole else c.take(at)) + base
-        count[:, f] = np.bincount(index, minlength=size).reshape(-1, 256)
-        total[:, f] = np.bincount(index, r, size).reshape(-1, 256)
+        a, b = starts[f], starts[f + 1]
+        index = mine * (b - a)
+        index += c if whole else c.take(at)
+        count[:, a:b] = np.bincount(index, minlength=len(want) * (b - a)).reshape(-1, b - a)
+        total[:, a:b] = np.bincount(index, r, len(want) * (b - a)).reshape(-1, b - a)
     return {w: (count[k], total[k]) for k, w in enumerate(want)}
 
 
@@ -905,16 +943,16 @@ def _boost_task(specs, edges, p):
         row_id, fold, label, x = _arrays(table.sort_by("row_id"))
         train, asked = _trains(fold, spec), _asked(fold, spec)
         codes = codes_of(x, edges)
-        own = np.ascontiguousarray(codes[:, train])
+        own, starts = np.ascontiguousarray(codes[:, train]), bin_starts(edges)
         said = np.full(len(label), label[train].mean())
         losses, gains, stages = [], np.zeros(p), {}
         for step in range(spec.steps):
             residual = (label - said)[train]
             seen = _seen(row_id[train], spec, step)
-            tree, node = _Level(spec, p), np.zeros(len(residual), np.int64)
+            tree, node = _Level(spec, starts), np.zeros(len(residual), np.int64)
             while tree.want:
                 nowhere = len(tree.feature)         # rows that this step does not see
-                tree.add(_histograms(own, node if seen.all() else np.where(seen, node, nowhere), residual, tree.want))
+                tree.add(_histograms(own, node if seen.all() else np.where(seen, node, nowhere), residual, tree.want, starts))
                 if tree.open:
                     node = tree.walk(own)
             grown = tree.result()
@@ -931,8 +969,8 @@ def _boost_task(specs, edges, p):
 
 def _boost_jobs(rows: DataFrame, specs: list[tuple], edges, p) -> DataFrame:
     """Boosters whose rows do not fit a task: a job for each level sums the histograms of all boosters' nodes."""
-    spark = rows.sparkSession
-    only = [s for _, s in specs]
+    spark, starts = rows.sparkSession, bin_starts(edges)
+    only, cells = [s for _, s in specs], int(starts[-1])
     means = {}
     for r in rows.where("fold > 0").groupBy("fold").agg(F.sum("label").alias("s"), F.count("*").alias("n")).collect():
         means[r["fold"]] = (r["s"], r["n"])
@@ -970,7 +1008,7 @@ def _boost_jobs(rows: DataFrame, specs: list[tuple], edges, p) -> DataFrame:
         wants = [(k, w) for k, g in enumerate(growing) for w in g.want]
 
         def run(batches):
-            add = np.zeros((len(wants), 2 * p * 256))
+            add = np.zeros((len(wants), 2 * cells))
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -982,9 +1020,10 @@ def _boost_jobs(rows: DataFrame, specs: list[tuple], edges, p) -> DataFrame:
                     if not mine or not len(use):
                         continue
                     own = np.ascontiguousarray(codes[:, use])
-                    got = _histograms(own, growing[k].walk(own), (label - said[:, k])[use], [wants[j][1] for j in mine])
+                    got = _histograms(own, growing[k].walk(own), (label - said[:, k])[use], [wants[j][1] for j in mine],
+                                      starts)
                     for j in mine:
-                        add[j] += np.concatenate([a.ravel() for a in got[wants[j][1]]])
+                        add[j] += np.concatenate(got[wants[j][1]])
             none = [b""] * len(wants)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(wants), dtype=np.int32)),
                                               pa.array([a.tobytes() for a in add], pa.binary()), pa.array(none, pa.binary()),
@@ -993,7 +1032,7 @@ def _boost_jobs(rows: DataFrame, specs: list[tuple], edges, p) -> DataFrame:
         # at most 2^(max_depth - 1) nodes a booster, whatever the number of rows
         for r in _sum_arrays(state.mapInArrow(run, "node int, add binary, low binary, high binary")).collect():
             k, w = wants[r["node"]]
-            a = np.frombuffer(bytes(r["add"]), np.float64).reshape(2, p, 256)
+            a = np.frombuffer(bytes(r["add"]), np.float64).reshape(2, cells)
             found.setdefault(k, {})[w] = (a[0], a[1])
 
     def advance(new, base, out):
@@ -1023,7 +1062,7 @@ def _boost_jobs(rows: DataFrame, specs: list[tuple], edges, p) -> DataFrame:
     gains, losses, most, base = np.zeros((len(only), p)), [], max(s.steps for s in only), 0
     scores: list[DataFrame] = []
     for step in range(most):
-        growing = [_Level(s, p) for s in only]
+        growing = [_Level(s, starts) for s in only]
         for k, s in enumerate(only):
             if step >= s.steps:
                 growing[k].want = growing[k].open = []

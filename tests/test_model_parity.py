@@ -14,8 +14,22 @@ from lanespark.plans import registry
 registry.load_all()
 
 
+FEW: dict = {}
+
+
+@pytest.fixture(scope="module", autouse=True)
+def few(spark, tmp_path_factory):
+    """A table of some hundred daily rows: the full-size models are fitted to it once for all tests here."""
+    import shutil
+    folder = tmp_path_factory.mktemp("few")
+    spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").where("l_orderkey % 5 = 0").coalesce(1) \
+        .write.parquet(str(folder / "part"))
+    shutil.copy(next((folder / "part").glob("part-*.parquet")), folder / "lineitem.parquet")
+    FEW["sf"] = str(folder)
+
+
 def query(spark, key):
-    return registry.QUERIES[key](spark, SF_SMALL)
+    return registry.QUERIES[key](spark, FEW["sf"])
 
 
 @pytest.fixture(scope="module")
@@ -80,7 +94,7 @@ def test_boosting_lowers_the_training_loss(spark):
 
 
 def test_coefficients_importances_and_eliminated_features(spark):
-    names = set(L.prepared(spark, SF_SMALL).feature_names)
+    names = set(L.prepared(spark, FEW["sf"]).feature_names)
     c = query(spark, "coefficient_table").collect()
     assert {r.feature for r in c} == names
     assert [r.abs_coefficient for r in c] == sorted((r.abs_coefficient for r in c), reverse=True)
@@ -97,7 +111,7 @@ def _train_arrays(spark, prep):
 
 
 def test_cross_validation_equals_numpy(spark):
-    prep = L.prepared(spark, SF_SMALL, "safe")
+    prep = L.prepared(spark, FEW["sf"], "safe")
     X, y, fold, ids = _train_arrays(spark, prep)
     from lanespark.operators import online as ON
     X1 = np.hstack([X, np.ones((len(X), 1))])
@@ -132,7 +146,7 @@ def test_lasso_by_gram_meets_its_optimality_conditions(small):
 
 
 def test_neighbours_and_trees_of_the_folds_are_brute_force(spark):
-    prep = L.prepared(spark, SF_SMALL, "safe")
+    prep = L.prepared(spark, FEW["sf"], "safe")
     X, y, fold, ids = _train_arrays(spark, prep)
     held = FT.of(prep).held([("KNN", L.QUERY_SIZES), ("Decision Tree", L.QUERY_SIZES)])
     knn, tree = ({r.row_id: r.prediction for r in d.collect()} for d in held.values())
@@ -208,16 +222,16 @@ def test_selected_models_stacking_horizons_and_scores(spark):
     sel = query(spark, "selected_feature_models").collect()
     assert len(sel) == 6 and len({r.variant for r in sel}) == 1
     st = query(spark, "stacking").first()
-    assert st.r2 <= 1 and st.n == L.prepared(spark, SF_SMALL).test.count()
+    assert st.r2 <= 1 and st.n == L.prepared(spark, FEW["sf"]).test.count()
     hz = {r.horizon: r for r in query(spark, "multi_horizon").collect()}
     assert set(hz) == {"next_day", "next_week"} and all(r.r2 <= 1 and r.rmse >= r.mae for r in hz.values())
     sc = query(spark, "stream_score").collect()
-    assert sum(r.n for r in sc) == L.prepared(spark, SF_SMALL).test.count()
+    assert sum(r.n for r in sc) == L.prepared(spark, FEW["sf"]).test.count()
 
 
 def test_feature_columns_and_findings(spark):
     f = query(spark, "feature_columns").collect()
-    assert {r.feature for r in f} == set(L.prepared(spark, SF_SMALL).feature_names)
+    assert {r.feature for r in f} == set(L.prepared(spark, FEW["sf"]).feature_names)
     assert {r.category for r in f} <= {"lag", "rolling", "trend", "short_term", "medium_term", "long_term", "context"}
     found = query(spark, "findings_table").collect()
     weather = query(spark, "weather_stats").count()
