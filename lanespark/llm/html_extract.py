@@ -28,7 +28,7 @@ BLOCK_TAGS = frozenset("""address article aside blockquote body caption center d
     ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul""".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is never text of the page.
-SILENT_TAGS = frozenset("""script style noscript template head title iframe object svg math canvas audio video
+SILENT_TAGS = frozenset("""script style noscript template head title iframe object svg canvas audio video
     select textarea button datalist noembed noframes applet map""".split())
 RAW_TAGS = frozenset("script style textarea title iframe noembed noframes xmp noscript".split())
 # What an open head may hold; anything else ends it, as its closing tag may be left out.
@@ -155,6 +155,14 @@ def blocks(page: str | None) -> list[Block]:
         names = [next(x for x in c if x is not None) for c in _CLASS.findall(m[3]) if any(c)] if "=" in m[3] else ()
         parts = (tag, *("." + w.lower() for name in names for w in _PARTS.findall(_camel(name))))
         quiet = tag in SILENT_TAGS or bool(m[3] and is_hidden(m[3]))
+        if tag == "xmp":        # its markup and references are its text
+            stop = re.compile(r"</xmp\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if not silent and not quiet:
+                flush()
+                text.append(page[at:stop.start() if stop else end].replace("&", "&amp;"))
+                flush()
+            at = stop.end() if stop else end
+            continue
         if tag in RAW_TAGS:
             stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = stop.end() if stop else end

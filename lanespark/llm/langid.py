@@ -11,16 +11,18 @@ on words of a bounded sample of labelled documents.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")      # Unicode category L: no digits, fractions, circled or superscript numbers
+#: Longer words are read in windows of this many bytes, in training as in prediction.
+WINDOW = 32
 
 
 def _sigmoid(x):
@@ -112,17 +114,13 @@ class ByteBiGRU:
             g["x" + d] = one_hot.T @ d_x.reshape(-1, 3 * h)
         return loss, g
 
-    def word_sums(self, words: list[str], longest: int = 32, chunk: int = 4096) -> np.ndarray:
-        """For each word the sums of its positions' probabilities and their number, (words, languages + 1).
-
-        Words longer than ``longest`` bytes are read in windows of that length.
-        """
+    def word_sums(self, words: list[str], chunk: int = 4096) -> np.ndarray:
+        """For each word the sums of its positions' probabilities and their number, (words, languages + 1)."""
         runs, owner = [], []
         for i, word in enumerate(words):
-            b = word.encode("utf-8", "surrogatepass") + b" "
-            for a in range(0, len(b), longest):
-                runs.append(b[a:a + longest])
-                owner.append(i)
+            here = windows(word)
+            runs += here
+            owner += [i] * len(here)
         out = np.zeros((len(words), len(self.langs) + 1), np.float64)
         order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
         for a in range(0, len(order), chunk):
@@ -142,6 +140,12 @@ def pad(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids, mask
 
 
+def windows(word: str) -> list[bytes]:
+    """The bytes of a word and its separator, in stretches of ``WINDOW`` bytes (the last may be shorter)."""
+    b = word.encode("utf-8", "surrogatepass") + b" "
+    return [b[a:a + WINDOW] for a in range(0, len(b), WINDOW)]
+
+
 def words_of(text: str) -> Counter:
     return Counter(text.lower().split())
 
@@ -159,9 +163,9 @@ def fit(samples: list[tuple[str, str]], hidden: int = 16, steps: int = 220, batc
     rng = np.random.default_rng(seed)
     pools = []
     for c in by_lang.values():
-        words = sorted(c)
-        counts = np.array([c[w] for w in words], float)
-        pools.append(([w.encode("utf-8", "surrogatepass")[:31] + b" " for w in words], np.cumsum(counts) / counts.sum()))
+        runs = [(r, c[w]) for w in sorted(c) for r in windows(w)]
+        counts = np.array([n for _, n in runs], float)
+        pools.append(([r for r, _ in runs], np.cumsum(counts) / counts.sum()))
     m1 = {k: np.zeros_like(v) for k, v in net.w.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.w.items()}
     for step in range(1, steps + 1):
@@ -250,6 +254,15 @@ def predict(docs: DataFrame, net: ByteBiGRU, keep: list[str] | None = None, memo
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score")
 
 
+def least_score(languages: int) -> float:
+    """The score that a clean document reaches: a fifteenth of the way from chance (1 / languages) to certainty.
+
+    The greatest of k probabilities is at least 1 / k, so the bound follows the number of learned languages.
+    """
+    chance = 1 / max(1, languages)
+    return chance + (1 - chance) / 15
+
+
 def accepted(docs: DataFrame, net: ByteBiGRU, least: float) -> DataFrame:
     """The documents, all columns, whose text has a learned language with a score of ``least`` or more."""
     found = predict(docs, net, [*docs.columns])

@@ -95,6 +95,12 @@ def test_blocks_are_read_whole():
     assert [b.text for b in html_extract.blocks("plain text only")] == ["plain text only"]
 
 
+def test_formulas_and_examples_are_text():
+    page = "<p>Area is <math><mi>a</mi><mo>=</mo><mn>2</mn></math> units.</p><xmp><b>bold</b> &amp; raw</xmp><p>End.</p>"
+    assert [b.text for b in html_extract.blocks(page)] == ["Area is a=2 units.", "<b>bold</b> &amp; raw", "End."]
+    assert [b.text for b in html_extract.blocks("<div hidden><xmp>no</xmp></div><xmp>open")] == ["open"]
+
+
 @pytest.mark.parametrize("attributes, shown", [
     ('class="overflow-hidden"', True), ('style="overflow:hidden"', True), ('href="/hidden-valley"', True),
     ('title="The hidden valley"', True), ('data-hidden="x"', True), ("aria-hidden=false", True),

@@ -133,6 +133,29 @@ def test_language_edge_rows(spark, docs, no_docs):
     assert {r.lang_pred for r in langid.predict(docs, one).collect()} == {"xx", "und"}
 
 
+def test_texts_without_a_letter_have_no_language(spark):
+    texts = ["²", "½ 12", "①", "٣ 4", "_ -", "\u200d", "ª", "x", "é", "漢"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net = langid.fit([("the cat and the dog", "en"), ("le chat et le chien", "fr")], steps=5)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, net).collect()}
+    assert [got[i] == "und" for i in range(len(texts))] == [True] * 6 + [False] * 4
+
+
+def test_long_words_are_trained_on_the_windows_that_are_read():
+    word = "ab" * 40
+    assert b"".join(langid.windows(word)) == word.encode() + b" "
+    assert [len(w) for w in langid.windows(word)] == [32, 32, 17] and langid.windows("") == [b" "]
+    net = langid.fit([("q" * 32 + "z" * 200, "zz"), ("q" * 32 + "k" * 200, "kk")], steps=120)
+    sums = net.word_sums(["z" * 64, "k" * 64])
+    assert [net.langs[i] for i in sums[:, :-1].argmax(axis=1)] == ["zz", "kk"]      # told by what follows the first 32
+
+
+def test_least_score_follows_the_number_of_languages():
+    assert langid.least_score(4) == pytest.approx(0.3) and langid.least_score(1) == pytest.approx(1.0)
+    bounds = [langid.least_score(k) for k in (2, 3, 10, 100)]
+    assert all(1 / k < b < 1.2 / k + 0.1 for k, b in zip((2, 3, 10, 100), bounds)) and bounds == sorted(bounds, reverse=True)
+
+
 def test_word_sums_cover_every_position():
     net = langid.ByteBiGRU(["a", "b"], 4, 2)
     words = ["a", "漢字", "x" * 100, "word"]
