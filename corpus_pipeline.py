@@ -17,14 +17,10 @@ from lanespark.llm.common import ship
 from lanespark.session import ensure_checkpoint_dir
 
 
-#: A document goes if it has no letter, or if no learned language reaches this score: four languages' chance level is
-#: 0.25, and clean documents that mix languages stay a good way above this.
-LEAST_LANGUAGE_SCORE = 0.3
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a learned language."""
-    return langid.accepted(docs, langid.fit(langid.sample(docs)), LEAST_LANGUAGE_SCORE)
+    """Documents whose text is in a learned language (a text without a letter is in none)."""
+    net = langid.fit(langid.sample(docs))
+    return langid.accepted(docs, net, langid.least_score(len(net.langs)))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
