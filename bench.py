@@ -46,6 +46,7 @@ def main() -> None:
         t0 = time.perf_counter()
         registry.QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[key] = round(time.perf_counter() - t0, 3)
+        print(f"{key} {times[key]}", file=sys.stderr, flush=True)    # so that a slow query does not hide the others
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir}))

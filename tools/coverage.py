@@ -61,13 +61,13 @@ INVENTORY = {
     "ST-07": ["stream_score"],
     "FP-01": ["one_hot_weather"], "FP-02": ["train_test_split"], "FP-03": ["standardize"],
     "FP-04": ["temporal_features"], "FP-05": ["context_enrich"], "FP-06": ["prepare_features"],
-    "FP-07": ["f_test_topk"], "FP-08": ["mutual_information"], "FP-09": ["rf_importance"],
-    "FP-10": ["adaptive_selection"], "FP-11": ["lasso_eliminated"], "FP-12": ["coefficient_table"],
+    "FP-07": ["f_test_topk"], "FP-08": ["mutual_information", "mutual_information_knn"], "FP-09": ["rf_importance"],
+    "FP-10": ["adaptive_selection", "feature_selection"], "FP-11": ["lasso_eliminated"], "FP-12": ["coefficient_table"],
     "FP-13": ["importance_share"],
     "ML-01": ["linear_regression"], "ML-02": ["ridge", "ridge_safe"], "ML-03": ["lasso"], "ML-04": ["elastic_net"],
-    "ML-05": ["knn"], "ML-06": ["decision_tree"], "ML-07": ["random_forest"], "ML-08": ["extra_trees"],
-    "ML-09": ["gradient_boosting"], "ML-10": ["boosting_curve"], "ML-11": ["evaluate_variant"],
-    "ML-12": ["cross_validate"], "ML-13": ["validation_curve"], "ML-14": ["elbow_k"],
+    "ML-05": ["knn", "knn_regression"], "ML-06": ["decision_tree"], "ML-07": ["random_forest"], "ML-08": ["extra_trees"],
+    "ML-09": ["gradient_boosting"], "ML-10": ["boosting_curve"], "ML-11": ["evaluate_variant", "variant_grid"],
+    "ML-12": ["cross_validate"], "ML-13": ["validation_curve", "depth_curve"], "ML-14": ["elbow_k"],
     "ML-15": ["selected_feature_models"], "EN-01": ["stacking"], "EN-02": ["weighted_ensemble", "ensemble_weights"],
     "EN-03": ["pick_best"], "EN-04": ["run_framework"], "ON-01": ["static_windows"], "ON-02": ["online_windows"],
     "ON-03": ["adaptation_gain"], "CM-01": ["improvements"], "CM-02": ["utility_score"], "CM-03": ["model_ranking"],
