@@ -171,15 +171,6 @@ def test_every_family_is_cross_validated_and_evaluated(spark):
     assert [a for a, r in curve.items() if r.is_best] == [max(curve, key=lambda a: curve[a].cv_r2)]
 
 
-def test_variant_grid_has_every_variant(spark):
-    rows = query(spark, "variant_grid").collect()
-    want = {(n, v) for n, vs in L.VARIANTS.items() for v, _ in vs}
-    assert {(r.model, r.variant) for r in rows} == want and len(rows) == len(want) == 25
-    assert all(r.test_r2 <= 1 and r.cv_r2 <= 1 for r in rows)
-    deep = {r.variant: r for r in rows if r.model == "Decision Tree"}
-    assert deep["max_depth=None"].train_r2 == pytest.approx(1.0) and deep["max_depth=6"].train_r2 < 1
-
-
 def test_depth_curve_is_whole(spark):
     rows = query(spark, "depth_curve").orderBy("max_depth").collect()
     assert [r.max_depth for r in rows] == list(range(2, 25)) and sum(r.is_best for r in rows) == 1
