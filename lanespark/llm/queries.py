@@ -93,14 +93,12 @@ def _crc32(col) -> F.Column:
 def op6_fingerprints(spark, sf_dir):
     """Threshold-scaled sketches of every document, of its edited text, and their likeness.
 
-    Likeness is the estimated share of the document's shingles that the other text holds. The fingerprint of a text
-    whose sketch is of few hashes goes on, after a bar, with those of its character shingles.
+    Likeness is the estimated share of the document's shingles that the other text holds, from the two fingerprints.
     """
     d = sketch.edited(read(spark, sf_dir, "documents"))
-    both = lambda k: F.concat_ws("|", sketch.as_string(F.col(k + "sketch")), sketch.as_string(F.col(k + "fine")))
     return d.select("doc_id", "n_chars", F.sha2(F.col("edited_text"), 256).alias("edited_sha256"),
-                    both("").alias("fingerprint"), both("edited_").alias("edited_fingerprint"),
-                    "near_edited", "near_next")
+                    sketch.as_string(F.col("sketch")).alias("fingerprint"),
+                    sketch.as_string(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 @query
@@ -196,7 +194,8 @@ WITH p AS (
     SELECT doc_id, coalesce(lang, 'und') AS lang,
            unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                                'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
     FROM documents
 ), w AS (
     SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS ws FROM p

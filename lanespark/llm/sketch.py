@@ -1,11 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range.
-What is kept does not depend on the rest of the document, so sketches of parts
-merge by union, and the share of one sketch's hashes that another one holds
-estimates containment between documents of very unequal length. A text of few
-words keeps too few of them to be judged by; it has character shingles besides.
-Built from DataFrame expressions only.
+A sketch keeps every shingle hash below a fixed fraction of the hash range, by
+one rule for texts of every length. What is kept does not depend on the rest
+of the document, so sketches of parts merge by union, and the share of one
+sketch's hashes that another one holds estimates containment between documents
+of very unequal length. Built from DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -18,95 +17,60 @@ from lanespark.session import cut_lineage
 
 from .common import is_empty
 
+#: White space: space and 0x09 to 0x0D.
+_WHITE = r"\x20\x09-\x0D"
+#: Scripts written without spaces between words; each of their characters is a word.
+_SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+#: Other words: up to 16 code points without white space (longer ones are cut into pieces from their start).
+_WORD = f"[{_SINGLE}]|[^{_WHITE}{_SINGLE}]{{1,16}}"
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
+def sketch(text: Column, shingle: int = 5, fraction: float = 1 / 2) -> Column:
+    """Sorted distinct shingle hashes (array of int, 0 to 2^31 - 1) below ``fraction`` (at most 1/2) of 32 bits.
 
-#: A sketch of fewer hashes than this (texts below about 130 words) does not judge its text; character shingles do.
-FEW = 16
-
-
-def sketch(text: Column, shingle: int = 5, fraction: float = 1 / 8) -> Column:
-    """Sorted distinct shingle hashes (array of long) below ``fraction`` of the range.
-
-    Words are runs without white space (space and 0x09 to 0x0D), case kept;
-    a text of fewer words than ``shingle`` is one shingle, a text without words
-    has none. ``fraction`` is at most 1/2.
+    Words are pieces of up to 16 code points without white space, or single
+    characters of scripts without spaces; case is kept. ``shingle - 1`` empty
+    words stand at either end, so a text of n words has n + shingle - 1
+    shingles and a short one still keeps some. A text that keeps none has one
+    negative mark made from the whole text, so that it is like equal texts
+    only; null is an empty text.
     """
     if not 0 < fraction <= 0.5:
         raise ValueError("fraction must be above 0 and at most 1/2")
-    limit = F.lit(int(fraction * 2 ** 64) - 1)
-    hashed = F.transform(_words(text), lambda w: F.xxhash64(w))
+    text = F.coalesce(text, F.lit(""))
+    limit = F.lit(int(fraction * 2 ** 32) - 1)
+    words = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    edge = F.array_repeat(F.lit(0).cast("long"), shingle - 1)
+    high = lambda x: F.shiftrightunsigned(x, 32)
 
     def shingles(h):
-        n = F.size(h)
-        runs = F.transform(F.sequence(F.lit(1), n - shingle + 1),
-                           lambda i: F.xxhash64(*[F.element_at(h, i + k) for k in range(shingle)]))
-        return F.when(n >= shingle, runs).when(n > 0, F.array(F.xxhash64(h))).otherwise(
-            F.array().cast("array<bigint>"))
-
-    # the word hashes are bound once: an expression used twice in a lambda would be evaluated twice
-    kept = F.transform(F.array(hashed), lambda h: F.filter(shingles(h), lambda x: (x >= 0) & (x <= limit)))
-    return F.array_sort(F.array_distinct(F.element_at(kept, 1)))
-
+        runs = F.transform(F.sequence(F.lit(1), F.size(h) - shingle + 1),
+                           lambda i: high(F.xxhash64(*[F.element_at(h, i + k) for k in range(shingle)])))
+        return F.when(F.size(h) > 2 * (shingle - 1), runs).otherwise(F.array().cast("array<bigint>"))
 
-def characters(text: Column, width: int = 6) -> Column:
-    """Distinct hashes (0 to 2^63 - 1) of all runs of ``width`` code points of the words joined by single spaces.
-
-    ``width - 1`` spaces stand at either end, so that a text of n code points
-    has n + width - 1 runs. A text without words has its own whole hash only.
-    """
-    edge = " " * (width - 1)
-    joined = F.array_join(_words(text), " ")
-    runs = F.when(joined == "", F.array(F.coalesce(text, F.lit("")))).otherwise(
-        F.regexp_extract_all(F.concat(F.lit(edge), joined, F.lit(edge)), F.lit(f"(?s)(?=(.{{{width}}}))."), F.lit(1)))
-    return F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r).bitwiseAND(F.lit(2 ** 63 - 1))))
-
-
-def fine(text: Column, width: int = 6, fraction: float = 1 / 8, least: int = 64) -> Column:
-    """Sorted hashes of ``characters`` below ``fraction`` of their range, and at least the ``least`` smallest.
-
-    Never empty. Of parts, the union's hashes below the fraction and its ``least`` smallest are the whole's.
-    """
-    limit = F.lit(int(fraction * 2 ** 63) - 1)
-    kept = F.transform(F.array(F.array_sort(characters(text, width))), lambda h: F.filter(
-        h, lambda x, i: (x <= limit) | (i < least)))
-    return F.element_at(kept, 1)
-
-
-def is_few(s: Column) -> Column:
-    """Whether a sketch holds too few hashes to judge its text."""
-    return F.size(s) < FEW
-
-
-def likeness(a: Column, a_fine: Column, b: Column, b_characters: Column) -> Column:
-    """Estimated share of a's text that b holds: by word shingles, or by character shingles if a keeps few.
-
-    ``b_characters`` are all character shingles of b, so that what a short
-    text keeps is looked up in the whole of b; it is read only if a keeps few.
-    """
-    by_characters = F.size(F.array_intersect(a_fine, b_characters)) / F.size(a_fine).cast("double")
-    return F.when(is_few(a), by_characters).otherwise(containment(a, b))
+    # what a lambda uses more than once is bound by a one-element array: it would be evaluated anew at each use
+    kept = F.transform(F.array(F.concat(edge, words, edge)), lambda h: F.array_sort(F.array_distinct(
+        F.transform(F.filter(shingles(h), lambda x: x <= limit), lambda x: x.cast("int")))))
+    mark = F.array((-1 - F.shiftrightunsigned(F.xxhash64(text), 33)).cast("int"))
+    return F.element_at(F.transform(kept, lambda s: F.when(F.size(s) > 0, s).otherwise(mark)), 1)
 
 
 def merge(a: Column, b: Column) -> Column:
-    """Sketch of two documents together."""
-    return F.array_sort(F.array_union(a, b))
+    """Sketch of two documents together: the union; a mark stays only if neither keeps a shingle."""
+    both = F.array_sort(F.array_union(a, b))
+    return F.element_at(F.transform(F.array(both), lambda s: F.when(
+        F.element_at(s, -1) >= 0, F.filter(s, lambda x: x >= 0)).otherwise(s)), 1)
 
 
 def as_string(s: Column) -> Column:
-    """Hashes in 16 hexadecimal digits each, in order, joined by commas (empty sketch: empty string)."""
-    return F.array_join(F.transform(s, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), ",")
+    """Hashes in 8 hexadecimal digits each, in order, joined by commas (a mark has its first bit set)."""
+    return F.array_join(F.transform(s, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(2 ** 32 - 1))),
+                                                                8, "0"))), ",")
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b holds, 0 to 1; two empty sketches are alike (1), one is not (0).
-
-    Says nothing of a sketch of few hashes; ``likeness`` judges those texts.
-    """
-    shared = F.size(F.array_intersect(a, b)) / F.size(a).cast("double")
-    return F.when(F.size(a) > 0, shared).when(F.size(b) > 0, F.lit(0.0)).otherwise(F.lit(1.0))
+    """Estimated share of a's shingles that b holds, 0 to 1; a text without kept shingles is like equal ones only."""
+    return F.size(F.array_intersect(a, b)) / F.size(a).cast("double")
 
 
 def following(keys: DataFrame, rows_per_part: int = 50_000) -> DataFrame:
@@ -134,7 +98,7 @@ def following(keys: DataFrame, rows_per_part: int = 50_000) -> DataFrame:
     return inner.select(*pick).unionByName(ends.select(*pick))
 
 
-def edited(docs: DataFrame, shingle: int = 5, fraction: float = 1 / 8, id_col: str = "doc_id",
+def edited(docs: DataFrame, shingle: int = 5, fraction: float = 1 / 2, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """Fingerprints of every document and of its edited text.
 
@@ -145,42 +109,35 @@ def edited(docs: DataFrame, shingle: int = 5, fraction: float = 1 / 8, id_col: s
     result; null ids come last. An empty table gives no rows; one document
     follows itself.
 
-    ``near_edited`` and ``near_next`` are the likeness of the document to its
-    edited text and to the next document; ``fine`` is null unless the sketch
-    is of few hashes.
+    ``near_edited`` and ``near_next`` are the containment of the document's
+    sketch in that of its edited text and of the next document.
 
-    Each text crosses the network once, with its sketch, and the prefix that a
-    neighbour needs a second time (the whole text for a neighbour whose sketch
-    is of few hashes); the order itself is found on the ids alone.
+    Each text crosses the network once; a neighbour's prefix and sketch cross
+    a second time. The order itself is found on the ids alone.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     keyed = base.withColumn("text_hash", F.xxhash64("text"))
     light = cut_lineage(keyed.groupBy("doc_id", "text_hash").agg(
-        F.max(F.char_length("text")).alias("n_chars"),
-        F.max(is_few(sketch(F.col("text"), shingle, fraction))).alias("few"), (F.count("*") > 1).alias("repeated")))
+        F.max(F.char_length("text")).alias("n_chars"), (F.count("*") > 1).alias("repeated")))
     order = following(light.select("doc_id", "text_hash"))
-    size = light.select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "n_chars", "few")
+    size = light.select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "n_chars")
     before = cut_lineage(order.join(size, F.col("doc_id").eqNullSafe(F.col("s_id"))
                                     & (F.col("text_hash") == F.col("s_hash")))
                          .select(F.col("next_doc_id").alias("k_id"), F.col("next_text_hash").alias("k_hash"),
                                  F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"),
-                                 F.floor(F.col("n_chars") / 3).cast("int").alias("cut"), "few"))
-    full = keyed.withColumn("sketch", sketch(F.col("text"), shingle, fraction))
+                                 F.floor(F.col("n_chars") / 3).cast("int").alias("cut")))
     hit = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))
-    heads = full.join(before, hit).select(
+    heads = keyed.join(before, hit).select(
         "to_id", "to_hash", F.substring("text", F.lit(1), F.col("cut")).alias("head"),
-        F.col("sketch").alias("next_sketch"), F.when(F.col("few"), F.col("text")).alias("next_text"))
+        sketch(F.col("text"), shingle, fraction).alias("next_sketch"))
     if not is_empty(light.where("repeated")):
         heads = heads.dropDuplicates(["to_id", "to_hash"])
-    both = full.join(heads, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("text_hash") == F.col("to_hash")))
+    both = keyed.join(heads, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("text_hash") == F.col("to_hash")))
     n = F.char_length("text")
     new = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))
-    out = both.select("doc_id", "text", "sketch", "next_sketch", "next_text", n.cast("long").alias("n_chars"),
-                      new.alias("edited_text"))
-    out = out.withColumn("edited_sketch", sketch(F.col("edited_text"), shingle, fraction))
-    for name in ("", "edited_"):
-        out = out.withColumn(name + "fine", F.when(is_few(F.col(name + "sketch")), fine(F.col(name + "text"))))
-    near = {"near_" + name: likeness(F.col("sketch"), F.col("fine"), F.col(name + "_sketch"),
-                                     characters(F.col(name + "_text"))) for name in ("edited", "next")}
-    return out.withColumns(near).drop("next_text")
+    out = both.select("doc_id", "text", "next_sketch", n.cast("long").alias("n_chars"), new.alias("edited_text"))
+    out = out.withColumns({"sketch": sketch(F.col("text"), shingle, fraction),
+                           "edited_sketch": sketch(F.col("edited_text"), shingle, fraction)})
+    return out.withColumns({"near_" + name: containment(F.col("sketch"), F.col(name + "_sketch"))
+                            for name in ("edited", "next")})
