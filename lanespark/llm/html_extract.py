@@ -68,24 +68,136 @@ def is_hidden(attributes: str) -> bool:
     return display == "none"
 
 
+class Path:
+    """An element's tag with its class and id words, under its parent's; equal paths of a trie are one object."""
+
+    __slots__ = ("parent", "parts", "leaf", "below")
+
+    def __init__(self, parent: Path | None, parts: tuple[str, ...]):
+        self.parent, self.parts, self.below = parent, parts, {}
+        kept = [p for p in parts if p[0] != "." and _says(p)]
+        self.leaf = kept[-1] if kept else parent.leaf if parent else None     # the last block tag
+
+    def child(self, parts: tuple[str, ...]) -> Path:
+        found = self.below.get(parts)
+        if found is None:
+            global _n_paths
+            found = self.below[parts] = Path(self, parts)
+            _n_paths += 1
+        return found
+
+    def __iter__(self):
+        """Parts from the root down."""
+        chain, at = [], self
+        while at is not None:
+            chain.append(at.parts)
+            at = at.parent
+        return (p for parts in reversed(chain) for p in parts)
+
+
+def _says(part: str) -> bool:
+    """Inline tags and the outermost ones say nothing."""
+    return part[0] == "." or part in BLOCK_TAGS and part not in ("html", "body")
+
+
+_root, _n_paths = Path(None, ()), 0
+
+
+def _trie() -> Path:
+    """The root that all pages share; a new one once it holds too many paths (those in use stay as they are)."""
+    global _root, _n_paths
+    if _n_paths > 300_000:
+        _root, _n_paths = Path(None, ()), 0
+    return _root
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]   # tags and class or id words from the root down
+    path: Path | tuple[str, ...]   # tags and class or id words from the root down
     text: str
     linked: int             # characters inside links
 
 
+class _Open:
+    """The open elements of a page. No step looks through all of them, however deep the markup nests.
+
+    An inline element that is closed across blocks leaves its place empty;
+    what was opened inside it keeps it in its path.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[str, Path, bool] | None] = []    # tag, path, silent
+        self.places: dict[str, list[int]] = {}                  # of each tag's open elements
+        self.block_places: list[int] = []
+        self.n = self.silent = 0
+        self.root = _trie()
+
+    def top(self) -> tuple[str, Path, bool] | None:
+        while self.stack and self.stack[-1] is None:
+            self.stack.pop()
+        return self.stack[-1] if self.stack else None
+
+    def path(self) -> Path:
+        top = self.top()
+        return top[1] if top else self.root
+
+    def last(self, tag: str) -> int | None:
+        found = self.places.get(tag)
+        return found[-1] if found else None
+
+    def count(self, tag: str) -> int:
+        return len(self.places.get(tag, ()))
+
+    def last_block(self) -> str | None:
+        return self.stack[self.block_places[-1]][0] if self.block_places else None
+
+    def push(self, tag: str, parts: tuple[str, ...], quiet: bool) -> None:
+        path = self.path().child(parts)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK_TAGS:
+            self.block_places.append(len(self.stack))
+        self.stack.append((tag, path, quiet))
+        self.n += 1
+        self.silent += quiet
+
+    def _leave(self, element) -> None:
+        tag, _, quiet = element
+        self.places[tag].pop()
+        self.n -= 1
+        self.silent -= quiet
+
+    def close(self, k: int) -> None:
+        """Close the element at place k and all inside it."""
+        while len(self.stack) > k:
+            element = self.stack.pop()
+            if element is not None:
+                self._leave(element)
+        while self.block_places and self.block_places[-1] >= k:
+            self.block_places.pop()
+
+    def end(self, tag: str) -> None:
+        """A closing tag; one that fits no open element does nothing."""
+        k = self.last(tag)
+        if k is None:
+            return
+        if tag not in BLOCK_TAGS and tag != "a" and self.block_places and self.block_places[-1] > k:
+            self._leave(self.stack[k])      # an inline tag closed across blocks
+            self.stack[k] = None
+        else:
+            self.close(k)
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order: text decoded, white space made single spaces, trimmed, none empty.
 
     Comments, scripts, styles, form controls and hidden elements are no text;
-    broken or cut markup is read as far as it goes.
+    broken or cut markup is read as far as it goes, in time linear in its length.
     """
     page = page or ""
     out: list[Block] = []
-    open_tags: list[tuple[str, tuple[str, ...], bool]] = []   # tag, path parts, silent
+    opened = _Open()
     text: list[str] = []
-    linked = in_link = silent = 0
+    linked = 0
     at, end = 0, len(page)
 
     def flush():
@@ -93,26 +205,19 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
-                out.append(Block(tuple(p for _, parts, _ in open_tags for p in parts), joined, linked))
+                out.append(Block(opened.path(), joined, linked))
             text = []
         linked = 0
 
-    def close(k):
-        nonlocal in_link, silent
-        for tag, _, quiet in open_tags[k:]:
-            in_link -= tag == "a"
-            silent -= quiet
-        del open_tags[k:]
-
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
         if m[4] is not None:
-            if silent and open_tags[-1][0] == "head" and m[4].strip():
-                close(len(open_tags) - 1)
-            if not silent:
+            if opened.silent and opened.top()[0] == "head" and m[4].strip():
+                opened.end("head")
+            if not opened.silent:
                 text.append(m[4])
-                if in_link:
+                if opened.count("a"):
                     linked += len(m[4])
             continue
         if m[2] is None:
@@ -126,30 +231,21 @@ def blocks(page: str | None) -> list[Block]:
         elif tag == "br" or tag in ("img", "input"):
             text.append(" ")
         if m[1]:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == tag:
-                    if not is_block and tag != "a" and any(t in BLOCK_TAGS for t, _, _ in open_tags[k + 1:]):
-                        open_tags.pop(k)    # an inline tag closed across blocks
-                    else:
-                        close(k)
-                    break
+            opened.end(tag)
             continue
-        if tag == "head" and any(t != "html" for t, _, _ in open_tags):     # a head inside the page is none
+        if tag == "head" and opened.n > opened.count("html"):     # a head inside the page is none
             continue
+        top = opened.top()
         if tag == "body":
-            heads = [k for k, (t, _, _) in enumerate(open_tags) if t == "head"]
-            if heads:
-                close(heads[0])
-        elif open_tags and open_tags[-1][0] == "head" and tag not in HEAD_TAGS:
-            close(len(open_tags) - 1)
-        ends = SELF_CLOSING.get(tag, ()) if tag != "p" else ()
-        if tag in _CLOSES_P or ends:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] in ends or (open_tags[k][0] == "p" and tag in _CLOSES_P):
-                    close(k)
-                    break
-                if open_tags[k][0] in BLOCK_TAGS:
-                    break
+            if opened.count("head"):
+                opened.close(opened.places["head"][0])
+        elif top and top[0] == "head" and tag not in HEAD_TAGS:
+            opened.end("head")
+        if tag in _CLOSES_P or tag in SELF_CLOSING:     # all that they close are blocks
+            ends = SELF_CLOSING.get(tag, ()) if tag != "p" else ()
+            inner = opened.last_block()
+            if inner in ends or inner == "p" and tag in _CLOSES_P:
+                opened.end(inner)
         if tag in VOID_TAGS or m[3].rstrip().endswith("/") and not is_block and tag not in RAW_TAGS:
             continue
         names = [next(x for x in c if x is not None) for c in _CLASS.findall(m[3]) if any(c)] if "=" in m[3] else ()
@@ -157,7 +253,7 @@ def blocks(page: str | None) -> list[Block]:
         quiet = tag in SILENT_TAGS or bool(m[3] and is_hidden(m[3]))
         if tag == "xmp":        # its markup and references are its text
             stop = re.compile(r"</xmp\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not silent and not quiet:
+            if not opened.silent and not quiet:
                 flush()
                 text.append(page[at:stop.start() if stop else end].replace("&", "&amp;"))
                 flush()
@@ -167,9 +263,7 @@ def blocks(page: str | None) -> list[Block]:
             stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
-        open_tags.append((tag, parts, quiet))
-        in_link += tag == "a"
-        silent += quiet
+        opened.push(tag, parts, quiet)
     flush()
     return out
 
@@ -191,11 +285,16 @@ def bucket(token: str) -> int:
     return found
 
 
-def path_ids(path: tuple[str, ...]) -> list[int]:
-    """Hashed path tokens; inline tags and the outermost ones say nothing."""
-    keep = [p for p in path if p[0] == "." or p in BLOCK_TAGS and p not in ("html", "body")]
-    last = [t for t in keep if t[0] != "."][-1:]
-    return [bucket("path " + p) for p in keep] + [bucket("leaf " + p) for p in last]
+def part_ids(parts) -> list[int]:
+    """Hashed path tokens."""
+    return [bucket("path " + p) for p in parts if _says(p)]
+
+
+def path_ids(path: Path | tuple[str, ...]) -> list[int]:
+    """Hashed path tokens, then the last block tag's once more."""
+    parts = tuple(path)
+    last = [p for p in parts if p[0] != "." and _says(p)][-1:]
+    return part_ids(parts) + [bucket("leaf " + p) for p in last]
 
 
 def numbers(b: Block, place: float) -> list[float]:
@@ -227,13 +326,10 @@ class BlockLabeller:
         if not flat:
             return [np.zeros((0, self.path_dim + self.word_dim + N_NUMBERS), np.float32) for _ in pages]
         out = np.zeros((len(flat), self.path_dim + self.word_dim + N_NUMBERS), np.float32)
-        known: dict[tuple, np.ndarray] = {}
+        known: dict = {}
         words, starts = [], []
         for i, b in enumerate(flat):
-            v = known.get(b.path)
-            if v is None:
-                v = known[b.path] = self.w["path"][path_ids(b.path)].sum(axis=0)
-            out[i, :self.path_dim] = v
+            out[i, :self.path_dim] = self.path_vector(b.path, known)
             starts.append(len(words))
             words += map(bucket, b.text.lower().split(" "))
         sums = np.add.reduceat(self.w["word"][words], starts)
@@ -241,6 +337,22 @@ class BlockLabeller:
         out[:, -N_NUMBERS:] = [numbers(b, i / max(1, len(page) - 1)) for page in pages for i, b in enumerate(page)]
         return np.split(out, np.cumsum([len(page) for page in pages])[:-1])
 
+    def path_vector(self, path: Path | tuple[str, ...], known: dict) -> np.ndarray:
+        """Sum of the path's token vectors. ``known`` holds sums found so far: a path adds to its parent's."""
+        table = self.w["path"]
+        if isinstance(path, tuple):
+            return table[path_ids(path)].sum(axis=0)
+        chain, at = [], path
+        while at is not None and at not in known:
+            chain.append(at)
+            at = at.parent
+        v = known[at] if at is not None else np.zeros(self.path_dim, np.float32)
+        for at in reversed(chain):
+            for k in part_ids(at.parts):
+                v = v + table[k]
+            known[at] = v
+        return v + table[bucket("leaf " + path.leaf)] if path.leaf else v
+
     def _run(self, s, x, mask, keep):
         h, w = self.hidden, self.w
         pre = x @ w["x" + s] + w["c" + s]

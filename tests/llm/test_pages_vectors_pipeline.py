@@ -1,6 +1,7 @@
 """URL filter, HTML extraction, embedding graph and the pipeline against brute force."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -122,6 +123,31 @@ def test_a_head_left_open_ends_at_the_body(page):
     assert [b.text for b in html_extract.blocks(page)] == ["Text."]
 
 
+@pytest.mark.parametrize("page, found", [
+    ("<div>x" * 60_000, 60_000), ("<b><p>x" * 30_000, 30_000), ("<b><div>x" * 20_000 + "</b>" * 20_000 + "y", 20_000),
+    ("<i>" * 30_000 + "<hr>x" * 30_000, 30_000), ("<i>x</q>" * 40_000, 1)])
+def test_deep_nesting_takes_linear_time(page, found):
+    began = time.process_time()
+    bs = html_extract.blocks(page)
+    vectors = html_extract.BlockLabeller().block_vectors([bs])[0]
+    assert len(bs) == found and len(vectors) == found and time.process_time() - began < 15
+
+
+def test_paths_add_up_to_their_tokens():
+    bs = html_extract.blocks('<body><div class="main page"><b><p id=x>one<ul><li>two</b>three</div><td>four')
+    net = html_extract.BlockLabeller()
+    assert [b.text for b in bs] == ["one", "twothree", "four"]
+    for b, v in zip(bs, net.block_vectors([bs])[0]):
+        want = net.w["path"][html_extract.path_ids(b.path)].sum(axis=0)
+        assert np.array_equal(v[:net.path_dim], want)
+        assert np.array_equal(net.path_vector(tuple(b.path), {}), want)
+
+
+def test_a_hidden_inline_element_closed_across_blocks_ends_there():
+    for page in ("<span hidden>no<div>no</span>yes</div>after", "<b hidden></hr><h1></html></b><b>yes <a>after"):
+        assert " ".join(b.text for b in html_extract.blocks(page)) == "yes after"
+
+
 @pytest.fixture(scope="module")
 def labeller(spark):
     return html_extract.train(spark.read.parquet(f"{SF}/pages.parquet"))
