@@ -1,10 +1,12 @@
-"""Raw readings -> one quality-checked record per (date, road) in a single shuffle.
-
-All outputs come from one ``groupBy(date, road).agg(...)``: every aggregate is
-algebraic except the weather mode, whose partial buffer is a small
-value->count map, so map-side combining keeps hot roads cheap. The road
-dimension is joined *after* aggregation (one row per road-day instead of one
-per reading).
+"""Raw readings -> one quality-checked record per (date, road).
+
+``daily_partials`` reduces the readings to sums, counts and extremes by (date,
+road, weather, area): fixed-width buffers only, so it is a plain hash
+aggregate with map-side combining and a hot road stays cheap. Partial rows
+merge by addition, so they also serve as the state of the streaming job.
+``merge_partials`` folds them, a few for each road and day, to the record's
+statistics with the most frequent weather and the first area. The road
+dimension is joined *after* that.
 """
 
 from __future__ import annotations
@@ -27,33 +29,53 @@ def _clamp(x, lo=0.0, hi=100.0):
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 
 
-def daily_aggregates(readings: DataFrame) -> DataFrame:
-    """Stage 1: the single shuffle. Sufficient statistics per (date, road)."""
+# statistic -> its columns (pooled over providers) and, for plain means, its column
+POOLED = {"v": ("a_speed", "b_speed"), "ff": ("a_free_flow", "b_free_flow")}
+MEANS = {"_tt": "a_travel_time", "_tff": "a_free_flow_time", "_jam": "jam_factor", "_temp": "temperature_c",
+         "_hum": "humidity_pct", "_wind": "wind_speed_ms", "_rain": "rain_1h_mm", "_vis": "visibility_m",
+         "_conf": "confidence"}
+
+
+def daily_partials(readings: DataFrame) -> DataFrame:
+    """Stage 1: mergeable statistics by (date, road, weather, area), from a hash aggregate of fixed-width buffers."""
+    pooled = [e for k, cols in POOLED.items() for e in (
+        sum((F.coalesce(F.sum(c), F.lit(0.0)) for c in cols), F.lit(0.0)).alias(f"_s_{k}"),
+        sum((F.count(c) for c in cols), F.lit(0)).cast("long").alias(f"_n_{k}"))]
+    means = [e for k, c in MEANS.items() for e in (F.sum(c).alias(k + "_s"), F.count(c).alias(k + "_n"))]
     return readings.where(F.col("road_name").isNotNull() & F.col("reading_date").isNotNull()) \
-        .groupBy(F.col("reading_date").alias("traffic_date"), "road_name").agg(
-            F.min_by("area_name", "reading_ts").alias("area_name"),
-            # pooled speed statistics over both providers
-            (F.coalesce(F.sum("a_speed"), F.lit(0.0)) + F.coalesce(F.sum("b_speed"), F.lit(0.0))).alias("_s_v"),
-            (F.count("a_speed") + F.count("b_speed")).alias("_n_v"),
-            (F.coalesce(F.sum("a_free_flow"), F.lit(0.0)) + F.coalesce(F.sum("b_free_flow"), F.lit(0.0))).alias("_s_ff"),
-            (F.count("a_free_flow") + F.count("b_free_flow")).alias("_n_ff"),
-            F.avg("a_travel_time").alias("_tt"),
-            F.avg("a_free_flow_time").alias("_tff"),
-            F.avg("jam_factor").alias("_jam"),
+        .groupBy(F.col("reading_date").alias("traffic_date"), "road_name", "weather_main", "area_name").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("reading_ts").alias("_ts"), *pooled, *means,
             F.max("incident_count").alias("_inc"),
-            F.avg("temperature_c").alias("_temp"),
-            F.avg("humidity_pct").alias("_hum"),
-            F.avg("wind_speed_ms").alias("_wind"),
-            F.avg("rain_1h_mm").alias("_rain"),
-            F.avg("visibility_m").alias("_vis"),
-            F.avg("confidence").alias("_conf"),
-            F.mode("weather_main", deterministic=True).alias("_wmode"),
-            F.bool_or(F.coalesce("has_construction", F.lit(False))).alias("_work"),
-        )
+            F.max(F.coalesce("has_construction", F.lit(False))).alias("_work"))
+
+
+def merge_partials(parts: DataFrame) -> DataFrame:
+    """Stage 2: partial rows (any number for a key) -> statistics per (date, road).
+
+    One exchange by (date, road) serves both steps: weathers are counted
+    first, then the most frequent one is taken (ties: the smallest). The area
+    is that of the first reading (ties: the smallest).
+    """
+    key = ["traffic_date", "road_name"]
+    first = F.when(F.col("_ts").isNotNull(), F.struct("_ts", F.col("area_name").isNull().alias("_no"), "area_name"))
+    added = [f"_{x}_{k}" for k in POOLED for x in "sn"] + [k + x for k in MEANS for x in ("_s", "_n")]
+    rest = [F.max("_inc").alias("_inc"), F.max("_work").alias("_work"), *[F.sum(c).alias(c) for c in added]]
+    by_weather = parts.repartition(*key).groupBy(*key, "weather_main").agg(
+        F.sum("_n").alias("_n"), F.min(first).alias("_first"), *rest)
+    seen = F.when(F.col("weather_main").isNotNull(), F.struct((-F.col("_n")).alias("_rank"), "weather_main"))
+    one = by_weather.groupBy(*key).agg(F.min("_first").alias("_first"), F.min(seen).alias("_seen"), *rest)
+    means = [F.when(F.col(k + "_n") > 0, F.col(k + "_s") / F.col(k + "_n")).alias(k) for k in MEANS]
+    return one.select(*key, F.col("_first.area_name").alias("area_name"), "_s_v", "_n_v", "_s_ff", "_n_ff", *means,
+                      "_inc", F.col("_seen.weather_main").alias("_wmode"), "_work")
+
+
+def daily_aggregates(readings: DataFrame) -> DataFrame:
+    """Sufficient statistics per (date, road)."""
+    return merge_partials(daily_partials(readings))
 
 
 def daily_finalize(agg: DataFrame, road_dim: DataFrame | None) -> DataFrame:
-    """Stage 2: per-row projections of the aggregates (no shuffle besides the dim lookup)."""
+    """Stage 3: per-row projections of the aggregates (no shuffle besides the dim lookup)."""
     if road_dim is not None:
         dim = road_dim.select("road_name", "lanes", "max_capacity_vph")
         agg = agg.join(dim, "road_name", "left")

@@ -1,9 +1,9 @@
 """Collection monitoring over raw readings (cycle history, KPIs, live snapshot).
 
 A *cycle* is one 15-minute collection round. Everything here is a grouped
-aggregation with map-side combining; "latest per road" uses ``max_by`` on a
-struct instead of a sorted window, so a road with very many readings is still
-reduced partially on every map task.
+aggregation with map-side combining; "latest per road" and "first per cycle"
+find the time by a hash aggregate, so a road with very many readings is
+reduced on every map task, and only the readings of that time are sorted.
 """
 
 from __future__ import annotations
@@ -45,6 +45,18 @@ def with_cycle(r: DataFrame) -> DataFrame:
     return r.withColumn("cycle", cycle_key())
 
 
+def first_per_cycle(r: DataFrame, cols: list[str]) -> DataFrame:
+    """Each cycle's first reading (ties: smallest event id): ``cycle`` and ``cols``.
+
+    The first time comes from a hash aggregate; only the readings of that time
+    reach the tie break."""
+    c = with_cycle(r)
+    times = c.groupBy(F.col("cycle").alias("_cycle")).agg(F.min("reading_ts").alias("_ts"))
+    at_first = c.join(times, (F.col("cycle") == F.col("_cycle")) & (F.col("reading_ts") == F.col("_ts")))
+    return at_first.groupBy("cycle").agg(F.min_by(F.struct(*cols), F.struct("event_id")).alias("_row")) \
+        .select("cycle", *[F.col("_row")[x].alias(x) for x in cols])
+
+
 def collection_history(r: DataFrame) -> DataFrame:
     """AG-23: per cycle: roads reported, mean speed (1 dp), successes."""
     return with_cycle(r).groupBy("cycle").agg(

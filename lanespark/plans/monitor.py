@@ -410,9 +410,8 @@ FROM raw_readings r JOIN (SELECT * FROM fr WHERE rn = 1) w ON w.cycle = {CYCLE.r
 def q_join_cycle_weather(spark, sf):
     """JN-02: the cycle's first weather reading applied to every road of that cycle."""
     r = M.with_cycle(rr(spark, sf))
-    first = F.struct("reading_ts", "event_id")
-    w = r.groupBy("cycle").agg(F.min_by("weather_main", first).alias("city_weather"),
-                               F.min_by("temperature_c", first).alias("city_temperature"))
+    w = M.first_per_cycle(rr(spark, sf), ["weather_main", "temperature_c"]).select(
+        "cycle", F.col("weather_main").alias("city_weather"), F.col("temperature_c").alias("city_temperature"))
     return r.select("event_id", "road_name", "cycle").join(w, "cycle").drop("cycle")
 
 

@@ -63,7 +63,7 @@ def q_stream_latest(spark, sf):
 
 @register("stream_daily", daily_rollup_oracle("SELECT * FROM daily"))
 def q_stream_daily(spark, sf):
-    """ST-03: replay-safe daily roll-up maintained by recomputing touched dates per micro-batch."""
+    """ST-03: replay-safe daily roll-up from mergeable state, touched dates only."""
     path, schema = _landed_readings(spark, sf)
     out = J.stream_daily(spark, path, J.scratch(spark, "daily"), schema, B.road_dim(spark, sf))
     from ..operators.daily import DAILY_COLUMNS
@@ -87,8 +87,8 @@ FROM raw_readings r, (SELECT min(reading_date) AS d, max(CAST(reading_ts AS TIME
 GROUP BY 1""", "raw_readings"))
 def q_stream_late(spark, sf):
     """ST-05: the first day's readings arrive after everything else. The 15-minute window job has
-    already moved its watermark past them and drops them; the date-recomputing daily job still
-    builds that day. One row per date: readings kept by the window job vs road-days in the daily table."""
+    already moved its watermark past them and drops them; the daily job still adds them to
+    that day. One row per date: readings kept by the window job vs road-days in the daily table."""
     r = B.raw_readings(spark, sf)
     first = r.agg(F.min("reading_date").alias("d")).first()["d"]  # one value (driver metadata)
     src = J.scratch(spark, "late-src")

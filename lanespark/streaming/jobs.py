@@ -85,24 +85,38 @@ def stream_cycle_15m(spark: SparkSession, readings_dir: str, out_dir: str, schem
     return spark.read.parquet(out_dir)
 
 
-# ---- ST-03: replay-safe daily roll-up (recompute touched dates, replace them) ------------
+# ---- ST-03: replay-safe daily roll-up (mergeable state, touched dates only) --------------
+def upsert_daily(batch: DataFrame, batch_id: int, state_dir: str, daily_dir: str, road_dim: DataFrame | None) -> None:
+    """Add one micro-batch to the daily table.
+
+    The batch's partial statistics go to the state table's partitions of
+    (date, batch); a batch that is run again writes the same partitions again.
+    The days it touched are then made anew from all batches' partial rows of
+    those dates and replace their partitions of the daily table. Neither
+    stored readings nor other dates' state are read.
+    """
+    spark = batch.sparkSession
+
+    def replace(rows: DataFrame, path: str, *partitions: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+    parts = D.daily_partials(batch).withColumn("_batch", F.lit(batch_id).cast("long"))
+    replace(parts, state_dir, "traffic_date", "_batch")
+    state = spark.read.schema(parts.schema).parquet(state_dir)
+    # one value for each date in the batch, from the names of the partitions
+    dates = [r[0] for r in state.where(F.col("_batch") == batch_id).select("traffic_date").distinct().collect()]
+    touched = D.merge_partials(state.where(F.col("traffic_date").isin(dates)))
+    replace(D.daily_finalize(touched, road_dim), daily_dir, "traffic_date")
+
+
 def stream_daily(spark: SparkSession, readings_dir: str, daily_dir: str, schema, road_dim: DataFrame | None,
                  max_files: int | None = None):
-    """Each micro-batch recomputes the daily record of every date it touched from ALL stored
-    readings of those dates and overwrites just those date partitions (dynamic overwrite):
-    late rows are corrected, replays are idempotent. The stored readings are listed anew in
-    every batch, so files that arrived meanwhile count."""
-
-    def upsert(batch: DataFrame, epoch_id: int):
-        dates = batch.select("reading_date").distinct()
-        stored = batch.sparkSession.read.schema(schema).parquet(readings_dir)
-        touched = stored.join(dates, "reading_date", "left_semi")
-        daily = D.daily_rollup(touched, road_dim)
-        (daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("traffic_date").parquet(daily_dir))
-
-    run_available_now(_files(spark, readings_dir, schema, max_files).writeStream.foreachBatch(upsert),
-                      daily_dir + "._ckpt")
+    """Each micro-batch merges its readings into the days it touches (``upsert_daily``): late rows
+    are counted when they come, replays are idempotent by batch id. The state lies beside the
+    daily table and belongs to the same checkpoint."""
+    run_available_now(_files(spark, readings_dir, schema, max_files).writeStream.foreachBatch(
+        lambda batch, batch_id: upsert_daily(batch, batch_id, daily_dir + "._state", daily_dir, road_dim)),
+        daily_dir + "._ckpt")
     return spark.read.parquet(daily_dir)
 
 

@@ -162,3 +162,17 @@ def test_replace_dates_is_idempotent(spark):
     assert sorted(replace_dates(empty, batch).collect()) == sorted(batch.collect())
     disjoint = replace_dates(existing.where(F.col("volume") == 1), batch)
     assert disjoint.count() == 3
+
+
+def test_weather_mode_and_first_area_over_groups(spark):
+    """Counts add up over areas, ties go to the smallest weather, the area is the first reading's."""
+    t = dt.datetime(2024, 1, 1, 5)
+    rows = [reading(1, weather_main="Rain", area_name="B", reading_ts=t), reading(2, weather_main="Rain", area_name="A"),
+            reading(3, weather_main="Mist", area_name="A", reading_ts=t), reading(4, weather_main="Mist", area_name="A"),
+            reading(5, weather_main=None, area_name="C", reading_ts=dt.datetime(2024, 1, 1, 0, 0)),
+            reading(6, weather_main=None, area_name="C"), reading(7, weather_main=None, area_name="C"),
+            reading(8, road="R2", weather_main="Rain", area_name=None, reading_ts=None),
+            reading(9, road="R2", weather_main="Clear", area_name="Z", reading_ts=t)]
+    out = roll(spark, rows)
+    assert (out["R1"]["area_name"], out["R1"]["weather"]) == ("C", "Fog")        # Mist and Rain twice each
+    assert (out["R2"]["area_name"], out["R2"]["weather"]) == ("Z", "Clear")

@@ -110,6 +110,44 @@ def test_stream_daily_sees_files_that_arrive_while_it_runs(spark):
     assert J.stream_daily(spark, src, out, schema, None).count() == D.daily_rollup(one, None).count()
 
 
+def test_stream_daily_reads_only_the_dates_it_touches(spark):
+    """State files of other dates are no Parquet any more, and stored readings are gone: a late file still counts."""
+    import os
+    r = B.raw_readings(spark, SF_SMALL)
+    days = [x[0] for x in r.select("reading_date").distinct().orderBy("reading_date").limit(3).collect()]
+    some = r.where(F.col("reading_date").isin(days))
+    late = some.where((F.col("reading_date") == F.lit(days[1])) & (F.col("event_id") % 3 == 0))
+    src, out = J.scratch(spark, "t-touch"), J.scratch(spark, "t-touch-daily")
+    some.join(late.select("event_id"), "event_id", "left_anti").select(*r.columns).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    J.stream_daily(spark, src, out, schema, None)
+    spoiled = 0
+    for folder, _, files in os.walk(out + "._state"):
+        if "traffic_date=" in folder and f"traffic_date={days[1]}" not in folder:
+            for f in files:
+                with open(os.path.join(folder, f), "wb") as h:
+                    h.write(b"no parquet")
+                spoiled += 1
+    for f in os.listdir(src):
+        with open(os.path.join(src, f), "wb") as h:
+            h.write(b"")
+    assert spoiled
+    late.write.mode("append").parquet(src)
+    got = J.stream_daily(spark, src, out, schema, None).select(*D.DAILY_COLUMNS)
+    assert _rows(got) == _rows(D.daily_rollup(some, None).select(*D.DAILY_COLUMNS))
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark):
+    r = B.raw_readings(spark, SF_SMALL)
+    out = J.scratch(spark, "t-again")
+    halves = [r.where(F.col("event_id") % 2 == k) for k in (0, 1)]
+    for batch_id, half in ((0, halves[0]), (1, halves[1]), (1, halves[1]), (0, halves[0])):
+        J.upsert_daily(half, batch_id, out + "._state", out, None)
+    J.upsert_daily(r.limit(0), 2, out + "._state", out, None)       # an empty batch
+    got = spark.read.parquet(out).select(*D.DAILY_COLUMNS)
+    assert _rows(got) == _rows(D.daily_rollup(r, None).select(*D.DAILY_COLUMNS))
+
+
 def _vectors(spark, rows, name):
     return spark.createDataFrame([(int(i), [float(x) for x in v], None) for i, v in rows],
                                  f"{name} long, v array<double>, grp long")
@@ -232,3 +270,25 @@ def test_latest_reading_needs_no_sort_of_all_readings(spark):
     plan = _plan(M.latest_per_road(B.raw_readings(spark, SF_SMALL), ["event_id", "a_speed"]))
     first = plan[plan.rindex("max(reading_ts"):]
     assert "SortAggregate" not in first and "HashAggregate" in plan
+
+
+def test_raw_readings_are_only_hash_aggregated(spark):
+    """Roll-up and cycle weather: what stands on the raw readings is a HashAggregate; sorts see its few rows."""
+    from lanespark.plans import registry
+    registry.load_all()
+    for key in ("daily_rollup", "daily_weather_mode", "daily_area", "join_cycle_weather"):
+        plan = _plan(registry.QUERIES[key](spark, SF_SMALL))
+        assert "ObjectHashAggregate" not in plan, key
+        lines = plan.splitlines()
+        indent = lambda x: len(x) - len(x.lstrip(" :+-*(0123456789)"))
+        for k, line in enumerate(lines):
+            if "FileScan" not in line or "event_type" not in line and "ts#" not in line:
+                continue
+            level, above = indent(line), ""     # the first aggregate above this scan
+            for up in reversed(lines[:k]):
+                if indent(up) < level:
+                    level = indent(up)
+                    if "Aggregate" in up or "Join" in up:
+                        above = up
+                        break
+            assert "SortAggregate" not in above, key
