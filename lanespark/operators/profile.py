@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
 from ..functions.traffic import corr_direction, corr_strength
+from ..session import cut_lineage
 from .ordering import global_row_number
+from .quantiles import exact_quantiles
 
 
 def _stack(df: DataFrame, names: list[str], fields: list[str], key: str = "column_name") -> DataFrame:
@@ -23,31 +25,32 @@ def _stack(df: DataFrame, names: list[str], fields: list[str], key: str = "colum
     return df.select(F.explode(F.array(*structs)).alias("_s")).select("_s.*")
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
 def describe_numeric(df: DataFrame, cols: list[str], digits: int = 2, exact: bool = True) -> DataFrame:
-    """AG-14: count, mean, std, min, q1, median, q3, max per column (one scan).
+    """AG-14: count, mean, std, min, q1, median, q3, max per column.
 
-    ``exact`` uses Spark's exact ``percentile`` (linear interpolation, like
-    pandas); set it False on raw-level tables to use the bounded-memory
-    ``percentile_approx`` sketch instead.
+    ``exact`` takes the quartiles (linear interpolation) by rank selection, two
+    further scans of these columns; False takes the bounded ``percentile_approx``
+    sketch in the one scan of the other statistics.
     """
+    if exact:
+        df = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000))
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
-    one = df.agg(*aggs)
-    proj = []
-    for c in cols:
-        proj += [F.col(f"{c}__count"), rnd(f"{c}__mean", digits).alias(f"{c}__mean"),
-                 rnd(f"{c}__std", digits).alias(f"{c}__std"), rnd(f"{c}__min", digits).alias(f"{c}__min"),
-                 rnd(F.col(f"{c}__q")[0], digits).alias(f"{c}__q25"),
-                 rnd(F.col(f"{c}__q")[1], digits).alias(f"{c}__q50"),
-                 rnd(F.col(f"{c}__q")[2], digits).alias(f"{c}__q75"),
-                 rnd(f"{c}__max", digits).alias(f"{c}__max")]
-    return _stack(one.select(*proj), cols, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
+                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, F.array(*map(F.lit, QUARTILES)), 10000).alias(f"{c}__q"))
+    stats = _stack(df.agg(*aggs), cols, ["count", "mean", "std", "min", "max"] + ([] if exact else ["q"]))
+    if exact:
+        found = exact_quantiles(df, cols, QUARTILES).select(F.col("column_name").alias("_name"), "q")
+        stats = stats.join(found, F.col("column_name") == F.col("_name"), "left")   # one row for each column
+    return stats.select("column_name", "count", *[rnd(x, digits).alias(x) for x in ("mean", "std", "min")],
+                        *[rnd(F.col("q")[i], digits).alias(f"q{p}") for i, p in enumerate((25, 50, 75))],
+                        rnd("max", digits).alias("max"))
 
 
 def missing_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -126,10 +129,10 @@ def histogram(df: DataFrame, col: str, bins: int = 50, digits: int = 4) -> DataF
 
 
 def iqr_outliers(df: DataFrame, col: str, digits: int = 4) -> DataFrame:
-    """AG-21: quartiles, IQR, 1.5·IQR fences, whiskers and outlier count (two passes)."""
+    """AG-21: quartiles by rank selection, IQR, 1.5·IQR fences, whiskers and outlier count."""
     x = F.col(col).cast("double")
-    q = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")).select(
-        F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("_q2"), F.col("_q")[2].alias("_q3"))
+    df = cut_lineage(df.select(col))
+    q = exact_quantiles(df, [col], QUARTILES).select(*[F.col("q")[i].alias(f"_q{i + 1}") for i in range(3)])
     lo = F.col("_q1") - F.lit(1.5) * (F.col("_q3") - F.col("_q1"))
     hi = F.col("_q3") + F.lit(1.5) * (F.col("_q3") - F.col("_q1"))
     j = df.where(x.isNotNull()).select(x.alias("_x")).crossJoin(F.broadcast(q))

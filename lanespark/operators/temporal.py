@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
+from ..session import cut_lineage
+from .quantiles import exact_quantiles
 
 DATE, TARGET, AREA, ROAD, WEATHER, ROADWORK = (
     "traffic_date", "volume", "area_name", "road_name", "weather", "roadwork")
@@ -139,10 +141,10 @@ def group_stats(daily: DataFrame, key: str, target: str = TARGET) -> DataFrame:
 
 
 def weather_distribution(daily: DataFrame, target: str = TARGET) -> DataFrame:
-    """AG-10: quartiles and box-plot whiskers per weather category (exact percentiles)."""
-    base = _nn(daily, WEATHER).select(WEATHER, F.col(target).alias("_x")).where(F.col("_x").isNotNull())
-    q = base.groupBy(WEATHER).agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(WEATHER, F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("_q2"), F.col("_q")[2].alias("_q3"))
+    """AG-10: quartiles and box-plot whiskers per weather category (exact, by rank selection)."""
+    base = cut_lineage(_nn(daily, WEATHER).select(WEATHER, F.col(target).alias("_x")).where(F.col("_x").isNotNull()))
+    q = exact_quantiles(base, ["_x"], [0.25, 0.5, 0.75], [WEATHER])
+    q = q.select(WEATHER, F.col("q")[0].alias("_q1"), F.col("q")[1].alias("_q2"), F.col("q")[2].alias("_q3"))
     iqr = F.col("_q3") - F.col("_q1")
     j = base.join(q, WEATHER)  # q has one row per category
     lo_f, hi_f = F.col("_q1") - F.lit(1.5) * iqr, F.col("_q3") + F.lit(1.5) * iqr
