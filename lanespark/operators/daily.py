@@ -1,9 +1,10 @@
 """Raw readings -> one quality-checked record per (date, road).
 
 ``daily_partials`` reduces the readings to sums, counts and extremes by (date,
-road, weather, area): fixed-width buffers only, so it is a plain hash
-aggregate with map-side combining and a hot road stays cheap. Partial rows
-merge by addition, so they also serve as the state of the streaming job.
+road) and to counts by weather and area: fixed-width buffers only, so these
+are plain hash aggregates with map-side combining and a hot road stays cheap.
+Partial rows merge by addition, so they also serve as the state of the
+streaming job.
 ``merge_partials`` folds them, a few for each road and day, to the record's
 statistics with the most frequent weather and the first area. The road
 dimension is joined *after* that.
@@ -37,16 +38,25 @@ MEANS = {"_tt": "a_travel_time", "_tff": "a_free_flow_time", "_jam": "jam_factor
 
 
 def daily_partials(readings: DataFrame) -> DataFrame:
-    """Stage 1: mergeable statistics by (date, road, weather, area), from a hash aggregate of fixed-width buffers."""
+    """Stage 1: mergeable rows of two kinds, each from a hash aggregate of fixed-width buffers.
+
+    One row for each (date, road) holds sums, counts and extremes; it adds the
+    readings of a road and day in one go, as rounding at the far end of a sum
+    can decide a truncated volume. One row for each (date, road, weather,
+    area) holds the number of readings and the first time.
+    """
+    known = readings.where(F.col("road_name").isNotNull() & F.col("reading_date").isNotNull()) \
+        .withColumnRenamed("reading_date", "traffic_date")
     pooled = [e for k, cols in POOLED.items() for e in (
         sum((F.coalesce(F.sum(c), F.lit(0.0)) for c in cols), F.lit(0.0)).alias(f"_s_{k}"),
         sum((F.count(c) for c in cols), F.lit(0)).cast("long").alias(f"_n_{k}"))]
     means = [e for k, c in MEANS.items() for e in (F.sum(c).alias(k + "_s"), F.count(c).alias(k + "_n"))]
-    return readings.where(F.col("road_name").isNotNull() & F.col("reading_date").isNotNull()) \
-        .groupBy(F.col("reading_date").alias("traffic_date"), "road_name", "weather_main", "area_name").agg(
-            F.count(F.lit(1)).alias("_n"), F.min("reading_ts").alias("_ts"), *pooled, *means,
-            F.max("incident_count").alias("_inc"),
-            F.max(F.coalesce("has_construction", F.lit(False))).alias("_work"))
+    sums = known.groupBy("traffic_date", "road_name").agg(
+        *pooled, *means, F.max("incident_count").alias("_inc"),
+        F.max(F.coalesce("has_construction", F.lit(False))).alias("_work"))
+    kinds = known.groupBy("traffic_date", "road_name", "weather_main", "area_name").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("reading_ts").alias("_ts"))
+    return sums.unionByName(kinds, allowMissingColumns=True)
 
 
 def merge_partials(parts: DataFrame) -> DataFrame:
