@@ -22,7 +22,8 @@ _WHITE = r"\x20\x09-\x0D"
 #: Scripts written without spaces between words; each of their characters is a word.
 _SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
 #: Other words: up to 16 code points without white space (longer ones are cut into pieces from their start).
-_WORD = f"[{_SINGLE}]|[^{_WHITE}{_SINGLE}]{{1,16}}"
+#: Visible ASCII stands first, so that it needs no look at the scripts.
+_WORD = rf"[\x21-\x7E[^{_WHITE}{_SINGLE}]]{{1,16}}|[{_SINGLE}]"
 
 
 def sketch(text: Column, shingle: int = 5, fraction: float = 1 / 2) -> Column:
