@@ -1,6 +1,6 @@
 """Phrase collocations by weighted acyclic automata.
 
-A shard (some millions of words of one language) sorts its n-grams and builds
+A shard (half a million words of one language) sorts its n-grams and builds
 a count transducer from them in that order: a state is added wherever an
 n-gram leaves the path of the one before, an arc carries the count of the
 words on the path to its end, and states with equal right parts are merged.
@@ -29,6 +29,13 @@ from .common import stored
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words of a shard, and about as many of a range: a task holds a shard of each language, or one range.
+SHARD_WORDS = 500_000
+RANGE_WORDS = 1_000_000
+#: Arcs that a batch of pieces may gather before it leaves the task.
+BATCH_ARCS = 200_000
+#: Asked parts that one task looks up.
+ASK_ROWS = 50_000
 
 
 def _first(*columns: np.ndarray) -> np.ndarray:
@@ -60,7 +67,7 @@ class Transducer:
         alive = np.arange(len(rows))
         for d in range(rows.shape[1]):
             alive = alive[rows[alive, d] >= 0]
-            source, label = state[alive], rows[alive, d]
+            source, label = state[alive], rows[alive, d].astype(np.int64)
             new = _first(source, label)
             at = np.nonzero(new)[0]
             if not len(at):
@@ -237,7 +244,7 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                        F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_words: int = 2_500_000) -> DataFrame:
+def vocabulary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS) -> DataFrame:
     """``(lang, word, f)``: how often each language has each word."""
 
     def count(batches):
@@ -338,12 +345,34 @@ def prefix_ranges(words: DataFrame, total: int, range_words: int, most: int, see
 
 
 # ---- counting ------------------------------------------------------------------------------------------------
-_PIECE = "lang string, range long, words array<binary>, sizes array<int>, source array<int>, label array<int>, " \
-         "weight array<long>, target array<int>"
-_PIECE_ARROW = pa.schema([("lang", pa.string()), ("range", pa.int64()), ("words", pa.list_(pa.binary())),
-                          ("sizes", pa.list_(pa.int32())), ("source", pa.list_(pa.int32())),
-                          ("label", pa.list_(pa.int32())), ("weight", pa.list_(pa.int64())),
-                          ("target", pa.list_(pa.int32()))])
+_PIECE = "lang string, range long, words binary, sizes array<int>, arcs binary"
+_PIECE_ARROW = pa.schema([("lang", pa.string()), ("range", pa.int64()), ("words", pa.binary()),
+                          ("sizes", pa.list_(pa.int32())), ("arcs", pa.binary())])
+
+
+def _packed(t: Transducer) -> tuple[bytes, list[int], bytes]:
+    """Words, level sizes and arcs of a shard's piece for the shuffle, packed.
+
+    A word has no line feed. Sources ascend within a level, so their steps are kept; numbers of one shard fit 32 bits,
+    whose bytes are laid side by side.
+    """
+    words = b"\n".join(t.words)
+    source, *others = (np.concatenate([x[k] for x in t.levels]) for k in range(4))
+    arcs = np.stack([np.diff(source, prepend=0), *others]).astype("<i4")
+    planes = np.ascontiguousarray(arcs.view(np.uint8).reshape(4, -1, 4).transpose(0, 2, 1))
+    pack = lambda x: len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
+    return pack(words), [len(x[0]) for x in t.levels], pack(planes.tobytes())
+
+
+def _unpacked(words: bytes, sizes: np.ndarray, arcs: bytes) -> Transducer:
+    def plain(x):
+        return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+
+    planes = np.frombuffer(plain(arcs), np.uint8).reshape(4, 4, -1).transpose(0, 2, 1)
+    columns = np.ascontiguousarray(planes).view("<i4").reshape(4, -1).astype(np.int64)
+    columns[0] = np.cumsum(columns[0])
+    ends = np.cumsum(sizes)[:-1]
+    return Transducer(plain(words).split(b"\n"), list(zip(*[np.split(c, ends) for c in columns])))
 
 
 def _cut(t: Transducer, r1: np.ndarray, r2: np.ndarray):
@@ -383,58 +412,61 @@ def _cut(t: Transducer, r1: np.ndarray, r2: np.ndarray):
 def _count(shortest: int, longest: int, shard_words: int, word_bits, pair_bits, ranges):
     """Task: the shards' transducers of ``shortest`` to ``longest`` words, cut at the ranges."""
 
+    def _occurrences(words, codes, hashes):
+        """Sorted n-grams of a shard that may be frequent, and how often each row stands for one."""
+        good = np.append(_marked(word_bits.value, hashes), False)   # the last stands for -1
+        keep = good[codes]
+        n = len(codes)
+        pair = keep & np.append(keep[1:], False)
+        if longest > 2:
+            at = np.nonzero(pair)[0]
+            pair[at] = _marked(pair_bits.value, _pair_hash(hashes[codes[at]], hashes[codes[at + 1]]))
+            at = np.nonzero(pair[:-1] & pair[1:])[0] if n > 1 else at[:0]
+            rows = np.full((len(at), longest), -1, np.int32)
+            rows[:, 0], on = codes[at], np.ones(len(at), bool)
+            for k in range(1, longest):
+                on &= pair[np.minimum(at + k - 1, n - 1)]
+                rows[on, k] = codes[at[on] + k]
+            rows = rows[np.lexsort(rows.T[::-1])]
+            return rows, np.ones(len(rows), np.int64)
+        at = np.nonzero(keep)[0]
+        key = codes[at] * (len(words) + 1)
+        two = pair[at]
+        key[two] += codes[at[two] + 1] + 1
+        key, times = np.unique(key, return_counts=True)
+        return np.stack([key // (len(words) + 1), key % (len(words) + 1) - 1], axis=1), times
+
     def run(batches):
         for lang, words, codes in _shards(batches, shard_words):
             hashes = _word_hashes(lang, words)
-            good = np.append(_marked(word_bits.value, hashes), False)   # the last stands for -1
-            keep = good[codes]
-            n = len(codes)
-            nxt = np.append(codes[1:], -1)
-            pair = keep & np.append(keep[1:], False)
-            if longest > 2:
-                at = np.nonzero(pair)[0]
-                pair[at] = _marked(pair_bits.value, _pair_hash(hashes[codes[at]], hashes[nxt[at]]))
-                at = np.nonzero(pair[:-1] & pair[1:])[0] if n > 1 else at[:0]
-                rows = np.full((len(at), longest), -1, np.int64)
-                rows[:, 0], on = codes[at], np.ones(len(at), bool)
-                for k in range(1, longest):
-                    on &= pair[np.minimum(at + k - 1, n - 1)]
-                    rows[on, k] = codes[at[on] + k]
-                rows = rows[np.lexsort(rows.T[::-1])]
-            else:
-                at = np.nonzero(keep)[0]
-                key = np.sort(codes[at] * (len(words) + 1) + np.where(pair[at], nxt[at], -1) + 1)
-                rows = np.stack([key // (len(words) + 1), key % (len(words) + 1) - 1], axis=1)
+            rows, times = _occurrences(words, codes, hashes)
+            del codes
             if not len(rows):
                 continue
-            t = Transducer.from_sorted(words, rows, np.ones(len(rows), np.int64), shortest)
+            t = Transducer.from_sorted(words, rows, times, shortest)
+            del rows, times
             one = t.levels[0][1]
             r1 = ranges.of(lang, words, hashes, one, np.full(len(one), -1))
             r2 = ranges.of(lang, words, hashes, one[t.levels[1][0]], t.levels[1][1]) if len(t.levels) > 1 else r1[:0]
             out: dict[str, list] = {c: [] for c in _PIECE_ARROW.names}
+            arcs = 0
             for r, piece in _cut(t, r1, r2):
-                m = piece.minimal()
-                for c, v in zip(out, (lang, r, m.words, [len(x[0]) for x in m.levels],
-                                      *[np.concatenate([x[k] for x in m.levels]) for k in range(4)])):
+                packed = _packed(piece.minimal())
+                for c, v in zip(out, (lang, r, *packed)):
                     out[c].append(v)
-                if len(out["lang"]) >= 256:
+                arcs += sum(packed[1])
+                if len(out["lang"]) >= 256 or arcs >= BATCH_ARCS:
                     yield pa.RecordBatch.from_pydict(out, schema=_PIECE_ARROW)
-                    out = {c: [] for c in out}
-            yield pa.RecordBatch.from_pydict(out, schema=_PIECE_ARROW)
+                    out, arcs = {c: [] for c in out}, 0
+            if out["lang"]:
+                yield pa.RecordBatch.from_pydict(out, schema=_PIECE_ARROW)
 
     return run
 
 
 def _pieces(table: pa.Table) -> list[Transducer]:
-    parts = []
-    for batch in table.to_batches():
-        lists = {c: batch.column(c) for c in ("words", "sizes", "source", "label", "weight", "target")}
-        for i in range(len(batch)):
-            ends = np.cumsum(lists["sizes"][i].values.to_numpy())[:-1]
-            cols = [np.split(lists[c][i].values.to_numpy().astype(np.int64), ends)
-                    for c in ("source", "label", "weight", "target")]
-            parts.append(Transducer(lists["words"][i].values.to_pylist(), list(zip(*cols))))
-    return parts
+    return [_unpacked(w.as_py(), n.values.to_numpy(), x.as_py())
+            for w, n, x in zip(*[table.column(c) for c in ("words", "sizes", "arcs")])]
 
 
 _COUNTS = pa.schema([("lang", pa.string()), ("range", pa.int64()), ("words", pa.list_(pa.string())),
@@ -501,7 +533,7 @@ def _ends(rows: np.ndarray) -> np.ndarray:
 
 
 def counts(docs: DataFrame, longest: int = 5, least: int = 100, text_col: str = "text", lang_col: str = "lang",
-           shard_words: int = 2_500_000, range_words: int = 2_000_000, most_ranges: int = 16_384,
+           shard_words: int = SHARD_WORDS, range_words: int = RANGE_WORDS, most_ranges: int = 16_384,
            filter_bits: int = 25) -> tuple[DataFrame, DataFrame, Ranges | None]:
     """``(lang, range, words, f)`` of all n-grams of up to ``longest`` words with at least ``least`` occurrences in
     their language, the languages' word totals ``(lang, n)``, and the ranges."""
@@ -562,7 +594,7 @@ def _parts_of(ranges: Ranges):
 
 
 def collocations(docs: DataFrame, longest: int = 5, least: int = 100, covered_percent: int = 100, limit: int = 2000,
-                 text_col: str = "text", lang_col: str = "lang", ask_rows: int = 200_000, **sizes) -> DataFrame:
+                 text_col: str = "text", lang_col: str = "lang", ask_rows: int = ASK_ROWS, **sizes) -> DataFrame:
     """``lang, rank, phrase, k, a, l, r, n, score``: each language's ``limit`` best phrases of 2 to ``longest`` words.
 
     ``a`` counts the phrase, ``l`` and ``r`` the parts before and after its

@@ -1,12 +1,16 @@
 """Exact top-k, periodic runs and collocations against brute force."""
 
 import hashlib
+import inspect
 import random
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +257,27 @@ def test_collocations_are_brute_force(spark, sizes):
     assert sorted(map(tuple, got.collect())) == slow_collocations(rows, 4, 25)
 
 
+def test_collocation_tasks_hold_little():
+    """What a task holds of a text of many words: a shard of half a million words, batches of some MB, no large peak."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(30_000)])
+    texts = [" ".join(words[rng.integers(0, 30_000, 1000)]).encode() for _ in range(1200)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": texts})
+    every = SimpleNamespace(value=np.full(1 << 17, 255, np.uint8))
+    ranges = collocations.Ranges([], 0, 1, 1)
+    size = inspect.signature(collocations.counts).parameters["shard_words"].default
+    assert max(len(c) for _, _, c in collocations._shards([batch], size)) < 1_000_000
+    run = collocations._count(1, 2, size, every, every, ranges)
+    tracemalloc.start()
+    try:
+        pieces = [(b.num_rows, b.nbytes) for b in run([batch])]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert max(n for _, n in pieces) < 20_000_000
+    assert peak < 250_000_000
+
+
 def test_collocations_of_nothing(spark, no_docs):
     assert collocations.collocations(no_docs).count() == 0
     blank = spark.createDataFrame([(None, None), (" \n\t.", "en")], "text string, lang string")
