@@ -6,13 +6,15 @@ bounded size. Each query first looks into the nearest cells that hold enough
 rows. Its k-th distance then rules out every cell whose centre lies farther
 away than that distance plus the cell's radius (triangle inequality); the cells
 that are left are searched in a second pass, so the result is exact and every
-query has k neighbours (or all rows, if there are fewer). Queries that ask for
-a cell are dealt to parts, and the cell's blocks are copied to just those
-parts: a cell that nobody asks for stays where it is, another one travels once
-for every ``query_rows`` queries. A block is compared with its queries as
-matrices and returns only the k best for each: pairs are never emitted. On
-vectors without structure the bounds rule out little and the second pass is a
-blocked scan.
+query has k neighbours (or all rows, if there are fewer). Neighbouring cells
+travel as one region of about ``block_rows`` rows, to which a query goes once
+however many of its cells it needs. Queries that ask for a region are dealt to
+parts, and the region's blocks are copied to just those parts: a region that
+nobody asks for stays where it is, another one travels once for every
+``query_rows`` queries. A block is compared with its queries as matrices of
+bounded size and returns only the k best for each: pairs are never emitted, and
+of equal vectors only the k smallest ids are looked at. On vectors without
+structure the bounds rule out little and the second pass is a blocked scan.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from ..session import cut_lineage
 SAMPLE_ROWS = 4096
 #: Most cells; beyond, cells have more rows and are cut into blocks. The driver holds a centre and two numbers for each.
 MOST_CELLS = 65_536
+#: Values of a matrix, and candidate pairs whose distance is worked out, at once in a task.
+MATRIX_CELLS = 1_000_000
+PAIRS = 65_536
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, steps: int = 8) -> np.ndarray:
@@ -57,9 +62,12 @@ def _stack(v) -> np.ndarray:
 
 
 class Cells:
-    """Base rows in cells: centres, radii and sizes on the driver, the rows with their cell in ``placed``."""
+    """Base rows in cells: centres, radii and sizes on the driver, the rows with their cell in ``placed``.
 
-    def __init__(self, base: DataFrame, n: int, cell_rows: int, seed: int):
+    Cells that follow each other make a region of up to ``region_rows`` rows, at least one cell.
+    """
+
+    def __init__(self, base: DataFrame, n: int, cell_rows: int, seed: int, region_rows: int = 0):
         k = max(1, min(MOST_CELLS, n // cell_rows))
         upper_k = k if k <= 256 else int(np.ceil(np.sqrt(k)))
         share = F.pmod(F.xxhash64("neighbor_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -100,52 +108,74 @@ class Cells:
 
         self.placed = cut_lineage(base.select("neighbor_id", "v", "grp").mapInPandas(
             place, "neighbor_id long, v array<double>, grp long, cell int, away double"))
-        self.stats = cut_lineage(self.placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")))
         self.sizes, self.radius = np.zeros(len(self.centers), np.int64), np.zeros(len(self.centers))
-        for r in self.stats.collect():      # one row per cell
-            self.sizes[r["cell"]], self.radius[r["cell"]] = r["n"], r["radius"]
+        for r in self.placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect():
+            self.sizes[r["cell"]], self.radius[r["cell"]] = r["n"], r["radius"]     # one row per cell
+        self.region, have = np.zeros(len(self.centers), np.int32), 0
+        for i, m in enumerate(self.sizes):      # cells of one upper centre follow each other
+            self.region[i] = self.region[i - 1] if i else 0
+            if i and have + m > region_rows:
+                self.region[i] += 1
+                have = 0
+            have += m
+        spark, of = base.sparkSession, self.region.tolist()
+        total = np.bincount(self.region, weights=self.sizes).astype(int).tolist()
+        # at most MOST_CELLS rows of three numbers
+        self.regions = F.broadcast(spark.createDataFrame(
+            [(i, r, total[r]) for i, r in enumerate(of)], "cell int, region int, n long"))
 
     def ask(self, queries: DataFrame, k: int, first: bool) -> DataFrame:
-        """``queries`` (query_id, v, grp, kth) with the array ``cells`` that each has to search."""
-        centers, sizes, radius = self.centers, self.sizes, self.radius
+        """``queries`` (query_id, v, grp, kth) with the array ``regions`` that each has to search."""
+        centers, sizes, radius, region = self.centers, self.sizes, self.radius, self.region
         enough = min(2 * k + 16, int(sizes.sum()))     # some may be of the query's own group
+        rows = max(1, min(1024, MATRIX_CELLS // len(centers)))
 
         def run(frames):
             for f in frames:
                 if not len(f):
                     continue
                 q, asked = _stack(f["v"]), []
-                for a in range(0, len(q), 1024):
-                    part = q[a:a + 1024]
+                for a in range(0, len(q), rows):
+                    part = q[a:a + rows]
                     d2 = _far2(part, centers)
                     d = np.sqrt(np.maximum(d2 - _rounding(part, centers)[:, None], 0.0))
                     order = np.argsort(d2, axis=1, kind="stable")
                     need = (np.cumsum(sizes[order], axis=1) < enough).sum(axis=1) + 1
-                    for i, kth in enumerate(f["kth"].to_numpy()[a:a + 1024]):
+                    for i, kth in enumerate(f["kth"].to_numpy()[a:a + rows]):
                         near = order[i, :need[i]]
+                        here = np.unique(region[near[sizes[near] > 0]])
                         if not first:
                             bound = np.inf if pd.isna(kth) else kth * (1 + 1e-9) + 1e-9
-                            near = np.setdiff1d(np.nonzero(d[i] - radius <= bound)[0], near)
-                        asked.append(near[sizes[near] > 0].astype("int32"))
-                yield f.assign(cells=asked)
+                            here = np.setdiff1d(region[(d[i] - radius <= bound) & (sizes > 0)], here)
+                        asked.append(here.astype("int32"))
+                yield f.assign(regions=asked)
 
         return cut_lineage(queries.mapInPandas(
-            run, "query_id long, v array<double>, grp long, kth double, cells array<int>"))
+            run, "query_id long, v array<double>, grp long, kth double, regions array<int>"))
 
     def deal(self, asked: DataFrame, block_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame]:
-        """Queries and base rows with the ``(cell, block, part)`` where they meet."""
-        asks = asked.select("query_id", "v", "grp", F.explode("cells").alias("cell"))
-        parts = asks.groupBy("cell").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("parts"))
-        # at most MOST_CELLS rows of three numbers
-        load = F.broadcast(cut_lineage(parts.join(self.stats, "cell").select(
-            "cell", "parts", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))))
+        """Queries and base rows with the ``(region, block, part)`` where they meet."""
+        asks = asked.select("query_id", "v", "grp", F.explode("regions").alias("region"))
+        parts = asked.select(F.explode("regions").alias("region")).groupBy("region").agg(
+            F.ceil(F.count("*") / query_rows).cast("int").alias("parts"))
+        load = F.broadcast(cut_lineage(parts.join(self.regions.select("region", "n").distinct(), "region").select(
+            "region", "parts", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))))     # one row per region
         upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        sent = asks.join(load, "cell").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")) \
+        sent = asks.join(load, "region").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")) \
             .withColumn("block", upto("blocks"))
-        held = self.placed.join(load, "cell").withColumn(
+        held = self.placed.join(self.regions.drop("n"), "cell").join(load, "region").withColumn(
             "block", F.pmod(F.xxhash64("neighbor_id"), F.col("blocks")).cast("int")).withColumn("part", upto("parts"))
-        return sent.select("query_id", "v", "grp", "cell", "block", "part"), \
-            held.select("neighbor_id", "v", "grp", "cell", "block", "part")
+        return sent.select("query_id", "v", "grp", "region", "block", "part"), \
+            held.select("neighbor_id", "v", "grp", "region", "block", "part")
+
+
+def _first_of_equal(x: np.ndarray, ids: np.ndarray, grp: np.ndarray, k: int) -> np.ndarray:
+    """Rows that may be among a query's k nearest: of equal vectors and groups those of the k smallest ids."""
+    whole = np.ascontiguousarray(np.column_stack([x, grp]) + 0.0)
+    _, same = np.unique(whole.view(np.dtype((np.void, whole.dtype.itemsize * whole.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, same))
+    rank = np.arange(len(order)) - np.searchsorted(same[order], same[order])
+    return np.sort(order[rank < k])
 
 
 def _search(k: int):
@@ -153,8 +183,10 @@ def _search(k: int):
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(q) and len(b):
             x, ids, grp = _stack(b["v"]), b["neighbor_id"].to_numpy(), b["grp"].to_numpy(float)
+            few = _first_of_equal(x, ids, grp, k)
+            x, ids, grp = x[few], ids[few], grp[few]
             names, own, v = q["query_id"].to_numpy(), q["grp"].to_numpy(float), _stack(q["v"])
-            step = max(1, 4_000_000 // len(x))
+            step = max(1, MATRIX_CELLS // len(x))
             for a in range(0, len(v), step):
                 part = v[a:a + step]
                 d2 = _far2(part, x)
@@ -163,20 +195,24 @@ def _search(k: int):
                     bound = np.partition(d2, k - 1, axis=1)[:, k - 1] + 2 * _rounding(part, x)
                 else:
                     bound = np.full(len(part), np.inf)
-                row, col = np.nonzero((d2 <= bound[:, None]) & np.isfinite(d2))
-                d = np.sqrt(((x[col] - part[row]) ** 2).sum(1))
-                order = np.lexsort((ids[col], d, row))
-                row, col, d = row[order], col[order], d[order]
-                rank = np.arange(len(row)) - np.searchsorted(row, row)
-                best = rank < k
-                out.append((names[a:a + step][row[best]], ids[col[best]], d[best]))
+                near = (d2 <= bound[:, None]) & np.isfinite(d2)
+                turn = np.cumsum(near.sum(axis=1)) // PAIRS
+                for t in np.unique(turn):
+                    at = np.nonzero(turn == t)[0]
+                    row, col = np.nonzero(near[at])
+                    d = np.sqrt(((x[col] - part[at[row]]) ** 2).sum(1))
+                    order = np.lexsort((ids[col], d, row))
+                    row, col, d = row[order], col[order], d[order]
+                    rank = np.arange(len(row)) - np.searchsorted(row, row)
+                    best = rank < k
+                    out.append((names[a + at[row[best]]], ids[col[best]], d[best]))
         return pd.DataFrame({c: np.concatenate(p) for c, p in zip(("query_id", "neighbor_id", "distance"), zip(*out))})
 
     return run
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, cell_rows: int = 1024, block_rows: int = 4096,
-            query_rows: int = 8192, seed: int = 42) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, cell_rows: int = 1024, block_rows: int = 16_384,
+            query_rows: int = 16_384, seed: int = 42) -> DataFrame:
     """JN-09 + SL-08: (query_id, neighbor_id, distance, rank), the exact k nearest base rows of every query.
 
     ``queries`` has ``query_id``, ``v`` (array of double) and ``grp``, ``base``
@@ -187,11 +223,11 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, cell_rows: int = 1024,
     n = base.count()
     if n == 0 or not queries.take(1):
         return base.sparkSession.createDataFrame([], "query_id long, neighbor_id long, distance double, rank int")
-    cells = Cells(base, n, cell_rows, seed)
+    cells = Cells(base, n, cell_rows, seed, block_rows)
 
     def look(asked: DataFrame) -> DataFrame:
         sent, held = cells.deal(asked, block_rows, query_rows)
-        keys = ["cell", "block", "part"]
+        keys = ["region", "block", "part"]
         return sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(
             _search(k), "query_id long, neighbor_id long, distance double")
 

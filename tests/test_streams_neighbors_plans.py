@@ -2,8 +2,10 @@
 
 import datetime as dt
 import json
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +199,35 @@ def test_base_rows_travel_only_to_the_parts_that_ask(spark):
     assert copies[1] <= 2 * 2000 and copies[1] <= 2 * copies[0]
 
 
+def test_a_query_goes_once_to_neighbouring_cells(spark):
+    """Vectors without structure: a query that needs all cells is sent once a region, not once a cell."""
+    rng = np.random.default_rng(7)
+    base = _vectors(spark, list(enumerate(rng.normal(size=(2000, 16)))), "neighbor_id")
+    q = _vectors(spark, list(enumerate(rng.normal(size=(50, 16)))), "query_id").withColumn("kth", F.lit(None).cast("double"))
+    cells = NB.Cells(base, 2000, 50, 42, region_rows=1000)
+    assert len(cells.centers) == 40 and cells.region.max() <= 4
+    sent, held = cells.deal(cells.ask(q, 5, False), 1000, 100)
+    assert 0 < sent.count() <= 50 * 5
+    assert held.count() <= 2000
+
+
+def test_equal_vectors_take_bounded_memory():
+    """Many copies of one vector: the smallest ids win, and no task holds all equal pairs at once."""
+    rng = np.random.default_rng(8)
+    spot, other = rng.normal(size=(2, 64))
+    base = pd.DataFrame({"neighbor_id": np.arange(3000)[::-1], "v": [spot] * 2990 + [other] * 10, "grp": [1.0, 2.0] * 1500})
+    asked = pd.DataFrame({"query_id": np.arange(600), "v": [spot] * 600, "grp": [2.0] * 600})
+    tracemalloc.start()
+    try:
+        got = NB._search(5)(None, asked, base)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    smallest = sorted(i for i, g, v in zip(base["neighbor_id"], base["grp"], base["v"]) if g == 1 and v is spot)[:5]
+    assert got.groupby("query_id")["neighbor_id"].agg(list).tolist() == [smallest] * 600
+    assert peak < 200_000_000
+
+
 def test_neighbours_of_few_or_no_rows(spark):
     q, none = _vectors(spark, [(1, [0.0, 1.0])], "query_id"), _vectors(spark, [], "neighbor_id")
     assert NB.nearest(q, none, 3).count() == 0
