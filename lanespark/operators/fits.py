@@ -89,6 +89,10 @@ class Fits:
         """The rows with raw features as the trees read them."""
         return self._once("matrix", lambda: cut_lineage(T.matrix(self.rows(), "raw")))
 
+    def edges(self) -> np.ndarray:
+        """The matrix's thresholds: the same ones for every fit."""
+        return self._once("edges", lambda: T.edges_of(self.matrix(), self.p))
+
     def grams(self) -> dict:
         train = self.rows().where("fold > 0")
         return self._once("grams", lambda: ON.block_grams(train, "fold", "x", "label", self.p))
@@ -109,7 +113,8 @@ class Fits:
         grp = F.col("fold") if held else F.lit(None).cast("long")
         asked = (train if held else rows).select(F.col("row_id").alias("query_id"), "v", grp.alias("grp"))
         base = train.select(F.col("row_id").alias("neighbor_id"), "v", grp.alias("grp"))
-        near = NB.nearest(asked, base, z["knn_k"])
+        # a daily table fills a few regions only: smaller parts make enough tasks
+        near = NB.nearest(asked, base, z["knn_k"], query_rows=4096)
         said = NB.knn_predict(near, train, "row_id", "label", z.get("knn_weights", "distance"))
         return said.select(F.col("query_id").alias("row_id"), "prediction")
 
@@ -137,7 +142,7 @@ class Fits:
             if not mine:
                 continue
             matrix, start = self.matrix(), time.time()
-            sums = cut_lineage(run(matrix, [w[2] for w in mine]))
+            sums = cut_lineage(run(matrix, [w[2] for w in mine], edges=self.edges))
             seconds = time.time() - start
             for i, (family, z, spec) in enumerate(mine):
                 own = sums.where(F.col("spec") == i).drop("spec")
@@ -160,7 +165,7 @@ class Fits:
             mine = [g for g in grown if isinstance(g[2][0], kind)]
             if not mine:
                 continue
-            sums = cut_lineage(run(self.matrix(), [s for g in mine for s in g[2]]))
+            sums = cut_lineage(run(self.matrix(), [s for g in mine for s in g[2]], edges=self.edges))
             for i, (family, z, specs) in enumerate(mine):
                 own = sums.where(F.col("spec").between(i * self.folds, (i + 1) * self.folds - 1))
                 size = {"Random Forest": "rf_trees", "Extra Trees": "et_trees", "Gradient Boosting": "gb_iter"}.get(family)

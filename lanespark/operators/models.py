@@ -54,11 +54,14 @@ def prepare_features(daily: DataFrame, categories: list[str], leakage: str = "pa
                      checkpoint: bool = True) -> Prepared:
     """FP-06: features -> drop incomplete -> hash split -> assemble -> train-fitted scaler.
 
-    The cleaned feature table is materialised once in the shared checkpoint
-    folder; the split numbering, scaler statistics and assembled vectors are
+    The daily table (a row for each day and road, however many lines it sums up)
+    and the cleaned feature table are materialised once in the shared checkpoint
+    folder, so the source is read once and not for every code and first date; the split numbering, scaler statistics and assembled vectors are
     all derived from it (the assembled frame is persisted for the iterative
     learners and recomputed from the checkpoint if an executor is lost).
     """
+    if checkpoint:
+        daily = cut_lineage(daily)
     ft = FE.feature_table(daily, categories=categories, leakage=leakage)
     feats = FE.feature_columns(ft)
     clean = FE.drop_incomplete(ft, feats + [TARGET])

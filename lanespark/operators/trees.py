@@ -375,12 +375,12 @@ def edges_of(rows: DataFrame, p: int, bins: int = BINS) -> np.ndarray:
                                              names=["v"])
 
     shares = [(i + 1) / (bins + 1) for i in range(bins)]
-    wide = rows.mapInArrow(unfold, "v array<double>")
-    row = wide.agg(*[F.percentile_approx(F.col("v")[i], shares, 10_000).alias(str(i)) for i in range(p)]).first()
+    # a group for each feature, so that the features' summaries are made by several tasks
+    long = rows.mapInArrow(unfold, "v array<double>").select(F.posexplode("v").alias("feature", "v"))
     out = np.full((p, bins), np.inf, np.float32)
-    for i in range(p):
-        values = np.unique(np.array(row[i] or [], np.float32))
-        out[i, :len(values)] = values
+    for r in long.groupBy("feature").agg(F.percentile_approx("v", shares, 10_000).alias("at")).collect():  # p rows
+        values = np.unique(np.array(r["at"] or [], np.float32))
+        out[r["feature"], :len(values)] = values
     return out
 
 
@@ -447,13 +447,13 @@ class _Top:
             yield from right.place(x, rows[~goes])
 
 
-def _tops(rows: DataFrame, specs: list[Forest], n_train: dict, p: int, task_cells: int) -> dict:
+def _tops(rows: DataFrame, specs: list[Forest], n_train: dict, p: int, task_cells: int, edges=None) -> dict:
     """``{(spec, tree): top}``; every leaf of a top is closed or holds few enough rows."""
     tops = {(i, t): _Top(root_key(s.seed, t)) for i, s in enumerate(specs) for t in range(s.trees)}
     large = {i for i, s in enumerate(specs) if n_train[i] * p > task_cells}
     if not large:
         return tops
-    edges = edges_of(rows, p)
+    edges = edges_of(rows, p) if edges is None else edges()
     waiting = [(i, t, top) for (i, t), top in tops.items() if i in large]
     while waiting:
         jobs, waiting = [waiting[a:a + NODES_A_JOB] for a in range(0, len(waiting), NODES_A_JOB)], []
@@ -597,14 +597,14 @@ def _split_job(rows, specs, tops, job, edges, p, task_cells):
 
 # ---- phase two: the rest of a tree in a task -------------------------------------------------------------------
 def _slots(specs: list[Forest], tops: dict, tasks: int) -> list[tuple]:
-    """``(spec, trees, node)``: what the tasks grow. Trees without upper nodes are grown several to a task."""
+    """``(spec, trees, node)``: what the tasks grow. Trees without upper nodes are grown several to a task, evenly."""
     out = []
     whole = sum(1 for top in tops.values() if top.split is None and top.open)
     share = max(1, -(-whole // max(1, tasks)))
     for i, spec in enumerate(specs):
         plain = [t for t in range(spec.trees) if tops[i, t].split is None and tops[i, t].open]
-        for a in range(0, len(plain), share):
-            out.append((i, plain[a:a + share], None))
+        for part in np.array_split(plain, -(-len(plain) // share)) if plain else []:
+            out.append((i, part.tolist(), None))
         for t in range(spec.trees):
             if t not in plain:
                 for leaf in tops[i, t].leaves():
@@ -715,32 +715,33 @@ _TREES_SQL = ("slot int, spec int, tree int, feature array<long>, threshold arra
               "right array<long>, value array<double>, gain array<double>")
 
 
-def _planned(rows: DataFrame, specs: list[Forest], task_cells: int):
+def _planned(rows: DataFrame, specs: list[Forest], task_cells: int, edges=None):
     """Matrix rows, features, upper nodes and slots."""
     folds = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     first = rows.select(F.octet_length("x").alias("b")).first()
     p = first["b"] // 4 if first else 0
     every = sum(n for f, n in folds.items() if f > 0)
     n_train = {i: every - (folds.get(s.fold, 0) if s.fold is not None else 0) for i, s in enumerate(specs)}
-    tops = _tops(rows, specs, n_train, p, task_cells)
-    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    tops = _tops(rows, specs, n_train, p, task_cells, edges)
+    tasks = 8 * rows.sparkSession.sparkContext.defaultParallelism
     return p, tops, _slots(specs, tops, tasks)
 
 
 def _dealt(rows: DataFrame, specs, tops, slots) -> DataFrame:
     dealt = rows.mapInArrow(_deal(specs, tops, slots), "slot int, row_id long, fold int, label double, x binary")
-    return dealt.repartition(max(1, min(2 * len(slots), 4096)), "slot")
+    return dealt.repartitionById(max(1, min(len(slots), 4096)), F.col("slot"))      # no two slots wait for one task
 
 
-def forests(rows: DataFrame, specs: list[Forest], task_cells: int = TASK_CELLS) -> DataFrame:
+def forests(rows: DataFrame, specs: list[Forest], task_cells: int = TASK_CELLS, edges=None) -> DataFrame:
     """Grow all ``specs`` over matrix rows at once; returns the sums ``(spec, kind, id, value)``.
 
     ``score``: a row's mean prediction, by row_id. ``gain``: a feature's share
     of the fall of the squared error, mean over trees, by feature number.
     ``train error``, ``held error``: squared errors of the trees cut at a
     depth, by depth (for one tree). ``spec`` is the place in the list.
+    ``edges`` gives the rows' thresholds where they are known (as ``edges_of``).
     """
-    p, tops, slots = _planned(rows, specs, task_cells)
+    p, tops, slots = _planned(rows, specs, task_cells, edges)
     if not p:
         return rows.sparkSession.createDataFrame([], SUMS)
     parts = _dealt(rows, specs, tops, slots).groupBy("slot").applyInArrow(_slot_sums(specs, slots), SUMS)
@@ -1100,19 +1101,19 @@ def _boost_jobs(rows: DataFrame, specs: list[tuple], edges, p) -> DataFrame:
     return out
 
 
-def boosters(rows: DataFrame, specs: list[Booster], boost_cells: int = BOOST_CELLS) -> DataFrame:
+def boosters(rows: DataFrame, specs: list[Booster], boost_cells: int = BOOST_CELLS, edges=None) -> DataFrame:
     """Fit all ``specs`` over matrix rows; returns the sums ``(spec, kind, id, value)``.
 
     ``score``: a row's prediction, by row_id. ``loss``: mean squared error of
     the training rows after each step, from the one fit. ``gain``: a feature's
-    share of the fall of the squared error.
+    share of the fall of the squared error. ``edges`` as in ``forests``.
     """
     first = rows.select(F.octet_length("x").alias("b")).first()
     p = first["b"] // 4 if first else 0
     n = rows.where("fold > 0").count()
     if not p or not n:
         return rows.sparkSession.createDataFrame([], SUMS)
-    edges = edges_of(rows, p)
+    edges = edges_of(rows, p) if edges is None else edges()
     if n * p > boost_cells:
         return _boost_jobs(rows, list(enumerate(specs)), edges, p)
 
@@ -1125,7 +1126,7 @@ def boosters(rows: DataFrame, specs: list[Booster], boost_cells: int = BOOST_CEL
                                                  names=["slot", *[n for n, _ in _ROW]])
 
     sent = rows.mapInArrow(deal, "slot int, row_id long, fold int, label double, x binary")
-    return sent.repartition(2 * len(specs), "slot").groupBy("slot").applyInArrow(_boost_task(specs, edges, p), SUMS)
+    return sent.repartitionById(len(specs), F.col("slot")).groupBy("slot").applyInArrow(_boost_task(specs, edges, p), SUMS)
 
 
 def _ship_by_value() -> None:
